@@ -49,3 +49,8 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower())
     )
+
+
+def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches for Python workers of at most so many rows: texts may be long, and a batch lies in memory whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
