@@ -51,6 +51,11 @@ def fold_ascii(text: Column) -> Column:
     )
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Digest of a row's id and text; null and empty ids differ, null and empty texts do not."""
+    return F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), text_or_empty(F.col(text_col))), 256)
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Batches for Python workers of at most so many rows: texts may be long, and a batch lies in memory whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -22,10 +22,10 @@ table gives no rows; columns besides id, text and source are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialise, table, text_or_empty
+from chronolith.llm.common import materialise, row_key, table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -62,14 +62,15 @@ def source_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFr
     ).drop("rank", "level", "water", "cap")
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken, positions (array, one a copy), sorted by first position."""
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS, key: Column | None = None) -> DataFrame:
+    """One row per document: id (key, if given), size, source_size, target, copies, taken, positions (array, one a copy), sorted by first position."""
     sized = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.when(F.col(source_col).isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("skey"),
             F.regexp_count(text_or_empty(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
             F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
+            *([key.alias("key")] if key is not None else []),
         ),
         "mixing-sizes",
     ).withColumn("cell", F.substring("h", 1, CELL_DIGITS))
@@ -94,13 +95,28 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("copies", F.size("due").cast("long"))
         .withColumn("positions", F.transform("due", lambda x: F.when(F.col("target") > 0, inverted(x / F.col("target"))).otherwise(F.lit(0.0))))
         .select(
-            F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+            F.col("doc_id").alias(id_col), *(["key"] if key is not None else []), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
             "copies", "positions",
         )
         .orderBy(F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0)), id_col)
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows the mix takes, each as often as it is taken, with all their columns, sorted by training position.
+
+    Rows are told apart by a digest of id and text; of rows equal in both each keeps its own copies.
+    """
+    name = "__row_key"
+    key = row_key(id_col, text_col)
+    copies = (
+        curriculum(docs, id_col, text_col, source_col, max_repeats, key)
+        .select(F.col("key").alias(name), F.explode("positions").alias("__position"))
+        .withColumn("__nth", F.row_number().over(Window.partitionBy(name).orderBy("__position")))
+    )
+    return docs.withColumn(name, key).join(copies, name).dropDuplicates([name, "__nth"]).orderBy("__position", name).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.try_element_at("positions", F.lit(1)), 6).alias("position"))

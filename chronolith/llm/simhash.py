@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import materialise, small_arrow_batches, table, text_or_empty
+from chronolith.llm.common import materialise, row_key, small_arrow_batches, table
 from chronolith.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each component (that of the smallest id, of equal ids the least key), with all their columns."""
-    key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), text_or_empty(F.col(text_col))), 256)
+    key = row_key(id_col, text_col)
     prints = materialise(fingerprint_documents(docs, id_col, text_col, key), "simhash-prints")
     best = prints.join(component_ids(prints, F.struct(F.col("doc_id").isNull(), "doc_id", "extra")), "fp").filter(F.col("component.extra") == F.col("extra"))
     name = "__row_key"
