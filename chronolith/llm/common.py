@@ -56,6 +56,7 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), text_or_empty(F.col(text_col))), 256)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches for Python workers of at most so many rows: texts may be long, and a batch lies in memory whole."""
+def small_arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
+    """Batches for Python workers of at most so many rows and bytes: texts may be long, and a batch lies in memory whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, lexicon_bpe, license_rules, mixing, secrets_ledger, simhash, toxicity
+from chronolith.llm import exact_dedup, lexicon_bpe, license_rules, mixing, rans_files, secrets_ledger, simhash, toxicity
 
 QUERIES = {
     "op1_lexicon_bpe": lexicon_bpe.op1_lexicon_bpe,
     "op10_simhash_index": simhash.op10_simhash_index,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
+    "op5_rans_files": rans_files.op5_rans_files,
     "op6_secret_ledger": secrets_ledger.op6_secret_ledger,
     "op7_toxic_segments": toxicity.op7_toxic_segments,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
