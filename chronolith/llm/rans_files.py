@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
 from chronolith.llm.common import scratch_path, small_arrow_batches, table, text_or_empty
+from chronolith.llm.lexicon_bpe import byte_symbols
 
 MAGIC = b"RANSIDS1"
 SCALE, LOW = 20, np.uint64(1 << 31)
 LANES, CHECKPOINT = 512, 128
 BLOCK_TOKENS, FILE_TOKENS = 1 << 17, 1 << 20
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 END_ID = 0
 U = np.uint64
 
@@ -117,8 +118,12 @@ def decode_block(data: memoryview, freq: np.ndarray, start: np.ndarray, slots: n
 
 def encode_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of one file: header, table, document index, block directory, blocks."""
-    symbols, position, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = scaled_frequencies(counts)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int64)
+    place[symbols] = np.arange(len(symbols))
+    position = place[ids]
+    freq = scaled_frequencies(counts[symbols])
     start = np.cumsum(freq) - freq
     packed = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
     null = np.array([d is None for d in doc_ids], bool)
@@ -172,6 +177,7 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.symbols = byte_symbols()
         self.markers = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -182,7 +188,9 @@ class PieceTokenizer:
         self.used = 0
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        # a piece is one word to the library's model, which is asked directly: no normaliser, offsets or padding
+        symbols, model = self.symbols, self.library.model
+        found = [[t.id for t in model.tokenize("".join([symbols[b] for b in piece.encode("utf-8", "surrogatepass")]))] for piece in pieces]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         top, total = int(self.bounds[self.used]), int(sizes.sum())
         while top + total > len(self.flat):
