@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, lexicon_bpe, license_rules, mixing, rans_files, secrets_ledger, simhash, toxicity
+from chronolith.llm import exact_dedup, language_id, lexicon_bpe, license_rules, mixing, rans_files, scaled_sketch, secrets_ledger, simhash, toxicity
 
 QUERIES = {
     "op1_lexicon_bpe": lexicon_bpe.op1_lexicon_bpe,
+    "op2_scaled_sketch": scaled_sketch.op2_scaled_sketch,
+    "op3_language_id": language_id.op3_language_id,
     "op10_simhash_index": simhash.op10_simhash_index,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
     "op5_rans_files": rans_files.op5_rans_files,
