@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import small_arrow_batches, table
+from chronolith.llm.common import materialise, small_arrow_batches, table
 
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 64
@@ -416,10 +416,25 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
     return docs.select(F.col(text_col)).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def count_threshold(counts: DataFrame, size: int) -> int:
+    """A count that at most ``size`` words reach, from a histogram of an eighth of an octave: some hundred rows."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    reached, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+        reached += r["words"]
+        if reached > size:
+            break
+        least = r["least"]
+    return least if least is not None else 1 << 62
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Count all words, compile the ``size`` most frequent ones and ship the file; returns its name for SparkFiles."""
-    top = word_counts(docs, tokenizer, text_col).filter(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(size).select("word")
-    words = [bytes(r[0]) for r in top.collect()]
+    """Count all words, compile the most frequent ones, at most ``size``, and ship the file; returns its name for SparkFiles.
+
+    The driver gets a histogram and the chosen words only, whatever the number of partitions.
+    """
+    counts = materialise(word_counts(docs, tokenizer, text_col).filter(F.col("n") > 1), "word-counts")
+    words = [bytes(r[0]) for r in counts.filter(F.col("n") >= count_threshold(counts, size)).select("word").collect()]
     name = f"lexicon-{uuid.uuid4().hex}.matl"
     folder = tempfile.mkdtemp(prefix="lexicon-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until it ends
