@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def stream_view(df: DataFrame, session: Column, order: list[Column], path: Column, value: Column, *extra: Column) -> DataFrame:
     """f is a row's place in its session, from 0. One shuffle by session; every later window by session reuses it."""
     numbered = df.select(session.alias("session"), path.alias("path"), value.alias("v"), *extra, F.struct(*order).alias("__order"))
-    return numbered.withColumn("f", F.row_number().over(Window.partitionBy("session").orderBy("__order")) - 1).drop("__order")
+    return numbered.withColumn("f", (F.row_number().over(Window.partitionBy("session").orderBy("__order")) - 1).cast("bigint")).drop("__order")
 
 
 def last_wins(rows: DataFrame, order: Column) -> DataFrame:
