@@ -75,7 +75,7 @@ def changes_between(rows: DataFrame, f0: int, f1: int) -> DataFrame:
 
 
 def patch_ops(patches: DataFrame, json: Column) -> DataFrame:
-    """Merge patches (session, snap_f, f, json) -> operations. Nested objects open into leaves, null deletes, {} keeps an ``obj`` row.
+    """Merge patches (session, snap_f, f, json) -> operations. Nested objects open into leaves, null deletes; an object keeps an ``obj`` row, which displaces a scalar and leaves an object's members alone.
 
     Objects are opened level by level on VARIANT values, so the number of passes is the depth and no Python runs.
     """
@@ -86,7 +86,7 @@ def patch_ops(patches: DataFrame, json: Column) -> DataFrame:
         opened = opened.select("session", "snap_f", "f", F.concat("path", F.array("k")).alias("path"), "child", F.schema_of_variant("child").alias("kind"))
         is_object = F.col("kind").startswith("OBJECT")
         done.append(opened.filter(~is_object).select("session", "snap_f", "f", "path", F.when(F.is_variant_null("child"), "del").otherwise("set").alias("op"), F.when(~F.is_variant_null("child"), F.to_json("child")).alias("v")))
-        done.append(opened.filter(F.col("kind") == "OBJECT<>").select("session", "snap_f", "f", "path", F.lit("obj").alias("op"), F.lit(None).cast("string").alias("v")))
+        done.append(opened.filter(is_object).select("session", "snap_f", "f", "path", F.lit("obj").alias("op"), F.lit(None).cast("string").alias("v")))
         level = opened.filter(is_object & (F.col("kind") != "OBJECT<>")).select("session", "snap_f", "f", "path", F.col("child").alias("node"))
     out = done[0]
     for d in done[1:]:
