@@ -47,8 +47,8 @@ def exact_matches(truth: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: rows of a missing in b and of b missing in a, repeats counted."""
-    one = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n_missing"))
-    two = b.exceptAll(a).agg(F.count(F.lit(1)).alias("n_extra"))
-    return one.join(two)
-
+    """One row: rows of a missing in b and of b missing in a, repeats counted. One aggregate by all columns, not two set differences."""
+    both = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(-1)))
+    balance = both.groupBy(*a.columns).agg(F.sum("__side").alias("d"))
+    side = lambda sign: F.coalesce(F.sum(F.when(F.col("d") * sign > 0, F.col("d") * sign)), F.lit(0)).cast("bigint")
+    return balance.agg(side(1).alias("n_missing"), side(-1).alias("n_extra"))

@@ -39,34 +39,53 @@ def dense(rows: DataFrame) -> DataFrame:
 
 
 def encode(rows: DataFrame, every: int = DEFAULT.snapshot_every) -> DataFrame:
-    """Sparse rows -> operations: full state at every frame divisible by ``every``, changes between."""
-    snap = lambda f: F.floor(f / every) * every
-    deltas = changed(rows).filter(F.col("f") % every != 0)
-    bounds = rows.groupBy("session").agg(F.max("f").alias("last"))
-    marks = bounds.select("session", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"), F.lit(every).cast("bigint"))).alias("f"))
-    at = marks.join(rows.groupBy("session", "path").agg(F.min("f").alias("first")), "session").filter("f >= first").select("session", "path", "f", F.lit(True).alias("mark"))
-    both = rows.select("session", "path", "f", F.struct("v").alias("s")).join(at, ["session", "path", "f"], "full")
-    held = both.withColumn("s", F.last("s", ignorenulls=True).over(by_path().rowsBetween(Window.unboundedPreceding, 0))).filter("mark")
-    op = lambda df, v: df.select("session", snap(F.col("f")).alias("snap_f"), F.col("f").cast("bigint").alias("f"), F.array("path").alias("path"), F.lit("set").alias("op"), v.alias("v"))
-    return op(deltas, F.col("v")).unionByName(op(held, F.col("s")["v"]))
-
-
-def reconstruct(ops: DataFrame, n: int) -> DataFrame:
-    """(session, path, v) at frame n. Operations before each session's nearest snapshot are not read."""
-    start = ops.filter(F.col("snap_f") <= n).groupBy("session").agg(F.max("snap_f").alias("snap_f"))
-    live = ops.join(start, ["session", "snap_f"]).filter(F.col("f") <= n)
-    return fold(live)
-
-
-def fold(ops: DataFrame) -> DataFrame:
+    """Sparse rows -> operations: full state at every frame divisible by ``every``, changes between.
+
+    Rows and snapshot marks are unioned and go through one window by (session, path): one shuffle.
+    """
+    lives = rows.groupBy("session", "path").agg(F.min("f").alias("first"))
+    ends = rows.groupBy("session").agg(F.max("f").alias("last"))
+    step = F.lit(every).cast("bigint")
+    begin = F.ceil(F.col("first") / every).cast("bigint") * every
+    marks = lives.join(ends, "session").filter(begin <= F.col("last")).select("session", "path", F.explode(F.sequence(begin, F.col("last").cast("bigint"), step)).alias("f"))
+    kind = rows.schema["v"].dataType
+    both = rows.select("session", "path", F.col("f").cast("bigint").alias("f"), F.struct("v").alias("s"), F.lit(False).alias("mark")).unionByName(
+        marks.select("session", "path", "f", F.lit(None).cast(f"struct<v:{kind.simpleString()}>").alias("s"), F.lit(True).alias("mark"))
+    )
+    w = Window.partitionBy("session", "path").orderBy("f", "mark")
+    held = both.withColumn("now", F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    moved = (F.col("f") % every != 0) & (F.col("before").isNull() | ~F.col("now")["v"].eqNullSafe(F.col("before")["v"]))
+    kept = held.filter(F.col("mark") | moved)
+    return kept.select("session", (F.floor(F.col("f") / every) * every).alias("snap_f"), "f", F.array("path").alias("path"), F.lit("set").alias("op"), F.col("now")["v"].alias("v"))
+
+
+def reconstruct_at(ops: DataFrame, frames: list[int], nested: bool = True) -> DataFrame:
+    """(session, n, path, v) at each of some frames, in one pass. Operations before a frame's snapshot take no part.
+
+    With ``nested`` false no path is another's ancestor and the check for cut ancestors is left out.
+    """
+    seen = ops.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in frames]))).filter("f <= n AND snap_f <= n")
+    start = seen.groupBy("session", "n").agg(F.max("snap_f").alias("snap_f"))
+    return fold(seen.join(start, ["session", "n", "snap_f"]), "session", "n", nested=nested)
+
+
+def reconstruct(ops: DataFrame, n: int, nested: bool = True) -> DataFrame:
+    """(session, path, v) at frame n; the bound on ``snap_f`` and ``f`` is a literal that reaches the scan."""
+    return reconstruct_at(ops.filter((F.col("snap_f") <= n) & (F.col("f") <= n)), [n], nested).drop("n")
+
+
+def fold(ops: DataFrame, *keys: str, nested: bool = True) -> DataFrame:
     """Latest operation of each path, without paths under an ancestor that was set or deleted at or after it."""
-    latest = ops.groupBy("session", "path").agg(F.max_by(F.struct("op", "v"), "f").alias("r"), F.max("f").alias("f"))
-    kept = latest.filter("r.op = 'set'").select("session", "path", "f", F.col("r.v").alias("v"))
+    keys = keys or ("session",)
+    latest = ops.groupBy(*keys, "path").agg(F.max_by(F.struct("op", "v"), "f").alias("r"), F.max("f").alias("f"))
+    kept = latest.filter("r.op = 'set'").select(*keys, "path", "f", F.col("r.v").alias("v"))
+    if not nested:
+        return kept.drop("f")
     deep = kept.filter(F.size("path") > 1)
-    above = deep.select("session", F.col("path").alias("leaf"), "f", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", F.lit(1), i))).alias("path"))
-    cuts = ops.filter(F.col("op").isin("set", "del")).groupBy("session", "path").agg(F.max("f").alias("cut"))
-    dead = above.join(cuts, ["session", "path"]).filter("cut >= f").select("session", F.col("leaf").alias("path")).distinct()
-    return kept.join(dead, ["session", "path"], "left_anti").select("session", "path", "v")
+    above = deep.select(*keys, F.col("path").alias("leaf"), "f", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", F.lit(1), i))).alias("path"))
+    cuts = ops.filter(F.col("op").isin("set", "del")).groupBy(*keys, "path").agg(F.max("f").alias("cut"))
+    dead = above.join(cuts, [*keys, "path"]).filter("cut >= f").select(*keys, F.col("leaf").alias("path")).distinct()
+    return kept.join(dead, [*keys, "path"], "left_anti").select(*keys, "path", "v")
 
 
 def changes_between(rows: DataFrame, f0: int, f1: int) -> DataFrame:
