@@ -14,6 +14,7 @@ class Thresholds:
     snapshot_every: int = 300
     copy_residual: float = 6.0
     big_residual: float = 45.0
+    flash_residual: float = 30.0
     flash_fraction: float = 0.45
     flash_shift: float = 12.0
     return_fraction: float = 0.15

@@ -202,3 +202,97 @@ def tracked(boxes: DataFrame, fps: float = 60.0, t: Thresholds = DEFAULT) -> Dat
 
     kind = dict(boxes.dtypes)["session"]
     return _by(boxes.select("session", "f", "x", "y", "w", "h"), ["session"], fn, f"session {kind}, f bigint, track bigint, x double, y double, w double, h double, state string")
+
+
+def flashes(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """(session, f, regions array) -> (session, f_start, f_end, conf) of flashes of one or two frames.
+
+    A frame jumps if enough regions, or the mean, are far from the reference, and it is a flash if the regions
+    are back at the reference one or two frames later. The reference is the last frame outside a flash, which
+    is why this is a kernel.
+    """
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        f, levels = p["f"].tolist(), [np.asarray(r, float) for r in p["regions"]]
+        out, i, ref = [], 1, levels[0] if f else None
+        far = lambda k: (float((np.abs(levels[k] - ref) >= t.flash_residual).mean()), abs(float(levels[k].mean() - ref.mean())))
+        while i < len(f):
+            share, shift = far(i)
+            back = 0
+            if share >= t.flash_fraction or shift >= t.flash_shift:
+                near = (k for k in (1, 2) if i + k < len(f) and far(i + k)[0] < t.return_fraction and far(i + k)[1] < t.return_shift)
+                back = next(near, 0)
+            if back:
+                out.append((p["session"].iloc[0], f[i], f[i + back - 1], 0.9 if share >= t.flash_fraction else 0.7))
+                i += back
+            else:
+                ref = levels[i]
+            i += 1
+        return pd.DataFrame(out, columns=["session", "f_start", "f_end", "conf"])
+
+    kind = dict(frames.dtypes)["session"]
+    return _by(frames.select("session", "f", "regions"), ["session"], fn, f"session {kind}, f_start bigint, f_end bigint, conf double")
+
+
+def scheduled(regions: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """(session, f, region, residual, explained, is_text, cut) -> mode and confidence of every region and frame.
+
+    Quiet regions copy with confidence times ``decay_copy``, explained motion propagates with
+    ``decay_propagated``; a region that decays below ``reinfer_below``, or changes much without explanation,
+    asks to be read again: R within the budget of region-frames, else V; a warning where confidence is low.
+    """
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["f", "region"], kind="stable")
+        conf: dict[int, float] = {}
+        granted, seen, out = 0, 0, []
+        for r in p.itertuples():
+            seen += 1
+            c = conf.get(r.region, 0.0)
+            again = False
+            if r.cut:
+                mode, c = "F", 0.9
+            elif r.is_text and r.residual >= t.copy_residual:
+                mode, c = "V", max(c, 0.8)
+            elif r.residual < t.copy_residual:
+                mode, c = "C", c * t.decay_copy
+                again = c < t.reinfer_below
+            elif r.explained:
+                mode, c = "P", c * t.decay_propagated
+            elif r.residual > t.big_residual:
+                mode, again = "V", True
+            else:
+                mode, c = "V", max(c, 0.8)
+            if again:
+                if granted + 1 <= t.budget_share * seen + t.budget_extra:
+                    granted, mode, c = granted + 1, "R", 0.9
+                else:
+                    mode, c = "V", c * t.decay_copy
+            conf[r.region] = c
+            out.append((r.session, r.f, r.region, mode, round(c, 6), c < t.warn_below))
+        return pd.DataFrame(out, columns=["session", "f", "region", "mode", "conf", "warning"])
+
+    kinds = dict(regions.dtypes)
+    return _by(regions.select("session", "f", "region", "residual", "explained", "is_text", "cut"), ["session"], fn, f"session {kinds['session']}, f {kinds['f']}, region {kinds['region']}, mode string, conf double, warning boolean")
+
+
+def sample_points(duration: float, changes: list[float], every: float = 1.0, near: float = 0.5) -> list[tuple[float, str]]:
+    """Points to annotate: every second but the last instants, and scene changes farther than ``near`` from any point taken so far."""
+    points = [(i * every, "interval") for i in range(int((duration - 0.05) / every) + 1)] if duration > 0.05 else []
+    for c in sorted(changes):
+        if all(abs(c - p) >= near for p, _ in points):
+            points.append((c, "scene_change"))
+    return sorted(points)
+
+
+def reidentified(lost: DataFrame, seen: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """lost and seen (session, id, color array, area, x, y) -> (session, seen_id, lost_id): of the lost tracks near in colour, area and place the best."""
+    from pyspark.sql import functions as F
+
+    from chronolith.functions.signal import l1
+
+    a = lost.select("session", F.col("id").alias("lost_id"), F.col("color").alias("c0"), F.col("area").alias("a0"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    pairs = seen.withColumnRenamed("id", "seen_id").join(a, "session")
+    color, ratio, place = l1(F.col("color"), F.col("c0")), F.col("area") / F.col("a0"), F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
+    good = pairs.withColumn("color_gap", color).withColumn("place_gap", place).filter((F.col("color_gap") < t.reid_color) & (ratio > 0.5) & (ratio < 2) & (F.col("place_gap") < t.reid_distance))
+    return good.groupBy("session", "seen_id").agg(F.min_by("lost_id", F.struct(F.col("color_gap") / t.reid_color + F.col("place_gap"), "lost_id")).alias("lost_id"))
