@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset, in local mode, a temporary one."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("chronolith.scratch.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="chronolith-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("chronolith.scratch.dir", path)
