@@ -480,25 +480,26 @@ def graded_text(spark, d):
 # --- signatures, boxes, graphs ----------------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT * FROM embeddings WHERE vec_id < 100), b AS (SELECT * FROM embeddings WHERE vec_id BETWEEN 100 AND 399),
-p AS (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM a JOIN b ON a.label = b.label)
+@query("""WITH a AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
+p AS (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT vec_id, arg_min(other, dist) AS other, round(min(dist), 4) AS dist FROM p GROUP BY vec_id""")
 def embedding_l1_reid(spark, d):
     e = t(spark, d, "embeddings")
-    lost = e.filter("vec_id < 100")
-    seen = e.filter("vec_id BETWEEN 100 AND 399").select(F.col("vec_id").alias("other"), F.col("embedding").alias("sig"), "label")
-    pairs = lost.join(seen, "label").withColumn("dist", signal.l1(F.col("embedding"), F.col("sig")))
+    lost = e.filter("vec_id % 100 = 0")
+    seen = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("sig"), "label")
+    pairs = lost.join(seen, "label").filter("other <> vec_id").withColumn("dist", signal.l1(F.col("embedding"), F.col("sig")))
     return pairs.groupBy("vec_id").agg(F.min_by("other", "dist").alias("other"), F.round(F.min("dist"), 4).alias("dist"))
 
 
-BOXES = """b AS (SELECT event_id % 50 AS f, event_id // 50 AS id, (value / 700) AS x, ((event_id * 37) % 100) / 140.0::DOUBLE AS y, 0.25::DOUBLE AS w, 0.3::DOUBLE AS h FROM events WHERE event_id < 2000),
+#: Forty events make a frame; the first twenty are truth, the others found.
+BOXES = """b AS (SELECT event_id // 40 AS f, event_id % 40 AS id, (value / 700) AS x, ((event_id * 37) % 100) / 140.0::DOUBLE AS y, 0.25::DOUBLE AS w, 0.3::DOUBLE AS h FROM events),
 pr AS (SELECT a.f, a.id AS tid, c.id AS eid, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS i
  FROM b a JOIN b c ON a.f = c.f WHERE a.id < 20 AND c.id >= 20), io AS (SELECT f, tid, eid, i / (0.15 - i) AS iou FROM pr)"""
 
 
 def boxes(spark, d):
-    e = t(spark, d, "events").filter("event_id < 2000")
-    b = e.select((F.col("event_id") % 50).alias("f"), F.expr("event_id div 50").alias("id"), (F.col("value") / 700).alias("x"), (F.col("event_id") * 37 % 100 / 140.0).alias("y"), F.lit(0.25).alias("w"), F.lit(0.3).alias("h"))
+    e = t(spark, d, "events")
+    b = e.select(F.expr("event_id div 40").alias("f"), (F.col("event_id") % 40).alias("id"), (F.col("value") / 700).alias("x"), (F.col("event_id") * 37 % 100 / 140.0).alias("y"), F.lit(0.25).alias("w"), F.lit(0.3).alias("h"))
     return b.filter("id < 20"), b.filter("id >= 20")
 
 
