@@ -8,10 +8,9 @@ rows. They are gathered by document in order of position into an identifier sequ
 sequence of identifiers, matches where its identifiers stand in that order, with nothing known in between.
 
 Only matched sentences are shuffled, so neither a hot source nor long texts weigh on a task. Defined
-results: null or empty text has no sentences and no licence; a repeated sentence counts each time;
-rows that repeat an id are told apart by their row number within the id's group only in so far as their
-texts differ: equal ids pool their sentences, and every such row shows the pooled result; an empty table
-gives no rows; only the id and text columns are read.
+results: null or empty text has no sentences and no licence; a repeated sentence counts each time; rows
+that repeat an id pool their sentences and all show the pooled result; an empty table gives no rows; only
+the id and text columns are read.
 """
 
 from __future__ import annotations

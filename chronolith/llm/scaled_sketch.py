@@ -3,8 +3,8 @@
 A sketch retains every 5-word shingle hash below a fixed fraction of the hash range (``1 / FRACTION``), so
 it grows with the document, sketches of parts merge by union, and |A & B| / |A| estimates how much of A is
 contained in B however unequal the two are. As text a fingerprint is ``shingles-sum:hashes``: the number of
-distinct shingles, the sum of all their hashes modulo 2**64, and the retained 48-bit hashes in order, 12
-hex digits each. The sum tells texts apart whose sketches are empty.
+distinct shingles, the sum of all their hashes modulo 2**64 (both hexadecimal), and the retained 48-bit
+hashes in order, big-endian, 8 base64 characters each. The sum tells texts apart whose sketches are empty.
 
 Each document is compared with the one that follows in descending id (after the last comes the first). The
 rows are dealt into ranges of ids whose bounds come from quantiles; each range also receives the first row
@@ -19,6 +19,7 @@ is its own neighbour; an empty table gives no rows; columns besides the id and t
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from chronolith.llm import kernels as K
 from chronolith.llm.common import small_arrow_batches, table, text_or_empty
 
-WORDS, FRACTION, BITS = 5, 8, 48
+WORDS, FRACTION, BITS = 5, 4, 48
 KNOTS = 256
 STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -80,7 +81,7 @@ class Sketches:
         raw = self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :].tobytes()
         step = BITS // 8
         b = self.bounds.tolist()
-        return [f"{n:x}-{t:016x}:{raw[step * b[i] : step * b[i + 1]].hex()}" for i, (n, t) in enumerate(zip(self.count.tolist(), self.total.tolist(), strict=True))]
+        return [f"{n:x}-{t:016x}:{base64.b64encode(raw[step * b[i] : step * b[i + 1]]).decode()}" for i, (n, t) in enumerate(zip(self.count.tolist(), self.total.tolist(), strict=True))]
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
         """Retained hashes of the given rows, each under its place in ``rows``."""
@@ -102,8 +103,8 @@ def containment(a: Sketches, rows_a: np.ndarray, b: Sketches, rows_b: np.ndarray
 def parse(fingerprint: str) -> tuple[int, int, list[int]]:
     head, _, tail = fingerprint.partition(":")
     n, total = head.split("-")
-    step = BITS // 4
-    return int(n, 16), int(total, 16), [int(tail[i : i + step], 16) for i in range(0, len(tail), step)]
+    raw, step = base64.b64decode(tail), BITS // 8
+    return int(n, 16), int(total, 16), [int.from_bytes(raw[i : i + step]) for i in range(0, len(raw), step)]
 
 
 def merge(a: str, b: str) -> list[int]:

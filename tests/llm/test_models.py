@@ -44,8 +44,8 @@ def test_sketch_keeps_every_hash_below_the_threshold(none):
     text = " ".join(str(x) for x in random.Random(1).choices(range(10**6), k=4000))
     s = scaled_sketch.Sketches([text, text + " and more words that follow it", "", "one two"], fraction=1)
     assert s.count.tolist()[0] == 3996 and s.bounds[1] == 3996  # fraction 1 retains all
-    eighth = scaled_sketch.Sketches([text])
-    assert set(eighth.hashes.tolist()) == {h for h in s.hashes[:3996].tolist() if h < (1 << 48) // 8}
+    some = scaled_sketch.Sketches([text])
+    assert set(some.hashes.tolist()) == {h for h in s.hashes[:3996].tolist() if h < (1 << 48) // scaled_sketch.FRACTION}
     assert scaled_sketch.containment(s, np.array([0]), s, np.array([1]))[0] == 1.0
     assert scaled_sketch.fingerprint_pairs(none).count() == 0
 
