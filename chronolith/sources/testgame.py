@@ -1,0 +1,71 @@
+"""A deterministic game as ground truth: every value is a rule of the frame number.
+
+Fixed values: the flash list, scene and objective frames, and the generator's seed, as the reference test
+game has them, so that answers on it are known exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FRAMES = 4201
+FPS = 60.0
+#: Start and length of every flash.
+FLASHES = ((317, 1), (611, 2), (953, 1), (1277, 2), (1589, 1), (2213, 2), (2531, 1), (2867, 2), (3391, 1), (3713, 2))
+SEED, DRAWS_BEFORE = 12345, 240
+#: Enemy: first frame, frame after its last (none: to the end).
+ENEMIES = ((0, None), (0, None), (0, 2400), (1500, None))
+
+
+def mulberry32(seed: int):
+    """The public 32-bit generator of that name, as numbers in [0, 1)."""
+    mask, a = 0xFFFFFFFF, seed & 0xFFFFFFFF
+    while True:
+        a = (a + 0x6D2B79F5) & mask
+        x = ((a ^ (a >> 15)) * (a | 1)) & mask
+        x ^= (x + ((x ^ (x >> 7)) * (x | 61) & mask)) & mask
+        yield ((x ^ (x >> 14)) & mask) / 4294967296
+
+
+def shots() -> list[int]:
+    rng = mulberry32(SEED)
+    for _ in range(DRAWS_BEFORE):
+        next(rng)
+    out, g = [], 90
+    while g < 4170:
+        out.append(g)
+        g += 100 + int(next(rng) * 60)
+    return out
+
+
+def truth(spark: SparkSession) -> DataFrame:
+    """(session, f, scene, objective, flash, health, ammo, score, enemies): one row a frame."""
+    f = F.col("f")
+    starts, fired = F.array(*[F.lit(s) for s, _ in FLASHES]), F.array(*[F.lit(g) for g in shots()])
+    hits = F.size(F.filter(starts, lambda s: s <= f))
+    count = F.size(F.filter(fired, lambda g: g <= f))
+    flash = F.exists(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(s + n).alias("e")) for s, n in FLASHES]), lambda x: (x["s"] <= f) & (f < x["e"]))
+    alive = [((f >= a) & (F.lit(True) if b is None else f < b)).cast("int") for a, b in ENEMIES]
+    return spark.range(FRAMES).select(F.lit("game").alias("session"), F.col("id").alias("f")).select(
+        "session", "f",
+        F.when(f >= 4200, "gameover").when((f >= 3000) & (f < 3060), "loading").when(f < 3000, "level1").otherwise("level2").alias("scene"),
+        F.when(f < 2100, "Reach the gate").otherwise("Defend the core").alias("objective"),
+        flash.alias("flash"), (100 - 7 * hits).cast("bigint").alias("health"),
+        F.when(count % 30 == 0, 30).otherwise(30 - count % 30).cast("bigint").alias("ammo"),
+        (50 * count + F.when(f >= 2400, 500).otherwise(0)).cast("bigint").alias("score"),
+        sum(alive[1:], alive[0]).cast("bigint").alias("enemies"),
+    )
+
+
+def signal(frames: DataFrame) -> DataFrame:
+    """What a camera's region levels would be: bright in a flash, another level in each scene."""
+    base = F.when(F.col("scene") == "level1", 10.0).when(F.col("scene") == "loading", 0.0).otherwise(14.0)
+    level = F.when(F.col("flash"), 200.0).otherwise(base)
+    return frames.select("session", "f", F.transform(F.sequence(F.lit(0), F.lit(47)), lambda r: level + r * 0.01).alias("regions"))
+
+
+def leaves(frames: DataFrame) -> DataFrame:
+    """The head-up display and texts as (session, path, f, v) rows."""
+    names = ("scene", "objective", "health", "ammo", "score", "enemies")
+    return frames.select("session", "f", *[F.col(c).cast("string").alias(c) for c in names]).unpivot(["session", "f"], list(names), "path", "v")
