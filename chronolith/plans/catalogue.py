@@ -624,3 +624,121 @@ def local_supplier_volume(spark, d):
     o = o.filter("o_orderdate >= timestamp_ntz'1996-01-01' AND o_orderdate < timestamp_ntz'1997-01-01'")
     j = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, (l["l_suppkey"] == s["s_suppkey"]) & (c["c_nationkey"] == s["s_nationkey"])).join(n, s["s_nationkey"] == n["n_nationkey"])
     return j.groupBy("n_name").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+
+
+# --- more of the inventory ----------------------------------------------------------------------------------
+
+
+@query("WITH n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) > 1 AS later FROM events) SELECT event_id, event_type FROM n ORDER BY later, event_id LIMIT 8")
+def one_example_each(spark, d):
+    return summary.one_each_then_fill(t(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 8)
+
+
+@query("""WITH $SV, k AS (SELECT session, f, v FROM sv WHERE path <> 'error'), g AS (SELECT session, unnest(range(min(f), max(f) + 1)) AS f FROM k GROUP BY session)
+SELECT g.session, g.f, k.v IS NULL AS filled, last_value(k.v IGNORE NULLS) OVER (PARTITION BY g.session ORDER BY g.f) AS v FROM g LEFT JOIN k ON k.session = g.session AND k.f = g.f""")
+def frame_grid_fill(spark, d):
+    from chronolith.operators import boxes as b
+
+    return b.grid_filled(sv(spark, d).filter("path <> 'error'"), F.col("v"))
+
+
+@query("SELECT conv_id AS session, turn AS t, 0 AS frame, arg_max(text, length(text) * 1000 + turn) AS text FROM conversations GROUP BY conv_id, turn")
+def annotation_merge(spark, d):
+    from chronolith.operators import boxes as b
+
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("t"), F.lit(0).alias("frame"), (F.length("text") * 1000 + F.col("turn")).alias("seq"), "text")
+    return b.merged_records(c).select("session", "t", "frame", "text")
+
+
+@query("WITH c AS (SELECT user_id AS key, event_type AS text, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, text) AS r FROM c) SELECT key, text, n FROM r WHERE r = 1 AND n >= 2")
+def agreed_reading(spark, d):
+    from chronolith.operators import boxes as b
+
+    return b.agreed(t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("text")))
+
+
+@query("""WITH $SV, rec AS (SELECT session, f::DOUBLE AS t, path AS id, v AS x, v / 2 AS y FROM sv WHERE f % 3 = 0), q AS (SELECT DISTINCT session, f::DOUBLE AS at FROM sv),
+tm AS (SELECT q.session, q.at, max(CASE WHEN rec.t <= q.at THEN rec.t END) AS a, min(CASE WHEN rec.t > q.at THEN rec.t END) AS b FROM q JOIN rec USING (session) GROUP BY ALL)
+SELECT tm.session, tm.at AS t, p.id, round(p.x + coalesce(n.x - p.x, 0) * coalesce((tm.at - tm.a) / (tm.b - tm.a), 0), 6) AS x, round(p.y + coalesce(n.y - p.y, 0) * coalesce((tm.at - tm.a) / (tm.b - tm.a), 0), 6) AS y
+FROM tm JOIN rec p ON p.session = tm.session AND p.t = tm.a LEFT JOIN rec n ON n.session = tm.session AND n.t = tm.b AND n.id = p.id""")
+def interpolated_boxes(spark, d):
+    from chronolith.operators import boxes as b
+
+    rows = sv(spark, d).withColumn("t", F.col("f").cast("double"))
+    rec = rows.filter("f % 3 = 0").select("session", "t", F.col("path").alias("id"), F.col("v").alias("x"), (F.col("v") / 2).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"))
+    out = b.interpolated_boxes(rec, rows.select("session", "t"))
+    return out.select("session", "t", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("""WITH p AS (SELECT event_id, user_id AS session, value / 500 AS px, (event_id * 37 % 100) / 100 AS py FROM events), k AS (SELECT session, px AS x, py AS y FROM p WHERE event_id % 5 = 0)
+SELECT event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.session = p.session AND p.px BETWEEN k.x AND k.x + 0.2 AND p.py BETWEEN k.y AND k.y + 0.2)""")
+def points_outside_boxes(spark, d):
+    from chronolith.operators import boxes as b
+
+    p = t(spark, d, "events").select("event_id", F.col("user_id").alias("session"), (F.col("value") / 500).alias("px"), (F.col("event_id") * 37 % 100 / 100).alias("py"))
+    known = p.filter("event_id % 5 = 0").select("session", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.2).alias("w"), F.lit(0.2).alias("h"))
+    return b.outside_known(p, known).select("event_id")
+
+
+@query("WITH $SV, s AS (SELECT session, path, arg_max(v, f) AS v FROM sv WHERE f <= 30 GROUP BY ALL) SELECT session, string_agg(path || '=' || floor(v)::BIGINT, ' ' ORDER BY path) AS text FROM s GROUP BY session")
+def compact_state(spark, d):
+    at = state.state_at(sv(spark, d), 30).withColumn("v", F.floor("v"))
+    return timeline.compact_states(at)
+
+
+@query("SELECT event_id, (event_id % 8) * 80 AS x, (event_id % 6) * 80 AS y, 80 AS w, 80 AS h FROM events")
+def region_address(spark, d):
+    e = t(spark, d, "events").select("event_id", F.format_string("r%dc%d", F.col("event_id") % 6, F.col("event_id") % 8).alias("region"))
+    return e.select("event_id", geometry.region_box(F.col("region"), 640, 480).alias("b")).select("event_id", "b.*")
+
+
+@query("SELECT event_id, list_sum(list_transform(range(8), lambda i: ((((event_id % 256) >> i) & 1) << (2 * i)) | (((((event_id // 256) % 256) >> i) & 1) << (2 * i + 1))))::BIGINT AS code FROM events")
+def morton_tiles(spark, d):
+    return t(spark, d, "events").select("event_id", geometry.morton(F.col("event_id") % 256, F.expr("event_id div 256 % 256")).alias("code"))
+
+
+@query("WITH $SV SELECT session, count(*) AS frames, count(DISTINCT path) AS entities, max(f) AS last_f, arg_max(path, f) AS last_path FROM sv GROUP BY session")
+def session_totals(spark, d):
+    return sv(spark, d).groupBy("session").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("path").alias("entities"), F.max("f").alias("last_f"), F.max_by("path", "f").alias("last_path"))
+
+
+@query("""WITH $SV, w AS (SELECT session, f // 10 AS win, list_sort(list(DISTINCT path)) AS ids FROM sv GROUP BY ALL), l AS (SELECT *, lag(ids) OVER (PARTITION BY session ORDER BY win) AS before FROM w)
+SELECT session, win, coalesce(array_to_string(list_filter(before, lambda x: NOT list_contains(ids, x)), ','), '') AS gone, array_to_string(list_filter(ids, lambda x: before IS NULL OR NOT list_contains(before, x)), ',') AS came FROM l""")
+def id_set_changes(spark, d):
+    w = sv(spark, d).groupBy("session", F.expr("f div 10").alias("win")).agg(F.array_sort(F.collect_set("path")).alias("ids"))
+    before = F.lag("ids").over(Window.partitionBy("session").orderBy("win"))
+    none = F.array().cast("array<string>")
+    out = w.withColumn("before", F.coalesce(before, none))
+    return out.select("session", "win", F.array_join(F.array_except("before", "ids"), ",").alias("gone"), F.array_join(F.array_except("ids", "before"), ",").alias("came"))
+
+
+@query("WITH $SV, h AS (SELECT session, path, f, v, lag(path) OVER (PARTITION BY session ORDER BY f) AS was FROM sv) SELECT 'scene_changed' AS type, session, f, path AS entity, coalesce(was, '') AS detail FROM h WHERE path <> was UNION ALL SELECT 'spike', session, f, path, v::VARCHAR FROM h WHERE v > 450")
+def event_topics(spark, d):
+    rows = sv(spark, d).withColumn("was", F.lag("path").over(Window.partitionBy("session").orderBy("f")))
+    cut = rows.filter("path <> was").select(F.lit("scene_changed").alias("type"), "session", "f", F.col("path").alias("entity"), F.coalesce("was", F.lit("")).alias("detail"))
+    return cut.unionByName(rows.filter("v > 450").select(F.lit("spike").alias("type"), "session", "f", F.col("path").alias("entity"), F.col("v").cast("string").alias("detail")))
+
+
+@query()
+def flash_kernel(spark, d):
+    return track.flashes(sv(spark, d).select("session", "f", F.array(F.col("v") / 4).alias("regions")))
+
+
+@query()
+def region_scheduler(spark, d):
+    rows = sv(spark, d).select("session", "f", F.lit(0).alias("region"), (F.col("v") / 4).alias("residual"), (F.col("path") == "view").alias("explained"), (F.col("path") == "error").alias("is_text"), (F.col("v") > 480).alias("cut"))
+    return track.scheduled(rows)
+
+
+@query()
+def reidentified_tracks(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("label").alias("session"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("color"), F.lit(1.0).alias("area"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    return track.reidentified(e.filter("id % 100 = 0"), e.filter("id % 100 <> 0"))
+
+
+@query()
+def text_lines(spark, d):
+    from chronolith.operators import boxes as b
+
+    e = t(spark, d, "events").select(F.col("user_id").alias("page"), (F.col("value") / 5).alias("x"), (F.col("event_id") % 7 * 3.0).alias("y"), F.lit(4.0).alias("w"), F.lit(2.0).alias("h"), F.col("event_type").alias("text"))
+    return b.word_lines(e)
