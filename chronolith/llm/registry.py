@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_curriculum_mix": mixing.ORACLE,
+    "op6_secret_ledger": secrets_ledger.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_license_rules": license_rules.ORACLE,
 }

@@ -135,3 +135,29 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("hits", lambda h: h["base"])), 256).alias("base_sha256"),
         joined(F.col("hits")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """The same findings by plain SQL over all documents: offsets from the matches and the text between them."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {str(r.base).lower()} AS base, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}) AS hits, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS shown FROM d WHERE regexp_matches(t, {quoted(r.sign)})"
+        for k, r in enumerate(RULES)
+    ]
+    length = lambda col: f"coalesce(list_sum(list_transform({col}, lambda x: length(x))), 0)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, base, ({length('gaps[1:i]')} + {length('hits[1:i - 1]')})::BIGINT AS a, length(hits[i]) AS n FROM e WHERE length(shown[i]) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (base), '') AS based,
+      string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+ORACLE = _oracle()
