@@ -686,7 +686,7 @@ def compact_state(spark, d):
     return timeline.compact_states(at)
 
 
-@query("SELECT event_id, (event_id % 8) * 80 AS x, (event_id % 6) * 80 AS y, 80 AS w, 80 AS h FROM events")
+@query("SELECT event_id, ((event_id % 8) * 80)::INT AS x, ((event_id % 6) * 80)::INT AS y, 80 AS w, 80 AS h FROM events")
 def region_address(spark, d):
     e = t(spark, d, "events").select("event_id", F.format_string("r%dc%d", F.col("event_id") % 6, F.col("event_id") % 8).alias("region"))
     return e.select("event_id", geometry.region_box(F.col("region"), 640, 480).alias("b")).select("event_id", "b.*")
