@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,14 +18,14 @@ def tokens(text: Column) -> Column:
 
 
 def substring_count(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("bigint")
+    """Non-overlapping occurrences, by bytes: removing a needle shortens the text by its bytes each time."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle.encode())).cast("bigint")
 
 
 def score(text: Column, words: list[str]) -> Column:
     """Occurrences of all words summed; a word given twice counts twice."""
     low = F.lower(text)
-    return sum((substring_count(low, w) for w in words), F.lit(0).cast("bigint"))
+    return sum((substring_count(low, w) * n for w, n in sorted(Counter(words).items())), F.lit(0).cast("bigint"))
 
 
 def source_tag(source: Column, conf: Column) -> Column:
