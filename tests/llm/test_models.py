@@ -1,15 +1,17 @@
 """Sketches, SimHash, language ID, toxicity and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chronolith.llm import language_id, scaled_sketch, simhash, toxicity
+from chronolith.llm import kernels, language_id, scaled_sketch, simhash, simhash_similar, toxicity
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS, frame
 from tests.llm.test_native import fold
@@ -117,6 +119,84 @@ def test_postings_reach_every_link(spark, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+# --- SimHash by similarity
+
+
+def brute_similar(texts):
+    """A root for each text: linked if the estimated similarity of the sets of 5-word shingles is 0.8 or more."""
+    sets, prints = [], []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
+        s = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))} if w else set()
+        spread = kernels.mixed(np.array(sorted(s), np.uint64)[:, None] + np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        bits = (spread[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        sets.append(s)
+        prints.append((2 * bits.reshape(len(s), -1).sum(0) > len(s)).astype(np.int8) if s else np.zeros(512, np.int8))
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(prints):
+        apart = (np.array(prints[:i]) != a).sum(1) if i else []
+        for j in np.flatnonzero(np.asarray(apart) < 128).tolist():
+            m, n = len(sets[i]), len(sets[j])
+            shared = min(math.cos(math.pi * apart[j] / 512) * math.sqrt(m * n), m, n)
+            if (m == n == 0) or (m and n and shared / (m + n - shared) >= 0.8):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_similar_groups(request, listed, which):
+    rows = listed if which == "docs" else [(i, t) for i, t, *_ in ROWS]
+    least = {}
+    for (i, _), r in zip(rows, brute_similar([t for _, t in rows]), strict=True):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    df = request.getfixturevalue(which)
+    kept = simhash_similar.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(map(str, least.values()))
+
+
+def test_near_copies_go_and_clean_texts_stay(spark, none):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows, n = [], 0
+    for k in range(60):
+        text = [rnd.choice(words) for _ in range(rnd.randint(150, 400))]
+        for _ in range(1 if k % 3 else 8):  # similarity of copies to the first: 0.93 at least
+            copy = list(text)
+            if n and rows and rows[-1][4] == k:
+                copy[rnd.randrange(len(copy))] = "changed"
+            rows.append((n, " ".join(copy), "en", "a", k))
+            n += 1
+    kept = simhash_similar.keep_one(frame(spark, [r[:4] for r in rows]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [min(r[0] for r in rows if r[4] == k) for k in range(60)]
+    assert simhash_similar.keep_one(none).count() == 0
+
+
+def test_postings_split_over_batches():
+    rnd = np.random.default_rng(6)
+    base = rnd.integers(0, 1 << 63, (30, 8), dtype=np.uint64)
+    fp = np.repeat(base, 40, axis=0)
+    flips = rnd.random((len(fp), 512)) < 0.05
+    fp ^= np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    node, n = np.arange(len(fp)), np.full(len(fp), 300)
+    data = fp.view(np.uint8)
+    rows = sorted((p << 8 | int(data[i, p]), i) for p in simhash_similar.FIRSTS for i in node)
+    key, of = (np.array(x) for x in zip(*rows, strict=True))
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(n[of]), pa.array([fp[i].tobytes() for i in of], pa.binary())], ["posting", "node", "n", "fp"])
+    up = simhash_similar._Sets(len(fp))
+    for b in simhash_similar._edges(whole.slice(a, 7) for a in range(0, len(whole), 7)):
+        for i, j in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+            assert np.bitwise_count(fp[i] ^ fp[j]).sum() < 80
+            up.join(i, j)
+    assert [up.root(i) for i in node] == (node // 40 * 40).tolist()
+
+
 # --- language
 
 
@@ -223,9 +303,8 @@ def test_pipeline_against_brute_force(spark):
         last[fold(t)] = max(i, last.get(fold(t), -1))
     assert sorted(i for i, _ in b) == sorted(last.values())
     a, b = map(rows, kept["near_dedup"])
-    roots = brute_components([brute_fingerprint(t) for _, t in a])
     least = {}
-    for (i, _), r in zip(a, roots, strict=True):
+    for (i, _), r in zip(a, brute_similar([t for _, t in a]), strict=True):
         least[r] = min(i, least.get(r, i))
     assert sorted(i for i, _ in b) == sorted(least.values())
     plan = {r["doc_id"]: r["copies"] for r in mixing.curriculum(kept["mixing"][0]).collect()}
