@@ -1,16 +1,17 @@
 """A corpus pipeline in five stages; each takes all rows its predecessor kept, and what it decides takes effect.
 
 toxicity: documents predicted toxic go. exact_dedup: of equal texts (A-Z folded) the largest id stays.
-near_dedup: of each SimHash component the smallest id stays. mixing: documents are repeated or left out to
-meet the sources' target weights, in training order. bpe: every row is encoded and decoded; the last stage
-returns doc_id, n_tokens, ids_sha256 and decoded_sha256, one row for each copy that the mix takes.
+near_dedup: of texts linked by a SimHash similarity of 0.8 or more on 5-word shingles the smallest id stays.
+mixing: documents are repeated or left out to meet the sources' target weights, in training order. bpe: every
+row is encoded and decoded; the last stage returns doc_id, n_tokens, ids_sha256 and decoded_sha256, one row
+for each copy that the mix takes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import exact_dedup, lexicon_bpe, mixing, simhash, toxicity
+from chronolith.llm import exact_dedup, lexicon_bpe, mixing, simhash_similar, toxicity
 from chronolith.llm.common import materialise, table
 
 #: Vocabulary file of the last stage, by its public name.
@@ -27,7 +28,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash_similar.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
