@@ -1,9 +1,11 @@
 """SimHash near-dedup by similarity: wide fingerprints, the byte-position index, count filtering.
 
 Texts are linked when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more as SimHash
-estimates it. A fingerprint has 512 bits (bit = sign of the summed hash bits over the distinct shingles), so
-two texts whose angle is a differ in 512 a / pi bits on average; with the sizes of both sets, cos a gives the
-shared shingles and these the similarity. The estimate's standard error at 0.8 is about 0.035.
+estimates it. Of b bits (bit = sign of the summed hash bits over the distinct shingles) two texts whose angle
+is a differ in b a / pi on average; with the sizes of both sets, cos a gives the shared shingles and these the
+similarity. That is done twice. Every text gets 512 bits, whose estimate has a standard error of about 0.04:
+texts with a partner at an estimate of 0.68 or more, three errors below 0.8, are candidates. Candidates alone
+get 2048 bits (error about 0.02), of which the 512 are the first, and these decide at 0.8.
 
 At a similarity of 0.8 a byte agrees in place with a chance of 0.27. The first 32 bytes make the index, in two
 halves of 16. The minimum number of matches is 5 of 32: five agreeing bytes put three in one half, so pairs
@@ -26,6 +28,7 @@ other columns are carried and may have any name but ``__row_key``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -38,8 +41,8 @@ from chronolith.llm import kernels as K
 from chronolith.llm.common import materialise, row_key, small_arrow_batches
 from chronolith.llm.components import components
 
-SHINGLE, SIMILARITY = 5, 0.8
-WORDS = 8  # of 64 bits
+SHINGLE, SIMILARITY, CANDIDATE = 5, 0.8, 0.68
+WORDS, WIDE = 8, 32  # of 64 bits
 INDEXED, HALVES, TOGETHER, LEAST = 32, 2, 3, 5
 HALF = INDEXED // HALVES
 #: Positions that can come first of TOGETHER positions of their half.
@@ -47,7 +50,7 @@ FIRSTS = tuple(h * HALF + i for h in range(HALVES) for i in range(HALF - TOGETHE
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingles whose bits are spread out at a time, and rows that a byte can count.
 CHUNK, RUN = 1 << 15, 255
-STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+STEPS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> set[int]:
@@ -64,16 +67,17 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> set[int]:
     return {digest(joined[x:y]) for x, y in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)}
 
 
-def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, WORDS) fingerprints and the numbers of distinct shingles."""
+def fingerprints(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, words) fingerprints, the narrower the start of the wider, and the numbers of distinct shingles."""
     found = [shingle_hashes(t) for t in texts]
     size = np.array([len(s) for s in found], np.int64)
     owner = np.repeat(np.arange(len(texts)), size)
     hashes = np.fromiter((h for s in found for h in s), np.uint64, int(size.sum()))
-    ones = np.zeros((len(texts), 64 * WORDS), np.int32)
-    for a in range(0, len(hashes), CHUNK):
-        own = owner[a : a + CHUNK]
-        spread = K.mixed(hashes[a : a + CHUNK, None] + STEPS)
+    ones = np.zeros((len(texts), 64 * words), np.int32)
+    chunk = CHUNK * WORDS // words
+    for a in range(0, len(hashes), chunk):
+        own = owner[a : a + chunk]
+        spread = K.mixed(hashes[a : a + chunk, None] + STEPS[:words])
         bits = np.unpackbits(spread.view(np.uint8), axis=1, bitorder="little")
         first = np.zeros(len(own), bool)
         first[::RUN] = True
@@ -81,21 +85,22 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(first)
         np.add.at(ones, own[at], np.add.reduceat(bits, at, axis=0, dtype=np.uint8).astype(np.int32))
     packed = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little")
-    return packed.view(np.uint64).reshape(len(texts), WORDS), size
+    return packed.view(np.uint64).reshape(len(texts), words), size
 
 
-def similarity(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def similarity(bits: np.ndarray, a: np.ndarray, b: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Estimated Jaccard similarity of sets of sizes a and b whose fingerprints differ in so many bits."""
-    shared = np.minimum(np.cos(np.pi * bits / (64 * WORDS)) * np.sqrt(a * b), np.minimum(a, b))
+    shared = np.minimum(np.cos(np.pi * bits / (64 * words)) * np.sqrt(a * b), np.minimum(a, b))
     return shared / (a + b - shared)
 
 
 def linked(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     """Tally the shared positional bytes, then verify those that reach the minimum."""
-    apart = np.ascontiguousarray(x ^ y)
-    good = (apart.view(np.uint8).reshape(len(apart), -1)[:, :INDEXED] == 0).sum(1) >= LEAST
+    first = np.ascontiguousarray(x[..., : INDEXED // 8] ^ y[..., : INDEXED // 8])
+    good = (first.view(np.uint8).reshape(len(first), -1) == 0).sum(1) >= LEAST
     at = np.flatnonzero(good)
-    good[at] = similarity(np.bitwise_count(apart[at]).sum(1), nx[at] if nx.ndim else nx, ny[at]) >= least
+    apart = (x[at] if x.ndim == 2 else x) ^ (y[at] if y.ndim == 2 else y)
+    good[at] = similarity(np.bitwise_count(apart).sum(1), nx[at] if nx.ndim else nx, ny[at], apart.shape[1]) >= least
     return good
 
 
@@ -155,17 +160,17 @@ def posting_forest(position: int, value: np.ndarray, fp: np.ndarray, size: np.nd
     return edges
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], words: int = WORDS, least: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
     """Sorted (posting, node, n, fp) rows -> edges (u, v) of nodes; whole postings are worked off together."""
     held: list[pa.RecordBatch] = []
 
     def closed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
         posting, node, n = (t.column(i).to_numpy() for i in range(3))
-        fp = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)
+        fp = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(-1, words)
         cut = np.flatnonzero(np.append(True, posting[1:] >> 8 != posting[:-1] >> 8))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(posting)], strict=True):
-            edges = np.array(posting_forest(int(posting[a] >> 8), posting[a:b] & 255, fp[a:b], n[a:b].astype(np.float64)), np.int64).reshape(-1, 2) + a
+            edges = np.array(posting_forest(int(posting[a] >> 8), posting[a:b] & 255, fp[a:b], n[a:b].astype(np.float64), least), np.int64).reshape(-1, 2) + a
             if len(edges):
                 yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], ["u", "v"])
 
@@ -183,7 +188,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(held)
 
 
-def fingerprint_rows(docs: DataFrame, text_col: str, rep: Column) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, text_col: str, rep: Column, words: int = WORDS) -> DataFrame:
     """(rep, fp binary, n): one row a document."""
     frame = docs.select(rep.alias("rep"), F.col(text_col).alias("text"))
 
@@ -191,22 +196,42 @@ def fingerprint_rows(docs: DataFrame, text_col: str, rep: Column) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in K.batches([t or "" for t in texts], 1 << 19):
-                fp, size = fingerprints(texts[a:b])
+                fp, size = fingerprints(texts[a:b], words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(size)], ["rep", "fp", "n"])
 
     small_arrow_batches(docs.sparkSession)
     return frame.mapInArrow(run, f"rep {frame.schema[0].dataType.simpleString()}, fp binary, n bigint")
 
 
+def link_edges(prints: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, n, fp) -> edges (u, v) whose components are those of all links that the index reaches."""
+    posting = lambda p: F.lit(p << 8) + F.conv(F.hex(F.substring("fp", p + 1, 1)), 16, 10).cast("int")
+    posted = prints.filter("n > 0").select(F.explode(F.array(*[posting(p) for p in FIRSTS])).alias("posting"), "node", "n", "fp")
+    small_arrow_batches(prints.sparkSession)
+    return posted.repartition("posting").sortWithinPartitions("posting").mapInArrow(partial(_edges, words=words, least=least), "u bigint, v bigint")
+
+
+def wide_prints(docs: DataFrame, text_col: str, rep: Column, candidates: DataFrame) -> DataFrame:
+    """candidates (node, rep) -> (node, n, fp) with wide fingerprints; only their texts are read on.
+
+    Texts pass a semi-join with the candidates' 32-bit hashes first: that table is on disk, so Spark broadcasts
+    it where its size is below the threshold and shuffles otherwise. The join by ``rep`` then is exact.
+    """
+    hashes = materialise(candidates.select(F.hash("rep").alias("__hash")), "similar-hashes")
+    texts = docs.select(rep.alias("rep"), F.col(text_col).alias("text"))
+    texts = texts.join(hashes, F.hash("rep") == F.col("__hash"), "left_semi")
+    prints = fingerprint_rows(texts, "text", F.col("rep"), WIDE)
+    return candidates.join(prints, "rep").dropDuplicates(["node"]).select("node", "n", "fp")
+
+
 def representatives(docs: DataFrame, text_col: str, rep: Column) -> DataFrame:
     """(node, rep, root): the classes of equal fingerprints with their least rep; root is shared by all that can be reached."""
     prints = fingerprint_rows(docs, text_col, rep)
     classes = materialise(prints.groupBy("fp", "n").agg(F.min("rep").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "similar-classes")
-    posting = lambda p: F.lit(p << 8) + F.conv(F.hex(F.substring("fp", p + 1, 1)), 16, 10).cast("int")
-    posted = classes.filter("n > 0").select(F.explode(F.array(*[posting(p) for p in FIRSTS])).alias("posting"), "node", "n", "fp")
-    small_arrow_batches(docs.sparkSession)
-    edges = posted.repartition("posting").sortWithinPartitions("posting").mapInArrow(_edges, "u bigint, v bigint")
-    roots = components(edges).withColumnRenamed("node", "of")
+    near = link_edges(classes, WORDS, CANDIDATE).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    candidates = materialise(classes.join(near, "node", "left_semi").select("node", "rep"), "similar-candidates")
+    wide = materialise(wide_prints(docs, text_col, rep, candidates), "similar-wide")
+    roots = components(link_edges(wide, WIDE, SIMILARITY)).withColumnRenamed("node", "of")
     return classes.join(roots, F.col("node") == F.col("of"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
 
 

@@ -123,15 +123,17 @@ def test_postings_reach_every_link(spark, none):
 
 
 def brute_similar(texts):
-    """A root for each text: linked if the estimated similarity of the sets of 5-word shingles is 0.8 or more."""
+    """A root for each text: linked if 2048 bits put the similarity of the sets of 5-word shingles at 0.8 or more."""
     sets, prints = [], []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
         s = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))} if w else set()
-        spread = kernels.mixed(np.array(sorted(s), np.uint64)[:, None] + np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        bits = (spread[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        spread = kernels.mixed(np.array(sorted(s), np.uint64)[:, None] + np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ones = np.zeros((32, 64), np.int64)
+        for row in spread:
+            ones += (row[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
         sets.append(s)
-        prints.append((2 * bits.reshape(len(s), -1).sum(0) > len(s)).astype(np.int8) if s else np.zeros(512, np.int8))
+        prints.append((2 * ones.ravel() > len(s)).astype(np.int8))
     parent = list(range(len(texts)))
 
     def root(i):
@@ -141,9 +143,9 @@ def brute_similar(texts):
 
     for i, a in enumerate(prints):
         apart = (np.array(prints[:i]) != a).sum(1) if i else []
-        for j in np.flatnonzero(np.asarray(apart) < 128).tolist():
+        for j in np.flatnonzero(np.asarray(apart) < 512).tolist():
             m, n = len(sets[i]), len(sets[j])
-            shared = min(math.cos(math.pi * apart[j] / 512) * math.sqrt(m * n), m, n)
+            shared = min(math.cos(math.pi * apart[j] / 2048) * math.sqrt(m * n), m, n)
             if (m == n == 0) or (m and n and shared / (m + n - shared) >= 0.8):
                 parent[root(i)] = root(j)
     return [root(i) for i in range(len(texts))]
@@ -178,6 +180,27 @@ def test_near_copies_go_and_clean_texts_stay(spark, none):
     assert simhash_similar.keep_one(none).count() == 0
 
 
+def test_links_are_close_to_the_true_similarity(spark):
+    """Of pairs with a true similarity of 0.72 both stay, of pairs with 0.88 one."""
+    rnd, rows = random.Random(11), []
+    for k in range(80):
+        text = [f"k{k}x{i}" for i in range(600)]
+        other, changes = list(text), round(596 * (1 - (j := 0.72 if k % 2 else 0.88)) / (1 + j) / 5)
+        for c in range(changes):  # each takes five shingles from the shared ones
+            other[10 + c * 580 // changes] = f"c{rnd.random()}"
+        a, b = (simhash_similar.shingle_hashes(" ".join(t)) for t in (text, other))
+        assert abs(len(a & b) / len(a | b) - j) < 0.01
+        rows += [(2 * k, " ".join(text), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+    kept = {r["doc_id"] for r in simhash_similar.keep_one(frame(spark, rows)).collect()}
+    assert kept == {i for i in range(160) if i % 2 == 0 or i // 2 % 2}
+
+
+def test_narrow_prints_start_wide_ones():
+    texts = [ROWS[5][1], ROWS[0][1], None, ROWS[6][1]]
+    (a, m), (b, n) = simhash_similar.fingerprints(texts), simhash_similar.fingerprints(texts, simhash_similar.WIDE)
+    assert (a == b[:, : simhash_similar.WORDS]).all() and (m == n).all()
+
+
 def test_postings_split_over_batches():
     rnd = np.random.default_rng(6)
     base = rnd.integers(0, 1 << 63, (30, 8), dtype=np.uint64)
