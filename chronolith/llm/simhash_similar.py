@@ -1,11 +1,15 @@
-"""SimHash near-dedup by similarity: wide fingerprints, the byte-position index, count filtering.
+"""SimHash near-dedup by similarity: fingerprints choose candidates, exact shingle sets decide.
 
-Texts are linked when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more as SimHash
-estimates it. Of b bits (bit = sign of the summed hash bits over the distinct shingles) two texts whose angle
-is a differ in b a / pi on average; with the sizes of both sets, cos a gives the shared shingles and these the
-similarity. That is done twice. Every text gets 512 bits, whose estimate has a standard error of about 0.04:
-texts with a partner at an estimate of 0.68 or more, three errors below 0.8, are candidates. Candidates alone
-get 2048 bits (error about 0.02), of which the 512 are the first, and these decide at 0.8.
+Texts are linked when the Jaccard similarity of their sets of 5-word shingles (as 64-bit XXH64 values) is 0.8 or
+more. Estimates only choose what is compared; a link is made by the sets alone.
+
+Of b bits (bit = sign of the summed hash bits over the distinct shingles) two texts whose angle is a differ in
+b a / pi on average; with the sizes of both sets, cos a gives the shared shingles and these the similarity. Texts
+of SHORT or more shingles get 512 bits, whose estimate has a standard error of up to about 0.04: those with a
+partner at an estimate of 0.68 or more are candidates. Candidates alone get 2048 bits (error about 0.02), of
+which the 512 are the first, and their sets. First a spanning forest of the pairs estimated at 0.8 or more is
+compared exactly, then of the pairs at 0.7 or more, five errors below 0.8, the best between any two groups that
+are left, and at last every one between groups that still are two.
 
 At a similarity of 0.8 a byte agrees in place with a chance of 0.27. The first 32 bytes make the index, in two
 halves of 16. The minimum number of matches is 5 of 32: five agreeing bytes put three in one half, so pairs
@@ -14,10 +18,14 @@ fingerprint is posted once under each (position, value) that may come first of t
 found inside the posting, so 28 rows leave a fingerprint and not 1120. A pair at 0.8 reaches five matches with
 a chance of 0.96, at 0.85 of 0.99.
 
-Copies (equal fingerprint and size) are one class before the index. A posting gives a spanning forest of its
-verified links only, at most one edge less than members, so dense groups cost about their size and no
-reachability is lost. A task holds one posting, which has 1/256 of the distinct fingerprints or, of a group
-of near copies, those that share the byte.
+Of fewer shingles the estimate is biased. Such texts, with all of up to 5/4 as many shingles that they can be
+linked to, are matched without fingerprints: of two sets at 0.8 the n // 5 + 1 rarest shingles of each meet, so
+these are posted and the sets compared inside the posting. No link is lost there.
+
+Copies (equal shingle sets) are one class before the index. A posting gives a spanning forest of its links only,
+at most one edge less than members, so dense groups cost about their size and no reachability is lost. A task
+holds one posting, which has 1/256 of the distinct fingerprints or, of a group of near copies, those that share
+the byte.
 
 Defined results: null and empty texts and texts of blanks have no shingle and are copies of each other, like
 nothing else; fewer than five words are one shingle; of a group the row of the smallest id stays (null ids
@@ -41,7 +49,10 @@ from chronolith.llm import kernels as K
 from chronolith.llm.common import materialise, row_key, small_arrow_batches
 from chronolith.llm.components import components
 
-SHINGLE, SIMILARITY, CANDIDATE = 5, 0.8, 0.68
+SHINGLE, SIMILARITY, CANDIDATE, COMPARED = 5, 0.8, 0.68, 0.7
+#: Shingles from which on fingerprints choose the candidates, and the most that a text linked to a shorter one can have.
+SHORT = 64
+PARTNER = (SHORT - 1) * 5 // 4
 WORDS, WIDE = 8, 32  # of 64 bits
 INDEXED, HALVES, TOGETHER, LEAST = 32, 2, 3, 5
 HALF = INDEXED // HALVES
@@ -69,11 +80,14 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> set[int]:
 
 def fingerprints(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(texts, words) fingerprints, the narrower the start of the wider, and the numbers of distinct shingles."""
-    found = [shingle_hashes(t) for t in texts]
+    return set_prints([shingle_hashes(t) for t in texts], words)
+
+
+def set_prints(found: list[set[int]], words: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in found], np.int64)
-    owner = np.repeat(np.arange(len(texts)), size)
+    owner = np.repeat(np.arange(len(found)), size)
     hashes = np.fromiter((h for s in found for h in s), np.uint64, int(size.sum()))
-    ones = np.zeros((len(texts), 64 * words), np.int32)
+    ones = np.zeros((len(found), 64 * words), np.int32)
     chunk = CHUNK * WORDS // words
     for a in range(0, len(hashes), chunk):
         own = owner[a : a + chunk]
@@ -85,7 +99,7 @@ def fingerprints(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
         at = np.flatnonzero(first)
         np.add.at(ones, own[at], np.add.reduceat(bits, at, axis=0, dtype=np.uint8).astype(np.int32))
     packed = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little")
-    return packed.view(np.uint64).reshape(len(texts), words), size
+    return packed.view(np.uint64).reshape(len(found), words), size
 
 
 def similarity(bits: np.ndarray, a: np.ndarray, b: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -160,59 +174,176 @@ def posting_forest(position: int, value: np.ndarray, fp: np.ndarray, size: np.nd
     return edges
 
 
-def _edges(batches: Iterator[pa.RecordBatch], words: int = WORDS, least: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
-    """Sorted (posting, node, n, fp) rows -> edges (u, v) of nodes; whole postings are worked off together."""
+def posting_pairs(position: int, value: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, least: float, best: bool = False) -> np.ndarray:
+    """All linked pairs (row, row) of different labels, each only in the first posting and places that it meets in; best: one for two labels."""
+    data = fp.view(np.uint8).reshape(len(fp), -1)
+    group, start, found = value.astype(np.int64) << 16, position - position % HALF, []
+    for q, r in combinations(range(position + 1, start + HALF), TOGETHER - 1):
+        key = group | (data[:, q].astype(np.int64) << 8) | data[:, r]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(first, len(key)))
+        two = first[count == 2]
+        pairs = [np.stack([order[two], order[two + 1]], 1)]
+        for s, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            rest = order[s : s + n]
+            _, name, members = np.unique(label[rest], return_inverse=True, return_counts=True)
+            # Pairs with both ends in the largest group are none; any other has an end outside it.
+            outside = name != members.argmax()
+            for x in np.flatnonzero(outside).tolist():
+                other = rest[~outside | (np.arange(n) > x)]
+                pairs.append(np.stack([np.full(len(other), rest[x]), other], 1))
+        for part in pairs:
+            i, j = part[label[part[:, 0]] != label[part[:, 1]]].T
+            same = data[i, :INDEXED] == data[j, :INDEXED]
+            between = [c for c in range(start, r) if c not in (position, q)]
+            new = ~same[:, between].any(1)
+            for h in range(0, start, HALF):
+                new &= same[:, h : h + HALF].sum(1) < TOGETHER
+            i, j = i[new], j[new]
+            if not len(i):
+                continue
+            good = linked(fp[i], fp[j], size[i], size[j], least)
+            found.append(np.stack([i[good], j[good]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    if best and len(pairs):
+        i, j = pairs.T
+        estimate = similarity(np.bitwise_count(fp[i] ^ fp[j]).sum(1), size[i], size[j], fp.shape[1])
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        order = np.lexsort((-estimate, high, low))
+        low, high = low[order], high[order]
+        pairs = pairs[order[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))]]
+    return pairs
+
+
+def similar_sets(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b that share so many have a Jaccard similarity of 4/5 or more, in whole numbers."""
+    return 5 * shared >= 4 * (a + b - shared)
+
+
+def set_forest(flat: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of the exact links of sets, row i holding flat[bounds[i]:bounds[i + 1]] of size[i] shingles."""
+    rest, front, edges = np.arange(len(size)), [], []
+    while len(rest):
+        if not front:
+            front, rest = [int(rest[0])], rest[1:]
+            continue
+        x = front.pop()
+        shared = np.add.reduceat(np.isin(flat, flat[bounds[x] : bounds[x + 1]]).astype(np.int64), bounds[:-1])[rest]
+        hit = similar_sets(shared, size[x], size[rest])
+        edges += [(x, j) for j in rest[hit].tolist()]
+        front += rest[hit].tolist()
+        rest = rest[~hit]
+    return edges
+
+
+def _whole_postings(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, gathered to tables that cut no posting in two."""
     held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows and held[0].column(0)[0].as_py() != batch.column(0)[-1].as_py():
+            t = pa.Table.from_batches(held)
+            p = t.column(0).to_numpy()
+            whole = int(np.searchsorted(p, p[-1]))
+            yield t.slice(0, whole)
+            held = t.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def closed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        posting, node, n = (t.column(i).to_numpy() for i in range(3))
+
+def _edges(batches: Iterator[pa.RecordBatch], words: int = WORDS, least: float = SIMILARITY, best: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sorted (posting, node, n, fp) rows -> edges (u, v) of nodes; with a fifth column, label, those of ``posting_pairs``."""
+    for t in _whole_postings(batches):
+        posting, node, n, *label = (t.column(i).to_numpy() for i in range(t.num_columns) if i != 3)
         fp = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(-1, words)
         cut = np.flatnonzero(np.append(True, posting[1:] >> 8 != posting[:-1] >> 8))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(posting)], strict=True):
-            edges = np.array(posting_forest(int(posting[a] >> 8), posting[a:b] & 255, fp[a:b], n[a:b].astype(np.float64), least), np.int64).reshape(-1, 2) + a
+            rows = int(posting[a] >> 8), posting[a:b] & 255, fp[a:b], n[a:b].astype(np.float64)
+            edges = posting_pairs(*rows, label[0][a:b], least, best) if label else posting_forest(*rows, least)
+            edges = np.array(edges, np.int64).reshape(-1, 2) + a
             if len(edges):
                 yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], ["u", "v"])
 
-    # Batches gather until a posting ends among them: everything before the last posting is whole.
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        p = batch.column(0).to_numpy()
-        whole = int(np.searchsorted(p, p[-1]))
-        if (whole or held[0].column(0)[0].as_py() != p[-1]) and sum(b.num_rows for b in held) >= 1 << 15:
-            yield from closed([*held[:-1], batch.slice(0, whole)])
-            held = [batch.slice(whole)]
-    if held:
-        yield from closed(held)
 
+def _set_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (posting, node, n, shingles) rows -> edges (u, v) of nodes whose sets are linked."""
+    for t in _whole_postings(batches):
+        posting, node, n = (t.column(i).to_numpy() for i in range(3))
+        held = t.column(3).combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+        flat = held.flatten().to_numpy()
+        cut = np.flatnonzero(np.append(True, posting[1:] != posting[:-1]))
+        edges = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(posting)], strict=True):
+            if b - a > 1:
+                edges += [(i + a, j + a) for i, j in set_forest(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n[a:b])]
+        if edges:
+            u, v = np.array(edges).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-def fingerprint_rows(docs: DataFrame, text_col: str, rep: Column, words: int = WORDS) -> DataFrame:
-    """(rep, fp binary, n): one row a document."""
+
+def fingerprint_rows(docs: DataFrame, text_col: str, rep: Column, words: int = WORDS, most: int | None = PARTNER) -> DataFrame:
+    """(rep, fp binary, n, digest, shingles): one row a document; shingles is empty beyond ``most`` of them."""
     frame = docs.select(rep.alias("rep"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in K.batches([t or "" for t in texts], 1 << 19):
-                fp, size = fingerprints(texts[a:b], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(size)], ["rep", "fp", "n"])
+                found = [shingle_hashes(t) for t in texts[a:b]]
+                fp, size = set_prints(found, words)
+                digest = np.array([sum(s) & (1 << 64) - 1 for s in found], np.uint64).view(np.int64)
+                kept = [s if most is None or len(s) <= most else () for s in found]
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
+                flat = np.fromiter((h for s in kept for h in s), np.uint64, int(bounds[-1])).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(size), pa.array(digest), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
+                    ["rep", "fp", "n", "digest", "shingles"],
+                )
 
     small_arrow_batches(docs.sparkSession)
-    return frame.mapInArrow(run, f"rep {frame.schema[0].dataType.simpleString()}, fp binary, n bigint")
+    return frame.mapInArrow(run, f"rep {frame.schema[0].dataType.simpleString()}, fp binary, n bigint, digest bigint, shingles array<bigint>")
 
 
-def link_edges(prints: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, n, fp) -> edges (u, v) whose components are those of all links that the index reaches."""
+def link_edges(prints: DataFrame, words: int, least: float, best: bool = False) -> DataFrame:
+    """(node, n, fp) -> edges (u, v) whose components are those of all estimated links that the index reaches; with label, those of ``posting_pairs``."""
     posting = lambda p: F.lit(p << 8) + F.conv(F.hex(F.substring("fp", p + 1, 1)), 16, 10).cast("int")
-    posted = prints.filter("n > 0").select(F.explode(F.array(*[posting(p) for p in FIRSTS])).alias("posting"), "node", "n", "fp")
+    columns = ["node", "n", "fp", *(c for c in prints.columns if c == "label")]
+    posted = prints.filter(F.col("n") >= SHORT).select(F.explode(F.array(*[posting(p) for p in FIRSTS])).alias("posting"), *columns)
     small_arrow_batches(prints.sparkSession)
-    return posted.repartition("posting").sortWithinPartitions("posting").mapInArrow(partial(_edges, words=words, least=least), "u bigint, v bigint")
+    # In order of the nodes the postings of a group agree on the ends of their edges.
+    return posted.repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(partial(_edges, words=words, least=least, best=best), "u bigint, v bigint")
+
+
+def short_edges(classes: DataFrame) -> DataFrame:
+    """(node, n, shingles) -> edges (u, v) of a spanning forest, in each posting, of the exact links of texts of up to PARTNER shingles.
+
+    A shingle of one text alone shares nothing: it counts in n and in the prefix, but is not carried.
+    """
+    sets = classes.filter(F.col("n").between(1, PARTNER)).select("node", "n", F.explode("shingles").alias("h"))
+    common = sets.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    held = sets.join(common, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("held"))
+    held = held.select("node", "n", F.col("held")["h"].alias("held")).withColumn("prefix", F.expr("int(n div 5 + 1 - (n - size(held)))"))
+    posted = held.filter("prefix > 0").select(F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("posting"), "node", "n", "held")
+    small_arrow_batches(classes.sparkSession)
+    return posted.repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(_set_edges, "u bigint, v bigint")
+
+
+def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (u, v) whose shingle sets, of (node, n, shingles), are linked."""
+    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"of_{end}")), end)
+    shared = F.size(F.array_intersect("of_u", "of_v"))
+    return pairs.filter(similar_sets(shared, F.col("n_u"), F.col("n_v"))).select("u", "v")
 
 
 def wide_prints(docs: DataFrame, text_col: str, rep: Column, candidates: DataFrame) -> DataFrame:
-    """candidates (node, rep) -> (node, n, fp) with wide fingerprints; only their texts are read on.
+    """candidates (node, rep) -> (node, n, fp, shingles) with wide fingerprints and whole sets; only their texts are read on.
 
     Texts pass a semi-join with the candidates' 32-bit hashes first: that table is on disk, so Spark broadcasts
     it where its size is below the threshold and shuffles otherwise. The join by ``rep`` then is exact.
@@ -220,18 +351,26 @@ def wide_prints(docs: DataFrame, text_col: str, rep: Column, candidates: DataFra
     hashes = materialise(candidates.select(F.hash("rep").alias("__hash")), "similar-hashes")
     texts = docs.select(rep.alias("rep"), F.col(text_col).alias("text"))
     texts = texts.join(hashes, F.hash("rep") == F.col("__hash"), "left_semi")
-    prints = fingerprint_rows(texts, "text", F.col("rep"), WIDE)
-    return candidates.join(prints, "rep").dropDuplicates(["node"]).select("node", "n", "fp")
+    prints = fingerprint_rows(texts, "text", F.col("rep"), WIDE, None)
+    return candidates.join(prints, "rep").dropDuplicates(["node"]).select("node", "n", "fp", "shingles")
 
 
 def representatives(docs: DataFrame, text_col: str, rep: Column) -> DataFrame:
-    """(node, rep, root): the classes of equal fingerprints with their least rep; root is shared by all that can be reached."""
+    """(node, rep, root): the classes of equal shingle sets with their least rep; root is shared by all that can be reached."""
     prints = fingerprint_rows(docs, text_col, rep)
-    classes = materialise(prints.groupBy("fp", "n").agg(F.min("rep").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "similar-classes")
+    copies = prints.groupBy("fp", "n", "digest").agg(F.min("rep").alias("rep"), F.first("shingles").alias("shingles"))
+    classes = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "similar-classes")
     near = link_edges(classes, WORDS, CANDIDATE).select(F.explode(F.array("u", "v")).alias("node")).distinct()
     candidates = materialise(classes.join(near, "node", "left_semi").select("node", "rep"), "similar-candidates")
     wide = materialise(wide_prints(docs, text_col, rep, candidates), "similar-wide")
-    roots = components(link_edges(wide, WIDE, SIMILARITY)).withColumnRenamed("node", "of")
+    forest = materialise(link_edges(wide, WIDE, SIMILARITY), "similar-forest")
+    groups = materialise(components(compared(forest, wide).union(short_edges(classes))), "similar-groups")
+    for best in (True, False):
+        labelled = wide.join(groups, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("label"))
+        pairs = materialise(link_edges(labelled, WIDE, COMPARED, best), "similar-pairs")
+        so_far = groups.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        groups = materialise(components(so_far.union(compared(pairs, wide))), "similar-groups")
+    roots = groups.withColumnRenamed("node", "of")
     return classes.join(roots, F.col("node") == F.col("of"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
 
 

@@ -195,6 +195,33 @@ def test_links_are_close_to_the_true_similarity(spark):
     assert kept == {i for i in range(160) if i % 2 == 0 or i // 2 % 2}
 
 
+def test_short_texts_by_true_similarity(spark):
+    """One text the start of the other: at 0.8 or more one stays, however few the shingles; below, both."""
+    rows, want = [], set()
+    for k, (m, n) in enumerate([(5, 4), (6, 5), (7, 6), (16, 13), (63, 51), (78, 63), (6, 4), (16, 12), (78, 62)] * 8):
+        words = [f"k{k}x{i}" for i in range(m + 4)]
+        rows += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join(words[: n + 4]), "en", "a")]
+        want |= {2 * k} if n / m >= 0.8 else {2 * k, 2 * k + 1}
+    assert {r["doc_id"] for r in simhash_similar.keep_one(frame(spark, rows)).collect()} == want
+
+
+def test_no_link_below_the_similarity(spark):
+    """Of texts with a true similarity of 0.78 to 0.8, many of them estimated at 0.8, all stay."""
+    rows = []
+    for k in range(60):
+        words = [f"k{k}x{i}" for i in range(204)]
+        rows += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join(words[: 4 + 159]), "en", "a")]
+    assert simhash_similar.keep_one(frame(spark, rows)).count() == 120
+
+
+def test_batches_cut_no_posting():
+    posting = np.repeat([1, 2, 3], [40_000, 2_000, 10])
+    whole = pa.RecordBatch.from_arrays([pa.array(posting)], ["posting"])
+    tables = list(simhash_similar._whole_postings(whole.slice(a, 700) for a in range(0, len(whole), 700)))
+    seen = [set(t.column(0).to_pylist()) for t in tables]
+    assert sum(len(x) for x in seen) == 3 and len(seen) > 1
+
+
 def test_narrow_prints_start_wide_ones():
     texts = [ROWS[5][1], ROWS[0][1], None, ROWS[6][1]]
     (a, m), (b, n) = simhash_similar.fingerprints(texts), simhash_similar.fingerprints(texts, simhash_similar.WIDE)
