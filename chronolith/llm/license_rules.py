@@ -1,11 +1,13 @@
 """License scans by sentence-rule recognition, in DataFrame operations only.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` followed by white space; a
-sentence is normalised to lower-case letters and digits with single spaces between. The normalised sentence
-is looked up in the table of known licence sentences, which is a constant of this module (some dozen rows,
-so it is broadcast with a proven bound), and what remains are the few (document, position, identifier)
-rows. They are gathered by document in order of position into an identifier sequence; a rule, an ordered
-sequence of identifiers, matches where its identifiers stand in that order, with nothing known in between.
+A text is cut at line ends and after ``.``, ``!`` or ``?`` followed by white space; what lies between is
+normalised to lower-case letters and digits with single spaces between. A known sentence (a constant of this
+module, some dozen rows) is found where it fills one piece or several adjacent ones: a notice wrapped at any
+width or in a comment is read as on one line, and a stop within a sentence (``v. 2.0``) does not hide it. Blank
+lines end a sentence, and it has to begin and end at a cut. Of sentences found one within another the longest
+counts. The few (document, place, identifier) rows that remain are gathered by document in order of place into
+an identifier sequence; a rule, an ordered sequence of identifiers, matches where its identifiers stand in that
+order, with nothing known in between.
 
 Only matched sentences are shuffled, so neither a hot source nor long texts weigh on a task. Defined
 results: null or empty text has no sentences and no licence; a repeated sentence counts each time; rows
@@ -15,12 +17,17 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import table, text_or_empty
 
-SPLIT = r"(?:\r?\n)+|(?<=[.!?])\s+"
+#: White space after a sentence, which is a cut like the line end that may follow it.
+STOP = r"(?<=[.!?])[^\S\n]++(?!\n)"
 
 #: Wording of public licence notices, by identifier.
 SENTENCES = {
@@ -77,20 +84,33 @@ RULES = (
 )
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
-def sentence_table(spark: SparkSession, sentences: dict[str, str] = SENTENCES) -> DataFrame:
-    rows = spark.createDataFrame(list(sentences.items()), "sid string, sentence string")
-    return rows.select("sid", normalised(F.col("sentence")).alias("norm"))
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, with a line end before and after each; a blank line is an empty piece."""
+    cut = F.regexp_replace(F.lower(text), STOP, "\n")
+    clean = F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    return F.concat(F.lit("\n"), F.trim(clean), F.lit("\n"))
 
 
 def license_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES) -> DataFrame:
-    """(doc_id, pos, sid) of every known sentence, pos being the sentence's number in its text."""
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(F.col(text_col)), SPLIT)).alias("pos", "piece"))
-    keyed = pieces.filter(F.length("piece") > 0).select("doc_id", "pos", normalised(F.col("piece")).alias("norm"))
-    return keyed.join(F.broadcast(sentence_table(docs.sparkSession, sentences)), "norm").select("doc_id", "pos", "sid")
+    """(doc_id, pos, sid) of every known sentence, pos being its place in the pieces of its text."""
+    norms = {sid: re.sub("[^a-z0-9]+", " ", x.lower()).strip() for sid, x in sentences.items()}
+    known = F.array(*[F.struct(F.lit(sid).alias("sid"), F.lit(x).alias("norm"), F.lit(r"(?<=\n)" + x.replace(" ", r"[ \n]") + r"(?=\n)").alias("pattern")) for sid, x in norms.items()])
+
+    def places(k: Column) -> Column:
+        between, long = F.split("cut", k["pattern"]), F.length(k["norm"])
+        start = lambda i: F.length(F.array_join(F.slice(between, F.lit(1), i), "")) + (i - 1) * long
+        numbers = F.filter(F.sequence(F.lit(0), F.size(between) - 1), lambda i: i > 0)
+        return F.transform(numbers, lambda i: F.struct(start(i).alias("pos"), (start(i) + long).alias("end"), k["sid"].alias("sid")))
+
+    # Generators keep Spark from working out the pieces anew for each sentence.
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(pieces(text_or_empty(F.col(text_col))))).alias("cut"))
+    flat = cut.select("doc_id", "cut", F.explode(F.array(F.translate("cut", "\n", " "))).alias("flat"))
+    held = flat.filter(reduce(or_, [F.col("flat").contains(x) for x in norms.values()]))
+    hits = F.filter(known, lambda k: F.contains(F.col("flat"), k["norm"]))
+    found = held.select("doc_id", F.explode(F.array(F.flatten(F.transform(hits, places)))).alias("found"))
+    within = lambda x: lambda y: (y["pos"] <= x["pos"]) & (y["end"] >= x["end"]) & (y["end"] - y["pos"] > x["end"] - x["pos"])
+    longest = F.filter("found", lambda x: ~F.exists("found", within(x)))
+    return found.select("doc_id", F.explode(longest).alias("x")).select("doc_id", "x.pos", "x.sid")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:

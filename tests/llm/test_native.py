@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -137,3 +138,23 @@ def test_rules_need_their_order(spark):
     texts = ["\n".join([s["mit-grant"], s["mit-notice"], s["mit-warranty"]]), "\n".join([s["mit-notice"], s["mit-grant"], s["mit-warranty"]])]
     got = license_rules.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in got] == ["MIT", ""]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_each_rule_on_its_own_text(spark, mark):
+    """On one line a sentence, and wrapped at 72 and 40 columns with line ends of both kinds, every rule finds its licence."""
+    rows = []
+    for name, ids in license_rules.RULES:
+        said = [license_rules.SENTENCES[i] for i in ids]
+        rows.append((name, ids, "\n".join(mark + x for x in said)))
+        for width, end in ((72, "\n"), (40, "\r\n")):
+            rows.append((name, ids, end.join(mark + line for x in said for line in textwrap.wrap(x, width))))
+    got = license_rules.scan_licenses(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["sequence"]) for r in got] == [(name, ",".join(ids)) for name, ids, _ in rows]
+
+
+def test_wrapped_sentences_keep_their_bounds(spark):
+    s = license_rules.SENTENCES["bsd-short"]
+    texts = [s.replace(" code ", " code\n\n"), "See: " + s.replace(" code ", "\ncode "), s.replace(" code ", "\ncode ") + " " + s, s.rstrip(".") + " or\nnot."]
+    got = license_rules.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r["n_sentences"] for r in got] == [0, 0, 2, 0]
