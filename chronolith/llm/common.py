@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,101 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, computes once."""
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): shared folders may be in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def materialise(df: DataFrame, label: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, computes once.
+
+    Tables named ``spent`` are ones this function made, which nothing needs once the new one is there: they are deleted.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    discard(*spent)
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made and whose readers have all run; others are left alone."""
+    for t in tables:
+        if path := t.__dict__.pop("_scratch", None):
+            at, fs = _file_system(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+def share_file(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
+    """Write a file to the shared folder and have it sent to every worker machine once; returns its name for ``SparkFiles``."""
+    name = f"{uuid.uuid4().hex}-{name}"
+    at, fs = _file_system(spark, f"{shared_dir(spark)}/{name}")
+    out = fs.create(at)
+    for data in parts:
+        for a in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[a : a + (1 << 20)]))
+    out.close()
+    spark.sparkContext.addFile(at.toString())
+    return name
+
+
+#: A key is hot that has more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows left-joined with found (one row a key; ``weight`` is the number of rows of the key), safe from skew.
+
+    Hot keys, ``HOT_SHARE`` of them at most, are broadcast; rows that have met theirs there get a key of their own
+    that finds nothing, so the shuffled join deals them out evenly.
+    """
+    values = [c for c in found.columns if c != key]
+    total = found.agg(F.sum(weight)).first()[0] or 0
+    hot = found.filter(F.col(weight) > total / HOT_SHARE).select(F.col(key).alias("__key"), F.struct(*values).alias("__hot"))
+    cold = found.filter(F.col(weight) <= total / HOT_SHARE).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    kind = rows.schema[key].dataType
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").drop("__key")
+    # rows that still look for a key have 0 beside it, all others a null and a number that spreads them
+    spread = F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    met = met.withColumn("__spread", spread).withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.lit(None).cast(kind)))
+    joined = met.join(cold.withColumn("__zero", F.lit(0).cast("bigint")), (F.col("__at") == F.col("__key")) & (F.col("__spread") == F.col("__zero")), "left")
+    value = F.coalesce("__hot", "__cold")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[value[v].alias(v) for v in values])
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, or with as many underscores before it as keep it apart from those taken, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, worked out once however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def sums_before(values: Column, kind: str = "bigint", block: int = 64, levels: int = 3) -> Column:
+    """The sum of the elements before each one of an array. Blocks of ``block`` are summed first, and their sums treated alike,
+    so the work is in proportion to the length."""
+    zero = F.lit(0).cast(kind)
+
+    def plain(x: Column, begin: Column) -> Column:
+        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(x, F.struct(begin.alias("at"), F.array().cast(f"array<{kind}>").alias("all")), step, lambda acc: acc["all"])
+
+    def blocked(x: Column, left: int) -> Column:
+        if not left:
+            return plain(x, zero)
+        starts = F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.size(x) / block).cast("int")), lambda i: i * block < F.size(x)), lambda i: i * block + 1)
+        parts = F.transform(starts, lambda s: F.slice(x, s, F.lit(block)))
+        whole = lambda p: let(blocked(F.transform(p, lambda v: F.aggregate(v, zero, lambda a, y: a + y)), left - 1), lambda b: F.flatten(F.zip_with(p, b, plain)))
+        return F.when(F.size(x) <= block, plain(x, zero)).otherwise(let(parts, whole))
+
+    return let(values, lambda x: blocked(x, levels))
 
 
 def text_or_empty(text: Column) -> Column:

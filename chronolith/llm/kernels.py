@@ -7,10 +7,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 #: Random odd base of the polynomial slice hash, and its inverse modulo 2**64.
 BASE = 0x9E6C63D0876A9A47
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Slices of more code points are hashed one by one.
+LONG_SLICE = 128
 #: Code points that a batch of texts is cut to; a longer text is a batch of its own.
 BATCH_CHARS = 1 << 21
 
@@ -80,11 +83,43 @@ def slice_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of every slice, the same for equal slices wherever they stand.
 
     A polynomial in the code points by prefix sums: (S[end] - S[start]) * BASE**-start, then mixed with the length.
+    Modulo 2**64 there are different strings of equal value for any base, from some hundred letters on, so
+    slices longer than ``LONG_SLICE`` have their XXH64.
     """
     prefix = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * _powers(len(cps), BASE), out=prefix[1:])
     raw = (prefix[ends] - prefix[starts]) * _powers(len(cps) + 1, BASE_INVERSE)[starts]
-    return mixed(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    out = mixed(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    for i in np.flatnonzero(ends - starts > LONG_SLICE).tolist():
+        out[i] = xxhash.xxh64_intdigest(cps[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def distinct_slices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct slice, the class of every slice). Hashes propose, the code points decide.
+
+    Every slice is compared with the one that stands for its hash; those that differ are classed by their own text.
+    """
+    _, first, inverse = np.unique(slice_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+    size, stands = ends - starts, first[inverse]
+    wrong = size != size[stands]
+    alike = np.flatnonzero(~wrong)
+    here, bounds = gathered(cps, starts[alike], size[alike])
+    there, _ = gathered(cps, starts[stands[alike]], size[alike])
+    apart = np.flatnonzero(here != there)
+    if len(apart):
+        wrong[alike[np.searchsorted(bounds, apart, "right") - 1]] = True
+    if wrong.any():
+        own: dict[bytes, int] = {}
+        extra: list[int] = []
+        for i in np.flatnonzero(wrong).tolist():
+            text = cps[starts[i] : ends[i]].tobytes()
+            if text not in own:
+                own[text] = len(first) + len(extra)
+                extra.append(i)
+            inverse[i] = own[text]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, inverse
 
 
 def words(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,3 +206,20 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     bounds = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=bounds[1:])
     return flat[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)], bounds
+
+
+class Sets:
+    """Union-find over members 0..n-1."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
