@@ -4,7 +4,9 @@ The frequent words of a corpus are counted over all documents, encoded once and
 acyclic automaton: states with equal futures are shared, every transition carries the number of words that
 sort before those below it, so a path's sum is the word's index and the index finds its id outputs. The
 automaton is a flat file that executors receive once (``addFile``) and memory-map; all workers of a machine
-share its pages. Words that it lacks are merged exactly, rank by rank, many words at a time.
+share its pages. Words that it lacks are merged exactly, rank by rank, many words at a time. What a worker
+remembers of a word is kept under the word itself, so equal ids always mean equal words. Decoding starts from
+the ids: token strings joined as the file's decoder does it, which is by blanks where it has none.
 
 Bounds: the lexicon holds the ``LEXICON_WORDS`` most frequent words of at most ``LEXICON_BYTES`` bytes
 (a size limit of the file; what it leaves out is merged and gives the same ids), a worker remembers
@@ -17,17 +19,13 @@ columns other than the id and text are not read.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import os
 import re
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import materialise, small_arrow_batches, table
+from chronolith.llm.common import discard, materialise, share_file, small_arrow_batches, table
 
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 64
@@ -52,6 +50,18 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _kinds(part) -> set[str]:
+    """The types of all steps of a normaliser's description."""
+    if not isinstance(part, dict):
+        return set()
+    return {part["type"]}.union(*(_kinds(p) for p in part.get("normalizers", [])))
+
+
+def _table(entries: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    data = [f"{x} ".encode() for x in entries]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+
+
 class BpeModel:
     """Vocabulary, merges and piece rules of a ``tokenizers`` file with byte-level BPE."""
 
@@ -70,6 +80,10 @@ class BpeModel:
             self.tokens[i] = t
         self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.normalises = bool(spec["normalizer"])
+        self.only_lowers = _kinds(spec["normalizer"]) <= {"Sequence", "NFC", "Replace", "Lowercase"}
+        self.decoder = (spec["decoder"] or {}).get("type")
+        #: Bytes and bounds of every id in decimal and of every token, each with a blank after it.
+        self.id_text, self.token_text = (_table(map(str, range(len(self.tokens)))), _table(self.tokens))
         self.drops_space = any(p["type"] == "Split" for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []))
         symbols = byte_symbols()
         self.first = np.array([vocab[c] for c in symbols], np.int64)
@@ -82,15 +96,22 @@ class BpeModel:
         self.made = np.array(made, np.int64)
 
     @cached_property
-    def normalizer(self):
+    def library(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path).normalizer
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def normalizer(self):
+        return self.library.normalizer
 
     def normalised(self, text: str) -> str:
-        """As the file's normaliser: on Latin-1 only its lower-casing shows, all else goes through the library's own."""
+        """As the file's normaliser. Of NFC, white space made blanks and lower-casing only the last shows in the ids of
+        Latin-1 text; all else goes through the library's own."""
         if not self.normalises:
             return text
+        if not self.only_lowers:
+            return self.normalizer.normalize_str(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -295,24 +316,35 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.id_text: list[str] = []
-        self.token_text: list[str] = []
-
-    def _learn(self, hashes: list[int], flat: np.ndarray, bounds: np.ndarray) -> None:
-        found = self.lexicon.indexes(flat, bounds) if self.lexicon else np.full(len(hashes), -1)
+        self.slot: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.int64)
+        self.bounds = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _learn(self, words: list[str]) -> None:
+        data = [w.encode("utf-8") for w in words]
+        flat, bounds = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        found = self.lexicon.indexes(flat, bounds) if self.lexicon else np.full(len(words), -1)
         lacking = np.flatnonzero(found < 0)
         merged, at = self.model.merged(*K.gathered(flat, bounds[lacking], np.diff(bounds)[lacking]))
-        own = dict(zip(lacking.tolist(), np.split(merged, at[1:-1]) if len(lacking) else [], strict=True))
-        tokens = self.model.tokens
-        for i, (h, k) in enumerate(zip(hashes, found.tolist(), strict=True)):
-            ids = own[i] if k < 0 else self.lexicon.ids[self.lexicon.id_bounds[k] : self.lexicon.id_bounds[k + 1]]
-            listed = ids.tolist()
-            self.slot[h] = len(self.ids)
-            self.ids.append(ids)
-            self.id_text.append(" ".join(map(str, listed)))
-            self.token_text.append(" ".join([tokens[x] for x in listed]))
+        # ids of the words one after the other: those of the lexicon, those that were merged
+        sizes = np.zeros(len(words), np.int64)
+        known = np.flatnonzero(found >= 0)
+        sizes[lacking] = np.diff(at)
+        if len(known):
+            sizes[known] = self.lexicon.id_bounds[found[known] + 1] - self.lexicon.id_bounds[found[known]]
+        top, total = int(self.bounds[self.used]), int(sizes.sum())
+        while top + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.used + len(words) + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        ends = top + np.cumsum(sizes)
+        self.bounds[self.used + 1 : self.used + 1 + len(words)] = ends
+        for rows, ids in ((lacking, merged), (known, K.gathered(self.lexicon.ids, self.lexicon.id_bounds[found[known]], sizes[known])[0] if len(known) else merged[:0])):
+            place, _ = K.gathered(np.arange(top, top + total), ends[rows] - sizes[rows] - top, sizes[rows])
+            self.flat[place] = ids
+        self.slot.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
 
     def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slot of every piece of the (normalised, marker-free) texts, and the bounds of the texts."""
@@ -320,63 +352,61 @@ class Encoder:
         if not len(cps):
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         starts, ends, by_text = self.model.pieces(cps, bounds)
-        hashes, first, inverse = np.unique(K.slice_hashes(cps, starts, ends), return_index=True, return_inverse=True)
-        listed = hashes.tolist()
-        if len(self.ids) + len(listed) > REMEMBERED:
+        first, inverse = K.distinct_slices(cps, starts, ends)
+        joined = "".join(texts)
+        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if self.used + len(words) > REMEMBERED:
             self.forget()
-        have = np.fromiter((self.slot.get(h, -1) for h in listed), np.int64, len(listed))
+        have = np.fromiter((self.slot.get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(have < 0)
         if len(new):
-            wide = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
-            offsets = np.concatenate([[0], np.cumsum(wide)])
-            data = np.frombuffer("".join(texts).encode("utf-8"), np.uint8)
-            a, b = offsets[starts[first[new]]], offsets[ends[first[new]]]
-            self._learn(hashes[new].tolist(), *K.gathered(data, a, b - a))
-            have[new] = np.arange(len(self.ids) - len(new), len(self.ids))
+            self._learn([words[i] for i in new.tolist()])
+            have[new] = np.arange(self.used - len(new), self.used)
         return have[inverse], by_text
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-        """For each text its slots, or ~id for a marker token, in order; slots hold until the next batch."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For a run of texts after the other their ids in a row, and the bounds of the texts."""
         texts = [t or "" for t in texts]
         model = self.model
         for a, b in K.batches(texts):
             parts: list[str] = []
-            marks: list[list[int]] = []
+            after: list[int] = []  # the part that a marker token follows
+            marks: list[int] = []
+            first: list[int] = []  # of each text its first part and the markers before it
+            before: list[int] = []
             for t in texts[a:b]:
-                own = [] if not model.added else [m for m in model.added_pattern.finditer(t)] if "<|" in t else []
-                marks.append([model.added[m[0]] for m in own])
+                first.append(len(parts))
+                before.append(len(marks))
                 at = 0
-                for m in own:
+                for m in model.added_pattern.finditer(t) if any(x in t for x in model.added) else ():
                     parts.append(model.normalised(t[at : m.start()]))
+                    after.append(len(parts))
+                    marks.append(model.added[m[0]])
                     at = m.end()
                 parts.append(model.normalised(t[at:] if at else t))
             slots, bounds = self.slots(parts)
-            k = 0
-            for own in marks:
-                row = slots[bounds[k] : bounds[k + 1]].tolist()
-                for mark in own:
-                    k += 1
-                    row.append(~mark)
-                    row += slots[bounds[k] : bounds[k + 1]].tolist()
-                k += 1
-                yield row
-
-    def ids_of(self, row: list[int]) -> np.ndarray:
-        parts = [self.ids[s] if s >= 0 else np.array([~s], np.int64) for s in row]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            flat, at = K.gathered(self.flat, self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots])
+            at = at[bounds]
+            if marks:
+                flat = np.insert(flat, at[after], marks)
+            yield flat, at[[*first, len(parts)]] + np.array([*before, len(marks)])
 
-    def id_string(self, row: list[int]) -> str:
-        """Decimal ids with single spaces between."""
-        return " ".join([self.id_text[s] if s >= 0 else str(~s) for s in row])
 
-    def decoded(self, row: list[int]) -> str:
-        """What the file's missing decoder makes of the ids: token strings with single spaces between."""
-        tokens = self.model.tokens
-        return " ".join([self.token_text[s] if s >= 0 else tokens[~s] for s in row])
+def spelled(table: tuple[np.ndarray, np.ndarray], flat: np.ndarray, bounds: np.ndarray) -> Iterator[memoryview]:
+    """For every run of ids its entries of the table, each of which ends with a blank, but for the last blank."""
+    data, at = table
+    out, ends = K.gathered(data, at[flat], at[flat + 1] - at[flat])
+    view, edges = memoryview(np.ascontiguousarray(out)), ends[bounds].tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield view[a : max(a, b - 1)]
 
 
-def decode(model: BpeModel, ids: list[int]) -> str:
-    return " ".join([model.tokens[i] for i in ids])
+def decoded(model: BpeModel, flat: np.ndarray, bounds: np.ndarray) -> Iterator[bytes | memoryview]:
+    """The texts of runs of ids in UTF-8, special tokens kept, as the file's decoder makes them; without one, token strings with single spaces between."""
+    if not model.decoder:
+        return spelled(model.token_text, flat, bounds)
+    edges = bounds.tolist()
+    return (model.library.decode(flat[a:b].tolist(), skip_special_tokens=False).encode() for a, b in zip(edges, edges[1:], strict=False))
 
 
 _LOADED: dict[tuple, Encoder] = {}
@@ -402,7 +432,8 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                 if not len(cps):
                     continue
                 starts, ends, _ = model.pieces(cps, bounds)
-                _, first, n = np.unique(K.slice_hashes(cps, starts, ends), return_index=True, return_counts=True)
+                first, inverse = K.distinct_slices(cps, starts, ends)
+                n = np.bincount(inverse, minlength=len(first))
                 wide = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
                 offsets = np.concatenate([[0], np.cumsum(wide)])
                 data = np.frombuffer("".join(texts[a:b]).encode("utf-8"), np.uint8)
@@ -435,13 +466,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", size:
     """
     counts = materialise(word_counts(docs, tokenizer, text_col).filter(F.col("n") > 1), "word-counts")
     words = [bytes(r[0]) for r in counts.filter(F.col("n") >= count_threshold(counts, size)).select("word").collect()]
-    name = f"lexicon-{uuid.uuid4().hex}.matl"
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until it ends
-    with open(f"{folder}/{name}", "wb") as f:
-        f.write(compile_lexicon(BpeModel(tokenizer), words))
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
-    return name
+    discard(counts)
+    return share_file(docs.sparkSession, "lexicon.matl", [compile_lexicon(BpeModel(tokenizer), words)])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,39 +477,44 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, lexicon)
         for batch in batches:
-            ids = [enc.ids_of(row).astype(np.int32) for row in enc.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+            done = 0
+            for flat, bounds in enc.encode(batch.column(1).to_pylist()):
+                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ids)), ids], [id_col, "ids"])
+                done += len(ids)
 
     small_arrow_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of every array of ids."""
+    """(id, text) of every array of ids; null counts as no ids."""
     kind = encoded.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _encoder(tokenizer, None).model
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(model, x or []) for x in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
+            rows = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            texts = [bytes(x).decode() for x in decoded(model, flat, np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes without moving ids or decoded texts."""
+    """(id, n_tokens, ids_sha256, decoded_sha256): encodes, and decodes the ids, without moving ids or decoded texts."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, lexicon)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for row in enc.encode(batch.column(1).to_pylist()):
-                text = enc.id_string(row)
-                n.append(text.count(" ") + 1 if text else 0)
-                ids.append(hashlib.sha256(text.encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decoded(row).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            done = 0
+            for flat, bounds in enc.encode(batch.column(1).to_pylist()):
+                ids = [hashlib.sha256(x).hexdigest() for x in spelled(enc.model.id_text, flat, bounds)]
+                texts = [hashlib.sha256(x).hexdigest() for x in decoded(enc.model, flat, bounds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ids)), pa.array(np.diff(bounds)), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                done += len(ids)
 
     small_arrow_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
