@@ -4,8 +4,8 @@ Documents are sorted by id over all partitions, tokenised, and written as files
 ids. A file holds one frequency table, shared by its blocks, and independent blocks of about
 ``BLOCK_TOKENS`` ids, each ending with a document. A block interleaves ``LANES`` coder states: id i belongs
 to lane i modulo ``LANES``, so all lanes step together in array operations. Every ``CHECKPOINT`` steps the
-states and the place in the word stream are recorded, so decoding may start there, and every block carries
-a CRC-32 of its bytes. The files travel as binary values of a Parquet table (part, seq, n_tokens, file):
+states and the place in the word stream are recorded: decoding may start there, and a reader decodes all the
+stretches between checkpoints of a block side by side. Every block carries a CRC-32 of its bytes. The files travel as binary values of a Parquet table (part, seq, n_tokens, file):
 Spark's committers then write them to any store, and a lost executor's files are written again or not at
 all.
 
@@ -84,7 +84,10 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> bytes:
 
 
 def decode_block(data: memoryview, freq: np.ndarray, start: np.ndarray, slots: np.ndarray, first: int = 0) -> np.ndarray:
-    """Positions in the table from checkpoint ``first`` on; a broken block raises ValueError."""
+    """Positions in the table from checkpoint ``first`` on; a broken block raises ValueError.
+
+    All checkpoints start at once: a step decodes one id of every lane of every stretch between them.
+    """
     size, crc = struct.unpack_from("<QI", data)
     body = data[12 : 12 + size]
     if len(body) != size or zlib.crc32(body) != crc:
@@ -97,23 +100,29 @@ def decode_block(data: memoryview, freq: np.ndarray, start: np.ndarray, slots: n
     words = np.frombuffer(body, np.uint32, n_words, 16 + 8 * marks + 8 * LANES * marks)
     if not n:
         return np.zeros(0, np.int64)
-    lanes, w = states[first].copy(), int(at[first])
-    out = np.empty(n - first * CHECKPOINT * LANES, np.int64)
+    stretch = CHECKPOINT * LANES
+    lanes, w = states[first:].copy(), at[first:].astype(np.int64)
+    out = np.empty((marks - first, stretch), np.int64)
     mask, shift = U((1 << SCALE) - 1), U(SCALE)
     freq, start = freq.astype(U), start.astype(U)
-    begin = first * CHECKPOINT * LANES
-    for a in range(begin, n, LANES):
-        b = min(n, a + LANES)
-        x = lanes[: b - a]
+    whole = n - (marks - 1) * stretch  # ids of the last stretch
+    for a in range(0, min(stretch, n - first * stretch), LANES):
+        # the last stretch takes part while it has ids
+        rows = marks - first - (a >= whole)
+        x = lanes[:rows]
         low = x & mask
         ids = slots[low]
-        out[a - begin : b - begin] = ids
+        out[:rows, a : a + LANES] = ids
         x = freq[ids] * (x >> shift) + low - start[ids]
-        want = np.flatnonzero(x < LOW)
-        x[want] = (x[want] << U(32)) | words[w : w + len(want)]
-        w += len(want)
-        lanes[: b - a] = x
-    return out
+        short = x < LOW
+        if a < whole < a + LANES:
+            short[rows - 1, whole - a :] = False
+        taken = short.sum(1)
+        place = np.repeat(w[:rows] - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))
+        x[short] = (x[short] << U(32)) | words[place]
+        w[:rows] += taken
+        lanes[:rows] = x
+    return out.ravel()[: n - first * stretch]
 
 
 def encode_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -167,7 +176,7 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, Iterator[np.nd
 
 
 class PieceTokenizer:
-    """The library's tokenizer, asked once for each distinct piece of a batch that the worker has not met.
+    """The library's tokenizer, asked once for each distinct piece of a batch that the worker has not met; a piece is known by itself.
 
     Pieces are those of the file's own pre-tokenizer, so a text's ids are its pieces' ids in a row. A text
     that holds a marker token goes to the library whole.
@@ -182,12 +191,12 @@ class PieceTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int64)
         self.bounds = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         # a piece is one word to the library's model, which is asked directly: no normaliser, offsets or padding
         symbols, model = self.symbols, self.library.model
         found = [[t.id for t in model.tokenize("".join([symbols[b] for b in piece.encode("utf-8", "surrogatepass")]))] for piece in pieces]
@@ -199,7 +208,7 @@ class PieceTokenizer:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         self.flat[top : top + total] = np.fromiter((x for ids in found for x in ids), np.int64, total)
         self.bounds[self.used + 1 : self.used + 1 + len(found)] = top + np.cumsum(sizes)
-        self.slot.update(zip(hashes, range(self.used, self.used + len(found)), strict=True))
+        self.slot.update(zip(pieces, range(self.used, self.used + len(found)), strict=True))
         self.used += len(found)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,15 +219,15 @@ class PieceTokenizer:
         flat, out = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         if len(cps):
             starts, ends, by_text = K.pieces_keeping_space(cps, bounds)
-            hashes, first, inverse = np.unique(K.slice_hashes(cps, starts, ends), return_index=True, return_inverse=True)
-            listed = hashes.tolist()
-            if self.used + len(listed) > REMEMBERED:
+            first, inverse = K.distinct_slices(cps, starts, ends)
+            joined = "".join(plain)
+            pieces = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            if self.used + len(pieces) > REMEMBERED:
                 self.forget()
-            have = np.fromiter((self.slot.get(h, -1) for h in listed), np.int64, len(listed))
+            have = np.fromiter((self.slot.get(p, -1) for p in pieces), np.int64, len(pieces))
             new = np.flatnonzero(have < 0)
             if len(new):
-                joined = "".join(plain)
-                self._learn(hashes[new].tolist(), [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+                self._learn([pieces[i] for i in new.tolist()])
                 have[new] = np.arange(self.used - len(new), self.used)
             slots = have[inverse]
             flat, at = K.gathered(self.flat, self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots])
