@@ -10,28 +10,32 @@ lambda solving E[exp(lambda s)] = 1 over clean words and K fitted on clean docum
 in n words is expected K n exp(-lambda S) times by chance. A document's statistic is the log of the summed
 evidence of its segments over K n, made a probability by a logistic curve fitted on the sample.
 
-Bounds: the fit takes at most about ``SAMPLE`` labelled rows (chosen by a hash of the id) and keeps the
-``FEATURES`` strongest tokens; scoring reads every whole text and broadcasts only the kept tokens.
+Bounds: the fit takes at most about ``SAMPLE`` labelled rows (chosen by a hash of the id). Every token of these
+that scores is kept, in a file that is sent to each worker machine once and memory-mapped. Scoring reads every
+whole text.
 
 Defined results: null, empty or letterless text has no segment and the score of that statistic; ids may
-repeat; with no labels, or labels of one class only, all scores are 0 and nothing is predicted; an empty
-table gives no rows; labels, language, source and ids are never inputs of a score.
+repeat; a null id is not held out, nor is it learned from; with no labels, or labels of one class only, all
+scores are 0 and nothing is predicted; an empty table gives no rows; labels, language, source and ids are never
+inputs of a score; ``drop_toxic`` carries other columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import materialise, small_arrow_batches, table
+from chronolith.llm.common import discard, materialise, share_file, small_arrow_batches, table
 
-SAMPLE, FEATURES = 24_000, 20_000
+SAMPLE = 24_000
 PRIOR, EVEN, MARGIN, FLOOR, DRIFT = 500.0, 0.5, 2.0, 1.0, 0.25
 PREFIXES = (4, 5, 6)
 LEAST_COUNT = 3
@@ -42,11 +46,24 @@ SIGNIFICANT = 0.05
 class Model:
     hashes: np.ndarray
     scores: np.ndarray
+    #: The file that workers read both arrays from, by its name for SparkFiles.
+    file: str | None = None
     lam: float = 1.0
     k: float = 1.0
     slope: float = 0.0
     offset: float = float("-inf")
 
+    def __getstate__(self) -> dict:
+        """Travels without its arrays where there is a file."""
+        return self.__dict__ | ({"hashes": None, "scores": None} if self.file else {})
+
+    def opened(self) -> Model:
+        if self.hashes is None:
+            at = SparkFiles.get(self.file)
+            n = os.path.getsize(at) // 16
+            self.hashes, self.scores = np.memmap(at, np.uint64, "r", 0, n), np.memmap(at, np.float64, "r", 8 * n, n)
+        return self
+
 
 def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, starts and ends of their runs of letters, bounds by text."""
@@ -91,25 +108,28 @@ def word_scores(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.n
 def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, word after the last, score) of a text whose positive words are ``at``.
 
-    The words between two positive ones are one step of -drift each. Linear: each segment is pushed once and
-    merged at most once.
+    The words between two positive ones are one step of -drift each. Each segment has a link to the nearest one
+    before it that starts from a lower total, and only links are followed: those between are either merged away or
+    lie behind a link from then on, so the scan is linear.
     """
     stack: list[tuple[int, int, float, float]] = []  # first, after, total before, total at its end
+    lower: list[int] = []
     total, last = 0.0, 0
     for p, s in zip(at.tolist(), score.tolist(), strict=True):
         total -= drift * (p - last)
-        now = (p, p + 1, total, total + s)
+        first, low = p, total
         total, last = total + s, p + 1
-        while True:
-            # the nearest earlier segment that starts from a lower total
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= now[3]:
-                stack.append(now)
-                break
-            now = (stack[j][0], now[1], stack[j][2], now[3])
-            del stack[j:]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= low:
+            j = lower[j]
+        while j >= 0 and stack[j][3] < total:
+            # it joins all from the lower start on, and looks on from there
+            first, low = stack[j][0], stack[j][2]
+            below = lower[j]
+            del stack[j:], lower[j:]
+            j = below
+        stack.append((first, p + 1, low, total))
+        lower.append(j)
     return [(a, b, high - low) for a, b, low, high in stack]
 
 
@@ -183,8 +203,15 @@ def token_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE) -> Model:
-    sample = materialise(labelled_sample(docs, labels, train, size).dropDuplicates(["text"]), "toxicity-sample")
+    sample = materialise(labelled_sample(docs, labels, train, size).groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")
     counts = materialise(token_counts(sample), "toxicity-counts")
+    try:
+        return _fitted(sample, counts)
+    finally:
+        discard(sample, counts)
+
+
+def _fitted(sample: DataFrame, counts: DataFrame) -> Model:
     all_words = counts.filter("h = 0").first()
     none = Model(np.zeros(0, np.uint64), np.zeros(0))
     if all_words is None or not all_words["toxic"] or not all_words["clean"]:
@@ -193,20 +220,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE) -
     prior = PRIOR * (F.col("toxic") + F.col("clean")) / (nt + nc) + EVEN
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c)) - MARGIN * F.sqrt(1 / t + 1 / c) - FLOOR
-    kept = (
-        counts.filter((F.col("h") != 0) & (F.col("toxic") >= LEAST_COUNT))
-        .select("h", odds.alias("s"), (c / (nc + PRIOR)).alias("p"))
-        .filter("s > 0")
-        .orderBy(F.desc("s"), "h")
-        .limit(FEATURES)
-    )
-    rows = kept.collect()
-    if not rows:
+    kept = counts.filter((F.col("h") != 0) & (F.col("toxic") >= LEAST_COUNT)).select("h", odds.alias("s"), (c / (nc + PRIOR)).alias("p")).filter("s > 0").toPandas()
+    if kept.empty:
         return none
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    s, p = np.array([r["s"] for r in rows]), np.array([r["p"] for r in rows])
+    h = kept["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    model = Model(h[order], s[order])
+    h, s, p = h[order], kept["s"].to_numpy(float)[order], kept["p"].to_numpy(float)[order]
+    model = Model(h, s, share_file(counts.sparkSession, "toxicity.tokens", [h.tobytes(), s.tobytes()]))
     model.lam = extreme_rate(s, p)
     model.k = 1.0
     stats = sample_statistics(sample, model)
@@ -238,7 +258,7 @@ def sample_statistics(sample: DataFrame, model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(document_statistics(model, batch.column(0).to_pylist()))
+            rows = list(document_statistics(model.opened(), batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(3)] + [batch.column(1).cast(pa.float64())], ["x", "best", "n", "y"])
 
     return sample.mapInArrow(run, "x double, best double, n double, y double").toPandas()
@@ -279,7 +299,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = sent.value.opened()
         for batch in batches:
             rows = list(document_statistics(m, batch.column(len(keep)).to_pylist()))
             score = probability(m, np.array([r[0] for r in rows])) if rows else np.zeros(0)
@@ -291,18 +311,21 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
 
 
 def training_rows(id_col: str = "doc_id") -> Column:
+    """Whether a row may be learned from; null where the id is null."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns; nothing is joined, so repeated ids are no matter."""
-    return score_documents(docs, model, text_col, tuple(docs.columns)).filter("__score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    scored = score_documents(docs.toDF(*named), model, named[docs.columns.index(text_col)], tuple(named))
+    return scored.filter("__score < 0.5").select(*named).toDF(*docs.columns)
 
 
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), training_rows())
     return score_documents(docs, model).select(
-        "doc_id", (~training_rows()).alias("held_out"), F.col("__score").alias("score"),
+        "doc_id", F.coalesce(~training_rows(), F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__n_passages").alias("n_passages"),
     )
