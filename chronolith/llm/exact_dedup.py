@@ -8,7 +8,10 @@ content:
    so a text held by a third of all rows reaches a reducer as at most ``tasks / salts`` rows;
 3. global: the salt winners meet by (digest, text), at most ``salts`` rows for a text.
 
-No group is ever collected: the state of a text is two numbers.
+No group is ever collected: the state of a text is two numbers. Every row then looks its group up by the digest;
+groups with more than a thousandth of all rows, a thousand of them at most, are broadcast for that and not
+shuffled. Should two texts share a digest, which the groups show since they are told apart by content, the rows of
+these digests look up by content.
 
 Defined results: a null text counts as empty, so null and empty texts form one group; of equal texts the
 largest id stays (null ids lose to any other; a group with null ids only keeps null); rows that repeat an
@@ -18,10 +21,12 @@ other than the id and text are never read, so their names cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import fold_ascii, table, text_or_empty
+from chronolith.llm.common import fold_ascii, look_up, materialise, table, text_or_empty
 
 SALTS = 16
 
@@ -30,11 +35,11 @@ def _digest(body: Column) -> Column:
     return F.unhex(F.sha2(body, 256))
 
 
-def text_groups(docs: DataFrame, carry: Column, body: Column, salts: int = SALTS) -> DataFrame:
+def text_groups(docs: DataFrame, carry: Column, body: Column, salts: int = SALTS, digest: Callable[[Column], Column] = _digest) -> DataFrame:
     """(digest, body, winner, group_size), one row for each distinct body; winner is the largest carry."""
     local = (
         docs.select(carry.alias("winner"), body.alias("body"))
-        .withColumn("digest", _digest(F.col("body")))
+        .withColumn("digest", digest(F.col("body")))
         .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     )
     salted = local.groupBy("digest", "salt", "body").agg(
@@ -45,23 +50,21 @@ def text_groups(docs: DataFrame, carry: Column, body: Column, salts: int = SALTS
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = _digest) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     body = fold_ascii(text_or_empty(F.col(text_col)))
-    groups = text_groups(docs, F.col(id_col), body, salts).select(
-        "digest", F.xxhash64("body").alias("check"), F.col("winner").alias("keep_id"), "group_size"
-    )
-    rows = (
-        docs.select(F.col(id_col).alias("doc_id"), body.alias("body"))
-        .select("doc_id", _digest(F.col("body")).alias("digest"), F.xxhash64("body").alias("check"))
-    )
-    return rows.join(groups, ["digest", "check"]).select(
-        F.col("doc_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    bodies = text_groups(docs, F.col(id_col), body, salts, digest)
+    groups = materialise(bodies.select("digest", F.col("winner").alias("keep_id"), "group_size"), "dedup-groups")
+    shared = materialise(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "dedup-shared")
+    rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).withColumn("digest", digest(F.col("body")))
+    sha = F.sha2("body", 256) if digest is not _digest else F.lower(F.hex("digest"))
+    if shared.isEmpty():
+        met = look_up(rows.select("doc_id", "digest", sha.alias("text_sha256")), groups, "digest", "group_size")
+    else:
+        alone = look_up(rows.select("doc_id", "digest", sha.alias("text_sha256")).join(shared, "digest", "left_anti"), materialise(groups.join(shared, "digest", "left_anti"), "dedup-alone"), "digest", "group_size")
+        both = bodies.join(shared, "digest", "left_semi").select("digest", "body", F.col("winner").alias("keep_id"), "group_size")
+        met = alone.unionByName(rows.join(both, ["digest", "body"]).select("doc_id", "digest", sha.alias("text_sha256"), "keep_id", "group_size"))
+    return met.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:

@@ -10,7 +10,8 @@ rule version) ever scanned, with the spans found. A scan of a table of versions
 
 Spans are code-point offsets, end exclusive, of leftmost non-overlapping matches. Spark gives the matches
 (``regexp_extract_all``) and the text between them (``split``) but no offsets; running sums of both
-lengths are the offsets.
+lengths are the offsets, in time that grows with their number. A blob that very many paths show is met by them
+where it is broadcast (a thousand such blobs at most), so no task gets all of its paths.
 
 Defined results: null text counts as empty; no findings give counts of 0, an empty span string and the
 digest of the empty string; repeated rows each get the findings of their blob; a text may be of any
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialise, table, text_or_empty
+from chronolith.llm.common import let, look_up, materialise, sums_before, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -62,22 +63,19 @@ def spans_of(text: Column, rule: Rule) -> Column:
     """Spans of the rule's matches that are long enough; an empty array without any."""
     pattern = F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g) >= rule.least) if rule.group else F.transform(hits, lambda _: F.lit(True))
-    steps = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p).cast("bigint")).alias("gap"),
-        F.transform(hits, lambda h: F.length(h).cast("bigint")).alias("len"),
-        kept.alias("kept"),
+    group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
+    steps = F.zip_with(
+        F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p).cast("bigint")),
+        F.zip_with(hits, group, lambda h, g: F.struct(F.length(h).cast("bigint").alias("len"), (F.length(g) >= rule.least).alias("kept"))),
+        lambda gap, h: F.struct(gap.alias("gap"), h["len"].alias("len"), h["kept"].alias("kept")),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["len"], F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["kept"], F.lit(False)), F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def placed(x: Column) -> Column:
+        before = sums_before(F.transform(x, lambda s: s["gap"] + F.coalesce(s["len"], F.lit(0).cast("bigint"))))
+        spans = F.zip_with(x, before, lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["len"]).alias("end"), s["kept"].alias("kept")))
+        return F.transform(F.filter(spans, lambda s: F.coalesce(s["kept"], F.lit(False))), lambda s: F.struct(s["start"], s["end"])).cast(SPANS)
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.sign), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.sign), let(steps, placed)).otherwise(F.array().cast(SPANS))
 
 
 def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,7 +118,9 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("of"))).alias("hits"))
     )
-    return versions.select("path", "blob").join(hits, "blob", "left")
+    shown = versions.groupBy("blob").agg(F.count(F.lit(1)).alias("paths"))
+    found = materialise(hits.join(shown, "blob"), "secret-hits")
+    return look_up(versions.select("path", "blob"), found, "blob", "paths").drop("paths")
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
