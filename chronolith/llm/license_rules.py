@@ -5,14 +5,13 @@ normalised to lower-case letters and digits with single spaces between. A known
 module, some dozen rows) is found where it fills one piece or several adjacent ones: a notice wrapped at any
 width or in a comment is read as on one line, and a stop within a sentence (``v. 2.0``) does not hide it. Blank
 lines end a sentence, and it has to begin and end at a cut. Of sentences found one within another the longest
-counts. The few (document, place, identifier) rows that remain are gathered by document in order of place into
-an identifier sequence; a rule, an ordered sequence of identifiers, matches where its identifiers stand in that
-order, with nothing known in between.
-
-Only matched sentences are shuffled, so neither a hot source nor long texts weigh on a task. Defined
-results: null or empty text has no sentences and no licence; a repeated sentence counts each time; rows
-that repeat an id pool their sentences and all show the pooled result; an empty table gives no rows; only
-the id and text columns are read.
+counts. What is found in a text, in order of place, is its identifier sequence; a rule, an ordered sequence of
+identifiers, matches where its identifiers stand in that order, with nothing known in between.
+
+All of this happens within a row, so nothing is shuffled, and neither a hot source nor long texts weigh on a task.
+Defined results: null or empty text has no sentences and no licence; a repeated sentence counts each time;
+each row shows what its own text holds, whatever other rows have its id; an empty table gives no rows; only the id
+and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import table, text_or_empty
+from chronolith.llm.common import sums_before, table, text_or_empty
 
 #: White space after a sentence, which is a cut like the line end that may follow it.
 STOP = r"(?<=[.!?])[^\S\n]++(?!\n)"
@@ -92,43 +91,43 @@ def pieces(text: Column) -> Column:
 
 
 def license_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES) -> DataFrame:
-    """(doc_id, pos, sid) of every known sentence, pos being its place in the pieces of its text."""
-    norms = {sid: re.sub("[^a-z0-9]+", " ", x.lower()).strip() for sid, x in sentences.items()}
-    known = F.array(*[F.struct(F.lit(sid).alias("sid"), F.lit(x).alias("norm"), F.lit(r"(?<=\n)" + x.replace(" ", r"[ \n]") + r"(?=\n)").alias("pattern")) for sid, x in norms.items()])
+    """(doc_id, found): of every row the known sentences (pos, sid) in order, pos being the place in the pieces of its text."""
+    names, norms = list(sentences), [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in sentences.values()]
+    n = len(names)
+    patterns = [r"(?<=\n)" + x.replace(" ", r"[ \n]") + r"(?=\n)" for x in norms]
+    known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("norm"), F.lit(p).alias("pattern")) for i, (x, p) in enumerate(zip(norms, patterns, strict=True))])
+    #: Sentences that stand in longer ones: (number, number of the longer one, where in it).
+    inner = [(i, j, m.start()) for i, x in enumerate(norms) for j, y in enumerate(norms) if len(x) < len(y) for m in re.finditer(rf"(?<![a-z0-9]){x}(?![a-z0-9])", y)]
 
     def places(k: Column) -> Column:
-        between, long = F.split("cut", k["pattern"]), F.length(k["norm"])
-        start = lambda i: F.length(F.array_join(F.slice(between, F.lit(1), i), "")) + (i - 1) * long
-        numbers = F.filter(F.sequence(F.lit(0), F.size(between) - 1), lambda i: i > 0)
-        return F.transform(numbers, lambda i: F.struct(start(i).alias("pos"), (start(i) + long).alias("end"), k["sid"].alias("sid")))
+        """place * n + number of the sentence, for each of its places."""
+        between, long = F.split("cut", k["pattern"]), F.length(k["norm"]).cast("bigint")
+        before = sums_before(F.transform(between, lambda g: F.length(g) + long))
+        starts = F.zip_with(between, before, lambda g, at: (at + F.length(g)) * n + k["i"])
+        return F.slice(starts, F.lit(1), F.size(between) - 1)
 
     # Generators keep Spark from working out the pieces anew for each sentence.
     cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(pieces(text_or_empty(F.col(text_col))))).alias("cut"))
     flat = cut.select("doc_id", "cut", F.explode(F.array(F.translate("cut", "\n", " "))).alias("flat"))
-    held = flat.filter(reduce(or_, [F.col("flat").contains(x) for x in norms.values()]))
+    held = reduce(or_, [F.col("flat").contains(x) for x in norms])
     hits = F.filter(known, lambda k: F.contains(F.col("flat"), k["norm"]))
-    found = held.select("doc_id", F.explode(F.array(F.flatten(F.transform(hits, places)))).alias("found"))
-    within = lambda x: lambda y: (y["pos"] <= x["pos"]) & (y["end"] >= x["end"]) & (y["end"] - y["pos"] > x["end"] - x["pos"])
-    longest = F.filter("found", lambda x: ~F.exists("found", within(x)))
-    return found.select("doc_id", F.explode(longest).alias("x")).select("doc_id", "x.pos", "x.sid")
+    codes = F.when(held, F.flatten(F.transform(hits, places))).otherwise(F.array().cast("array<bigint>"))
+    found = flat.select("doc_id", F.explode(F.array(codes)).alias("codes"))
+    moved = lambda j, by: F.transform(F.filter("codes", lambda c: c % n == j), lambda c: c + by)
+    covered = [moved(j, at * n + i - j) for i, j, at in inner]
+    longest = F.array_except("codes", F.concat(*covered)) if covered else F.col("codes")
+    sid = F.array(*[F.lit(x) for x in names])
+    return found.select("doc_id", F.transform(F.array_sort(longest), lambda c: F.struct(F.floor(c / n).alias("pos"), sid[(c % n).cast("int")].alias("sid"))).alias("found"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """One row per input row: id, n_sentences, sequence (identifiers in order), licenses (sorted, distinct), both comma-joined."""
-    sequences = (
-        license_sentences(docs, id_col, text_col, sentences)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("found"))
-        .select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.array_join(F.transform("found", lambda x: x["sid"]), ",").alias("sequence"))
-    )
+    found = license_sentences(docs, id_col, text_col, sentences)
+    sequences = found.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.array_join(F.transform("found", lambda x: x["sid"]), ",").alias("sequence"))
     framed = F.concat(F.lit(","), F.col("sequence"), F.lit(","))
     matched = F.array(*[F.when(framed.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in rules])
-    named = sequences.withColumn("licenses", F.array_join(F.array_sort(F.array_distinct(F.array_compact(matched))), ","))
-    left = docs.select(F.col(id_col).alias("doc_id"))
-    return left.join(named, left["doc_id"].eqNullSafe(named["doc_id"]), "left").select(
-        left["doc_id"].alias(id_col), F.coalesce("n_sentences", F.lit(0).cast("long")).alias("n_sentences"),
-        F.coalesce("sequence", F.lit("")).alias("sequence"), F.coalesce("licenses", F.lit("")).alias("licenses"),
-    )
+    licenses = F.when(F.col("n_sentences") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(matched))), ",")).otherwise("")
+    return sequences.select(F.col("doc_id").alias(id_col), "n_sentences", "sequence", licenses.alias("licenses"))
 
 
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
