@@ -15,9 +15,12 @@ Words before a document come from prefix sums in two levels: sums of (source, md
 sums of the cells, running sums within a cell. A cell holds 1/4096 of a source, so no task sees a whole
 source however hot it is; the table of cells is shuffled, not collected.
 
+The sources themselves are ranked and summed in ranges of the order asked for, so their number is no matter.
+
 Defined results: null text has size 0; null source is a source of its own, the last; documents of size 0
 are taken once within the target and move nothing; repeated rows queue up one after the other; an empty
-table gives no rows; columns besides id, text and source are not read.
+table gives no rows; ``curriculum`` reads no columns besides id, text and source, ``mixed_documents`` carries the
+others, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialise, row_key, table, text_or_empty
+from chronolith.llm.common import fresh, materialise, table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -39,27 +42,35 @@ def _by_rank(values: tuple, rank) -> F.Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.pmod(rank, F.lit(len(values))) + 1).cast("int"))
 
 
+def summed_before(rows: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """rows with the running sums before each, in an order that tells all rows apart: sorted ranges, and the sums of the ranges before.
+
+    Only the ranges' sums, a row for each shuffle partition, go through one task.
+    """
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "mixing-ranges")
+    ranges = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__{k}") for k, v in sums.items()])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranges.select("__range", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(begins), "__range")
+    return placed.select(*rows.columns, *[(F.col(f"__{k}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(k) for k, v in sums.items()])
+
+
 def source_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """sources: (skey, source_size), one row a source. Adds weight, w0, w1 and target."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("skey")) - 1
     ranked = (
-        sources.withColumn("rank", rank)
+        summed_before(sources, ["skey"], rank=F.lit(1))
         .withColumn("weight", _by_rank(WEIGHTS, F.col("rank")))
         .withColumn("w0", _by_rank(tuple(s[0] for s in SCHEDULES), F.col("rank")))
         .withColumn("w1", _by_rank(tuple(s[1] for s in SCHEDULES), F.col("rank")))
         .withColumn("cap", (F.col("source_size") * max_repeats).cast("double"))
+        .withColumn("full", F.col("cap") / F.col("weight"))
     )
-    before = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "skey").rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    )
-    levelled = ranked.withColumn("level", level)
+    stepped = materialise(summed_before(ranked, ["full", "skey"], capped=F.col("cap"), weighed=F.col("weight")), "mixing-levels")
+    size, weight = stepped.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
     #: Levels rise over the capped sources and fall after the first that is not capped: the highest holds.
-    return levelled.withColumn("water", F.max("level").over(everything)).withColumn(
-        "target", F.least(F.col("cap"), F.col("water") * F.col("weight"))
-    ).drop("rank", "level", "water", "cap")
+    water = stepped.agg(F.max((F.lit(size or 0.0) - F.col("capped")) / (F.lit(weight or 1.0) - F.col("weighed")))).first()[0]
+    return stepped.withColumn("target", F.least(F.col("cap"), F.lit(water).cast("double") * F.col("weight"))).drop("rank", "cap", "full", "capped", "weighed")
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS, key: Column | None = None) -> DataFrame:
@@ -105,16 +116,15 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows the mix takes, each as often as it is taken, with all their columns, sorted by training position.
 
-    Rows are told apart by a digest of id and text; of rows equal in both each keeps its own copies.
+    Rows are told apart by a digest of all their columns; rows that are equal throughout each keep their own copies.
     """
-    name = "__row_key"
-    key = row_key(id_col, text_col)
-    copies = (
-        curriculum(docs, id_col, text_col, source_col, max_repeats, key)
-        .select(F.col("key").alias(name), F.explode("positions").alias("__position"))
-        .withColumn("__nth", F.row_number().over(Window.partitionBy(name).orderBy("__position")))
-    )
-    return docs.withColumn(name, key).join(copies, name).dropDuplicates([name, "__nth"]).orderBy("__position", name).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, position = fresh("__row_key", docs.columns), fresh("__position", docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    digest = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.coalesce(F.col(text_col), F.lit("\x01")), F.to_json(F.struct(F.lit(0), *others))), 256)
+    copies = curriculum(docs, id_col, text_col, source_col, max_repeats, digest).select(F.col("key").alias(key), F.explode("positions").alias(position))
+    # rows that are equal throughout are one row here, and each of their copies a row of the other side
+    rows = docs.withColumn(key, digest).dropDuplicates([key])
+    return rows.join(copies, key).orderBy(position, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
