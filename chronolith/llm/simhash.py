@@ -9,14 +9,16 @@ postings, whose number grows with the square of the corpus. Candidates are verif
 
 Equal fingerprints are one class before the index, so copies are never paired. Within a posting only the
 edges of a spanning forest of its verified links leave: members that are linked already are not paired
-again, and a posting of one dense group costs about its size. No link between different components of a
-posting is lost, so reachability over all postings is exact. A task streams its sorted postings; what it
-holds of one posting is eight bytes a distinct fingerprint.
+again, and a posting of one dense group costs about its size. A posting of more than ``SPLIT`` members is filtered
+once more by its half bytes, so many unlinked members are not compared with each other. No link between different
+components of a posting is lost, so reachability over all postings is exact. A task streams its sorted postings;
+what it holds of one posting is eight bytes a distinct fingerprint. Rows look their component up with hot
+fingerprints, a thousand at most, broadcast.
 
 Defined results: null or empty text and text of blanks has fingerprint zero and is linked like any other;
 fewer than four words are one shingle; repeated rows and copies share a fingerprint and a component; null
-ids do not become a component's id unless all of its ids are null; an empty table gives no rows; columns
-other than the id and text are not read.
+ids do not become a component's id unless all of its ids are null; an empty table gives no rows; the labels read
+no columns but the id and text, and ``keep_one`` carries the others, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import materialise, row_key, small_arrow_batches, table
+from chronolith.llm.common import fresh, look_up, materialise, row_key, small_arrow_batches, table
 from chronolith.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -39,6 +41,8 @@ SHINGLE, SEED = 4, 42
 MAX_BITS = 4
 SHARED_BYTES = 8 - MAX_BITS
 CHOICES = tuple(combinations(range(8), SHARED_BYTES))
+#: Members from which on a posting is split further.
+SPLIT = 2048
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -111,6 +115,31 @@ def forest(members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 rest = rest[~hit]
 
 
+def split_forest(members: np.ndarray, choice: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``forest``, of a large posting of that choice: the same count filter once more, on half bytes.
+
+    Its members agree in the chosen bytes, so two linked ones differ in at most four of the eight half bytes of the
+    others and meet under some choice of four of these. What meets there agrees in 48 bits, and among the values of
+    the other 16 no more than a few hundred can be pairwise unlinked, so its forest is cheap.
+    """
+    data = np.ascontiguousarray(members).view(np.uint8).reshape(-1, 8)
+    rest = data[:, [p for p in range(8) if p not in CHOICES[choice]]]
+    half = np.concatenate([rest & 15, rest >> 4], 1).astype(np.int64)
+    sets = K.Sets(len(members))
+    for places in CHOICES:
+        key = half[:, places] @ np.array([1, 1 << 4, 1 << 8, 1 << 12])
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.diff(key[order])) + 1
+        for part in np.split(order, cut):
+            if len(part) < 2 or (len(part) > 2 and len({sets.root(i) for i in part.tolist()}) == 1):
+                continue
+            place = dict(zip(members[part].tolist(), part.tolist(), strict=True))
+            for a, b in forest(members[part]):
+                new = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if sets.join(place[x], place[y])]
+                if new:
+                    yield a[new], b[new]
+
+
 def _first_choice(x: np.ndarray) -> np.ndarray:
     """Number of the first composite posting that a pair shares, from its exclusive or."""
     same = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0
@@ -141,7 +170,8 @@ def posting_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if once.any():
                 yield edges(a[once], b[once])
         for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for a, b in forest(fp[s : s + n]):
+            found = forest(fp[s : s + n]) if n <= SPLIT else split_forest(fp[s : s + n], int(key[s] >> 32))
+            for a, b in found:
                 yield edges(a, np.ascontiguousarray(b))
 
     for batch in batches:
@@ -177,29 +207,30 @@ def link_edges(classes: DataFrame) -> DataFrame:
 
 
 def component_ids(prints: DataFrame, rep: Column) -> DataFrame:
-    """prints (fp, ...) -> (fp, component), the component being the least ``rep`` over all rows reachable."""
-    classes = materialise(prints.groupBy("fp").agg(F.min(rep).alias("rep")), "simhash-classes")
+    """prints (fp, ...) -> (fp, n, component): its rows, and the least ``rep`` over all rows reachable."""
+    classes = materialise(prints.groupBy("fp").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = components(link_edges(classes.select("fp")))
-    labelled = materialise(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    return labelled.join(least, "root").select("fp", "component")
+    labelled = materialise(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "rep", "root"), "simhash-roots", (classes,))
+    least = materialise(labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("prints")), "simhash-least")
+    return look_up(labelled, least, "root", "prints").select("fp", "n", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = materialise(fingerprint_documents(docs, id_col, text_col), "simhash-prints")
-    return prints.join(component_ids(prints, F.col("doc_id")), "fp").select(
+    named = materialise(component_ids(prints, F.col("doc_id")), "simhash-components")
+    return look_up(prints, named, "fp", "n").select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each component (that of the smallest id, of equal ids the least key), with all their columns."""
-    key = row_key(id_col, text_col)
+    key, name = row_key(id_col, text_col), fresh("__row_key", docs.columns)
     prints = materialise(fingerprint_documents(docs, id_col, text_col, key), "simhash-prints")
-    best = prints.join(component_ids(prints, F.struct(F.col("doc_id").isNull(), "doc_id", "extra")), "fp").filter(F.col("component.extra") == F.col("extra"))
-    name = "__row_key"
-    return docs.withColumn(name, key).join(best.select(F.col("extra").alias(name)), name, "left_semi").dropDuplicates([name]).drop(name)
+    named = component_ids(prints, F.struct(F.col("doc_id").isNull(), "doc_id", "extra"))
+    best = named.select(F.col("component.extra").alias(name)).distinct()
+    return docs.withColumn(name, key).join(best, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op10_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:

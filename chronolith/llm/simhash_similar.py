@@ -30,7 +30,7 @@ the byte.
 Defined results: null and empty texts and texts of blanks have no shingle and are copies of each other, like
 nothing else; fewer than five words are one shingle; of a group the row of the smallest id stays (null ids
 last, of equal ids the least digest of id and text), once where rows repeat; an empty table gives no rows;
-other columns are carried and may have any name but ``__row_key``.
+other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import materialise, row_key, small_arrow_batches
+from chronolith.llm.common import discard, fresh, materialise, row_key, small_arrow_batches
 from chronolith.llm.components import components
 
 SHINGLE, SIMILARITY, CANDIDATE, COMPARED = 5, 0.8, 0.68, 0.7
@@ -118,27 +118,10 @@ def linked(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least:
     return good
 
 
-class _Sets:
-    """Union-find over members 0..n-1."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def posting_forest(position: int, value: np.ndarray, fp: np.ndarray, size: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Edges (row, row) of a spanning forest of the links in the postings (position, value) of these rows."""
     data = fp.view(np.uint8).reshape(len(fp), -1)
-    sets, edges = _Sets(len(fp)), []
+    sets, edges = K.Sets(len(fp)), []
     group = value.astype(np.int64) << 16
 
     def join(pairs: Iterator[tuple[int, int]]) -> None:
@@ -259,7 +242,9 @@ def _edges(batches: Iterator[pa.RecordBatch], words: int = WORDS, least: float =
     """Sorted (posting, node, n, fp) rows -> edges (u, v) of nodes; with a fifth column, label, those of ``posting_pairs``."""
     for t in _whole_postings(batches):
         posting, node, n, *label = (t.column(i).to_numpy() for i in range(t.num_columns) if i != 3)
-        fp = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(-1, words)
+        packed = t.column(3).combine_chunks()
+        first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
+        fp = np.frombuffer(packed.buffers()[2], np.uint64, words * len(packed), int(first)).reshape(-1, words)
         cut = np.flatnonzero(np.append(True, posting[1:] >> 8 != posting[:-1] >> 8))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(posting)], strict=True):
             rows = int(posting[a] >> 8), posting[a:b] & 255, fp[a:b], n[a:b].astype(np.float64)
@@ -364,19 +349,20 @@ def representatives(docs: DataFrame, text_col: str, rep: Column) -> DataFrame:
     candidates = materialise(classes.join(near, "node", "left_semi").select("node", "rep"), "similar-candidates")
     wide = materialise(wide_prints(docs, text_col, rep, candidates), "similar-wide")
     forest = materialise(link_edges(wide, WIDE, SIMILARITY), "similar-forest")
-    groups = materialise(components(compared(forest, wide).union(short_edges(classes))), "similar-groups")
+    groups = materialise(components(compared(forest, wide).union(short_edges(classes))), "similar-groups", (forest,))
     for best in (True, False):
         labelled = wide.join(groups, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("label"))
         pairs = materialise(link_edges(labelled, WIDE, COMPARED, best), "similar-pairs")
         so_far = groups.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        groups = materialise(components(so_far.union(compared(pairs, wide))), "similar-groups")
+        groups = materialise(components(so_far.union(compared(pairs, wide))), "similar-groups", (pairs, groups))
+    discard(wide, candidates)
     roots = groups.withColumnRenamed("node", "of")
     return classes.join(roots, F.col("node") == F.col("of"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each group, with all their columns."""
-    key, name = row_key(id_col, text_col), "__row_key"
+    key, name = row_key(id_col, text_col), fresh("__row_key", docs.columns)
     rep = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))
     best = representatives(docs, text_col, rep).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias(name))
     return docs.withColumn(name, key).join(best, name, "left_semi").dropDuplicates([name]).drop(name)
