@@ -10,12 +10,14 @@ are a mean over its n-grams: whole texts are scored in array operations, and wha
 of ``BUCKETS`` rows.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there is nothing to learn
-from; equal texts get equal results; very long texts are read whole; an empty table gives no rows; language,
-source and id are never inputs of a prediction.
+from; equal texts get equal results; very long texts are read whole, a stretch at a time; a null id is not held
+out, nor is it learned from; an empty table gives no rows; language, source and id are never inputs of a
+prediction, and columns besides id, text and language are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,30 +48,35 @@ class Model:
     temperature: float = 1.0
 
 
-def grams(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """For every order (text of each n-gram, its bucket); n-grams by text; letters by text."""
+def grams(texts: list[str | None], chunk: int = 1 << 20) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(text of each n-gram, its bucket) of one order and ``chunk`` places after the other; n-grams by text; letters by text."""
     cps, bounds = K.code_points([(t or "").lower() for t in texts])
     letter = K.char_classes()[cps] == K.LETTER
-    first = np.zeros(len(cps) + 1, bool)
-    first[bounds] = True
-    before = np.ones(len(cps), bool)
-    before[1:] = letter[:-1]
-    keep = letter | before | first[:-1]
-    at = np.concatenate([[0], np.cumsum(keep)])[bounds]
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    cps = np.where(letter, cps, 0x20)[keep].astype(np.uint64)
-    text = np.repeat(np.arange(len(texts)), np.diff(at))
-    end = np.repeat(at[1:], np.diff(at))
-    found, total = [], np.zeros(len(texts), np.int64)
-    for n in ORDERS:
-        starts = np.flatnonzero(np.arange(len(cps)) + n <= end)
-        h = np.full(len(starts), n, np.uint64)
-        for j in range(n):
-            h = (h + cps[starts + j]) * MULTIPLIERS[j]
-            h ^= h >> np.uint64(29)
-        found.append((text[starts], ((h * MULTIPLIERS[0]) >> np.uint64(64 - 15)).astype(np.int64)))
-        total += np.bincount(text[starts], minlength=len(texts))
-    return found, total, letters[bounds[1:]] - letters[bounds[:-1]]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[bounds[:-1][np.diff(bounds) > 0]] = True
+    spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    letters = np.array([np.count_nonzero(letter[a:b]) for a, b in spans], np.int64)
+    at = np.concatenate([[0], np.cumsum([np.count_nonzero(keep[a:b]) for a, b in spans])]).astype(np.int64)
+    cps = np.where(letter, cps, np.uint32(0x20))[keep]
+    size = np.diff(at)
+    total = sum(np.maximum(0, size - n + 1) for n in ORDERS)
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(cps), chunk):
+            place = np.arange(a, min(len(cps), a + chunk))
+            text = np.searchsorted(at, place, "right") - 1
+            left = at[text + 1] - place
+            for n in ORDERS:
+                fits = left >= n
+                starts = place[fits]
+                h = np.full(len(starts), n, np.uint64)
+                for j in range(n):
+                    h = (h + cps[starts + j].astype(np.uint64)) * MULTIPLIERS[j]
+                    h ^= h >> np.uint64(29)
+                yield text[fits], ((h * MULTIPLIERS[0]) >> np.uint64(64 - 15)).astype(np.int64)
+
+    return found(), total, letters
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -80,12 +87,13 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a in range(0, len(texts), 64):
-                part = texts[a : a + 64]
-                there = np.zeros((len(part), BUCKETS), bool)
-                for text, bucket in grams(part)[0]:
-                    there[text, bucket] = True
-                df += there.sum(0)
-                n += len(part)
+                for x, y in K.batches(texts[a : a + 64]):
+                    part = texts[a + x : a + y]
+                    there = np.zeros((len(part), BUCKETS), bool)
+                    for text, bucket in grams(part)[0]:
+                        there[text, bucket] = True
+                    df += there.sum(0)
+                    n += len(part)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["bucket", "df"])
 
@@ -97,7 +105,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def sampled(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], pd.DataFrame]:
-    """Languages in order, and (lang, bucket bytes, count bytes) of about size / languages rows of each."""
+    """Languages in order, and (lang, bucket bytes, count bytes) of about size / languages rows of each, in an order that only these decide."""
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     languages = sorted(counts)
     shares = {k: min(1.0, size / len(counts) / n) for k, n in counts.items()}
@@ -111,14 +119,15 @@ def sampled(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], pd.DataFram
             bs, cs = [], []
             texts = batch.column(1).to_pylist()
             for t in texts:
-                found, _, _ = grams([t])
-                n = np.bincount(np.concatenate([b for _, b in found]), minlength=1)
+                n = sum((np.bincount(b, minlength=BUCKETS) for _, b in grams([t])[0]), np.zeros(BUCKETS, np.int64))
                 b = np.flatnonzero(n)
                 bs.append(b.astype(np.uint16).tobytes())
                 cs.append(n[b].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bs, pa.binary()), pa.array(cs, pa.binary())], ["lang", "b", "c"])
 
-    return languages, chosen.mapInArrow(run, "lang string, b binary, c binary").toPandas()
+    rows = chosen.mapInArrow(run, "lang string, b binary, c binary").toPandas()
+    mixed = rows.assign(key=[hashlib.sha256(b + c).digest() for b, c in zip(rows["b"], rows["c"], strict=True)])
+    return languages, mixed.sort_values(["key", "lang"], kind="stable", ignore_index=True)[["lang", "b", "c"]]
 
 
 def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +200,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
             names += [UNKNOWN] * (b - a)
             scores.append(np.zeros(b - a))
             continue
-        logits = np.zeros((b - a, k))
-        for j in range(k):
-            column = np.ascontiguousarray(model.weights[:, j])
-            for text, bucket in found:
-                logits[:, j] += np.bincount(text, column[bucket], b - a)
+        logits, columns = np.zeros((b - a, k)), np.ascontiguousarray(model.weights.T)
+        for text, bucket in found:
+            for j in range(k):
+                logits[:, j] += np.bincount(text, columns[j][bucket], b - a)
         logits = (logits / np.maximum(1, total)[:, None] + model.bias) / model.temperature
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -221,10 +229,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    """Whether the remainder is 2; a null id has none."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
