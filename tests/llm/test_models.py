@@ -4,14 +4,19 @@ import hashlib
 import math
 import random
 import re
+import time
+import unicodedata
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels, language_id, scaled_sketch, simhash, simhash_similar, toxicity
+from chronolith.llm.common import materialise
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS, frame
 from tests.llm.test_native import fold
@@ -61,6 +66,55 @@ def test_containment_estimates_are_close():
     assert scaled_sketch.merge(f, f) == scaled_sketch.parse(f)[2] == s.hashes[: s.bounds[1]].tolist()
 
 
+M64 = (1 << 64) - 1
+
+
+def brute_mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def brute_sketch(t):
+    """(number, sum, retained hashes) by plain integers: a polynomial for each word, another over the words of a shingle."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    h = []
+    for w in words:
+        value = sum((ord(c) + 1) * pow(kernels.BASE, i, 1 << 64) for i, c in enumerate(w)) & M64
+        h.append(brute_mixed(value ^ len(w) * 0xD6E8FEB86659FD93 & M64) if len(w) <= 128 else xxhash.xxh64_intdigest(w.encode("utf-32-le")))
+    n, found = min(5, len(h)), set()
+    for i in range(len(h) - n + 1 if h else 0):
+        v = 0
+        for x in h[i : i + n]:
+            v = (v + x) * int(scaled_sketch.STEP) & M64
+        found.add(brute_mixed(v + n & M64))
+    return len(found), sum(found) & M64, {x >> 16 for x in found if x >> 16 < (1 << 48) // 4}
+
+
+def brute_contained(a, b):
+    return 1.0 if a[:2] == b[:2] else len(a[2] & b[2]) / len(a[2]) if a[2] else 0.0
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_sketches_against_brute_force(request, listed, which):
+    df = request.getfixturevalue(which)
+    rows = [r for r in (listed if which == "docs" else [(i, t) for i, t, *_ in ROWS]) if r[0] is not None]
+    sketch, got, want = {t: brute_sketch(t) for t in {x or "" for _, x in rows}}, [], []
+    for r in scaled_sketch.fingerprint_pairs(df.filter("doc_id IS NOT NULL")).collect():
+        parts = []
+        for name in ("fingerprint", "edited_fingerprint"):
+            n, total, kept = scaled_sketch.parse(r[name])
+            assert kept == sorted(kept)
+            parts.append((n, total, frozenset(kept)))
+        got.append((r["doc_id"], r["edited_sha256"], *parts, round(r["near_edited"], 9), round(r["near_next"], 9)))
+    for i, _, e, t, nxt in edited(rows):
+        parts = [(n, total, frozenset(kept)) for n, total, kept in (sketch[t], brute_sketch(e))]
+        want.append((i, hashlib.sha256(e.encode()).hexdigest(), *parts, round(brute_contained(sketch[t], parts[1]), 9), round(brute_contained(sketch[t], sketch[nxt]), 9)))
+    assert Counter(got) == Counter(want)
+
+
 # --- SimHash
 
 
@@ -119,21 +173,37 @@ def test_postings_reach_every_link(spark, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_large_postings_are_split(monkeypatch):
+    """Members that agree in the bytes of a choice, most of them unlinked: the components are those of all pairs."""
+    rng = np.random.default_rng(2)
+    choice = 17
+    free = [p for p in range(8) if p not in simhash.CHOICES[choice]]
+    data = np.tile(np.frombuffer(b"\x01\x02\x03\x04\x05\x06\x07\x08", np.uint8), (900, 1)).copy()
+    data[:, free] = rng.integers(0, 256, (900, 4))
+    for i in range(300, 900):  # chains
+        data[i] = data[i - 300]
+        data[i, free[int(rng.integers(4))]] ^= 1 << int(rng.integers(8)) | 1 << int(rng.integers(8))
+    fps = np.unique(data.view(np.uint64).ravel())
+    up = kernels.Sets(len(fps))
+    place = {int(f): i for i, f in enumerate(fps)}
+    n = 0
+    for a, b in simhash.split_forest(fps, choice):
+        assert (np.bitwise_count(a ^ b) <= 4).all()
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            n += up.join(place[x], place[y])
+    want = brute_components(fps.tolist())
+    assert n == len(fps) - len(set(want))
+
+
 # --- SimHash by similarity
 
 
 def brute_similar(texts):
-    """A root for each text: linked if 2048 bits put the similarity of the sets of 5-word shingles at 0.8 or more."""
-    sets, prints = [], []
+    """A root for each text: linked if the sets of 5-word shingles have a similarity of 0.8 or more."""
+    sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
-        s = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))} if w else set()
-        spread = kernels.mixed(np.array(sorted(s), np.uint64)[:, None] + np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        ones = np.zeros((32, 64), np.int64)
-        for row in spread:
-            ones += (row[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
-        sets.append(s)
-        prints.append((2 * ones.ravel() > len(s)).astype(np.int8))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     parent = list(range(len(texts)))
 
     def root(i):
@@ -141,12 +211,9 @@ def brute_similar(texts):
             i = parent[i]
         return i
 
-    for i, a in enumerate(prints):
-        apart = (np.array(prints[:i]) != a).sum(1) if i else []
-        for j in np.flatnonzero(np.asarray(apart) < 512).tolist():
-            m, n = len(sets[i]), len(sets[j])
-            shared = min(math.cos(math.pi * apart[j] / 2048) * math.sqrt(m * n), m, n)
-            if (m == n == 0) or (m and n and shared / (m + n - shared) >= 0.8):
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
                 parent[root(i)] = root(j)
     return [root(i) for i in range(len(texts))]
 
@@ -239,7 +306,7 @@ def test_postings_split_over_batches():
     rows = sorted((p << 8 | int(data[i, p]), i) for p in simhash_similar.FIRSTS for i in node)
     key, of = (np.array(x) for x in zip(*rows, strict=True))
     whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(n[of]), pa.array([fp[i].tobytes() for i in of], pa.binary())], ["posting", "node", "n", "fp"])
-    up = simhash_similar._Sets(len(fp))
+    up = kernels.Sets(len(fp))
     for b in simhash_similar._edges(whole.slice(a, 7) for a in range(0, len(whole), 7)):
         for i, j in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
             assert np.bitwise_count(fp[i] ^ fp[j]).sum() < 80
@@ -276,25 +343,131 @@ def test_penalties_leave_zeros_and_temperature_calibrates():
     assert abs(language_id.best_temperature(logits * 3, y) - 3) < 0.5
 
 
+def brute_grams(t):
+    """n-grams of a text as (order, letters), by plain strings."""
+    kept = re.sub(r"[^\w]|[\d_]", " ", (t or "").lower()) if (t or "").isascii() else "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower())
+    kept = re.sub(" +", " ", kept)
+    return [kept[i : i + n] for n in language_id.ORDERS for i in range(len(kept) - n + 1)]
+
+
+def brute_bucket(g):
+    h = len(g)
+    for c, m in zip(g, language_id.MULTIPLIERS.tolist(), strict=False):
+        h = (h + ord(c)) * m & M64
+        h ^= h >> 29
+    return (h * int(language_id.MULTIPLIERS[0]) & M64) >> 49
+
+
+def brute_leader(rows, k):
+    """FTRL-proximal one weight at a time, as its authors give it."""
+    z, n, order = defaultdict(float), defaultdict(float), np.random.default_rng(0)
+
+    def weight(key, l1):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((language_id.BETA + math.sqrt(n[key])) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.EPOCHS):
+        for i in order.permutation(len(rows)):
+            b, v, y = rows[i]
+            x = [(int(j), float(u)) for j, u in zip(b, v, strict=True)]
+            w = {(j, c): weight((j, c), language_id.L1) for j, _ in x for c in range(k)} | {("bias", c): weight(("bias", c), 0.0) for c in range(k)}
+            logits = [sum(u * w[j, c] for j, u in x) + w["bias", c] for c in range(k)]
+            top = max(logits)
+            p = [math.exp(m - top) for m in logits]
+            p = [q / sum(p) for q in p]
+            for c in range(k):
+                for j, u in [*x, ("bias", 1.0)]:
+                    g = (p[c] - (c == y)) * u
+                    step = (math.sqrt(n[j, c] + g * g) - math.sqrt(n[j, c])) / language_id.ALPHA
+                    z[j, c] += g - step * w[j, c]
+                    n[j, c] += g * g
+    return lambda j, c: weight((j, c), language_id.L1), [weight(("bias", c), 0.0) for c in range(k)]
+
+
+def test_features_and_leader_against_scalar_loops():
+    texts = ["Hello, World 42! don't", "", None, "Straße ÀÉ 日本語", "a", " x "]
+    found, total, letters = language_id.grams(texts, chunk=5)
+    got = [Counter() for _ in texts]
+    for text, bucket in found:
+        for i, b in zip(text.tolist(), bucket.tolist(), strict=True):
+            got[i][b] += 1
+    assert got == [Counter(map(brute_bucket, brute_grams(t))) for t in texts]
+    assert total.tolist() == [len(brute_grams(t)) for t in texts] and (letters > 0).tolist() == [True, False, False, True, True, True]
+    rng = np.random.default_rng(5)
+    rows = [(np.unique(rng.integers(0, 40, 6)) + 40 * y, None, y) for y in rng.integers(0, 3, 60).tolist()]
+    rows = [(b, rng.random(len(b)), y) for b, _, y in rows]
+    w, bias = language_id.follow_the_leader(rows, 3)
+    weight, own = brute_leader(rows, 3)
+    assert np.allclose(bias, own) and all(math.isclose(w[j, c], weight(j, c), abs_tol=1e-9) for j in range(160) for c in range(3))
+
+
+def test_language_model_needs_no_order(spark, docs):
+    one, two = (language_id.fit(d.select("doc_id", "text", "lang")) for d in (docs, docs.repartition(5, "lang").orderBy(F.desc("text"))))
+    assert (one.weights == two.weights).all() and one.temperature == two.temperature
+
+
 # --- toxicity
 
 
-def test_segments_against_brute_force():
-    def brute(v, a, b):
-        best = None
-        for i in range(a, b):
-            total = 0.0
-            for j in range(i, b):
-                total += v[j]
-                if total > 1e-12 and (best is None or total > best[2] + 1e-12):
-                    best = (i, j + 1, total)
-        return [] if best is None else [*brute(v, a, best[0]), best, *brute(v, best[1], b)]
+def test_segments_in_linear_time():
+    def seconds(n):
+        at = np.arange(n) * 9
+        score = np.where(np.arange(n) % 2, 1.0, 2.0)  # totals fall from hit to hit: nothing is ever merged
+        began = time.perf_counter()
+        assert len(toxicity.segments(at, score)) == n
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(200_000) < 40 * max(seconds(20_000), 0.01)
+
+
+def test_scores_on_real_rows_against_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    known = dict(zip(model.hashes.tolist(), model.scores.tolist(), strict=True))
+
+    def word_score(w):
+        cps = np.array([ord(c) for c in w], np.uint32)
+        one = lambda n: kernels.slice_hashes(cps, np.array([0]), np.array([n]))[0]
+        with np.errstate(over="ignore"):
+            forms = [int(one(len(w)))] + [int(kernels.mixed(one(p) + np.uint64(p))) for p in toxicity.PREFIXES if len(w) > p]
+        return max([0.0, *(known.get(h, 0.0) for h in forms)])
+
+    def brute_score(t):
+        words = regex.findall(r"\p{L}+", (t or "").lower())
+        v = [word_score(w) or -toxicity.DRIFT for w in words]
+        parts = brute_segments(v, 0, len(v))
+        base = math.log(model.k * max(1, len(words)))
+        x = math.log(sum(math.exp(model.lam * s) for *_, s in parts)) - base if parts else -base
+        return 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+
+    assert len(known) > 0
+    got = {r["doc_id"]: r["__score"] for r in toxicity.score_documents(docs, model).collect()}
+    toxic = {r["doc_id"] for r in labels.filter("toxic = 1").collect()}
+    for r in docs.collect():
+        if r["doc_id"] in toxic or r["doc_id"] % 3 == 0:
+            assert got[r["doc_id"]] == pytest.approx(brute_score(r["text"]), abs=1e-6)
+
+
+def brute_segments(v, a, b):
+    """The best-scoring stretch, then those of what is left of it and right of it."""
+    best, low, total, start = None, 0.0, 0.0, a
+    for j in range(a, b):
+        if total <= low - 1e-12 or j == a:
+            low, start = total, j
+        total += v[j]
+        if total - low > 1e-12 and (best is None or total - low > best[2] + 1e-12):
+            best = (start, j + 1, total - low)
+    return [] if best is None else [*brute_segments(v, a, best[0]), best, *brute_segments(v, best[1], b)]
 
+
+def test_segments_against_brute_force():
     rnd = random.Random(0)
     for _ in range(500):
         v = [rnd.choice([-0.25] * 3 + [rnd.random() * 1.3 + 0.01]) for _ in range(rnd.randint(1, 14))]
         at = np.array([i for i, x in enumerate(v) if x > 0], int)
-        assert [s[:2] for s in toxicity.segments(at, np.array(v)[at])] == [s[:2] for s in brute(v, 0, len(v))]
+        assert [s[:2] for s in toxicity.segments(at, np.array(v)[at])] == [s[:2] for s in brute_segments(v, 0, len(v))]
 
 
 def test_toxicity_finds_planted_words(spark, none):
@@ -336,7 +509,7 @@ def test_pipeline_against_brute_force(spark):
 
     import corpus_pipeline as c
     from chronolith.llm import mixing
-    from chronolith.llm.common import materialise, table
+    from chronolith.llm.common import table
 
     docs, kept = table(spark, DATA, "documents"), {}
     columns = docs.columns
@@ -365,6 +538,22 @@ def test_pipeline_against_brute_force(spark):
     assert got == sorted((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in mixed)
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Nulls, repeats, ties and clashing columns pass through all stages; an empty table gives no rows."""
+    import corpus_pipeline as c
+
+    for name, df in (("odd", odd), ("none", none)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in c.STAGES[:-1]:
+            docs = materialise(stage(spark, docs, str(tmp_path / name)), "odd-stage")
+            assert docs.columns == df.columns
+        got = c.run(spark, str(tmp_path / name)).collect()
+        assert len(got) == docs.count() and (len(got) > 0) == (name == "odd")
+        assert {r["doc_id"] for r in got} <= {r[0] for r in ROWS}
+
+
 def test_registered_queries(spark):
     import __spark_entry__ as e
 

@@ -1,13 +1,15 @@
 """Exact dedup, mixing, secrets, licences: against oracle SQL and brute force."""
 
 import hashlib
+import random
 import re
 import textwrap
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from chronolith.llm import exact_dedup, license_rules, mixing, registry, secrets_ledger
+from chronolith.llm import common, exact_dedup, license_rules, mixing, registry, secrets_ledger
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS
 from tests.oracle import agrees, connection
@@ -36,13 +38,37 @@ def test_exact_dedup_odd(odd, none):
 
 
 def test_hot_group_of_copies(spark):
-    from pyspark.sql import functions as F
-
     many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Same Text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     got = exact_dedup.exact_dedup(many).groupBy("kept").count().collect()
     assert {r["kept"]: r["count"] for r in got} == {True: 20_001, False: 9_999}
 
 
+def test_texts_of_one_digest_are_told_apart(spark):
+    """With a digest of two bits, content still decides."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), (F.col("id") % 40).cast("string")).alias("text"))
+    weak = lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 1))
+    for digest in (weak, exact_dedup._digest):
+        got = exact_dedup.exact_dedup(df, digest=digest).collect()
+        want = [(i, 360 + i % 40, 10, i >= 360, hashlib.sha256(f"text {i % 40}".encode()).hexdigest()) for i in range(400)]
+        assert sorted(map(tuple, got)) == want
+
+
+def test_look_up_of_hot_and_missing_keys(spark):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id"))).alias("key"))
+    found = common.materialise(rows.filter("key IS NOT NULL AND id % 7 <> 1").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")), "test-found")
+    out = common.look_up(rows, found, "key", "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search("Python|Arrow", plan)
+    got, want = {r["id"]: (r["n"], r["last"]) for r in out.collect()}, {r["key"]: (r["n"], r["last"]) for r in found.collect()}
+    assert len(got) == 30_000 and all(got[r["id"]] == want.get(r["key"], (None, None)) for r in rows.collect())
+    # no shuffled partition gets the hot key's rows, or those without a key
+    spread = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert spread < 15_000
+    common.discard(found)
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        found.count()
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.curriculum(odd).collect()
     assert len(rows) == len(ROWS)
@@ -60,6 +86,24 @@ def test_mixing_odd(odd, none):
     assert mixing.curriculum(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_rows_that_repeat_throughout_are_not_multiplied(spark):
+    """200 equal rows, and 200 that differ in another column: as many come out as copies were planned, and none is joined 200 times."""
+    rows = [(1, "the same row of some words", "en", "a", 0)] * 200 + [(2, "another row of other words", "en", "a", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, extra int")
+    planned = sum(r["copies"] for r in mixing.curriculum(df).collect())
+    mixed = mixing.mixed_documents(df).collect()
+    assert len(mixed) == planned and len({r["extra"] for r in mixed if r["doc_id"] == 2}) == 200
+
+
+def test_running_sums_over_many_sources(spark):
+    sizes = {f"={i:05d}": 1 + i * 7919 % 1000 for i in range(3000)}
+    got = {r["skey"]: r for r in mixing.summed_before(spark.createDataFrame(list(sizes.items()), "skey string, source_size bigint").repartition(3), ["skey"], rank=F.lit(1), before=F.col("source_size")).collect()}
+    at = 0
+    for i, (k, n) in enumerate(sorted(sizes.items())):
+        assert (got[k]["rank"], got[k]["before"]) == (i, at)
+        at += n
+
+
 def test_targets_fill_like_water(spark):
     sizes = {"=a": 10, "=b": 1000, "=c": 1, "=d": 500, "~": 2}
     got = {r["skey"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "skey string, source_size bigint")).collect()}
@@ -127,6 +171,31 @@ def test_ledger_is_incremental(spark, none):
     assert secrets_ledger.scan_unseen(secrets_ledger.addressed(none, "doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
+def test_sums_before_in_blocks(spark, n):
+    x = [i * 37 % 11 for i in range(n)]
+    df = spark.createDataFrame([(x,)], "x array<bigint>")
+    for levels in (0, 1, 3):
+        got = df.select(common.sums_before(F.col("x"), block=8, levels=levels)).first()[0]
+        assert got == [sum(x[:i]) for i in range(n)]
+
+
+def test_many_findings_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i} x{i % 7 * 'y'}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    spans = df.select(secrets_ledger.spans_of(F.col("text"), secrets_ledger.RULES[0])).first()[0]
+    assert [("assign", s["start"], s["end"]) for s in spans] == [x for x in base_spans(text) if x[0] == "assign"]
+
+
+def test_findings_of_a_hot_blob(spark):
+    """A third of all paths show one blob: it is met by broadcast."""
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "password=hunter22x").otherwise(F.concat(F.lit("nothing "), "id")).alias("text"))
+    versions = secrets_ledger.addressed(df, "doc_id", "text")
+    got = secrets_ledger.findings_by_path(versions, secrets_ledger.scan_unseen(versions).cache())
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["path"]: len(r["hits"] or []) for r in got.collect()} == {i: int(i % 3 == 0) for i in range(9000)}
+
+
 def test_licences(odd, none):
     got = {r["doc_id"]: r for r in license_rules.scan_licenses(odd).collect()}
     assert got[11]["licenses"] == "Apache-2.0,CC-BY-NC-4.0,MIT" and got[11]["sequence"] == "apache-short,cc-by-nc-short,mit-short"
@@ -158,3 +227,39 @@ def test_wrapped_sentences_keep_their_bounds(spark):
     texts = [s.replace(" code ", " code\n\n"), "See: " + s.replace(" code ", "\ncode "), s.replace(" code ", "\ncode ") + " " + s, s.rstrip(".") + " or\nnot."]
     got = license_rules.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["n_sentences"] for r in got] == [0, 0, 2, 0]
+
+
+def brute_sequence(text):
+    """Sentences of a text, apart from the operator's own cut: runs of whole pieces whose words are a sentence's."""
+    pieces = [re.findall("[a-z0-9]+", p) for line in (text or "").lower().split("\n") for p in re.split(r"(?<=[.!?])\s+", line)]
+    known = {tuple(re.findall("[a-z0-9]+", s.lower())): sid for sid, s in license_rules.SENTENCES.items()}
+    found = []
+    for i in range(len(pieces)):
+        run = []
+        for j in range(i, len(pieces)):
+            if not pieces[j] and (j > i or not run):
+                break
+            run += pieces[j]
+            if len(run) > 120:
+                break
+            if tuple(run) in known:
+                found.append((i, j, known[tuple(run)]))
+    return [sid for i, j, sid in found if not any((a, b) != (i, j) and a <= i and b >= j for a, b, _ in found)]
+
+
+def brute_licenses(ids):
+    says = lambda rule: any(tuple(ids[i : i + len(rule)]) == rule for i in range(len(ids)))
+    return ",".join(sorted({name for name, rule in license_rules.RULES if says(rule)}))
+
+
+def test_licences_against_brute_force(spark, listed):
+    rnd, said = random.Random(6), list(license_rules.SENTENCES.values())
+    made = []
+    for i in range(120):
+        parts = [rnd.choice([*said, "Some words of no licence.", "See the License"]) for _ in range(rnd.randint(1, 7))]
+        body = rnd.choice(["\n", " ", "\n\n"]).join(parts)
+        made.append((i // 2, "\n".join(textwrap.wrap(body, rnd.choice([30, 72, 200]))) if rnd.random() < 0.5 else body))  # ids repeat
+    for rows in (made, listed):
+        got = license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        want = [(i, len(s := brute_sequence(t)), ",".join(s), brute_licenses(s)) for i, t in rows]
+        assert Counter(map(tuple, got)) == Counter(want)

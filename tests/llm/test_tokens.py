@@ -75,6 +75,40 @@ def test_pieces_against_regex():
             assert [[joined[x:y] for x, y in zip(s[w[i] : w[i + 1]], e[w[i] : w[i + 1]], strict=True)] for i in range(4)] == [p.findall(t) for t in texts]
 
 
+def thue_morse(n):
+    """Two words of 2**n letters that any polynomial hash modulo a power of two takes for one another."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_hash(spark, monkeypatch, tmp_path):
+    """Known bad words, then hashes of three bits: ids are still the library's in op1 and op5."""
+    rnd = random.Random(8)
+    texts = [*thue_morse(10), " ".join(thue_morse(11)), *(" ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5))) for _ in range(300)) for _ in range(4))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    tok = Tokenizer.from_file(WORD)
+    assert sorted(map(tuple, lexicon_bpe.round_trip_digests(df, WORD, lexicon_bpe.build_lexicon(df, WORD)).collect())) == [(i, *digests(tok, t)) for i, t in enumerate(texts)]
+    rans_files.write_files(df, BYTE, str(tmp_path / "f"))
+    assert sorted(map(tuple, rans_files.read_documents(spark, str(tmp_path / "f")).collect())) == files_of(list(enumerate(texts)))
+    plain = kernels.slice_hashes
+    monkeypatch.setattr(kernels, "slice_hashes", lambda *x: plain(*x) & np.uint64(7))
+    enc = lexicon_bpe.Encoder(lexicon_bpe.BpeModel(WORD), None)
+    got = [flat[a:b].tolist() for flat, at in enc.encode(texts) for a, b in zip(at, at[1:], strict=False)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    flat, at = rans_files.PieceTokenizer(BYTE).encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_decoder_is_honoured(spark):
+    """The byte vocabulary has one: texts come back as they were."""
+    model, tok = lexicon_bpe.BpeModel(BYTE), Tokenizer.from_file(BYTE)
+    rows = [tok.encode(t or "", add_special_tokens=False).ids for _, t, *_ in ROWS]
+    flat, bounds = np.concatenate([np.array(r, np.int64) for r in rows]), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    assert [bytes(x).decode() for x in lexicon_bpe.decoded(model, flat, bounds)] == [tok.decode(r, skip_special_tokens=False) for r in rows]
+
+
 def files_of(rows):
     tok, start, out = Tokenizer.from_file(BYTE), 0, []
     for i, t in rows:
