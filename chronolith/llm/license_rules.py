@@ -90,6 +90,17 @@ def pieces(text: Column) -> Column:
     return F.concat(F.lit("\n"), F.trim(clean), F.lit("\n"))
 
 
+def anchors(norms: list[str], least: int = 7) -> list[str]:
+    """A few long words of which every sentence holds one, so a text without all of them holds no sentence."""
+    left, chosen = list(norms), []
+    while left:
+        words = sorted({w for x in left for w in ([w for w in x.split() if len(w) >= least] or [max(x.split(), key=len)])})
+        best = max(words, key=lambda w: sum(w in x for x in left))
+        chosen.append(best)
+        left = [x for x in left if best not in x]
+    return chosen
+
+
 def license_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES) -> DataFrame:
     """(doc_id, found): of every row the known sentences (pos, sid) in order, pos being the place in the pieces of its text."""
     names, norms = list(sentences), [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in sentences.values()]
@@ -107,7 +118,9 @@ def license_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return F.slice(starts, F.lit(1), F.size(between) - 1)
 
     # Generators keep Spark from working out the pieces anew for each sentence.
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(pieces(text_or_empty(F.col(text_col))))).alias("cut"))
+    text = text_or_empty(F.col(text_col))
+    likely = reduce(or_, [F.lower(text).contains(w) for w in anchors(norms)])
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.when(likely, pieces(text)).otherwise(""))).alias("cut"))
     flat = cut.select("doc_id", "cut", F.explode(F.array(F.translate("cut", "\n", " "))).alias("flat"))
     held = reduce(or_, [F.col("flat").contains(x) for x in norms])
     hits = F.filter(known, lambda k: F.contains(F.col("flat"), k["norm"]))
