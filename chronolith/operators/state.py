@@ -8,8 +8,12 @@ paths, and needs nothing older than the nearest snapshot.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronolith.config import DEFAULT
 
@@ -41,22 +45,36 @@ def dense(rows: DataFrame) -> DataFrame:
 def encode(rows: DataFrame, every: int = DEFAULT.snapshot_every) -> DataFrame:
     """Sparse rows -> operations: full state at every frame divisible by ``every``, changes between.
 
-    Rows and snapshot marks are unioned and go through one window by (session, path): one shuffle.
+    A value holds until the next one of its path, so each row yields its own change and the snapshots it holds at:
+    one window by (session, path), no union and no join.
     """
-    lives = rows.groupBy("session", "path").agg(F.min("f").alias("first"))
-    ends = rows.groupBy("session").agg(F.max("f").alias("last"))
-    step = F.lit(every).cast("bigint")
-    begin = F.ceil(F.col("first") / every).cast("bigint") * every
-    marks = lives.join(ends, "session").filter(begin <= F.col("last")).select("session", "path", F.explode(F.sequence(begin, F.col("last").cast("bigint"), step)).alias("f"))
-    kind = rows.schema["v"].dataType
-    both = rows.select("session", "path", F.col("f").cast("bigint").alias("f"), F.struct("v").alias("s"), F.lit(False).alias("mark")).unionByName(
-        marks.select("session", "path", "f", F.lit(None).cast(f"struct<v:{kind.simpleString()}>").alias("s"), F.lit(True).alias("mark"))
-    )
-    w = Window.partitionBy("session", "path").orderBy("f", "mark")
-    held = both.withColumn("now", F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    moved = (F.col("f") % every != 0) & (F.col("before").isNull() | ~F.col("now")["v"].eqNullSafe(F.col("before")["v"]))
-    kept = held.filter(F.col("mark") | moved)
-    return kept.select("session", (F.floor(F.col("f") / every) * every).alias("snap_f"), "f", F.array("path").alias("path"), F.lit("set").alias("op"), F.col("now")["v"].alias("v"))
+    w, last = by_path(), F.max("f").over(Window.partitionBy("session"))
+    held = rows.select("session", "path", F.col("f").cast("bigint").alias("f"), "v", last.cast("bigint").alias("last"))
+    held = held.withColumn("until", F.coalesce(F.lead("f").over(w) - 1, F.col("last"))).withColumn("was", F.lag(F.struct("v")).over(w))
+    mark = F.ceil(F.col("f") / every).cast("bigint") * every
+    moved = (F.col("f") % every != 0) & (F.col("was").isNull() | ~F.col("v").eqNullSafe(F.col("was")["v"]))
+    none = F.array().cast("array<bigint>")
+    at = F.concat(F.when(moved, F.array("f")).otherwise(none), F.when(mark <= F.col("until"), F.sequence(mark, F.col("until"), F.lit(every).cast("bigint"))).otherwise(none))
+    return _ops(held.withColumn("at", F.explode(at)).select("session", F.col("at").alias("f"), F.array("path").alias("path"), F.lit("set").alias("op"), "v"), every)
+
+
+def encode_dense(rows: DataFrame, every: int = DEFAULT.snapshot_every) -> DataFrame:
+    """Dense rows, each frame holding all paths that exist in it, -> operations, with a ``del`` where a path is gone in the next frame."""
+    by_frame = Window.partitionBy("session").orderBy("f")
+    frames = rows.select("session", F.col("f").cast("bigint").alias("f")).distinct().withColumn("before", F.lag("f").over(by_frame)).withColumn("after", F.lead("f").over(by_frame))
+    w = by_path()
+    seen = rows.select("session", "path", F.col("f").cast("bigint").alias("f"), "v").join(frames, ["session", "f"])
+    seen = seen.withColumn("was", F.lag(F.struct("f", "v")).over(w)).withColumn("next", F.lead("f").over(w))
+    stays = F.col("was")["f"].eqNullSafe(F.col("before")) & F.col("was").isNotNull()
+    written = (F.col("f") % every == 0) | ~(stays & F.col("v").eqNullSafe(F.col("was")["v"]))
+    gone = F.col("after").isNotNull() & ~F.col("next").eqNullSafe(F.col("after")) & (F.col("after") % every != 0)
+    put = F.when(written, F.struct(F.col("f").alias("f"), F.lit("set").alias("op"), F.col("v").alias("v")))
+    cut = F.when(gone, F.struct(F.col("after").alias("f"), F.lit("del").alias("op"), F.lit(None).cast(rows.schema["v"].dataType).alias("v")))
+    return _ops(seen.select("session", F.array("path").alias("path"), F.explode(F.array_compact(F.array(put, cut))).alias("x")).select("session", "x.f", "path", "x.op", "x.v"), every)
+
+
+def _ops(rows: DataFrame, every: int) -> DataFrame:
+    return rows.select("session", (F.floor(F.col("f") / every) * every).alias("snap_f"), "f", "path", "op", "v")
 
 
 def reconstruct_at(ops: DataFrame, frames: list[int], nested: bool = True) -> DataFrame:
@@ -65,8 +83,7 @@ def reconstruct_at(ops: DataFrame, frames: list[int], nested: bool = True) -> Da
     With ``nested`` false no path is another's ancestor and the check for cut ancestors is left out.
     """
     seen = ops.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in frames]))).filter("f <= n AND snap_f <= n")
-    start = seen.groupBy("session", "n").agg(F.max("snap_f").alias("snap_f"))
-    return fold(seen.join(start, ["session", "n", "snap_f"]), "session", "n", nested=nested)
+    return fold(seen, "session", "n", nested=nested)
 
 
 def reconstruct(ops: DataFrame, n: int, nested: bool = True) -> DataFrame:
@@ -75,16 +92,22 @@ def reconstruct(ops: DataFrame, n: int, nested: bool = True) -> DataFrame:
 
 
 def fold(ops: DataFrame, *keys: str, nested: bool = True) -> DataFrame:
-    """Latest operation of each path, without paths under an ancestor that was set or deleted at or after it."""
+    """Latest operation of each path since the newest snapshot, without paths under an ancestor that was set or deleted at or after it.
+
+    One aggregate by path holds the latest operation and the latest cut; what is older than the newest snapshot
+    falls out by a window over what that leaves.
+    """
     keys = keys or ("session",)
-    latest = ops.groupBy(*keys, "path").agg(F.max_by(F.struct("op", "v"), "f").alias("r"), F.max("f").alias("f"))
-    kept = latest.filter("r.op = 'set'").select(*keys, "path", "f", F.col("r.v").alias("v"))
+    at = F.struct("snap_f", "f")
+    latest = ops.groupBy(*keys, "path").agg(
+        F.max_by(F.struct("op", "v"), at).alias("r"), F.max(at).alias("at"), F.max(F.when(F.col("op").isin("set", "del"), at)).alias("cut")
+    ).withColumn("newest", F.max("at.snap_f").over(Window.partitionBy(*keys))).filter("at.snap_f = newest")
+    kept = latest.filter("r.op = 'set'").select(*keys, "path", "at", F.col("r.v").alias("v"))
     if not nested:
-        return kept.drop("f")
+        return kept.drop("at")
     deep = kept.filter(F.size("path") > 1)
-    above = deep.select(*keys, F.col("path").alias("leaf"), "f", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", F.lit(1), i))).alias("path"))
-    cuts = ops.filter(F.col("op").isin("set", "del")).groupBy(*keys, "path").agg(F.max("f").alias("cut"))
-    dead = above.join(cuts, [*keys, "path"]).filter("cut >= f").select(*keys, F.col("leaf").alias("path")).distinct()
+    above = deep.select(*keys, F.col("path").alias("leaf"), "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", F.lit(1), i))).alias("path"))
+    dead = above.join(latest.select(*keys, "path", "cut"), [*keys, "path"]).filter("cut >= at").select(*keys, F.col("leaf").alias("path")).distinct()
     return kept.join(dead, [*keys, "path"], "left_anti").select(*keys, "path", "v")
 
 
@@ -93,24 +116,59 @@ def changes_between(rows: DataFrame, f0: int, f1: int) -> DataFrame:
     return changed(rows).filter(F.col("f").between(f0, f1))
 
 
-def patch_ops(patches: DataFrame, json: Column) -> DataFrame:
+def depth(text: Column) -> Column:
+    """How many objects or lists of a JSON text lie within each other at most: brackets are counted, strings left out."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]", "")
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most"))
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: F.least(acc["most"], F.length(marks)))
+
+
+def patch_ops(patches: DataFrame, text: Column) -> DataFrame:
     """Merge patches (session, snap_f, f, json) -> operations. Nested objects open into leaves, null deletes; an object keeps an ``obj`` row, which displaces a scalar and leaves an object's members alone.
 
-    Objects are opened level by level on VARIANT values, so the number of passes is the depth and no Python runs.
+    Each row opens its own VARIANT as often as its text is deep, whatever that depth: one scan, no Python. A patch
+    that is no object has no operations.
     """
-    level = patches.select("session", "snap_f", F.col("f").cast("bigint").alias("f"), F.array().cast("array<string>").alias("path"), F.parse_json(json).alias("node"))
-    done: list[DataFrame] = []
-    for _ in range(6):
-        opened = level.select("session", "snap_f", "f", "path", F.explode(F.expr("cast(node as map<string, variant>)")).alias("k", "child"))
-        opened = opened.select("session", "snap_f", "f", F.concat("path", F.array("k")).alias("path"), "child", F.schema_of_variant("child").alias("kind"))
-        is_object = F.col("kind").startswith("OBJECT")
-        done.append(opened.filter(~is_object).select("session", "snap_f", "f", "path", F.when(F.is_variant_null("child"), "del").otherwise("set").alias("op"), F.when(~F.is_variant_null("child"), F.to_json("child")).alias("v")))
-        done.append(opened.filter(is_object).select("session", "snap_f", "f", "path", F.lit("obj").alias("op"), F.lit(None).cast("string").alias("v")))
-        level = opened.filter(is_object & (F.col("kind") != "OBJECT<>")).select("session", "snap_f", "f", "path", F.col("child").alias("node"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    item = "array<struct<path:array<string>,op:string,node:variant>>"
+
+    def opened(x: Column) -> Column:
+        one = lambda op: F.array(F.struct(x["path"].alias("path"), F.lit(op).alias("op"), x["node"].alias("node")))
+        is_object = F.schema_of_variant(x["node"]).startswith("OBJECT")
+        members = F.transform(F.map_entries(x["node"].try_cast("map<string,variant>")), lambda e: F.struct(F.concat(x["path"], F.array(e["key"])).alias("path"), F.lit(None).cast("string").alias("op"), e["value"].alias("node")))
+        return F.when(x["op"].isNotNull(), F.array(x)).when(is_object, F.concat(one("obj"), members)).when(F.is_variant_null(x["node"]), one("del")).otherwise(one("set")).cast(item)
+
+    root = F.array(F.struct(F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("op"), F.parse_json(text).alias("node"))).cast(item)
+    levels = F.sequence(F.lit(0), depth(text))
+    all_of = F.aggregate(levels, root, lambda acc, _: F.flatten(F.transform(acc, opened)).cast(item))
+    rows = patches.select("session", "snap_f", F.col("f").cast("bigint").alias("f"), F.explode(all_of).alias("x")).filter("size(x.path) > 0")
+    return rows.select("session", "snap_f", "f", "x.path", "x.op", F.when(F.col("x.op") == "set", F.to_json("x.node")).alias("v"))
+
+
+def _patch(old: dict, new: dict) -> dict:
+    """The merge patch from old to new: gone members null; a field that holds a null, which no patch can set, is written whole."""
+    found: dict = dict.fromkeys(old.keys() - new.keys())
+    for name, value in new.items():
+        had = old.get(name)
+        if name in old and had == value:
+            continue
+        within = isinstance(had, dict) and isinstance(value, dict) and not ({"v", "source"} <= value.keys() and None in value.values())
+        found[name] = _patch(had, value) if within else value
+    return found
+
+
+@F.pandas_udf(StringType())
+def merge_patch_between(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Merge patches between two columns of JSON objects, compact; null counts as an empty object."""
+    return pd.Series([json.dumps(_patch(json.loads(a or "{}"), json.loads(b or "{}")), separators=(",", ":")) for a, b in zip(old, new, strict=True)])
+
+
+def stream_of(states: DataFrame, every: int = DEFAULT.snapshot_every) -> DataFrame:
+    """Whole states (session, f, json) -> frames (session, f, kind, snap_f, json) of snapshots and merge patches, as a writer stores them."""
+    w = Window.partitionBy("session").orderBy("f")
+    marked = states.withColumn("old", F.lag("json").over(w)).withColumn("kind", F.when((F.col("f") % every == 0) | F.col("old").isNull(), "snapshot").otherwise("delta"))
+    snap = F.last(F.when(F.col("kind") == "snapshot", F.col("f")), True).over(w)
+    kept = F.when(F.col("kind") == "snapshot", F.col("json")).otherwise(merge_patch_between("old", "json"))
+    return marked.withColumn("snap_f", snap).select("session", "f", "kind", "snap_f", kept.alias("json"))
 
 
 def compression(dense_rows: DataFrame, ops: DataFrame) -> DataFrame:

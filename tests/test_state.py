@@ -96,3 +96,57 @@ def test_gaps_and_repeats(spark):
     assert stream.clamp_frame(one, 4).first()["f"] == 2 and stream.clamp_frame(one, -3).first()["f"] == 0 and stream.clamp_frame(one, 99).first()["f"] == 6
     empty = rows.filter("f < 0")
     assert state.state_at(empty, 3).count() == 0 and state.encode(empty).count() == 0
+
+
+def test_patches_of_any_depth(spark):
+    """Up to twelve levels, with brackets and quotes in names and values: as RFC 7386 folds them."""
+    rnd = random.Random(12)
+
+    def patch(depth=1):
+        if depth >= rnd.choice((2, 7, 12)):
+            return rnd.choice([None, 1, '{"[', "x\\", [{"deep": [1]}]])
+        return {rnd.choice(("a", "b", 'q"{')): patch(depth + 1) for _ in range(rnd.randint(1, 2))}
+
+    patches = {f"s{i}": [patch() for _ in range(rnd.randint(1, 6))] for i in range(120)}
+    patches = {k: [p for p in v if isinstance(p, dict)] or [{}] for k, v in patches.items()}
+    want = {}
+    for name, ps in patches.items():
+        s = {}
+        for p in ps:
+            s = merge(s, p)
+        want[name] = dict(leaves(s))
+    got = folded(spark, patches)
+    assert {k: {p: json.loads(v) for p, v in x.items()} for k, x in got.items()} == {k: {p: json.loads(v) for p, v in x.items()} for k, x in want.items()}
+    assert max(len(p) for x in want.values() for p in x) > 6
+
+
+def dense_with_gaps(spark):
+    """Paths that come, go and come back."""
+    rnd = random.Random(3)
+    rows = [(s, f, p, float(rnd.randint(0, 2))) for s in ("s", "t") for f in range(0, 64, 1 if s == "s" else 3) for p in "abc" if (f // 7 + ord(p)) % 3]
+    return rows, spark.createDataFrame(rows, "session string, f bigint, path string, v double")
+
+
+def test_paths_that_vanish(spark):
+    rows, df = dense_with_gaps(spark)
+    ops = state.encode_dense(df, 10).cache()
+    assert ops.filter("op = 'del'").count() > 0
+    frames = [0, 3, 9, 10, 21, 33, 48, 63]
+    got = {(r["session"], r["n"], r["path"][0]): r["v"] for r in state.reconstruct_at(ops, frames).collect()}
+    last = {(s, n): max(f for x, f, *_ in rows if x == s and f <= n) for s in ("s", "t") for n in frames}
+    assert got == {(s, n, p): v for n in frames for s, f, p, v in rows if last[s, n] == f}
+
+
+def test_states_written_as_patches_fold_back(spark):
+    rnd = random.Random(5)
+    field = lambda v, crop: {"v": v, "conf": 0.9, "source": "observed", "crop": crop}
+    states = [{"hud": {k: field(rnd.randint(0, 2), rnd.choice([None, "c.jpg"])) for k in rnd.sample("abcd", rnd.randint(1, 4))}, "id": rnd.randint(0, 1)} for _ in range(40)]
+    df = spark.createDataFrame([("s", f, json.dumps(x)) for f, x in enumerate(states)], "session string, f bigint, json string")
+    out = state.stream_of(df, 15).orderBy("f").collect()
+    assert [r["f"] for r in out if r["kind"] == "snapshot"] == [0, 15, 30] and all(r["snap_f"] == r["f"] // 15 * 15 for r in out)
+    now = {}
+    for r, x in zip(out, states, strict=True):
+        p = json.loads(r["json"])
+        now = p if r["kind"] == "snapshot" else merge(now, p)
+        bare = lambda s: {"id": s["id"], "hud": {k: {n: y for n, y in f.items() if y is not None} for k, f in s["hud"].items()}}
+        assert bare(now) == bare(x)
