@@ -1,8 +1,11 @@
 """The eight public operations on a session, and their registry.
 
-A ``Session`` is three DataFrames: operations (session, snap_f, f, path, op, v as JSON text), events and
-one row of meta. Operations return DataFrames; only ``compile_context`` and ``ask`` end in a string, made
-from one session's lines.
+A ``Session`` is a few DataFrames: frames, operations (session, snap_f, f, path, op, v as JSON text), timelines of
+values, events and summary windows. Operations return DataFrames; ``compile_context`` and ``ask`` end in a string
+made from what a token budget can hold. ``call`` and ``document`` shape results as a service answers them.
+
+A session directory holds JSON lines, or the Parquet tables that ``ingest`` writes from them; with the tables point
+reads prune to a snapshot's row groups.
 """
 
 from __future__ import annotations
@@ -10,161 +13,420 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith import providers
-from chronolith.functions.text import source_tag
-from chronolith.operators import context, intervals, search, state, timeline
+from chronolith.functions import geometry
+from chronolith.functions.text import shown, source_tag
+from chronolith.operators import context, fields, intervals, search, state
+from chronolith.operators.summary import evenly_sampled
 from chronolith.sources import session as files
 
+TABLES = ("frames", "ops", "timelines", "events", "windows")
+
 
 @dataclass
 class Session:
     name: str
+    path: str
     frames: DataFrame
     ops: DataFrame
     events: DataFrame
+    timelines: DataFrame
+    windows: DataFrame
     fps: float = 30.0
-    n_frames: int = 0
+    first: int = 0
+    last: int = -1
+    width: int = 0
+    height: int = 0
+    kept: list[DataFrame] = field(default_factory=list, repr=False)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.frames.sparkSession
+
+    @property
+    def n_frames(self) -> int:
+        return self.last + 1
 
 
-_SESSIONS: dict[tuple[str, str], Session] = {}
+_SESSIONS: dict[str, tuple[tuple, Session]] = {}
 
 
 def load(spark: SparkSession, path: str, fps: float | None = None) -> Session:
-    """A session directory: stream.jsonl, events.jsonl, meta.json. Kept by path and the stream's size, so a grown file is read anew."""
-    stream = files.read_stream(spark, f"{path}/stream.jsonl", path)
-    stamp = str(stream.agg(F.count(F.lit(1)), F.max("f")).first())
-    if (path, stamp) in _SESSIONS:
-        return _SESSIONS[path, stamp]
-    meta = files.read_document(spark, f"{path}/meta.json", "fps double, nb_frames bigint").first()
-    last = stream.agg(F.max("f")).first()[0]
-    ops = state.patch_ops(stream, F.col("json")).cache()
-    made = Session(path.rstrip("/").split("/")[-1], stream, ops, files.read_events(spark, f"{path}/events.jsonl", path), fps or (meta and meta["fps"]) or 30.0, (meta and meta["nb_frames"]) or (0 if last is None else last + 1))
-    _SESSIONS[path, stamp] = made
+    """A session directory. Kept by path while sizes and times of its files stay what they are: no file is read for that."""
+    path = path.rstrip("/")
+    stamp = files.stamp(spark, path, ("stream.jsonl", "events.jsonl", "meta.json", *TABLES))
+    if path in _SESSIONS and _SESSIONS[path][0] == (stamp, fps):
+        return _SESSIONS[path][1]
+    if path in _SESSIONS:
+        for df in _SESSIONS.pop(path)[1].kept:
+            df.unpersist()
+    made = (_from_tables if files.exists(spark, f"{path}/ops") else _from_lines)(spark, path, fps)
+    _SESSIONS[path] = (stamp, fps), made
     return made
 
 
-def _leaves(s: Session) -> DataFrame:
-    """(session, path text, f, v) of all set leaves."""
-    return s.ops.filter("op = 'set'").select("session", F.array_join("path", "/").alias("path"), "f", "v")
+def _facts(spark: SparkSession, path: str, frames: DataFrame, fps: float | None) -> dict:
+    meta = files.read_document(spark, f"{path}/meta.json", "fps double, width int, height int").first()
+    ends = frames.agg(F.min("f"), F.max("f")).first()
+    known = meta.asDict() if meta else {}
+    return {"fps": fps or known.get("fps") or 30.0, "width": known.get("width") or 0, "height": known.get("height") or 0, "first": ends[0] or 0, "last": -1 if ends[1] is None else ends[1]}
+
+
+def _from_lines(spark: SparkSession, path: str, fps: float | None) -> Session:
+    name = path.split("/")[-1]
+    frames = files.read_stream(spark, f"{path}/stream.jsonl", name).cache()
+    facts = _facts(spark, path, frames, fps)
+    ops = state.patch_ops(frames, F.col("json")).cache()
+    values, events = fields.timelines(ops, frames).cache(), files.read_events(spark, f"{path}/events.jsonl", name)
+    return Session(name, path, frames, ops, events, values, fields.windows(frames, values, ops, events, facts["fps"]), **facts, kept=[frames, ops, values])
+
+
+def _from_tables(spark: SparkSession, path: str, fps: float | None) -> Session:
+    frames, ops, values, events, windows = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
+    return Session(path.split("/")[-1], path, frames, ops, events, values, windows, **_facts(spark, path, frames, fps))
+
+
+def ingest(spark: SparkSession, source: str, out: str, fps: float | None = None) -> Session:
+    """JSON lines of a session -> Parquet tables, ``summary.json`` and ``meta.json`` in ``out``, replacing what is there."""
+    s = _from_lines(spark, source.rstrip("/"), fps)
+    for name in TABLES:
+        files.write_tables(getattr(s, name), f"{out}/{name}", [c for c in ("snap_f", "f", "f_start", "window") if c in getattr(s, name).columns][:2])
+    files.write_document(spark, summary(s), f"{out}/summary.json")
+    stored = sum(size for *_, size in files.stamp(spark, out, TABLES))
+    files.write_document(spark, {"fps": s.fps, "nb_frames": s.n_frames, "frames": s.frames.count(), "width": s.width, "height": s.height, "snapshot_every": state.DEFAULT.snapshot_every, "stored_bytes": stored}, f"{out}/meta.json")
+    return load(spark, out, fps)
+
+
+def summary(s: Session) -> dict:
+    """The summary document: its windows and the session's totals."""
+    windows = [_plain(r) for r in s.windows.orderBy("window").toJSON().toLocalIterator()]
+    modes = [(m, n) for w in windows for m, n in w["modes"].items()]
+    total, kinds = {}, {}
+    for m, n in modes:
+        total[m] = total.get(m, 0) + n
+    for w in windows:
+        for k, n in w["events"].items():
+            kinds[k] = kinds.get(k, 0) + n
+    facts = s.frames.agg(F.count(F.lit(1)).alias("n"), F.count_if("vlm").alias("vlm")).first()
+    entities = s.timelines.filter(F.col("path").rlike("^entities/")).select(F.split("path", "/")[1]).distinct().count()
+    skipped = sum(total.get(m, 0) for m in "CPV")
+    return {"windows": windows, "session": {
+        "frames": facts["n"], "duration_s": round(facts["n"] / s.fps, 2), "entities_total": entities, "events": kinds, "mode_hist": total,
+        "skip_vlm_ratio": round(skipped / max(1, sum(total.values())), 4), "vlm_frames": facts["vlm"], "final_hud": windows[-1]["hud_end"] if windows else {},
+    }}
+
+
+def _plain(row: str) -> dict:
+    """A window's row with its JSON texts opened."""
+    found = json.loads(row)
+    return {k: json.loads(v) if k in ("events", "hud_end", "text_end", "modes", "scene") and isinstance(v, str) else v for k, v in found.items() if k != "session"} | ({} if "scene" in found else {"scene": None})
+
+
+def clamped(s: Session, f: int) -> int:
+    return max(s.first, min(int(f), s.last))
 
 
 def get_state(s: Session, f: int) -> DataFrame:
-    n = max(0, min(int(f), s.n_frames - 1))
-    return state.reconstruct(s.ops, n)
+    """(session, path array, v) at the frame, held within the session."""
+    return state.reconstruct(s.ops, clamped(s, f))
 
 
 def get_changes(s: Session, f0: int, f1: int) -> DataFrame:
-    """(f, kind, delta): snapshots as markers only, deltas that are not empty."""
+    """(f, kind, delta, event): snapshots as markers only, deltas that are not empty, and the events that meet the range."""
     rows = s.frames.filter(F.col("f").between(int(f0), int(f1)))
     kept = rows.filter((F.col("kind") == "snapshot") | (F.coalesce("json", F.lit("{}")) != "{}"))
-    return kept.select("f", "kind", F.when(F.col("kind") != "snapshot", F.col("json")).alias("delta"))
+    none = F.lit(None).cast("string")
+    changes = kept.select("f", "kind", F.when(F.col("kind") != "snapshot", F.col("json")).alias("delta"), none.alias("event"))
+    return changes.unionByName(get_events(s, f0, f1).select(F.col("f_start").alias("f"), F.lit("event").alias("kind"), none.alias("delta"), F.col("line").alias("event")))
 
 
 def get_entity_history(s: Session, entity_id: str) -> DataFrame:
-    """(attr, f, v): value changes of every attribute of the entity."""
-    own = _leaves(s).filter(F.col("path").startswith(f"entities/{entity_id}/"))
-    return state.changed(own).select(F.regexp_replace("path", "^entities/[^/]*/", "").alias("attr"), "f", "v")
+    """(kind, attr, f, v, conf, source, f_obs, bbox, crop, event): the timelines of the entity, one row ``span`` with its first and last frame, its events."""
+    own = s.timelines.filter(F.col("path").startswith(f"entities/{entity_id}/"))
+    rows = own.select(F.lit("value").alias("kind"), F.expr(f"substr(path, {len(entity_id) + 11})").alias("attr"), "f", "v", "conf", "source", "f_obs", "bbox", "crop")
+    there = fields.spans(own.filter(F.col("path").endswith("/present")).select("session", F.lit(entity_id).alias("id"), "f", (F.col("v") == "true").alias("v")), s.frames)
+    whole = there.agg(F.min("first_f").alias("f"), F.max("last_f").alias("f_obs")).filter("f IS NOT NULL").withColumn("kind", F.lit("span"))
+    events = s.events.filter(F.col("entity") == entity_id).select(F.lit("event").alias("kind"), F.col("f_start").alias("f"), F.col("line").alias("event"))
+    return rows.unionByName(whole, allowMissingColumns=True).unionByName(events, allowMissingColumns=True)
 
 
 def get_events(s: Session, f0: int | None = None, f1: int | None = None, type: str | None = None) -> DataFrame:
-    lo, hi = F.lit(-1 if f0 in (None, "") else int(f0)), F.lit(10**12 if f1 in (None, "") else int(f1))
-    found = intervals.overlapping(s.events, lo, hi, F.coalesce("f_start", F.lit(0)), F.coalesce("f_end", "f_start", F.lit(0)))
-    return intervals.of_types(found, type).orderBy("f_start", "id")
+    lo, hi = -1 if f0 in (None, "") else int(f0), 10**12 if f1 in (None, "") else int(f1)
+    return intervals.of_types(fields.in_range(s.events, lo, hi), type).orderBy("f_start", "id")
 
 
 def search_semantics(s: Session, query: str, limit: int = 50) -> DataFrame:
-    events = search.hits(s.events, "event", F.col("id"), F.col("f_start"), F.to_json(F.struct("*")), query)
-    fields = search.hits(state.changed(_leaves(s)), "field", F.col("path"), F.col("f"), F.concat_ws(" ", "path", "v"), query)
-    return search.ranked([events, fields], int(limit))
+    """(score, kind, item, f, detail, count): the best hits among events, values and summary windows, and how many hits there are."""
+    parts = [
+        search.hits(s.events, "event", F.col("id"), F.col("f_start"), F.col("line"), query, F.col("line")),
+        search.hits(s.timelines, "field", F.col("path"), F.col("f"), F.concat_ws(" ", "path", "v"), query, F.to_json(F.struct("path", "f", "v", "conf", "source", "crop"))),
+        search.hits(s.windows, "summary", F.col("window"), F.lit(None), F.to_json(F.struct("*")), query, F.to_json(F.struct("*"))),
+    ]
+    return search.ranked(parts, int(limit), count=True)
 
 
 def get_evidence(s: Session, annotation_id: str) -> DataFrame:
-    """An event's id, or ``<path>@<f>``."""
-    ev = s.events.select("session", "id", "type", F.col("f_start").alias("f"), F.to_json("evidence").alias("detail"))
-    return search.evidence(_leaves(s), ev, annotation_id)
+    """One row (id, claim, field, evidence, source, confidence, error): an event's id, or ``<path>@<f>``; error where neither is found."""
+    shape = "struct<f:bigint,bbox:array<double>,crop:string,crop_abs:string,exists:boolean>"
+    columns = ["id", "claim", "field", "evidence", "source", "confidence", "error"]
+    event = event_lines(s).filter(F.col("id") == annotation_id).select(
+        "id", F.col("line").alias("claim"), F.lit(None).cast("string").alias("field"), _evidence(s, F.col("crop_f"), F.col("bbox"), F.col("crop")).cast(shape).alias("evidence"),
+        "source", F.col("confidence").cast("double").alias("confidence"),
+    )
+    found = event.take(1)
+    path, _, f = annotation_id.rpartition("@")
+    if not found and path and f.isdigit():
+        at = state.reconstruct(_around(s.ops, path.split("/")), clamped(s, int(f)))
+        one = fields.fields_at(at, "session").filter(F.array_join("field", "/") == path)
+        claim = F.concat(F.lit(f"{path}="), F.from_json(F.concat(F.lit("["), "v", F.lit("]")), "array<string>")[0], F.lit(f" at f{f}"))
+        whole = F.to_json(F.struct("v", "conf", "source", F.col("f_obs").alias("f"), "bbox", "crop"))
+        found = one.select(
+            F.lit(annotation_id).alias("id"), claim.alias("claim"), whole.alias("field"),
+            _evidence(s, F.col("f_obs"), F.from_json("bbox", "array<double>"), F.col("crop")).cast(shape).alias("evidence"), "source", F.col("conf").alias("confidence"),
+        ).take(1)
+    kinds = f"id string, claim string, field string, evidence {shape}, source string, confidence double, error string"
+    if not found:
+        return s.spark.createDataFrame([(annotation_id, None, None, None, None, None, "not found")], kinds)
+    row = found[0].asDict(recursive=True)
+    if (row["evidence"] or {}).get("crop"):
+        row["evidence"]["exists"] = files.exists(s.spark, row["evidence"]["crop_abs"])
+    return s.spark.createDataFrame([tuple({**row, "error": None}[c] for c in columns)], kinds)
+
+
+def _around(ops: DataFrame, path: list[str]) -> DataFrame:
+    """The operations on a path, on what is under it and on what it is under."""
+    p = F.array(*[F.lit(x) for x in path])
+    return ops.filter((F.slice("path", 1, len(path)) == p) | ((F.size("path") < len(path)) & (F.col("path") == F.slice(p, F.lit(1), F.size("path")))))
+
+
+def _evidence(s: Session, f: Column, bbox: Column, crop: Column) -> Column:
+    return F.struct(f.alias("f"), bbox.alias("bbox"), crop.alias("crop"), F.concat(F.lit(f"{s.path}/"), crop).alias("crop_abs"), F.lit(False).alias("exists"))
 
 
 def event_lines(s: Session) -> DataFrame:
-    """(f_start, id, type, line) of every event."""
-    span = F.when(F.coalesce("f_end", "f_start") == F.col("f_start"), F.format_string("f%d", "f_start")).otherwise(F.format_string("f%d-f%d", "f_start", "f_end"))
-    t = F.coalesce("t_ms", F.col("f_start") * 1000.0 / s.fps) / 1000
-    change = F.when(F.col("from").isNotNull() | F.col("to").isNotNull(), F.concat(F.coalesce(F.to_json("from"), F.lit("None")), F.lit("->"), F.coalesce(F.to_json("to"), F.lit("None"))))
+    """(f_start, id, type, line, crop, crop_f, bbox, source, confidence) of every event. Recorded times win over computed ones."""
+    e = s.events.drop("line").join(s.frames.select(F.col("f").alias("f_start"), F.col("t_ms").alias("at_ms")), "f_start", "left")
+    end = F.coalesce("f_end", "f_start")
+    span = F.when(end == F.col("f_start"), F.format_string("f%d", "f_start")).otherwise(F.format_string("f%d-f%d", F.col("f_start"), end))
+    t = F.coalesce("t_ms", "at_ms", F.col("f_start") * 1000.0 / s.fps, F.lit(0.0)) / 1000
+    change = F.when(F.col("from").isNotNull() | F.col("to").isNotNull(), F.concat(shown(F.to_json("from")), F.lit("->"), shown(F.to_json("to"))))
     parts = [span, F.format_string("t=%.2fs", t), F.col("type"), F.when(F.col("entity").isNotNull(), F.concat(F.lit("entity="), F.col("entity"))), change, F.concat(F.lit("["), source_tag(F.col("source"), F.col("confidence")), F.lit("]")), F.concat(F.lit("id="), F.col("id"))]
-    return s.events.select("f_start", "id", "type", F.concat_ws(" ", *parts).alias("line"), F.col("evidence.crop").alias("crop"), F.col("evidence.f").alias("crop_f"))
+    return e.select("f_start", "id", "type", F.concat_ws(" ", *parts).alias("line"), F.col("evidence.crop").alias("crop"), F.coalesce("evidence.f", "f_start").alias("crop_f"), F.col("evidence.bbox").alias("bbox"), "source", "confidence")
+
+
+def compact_states(s: Session, frames: list[int]) -> DataFrame:
+    """(n, line): display, texts and visible entities of the state at each frame, with tags of where they come from."""
+    at = [clamped(s, f) for f in frames] or [s.first]
+    rows = fields.fields_at(state.reconstruct_at(s.ops, at), "n")
+    group, key, tag = F.col("field")[0], F.col("field")[1], source_tag(F.col("source"), F.col("conf"))
+    said = F.concat(F.when(group == "text", "text.").otherwise(""), key, F.lit("="), shown(F.col("v")), F.lit("("), tag, F.lit(")"))
+    listed = lambda g: F.array_sort(F.collect_list(F.when((group == g) & (F.size("field") == 2), F.struct(key.alias("k"), said.alias("said")))))
+    plain = rows.groupBy("n").agg(listed("hud").alias("hud"), listed("text").alias("text"))
+    attr = lambda name, what: F.max(F.when(F.col("field")[2] == name, what))
+    things = rows.filter((group == "entities") & (F.size("field") == 3)).groupBy("n", key.alias("id")).agg(
+        attr("visible", F.col("v")).alias("visible"), attr("bbox", F.col("v")).alias("bbox"), F.coalesce(attr("visible", F.col("source")), attr("bbox", F.col("source"))).alias("source")
+    ).filter("coalesce(visible, 'true') <> 'false'")
+    one = F.concat("id", F.lit("@"), shown(F.coalesce("bbox", F.lit("null"))), F.lit("("), source_tag(F.col("source"), F.lit(None).cast("double")), F.lit(")"))
+    seen = things.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", one.alias("said")))), lambda x: x["said"]).alias("seen"))
+    asked = s.spark.createDataFrame([(n,) for n in sorted(set(at))], "n bigint").join(s.frames.select(F.col("f").alias("n"), "t_ms"), "n", "left")
+    none = F.array().cast("array<string>")
+    said_of = lambda c: F.coalesce(F.transform(c, lambda x: x["said"]), none)
+    time = F.format_string("[f%d t=%.2fs]", F.col("n"), F.coalesce("t_ms", F.col("n") * 1000.0 / s.fps) / 1000)
+    visible = F.concat(F.lit("visible_entities="), F.size(F.coalesce("seen", none)).cast("string"), F.lit(": "), F.array_join(F.coalesce("seen", none), " "))
+    return asked.join(plain, "n", "left").join(seen, "n", "left").select("n", F.array_join(F.concat(F.array(time), said_of("hud"), said_of("text"), F.array(visible)), " ").alias("line"))
+
+
+def context_lines(s: Session, query: str, want: dict[str, bool], frames: list[int]) -> tuple[list[tuple[int, str]], DataFrame]:
+    """((priority, title) of every section, rows (section, place, line)): all that a context may say, not yet cut to a budget."""
+    titles: list[tuple[int, str]] = []
+    parts: list[DataFrame] = []
+
+    def section(priority: int, title: str, rows: DataFrame, *order: str | Column) -> None:
+        parts.append(rows.select(F.lit(len(titles)).alias("section"), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]).cast("string").alias("place"), "line"))
+        titles.append((priority, title))
+
+    wide = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    rank = lambda kind: 1 if want[kind] else 3
+    if frames:
+        section(0, "STATE AT REFERENCED FRAMES", compact_states(s, frames[:6]), wide("n"))
+    seen_at = F.when(F.col("f_obs") <= F.col("f"), F.col("f_obs")).otherwise(F.col("f")).cast("string")
+    tag = F.concat(F.lit("["), source_tag(F.col("source"), F.col("conf")), F.lit("]"))
+    unsure = F.when(F.col("source").eqNullSafe(F.lit("observed")), "").otherwise(F.concat(F.lit("("), source_tag(F.col("source"), F.col("conf")), F.lit(")")))
+    in_order = lambda item: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", item.alias("item")))), lambda x: x["item"]), " ")
+    if want["hud"] or frames:
+        own = s.timelines.filter(F.col("path").startswith("hud/")).withColumn("name", F.expr("substr(path, 5)"))
+        named = own.groupBy("name").agg(in_order(F.concat(F.lit("f"), seen_at, F.lit("="), shown(F.col("v")), unsure)).alias("items")).withColumn("asked", F.lit((query or "").lower()).contains(F.lower("name")))
+        chosen = named.join(F.broadcast(named.agg(F.coalesce(F.max("asked"), F.lit(False)).alias("some")))).filter("asked OR NOT some")
+        section(rank("hud"), "HUD VALUE TIMELINES (exact frames of change)", chosen.select("name", F.concat(F.lit("hud."), "name", F.lit(" value timeline (value holds until next entry): "), "items").alias("line")), "name")
+    if want["text"] or frames:
+        own = s.timelines.filter(F.col("path").rlike("^(text|scene)/"))
+        lines = own.groupBy("path").agg(in_order(F.concat(F.lit("f"), seen_at, F.lit("="), shown(F.col("v")), tag)).alias("items"))
+        section(rank("text"), "TEXT / OCR TIMELINES", lines.select("path", F.concat(F.replace(F.col("path"), F.lit("/"), F.lit(".")), F.lit(": "), "items").alias("line")), "path")
+    if want["entities"] or frames:
+        section(rank("entities"), "ENTITIES (visible intervals, inclusive)", _entity_lines(s), wide("first_f"), "id")
+    e = event_lines(s)
+    first = [t for kind in ("flash", "hud", "text", "entities") if want[kind] for t in context.TYPES[kind]]
+    counts = e.groupBy("type").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "type", F.col("n").cast("string")))), ", ").alias("line"))
+    section(1, "EVENT COUNTS", counts.withColumn("f", F.lit(0)), "f")
+    section(1, f"EVENTS ({'/'.join(first)}) chronological", e.filter(F.col("type").isin(*first)), wide("f_start"), "id")
+    section(4, "OTHER EVENTS", e.filter(~F.col("type").isin(*first)), wide("f_start"), "id")
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    return titles, lines
+
+
+def _entity_lines(s: Session) -> DataFrame:
+    """(first_f, id, line): every entity with its intervals, after a first line of how many are visible when."""
+    part = F.split("path", "/")
+    own = s.timelines.filter(F.col("path").startswith("entities/")).withColumn("id", part[1]).withColumn("attr", part[2])
+    present = own.filter("attr = 'present'").select("session", "id", "f", (F.col("v") == "true").alias("v"))
+    bounds = fields.spans(present, s.frames).groupBy("id").agg(F.min("first_f").alias("first_f"), F.max("last_f").alias("last_f"))
+    visible = fields.visible_spans(s.timelines, present, s.frames)
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("f_start"))
+    spans = visible.withColumn("r", nth).groupBy("id").agg(
+        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("f_start", "f_end"))), 1, 20), lambda x: F.format_string("f%d-f%d", x["f_start"], x["f_end"])), " ").alias("iv"), F.max("r").alias("n_iv")
+    )
+    early = lambda attr: F.min_by(F.when(F.col("attr") == attr, F.col("v")), F.when(F.col("attr") == attr, F.col("f")))
+    unseen = F.array_sort(F.collect_list(F.when((F.col("attr") == "visible") & (F.col("source") != "observed"), F.col("f"))))
+    named = own.groupBy("id").agg(F.coalesce(early("label"), early("type"), F.lit('""')).alias("label"), F.transform(F.slice(unseen, 1, 8), lambda f: F.format_string("f%d", f)).alias("prop"))
+    all_of = named.join(bounds, "id").join(spans, "id", "left")
+    shape = F.concat(F.coalesce(F.col("iv"), F.lit("none")), F.when(F.col("n_iv") > 20, " ...").otherwise(""))
+    line = F.concat("id", F.lit(" ("), shown(F.col("label")), F.lit("): first f"), F.col("first_f").cast("string"), F.lit(" last f"), F.col("last_f").cast("string"), F.lit("; visible intervals: "), shape,
+                    F.when(F.size("prop") > 0, F.concat(F.lit("; visibility PROP/INFER at "), F.array_join("prop", " "))).otherwise(""))
+    counts = s.timelines.filter("path = 'derived/visible_entity_count'").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: F.format_string("f%d=%s", x["f"], x["v"])), " ").alias("items"), F.count(F.lit(1)).alias("n"))
+    head = counts.filter(F.col("n") > 0).select(F.lit(-1).cast("bigint").alias("first_f"), F.lit("").alias("id"), F.concat(F.lit("visible entity count timeline (count holds until next entry): "), "items").alias("line"))
+    some = all_of.limit(1).select(F.lit(1).alias("some"))
+    return head.join(some).drop("some").unionByName(all_of.select("first_f", "id", line.alias("line")))
 
 
 def compile_context(s: Session, query: str, token_budget: int = 4000) -> dict:
+    """What the query needs to know of the session, as text within a budget of estimated tokens. Only lines that the budget can hold reach the driver."""
+    budget = int(token_budget)
     want, frames = context.intents(query), context.frame_references(query, s.fps, s.n_frames)
-    sections: list[tuple[int, str, list[str]]] = [(0, "HEADER", [f"SESSION {s.name}: frames 0..{s.n_frames - 1} at {s.fps:g} fps"])]
-    if frames:
-        lines = [f"[f{f}] " + (r["text"] if (r := timeline.compact_states(get_state(s, f)).first()) else "") for f in frames[:6]]
-        sections.append((0, "STATE AT REFERENCED FRAMES", lines))
-    values = state.changed(_leaves(s).filter(F.element_at(F.split("path", "/"), -1) == "v")).withColumn("group", F.split("path", "/")[0])
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: F.concat(F.lit("f"), x["f"].cast("string"), F.lit("="), x["v"])), " ")
-    by_path = values.groupBy("group", "path").agg(line.alias("line"), F.min("f").alias("first")).orderBy("group", "path").collect()
-    for group, title, kind in (("hud", "HUD VALUE TIMELINES", "hud"), ("text", "TEXT TIMELINES", "text"), ("entities", "ENTITIES", "entities")):
-        lines = [f"{r['path'].removesuffix('/v')}: {r['line']}" for r in by_path if r["group"] == group]
-        if lines and (want[kind] or frames):
-            sections.append((1 if want[kind] else 3, title, lines))
-    rows = event_lines(s).orderBy("f_start", "id").collect()
-    first = [t for kind, types in context.TYPES.items() if want[kind] for t in types]
-    counts: dict[str, int] = {}
-    for r in rows:
-        counts[r["type"]] = counts.get(r["type"], 0) + 1
-    sections.append((1, "EVENT COUNTS", [", ".join(f"{k}={v}" for k, v in sorted(counts.items()))]))
-    if wanted := [r for r in rows if r["type"] in first]:
-        sections.append((1, f"EVENTS ({'/'.join(first)})", [r["line"] for r in wanted]))
-    if rest := [r["line"] for r in rows if r["type"] not in first]:
-        sections.append((4, "OTHER EVENTS", rest))
-    text = context.fill(sections, int(token_budget))
-    evidence = [{"f": r["crop_f"], "crop": r["crop"], "id": r["id"]} for r in rows if r["type"] in first and r["crop"]]
+    titles, lines = context_lines(s, query, want, frames)
+    by_section: dict[int, list[str]] = {}
+    for r in context.usable(lines, context.limit_of(budget)).orderBy("section", "place").collect():
+        by_section.setdefault(r["section"], []).append(r["line"])
+    head = [
+        f"SESSION {s.name}: frames 0..{s.n_frames - 1} at {s.fps:g} fps (frame f -> time f/{s.fps:g} s). Frame indices are source video frames.",
+        "Tags: obs=observed this frame by perception; PROP=propagated from earlier observation (not re-seen; conf decays); INFER=inferred. Number after tag = confidence.",
+    ]
+    always = "EVENT COUNTS"
+    sections = [(0, "HEADER", head), *[(p, title, by_section.get(i, [])) for i, (p, title) in enumerate(titles) if i in by_section or title == always or title.startswith("HUD")]]
+    text = context.laid_out(sections, budget)
     return {
-        "context": text, "tokens": context.estimate(text), "token_budget": int(token_budget), "evidence": context.deduplicated(evidence, ("f", "crop"), 20),
+        "context": text, "tokens": context.estimate(text), "token_budget": budget, "evidence": [_bare(r) for r in _evidence_rows(s, want, bool(frames)).collect()],
         "focus": {k: v for k, v in want.items() if v}, "frames": frames,
     }
 
 
+def _bare(row) -> dict:
+    return {k: v for k, v in row.asDict().items() if v is not None or k != "id"}
+
+
+def _evidence_rows(s: Session, want: dict[str, bool], frames: bool, most: int = 20) -> DataFrame:
+    """(f, crop, id): crops behind texts, then behind wanted events; the first of each frame and crop."""
+    texts = s.timelines.filter(F.col("path").rlike("^(text|scene)/") & F.col("crop").isNotNull() & F.lit(want["text"] or frames))
+    first = [t for kind, types in context.TYPES.items() if want[kind] for t in types]
+    seen = event_lines(s).filter(F.col("type").isin(*first) & F.col("crop").isNotNull())
+    order = F.concat_ws("/", F.lit("0"), "path", F.lpad(F.col("f").cast("string"), 12, "0")), F.concat_ws("/", F.lit("1"), F.lpad(F.col("f_start").cast("string"), 12, "0"), "id")
+    both = texts.select("f", "crop", F.lit(None).cast("string").alias("id"), order[0].alias("ord")).union(seen.select(F.col("crop_f"), "crop", "id", order[1]))
+    return context.first_of_each(both, ("f", "crop"), "ord", most).drop("ord")
+
+
 def reanalyze(s: Session, f0: int, f1: int, region: str | None = None, fidelity: str = "high") -> DataFrame:
-    """(f, text, conf): the range's frames, all or twelve and the last, read again by the OCR provider."""
+    """(f, text, conf, bbox, fidelity, method): the range's frames, all or twelve and the last, read again by the OCR provider in the region's pixels."""
     picked = s.frames.filter(F.col("f").between(int(f0), int(f1))).select("session", "f")
-    from chronolith.operators.summary import evenly_sampled
-
-    read = providers.text_udf("ocr")(F.concat_ws(":", F.col("f").cast("string"), F.lit(region or "all"), F.lit(fidelity)))
-    return evenly_sampled(picked, 12, "session").select("f", read.alias("text")).withColumn("conf", F.when(F.length("text") > 0, 0.9).otherwise(0.3))
+    width, height = s.width or 1000, s.height or 1000  # unknown sizes: thousandths
+    box = geometry.region_box(F.lit(region if region not in ("", None) else "all"), width, height)
+    at = evenly_sampled(picked, 12, "session").withColumn("box", box)
+    asked = F.concat_ws(":", F.col("f").cast("string"), *[F.col(f"box.{c}").cast("string") for c in "xywh"], F.lit(fidelity))
+    read = at.withColumn("text", providers.text_udf("ocr")(asked))
+    shape = F.array(*[F.col(f"box.{c}") / n for c, n in zip("xywh", (width, height, width, height), strict=True)])
+    return read.select("f", "text", F.when(F.length("text") > 0, 0.9).otherwise(0.3).alias("conf"), shape.alias("bbox"), F.lit(fidelity).alias("fidelity"), F.lit("ocr_provider").alias("method"))
 
 
 def ask(s: Session, question: str, token_budget: int = 4000) -> dict:
     compiled = compile_context(s, question, token_budget)
-    full = providers.provider("llm")(f"{compiled['context']}\n\n{question}")
-    answer = re.search(r"ANSWER:\s*(.*)", full)
-    cited = [{"f": int(x)} for x in re.findall(r"\bf(\d+)\b", full)]
-    return {"answer": answer[1].strip() if answer else full.strip(), "full": full, "context_tokens": compiled["tokens"], "evidence": context.deduplicated(cited + compiled["evidence"], ("f",), 10)}
+    full = providers.provider("llm")(f"{compiled['context']}\n\nQUESTION: {question}")
+    answer = re.search(r"ANSWER:\s*(.+)", full)
+    cited = [{"f": int(x), "crop": None} for x in reversed(re.findall(r"\bf(?:rame)?\s*(\d+)", full))]
+    by_frame = {e["f"]: e for e in reversed([*cited, *compiled["evidence"]])}
+    order = dict.fromkeys(e["f"] for e in [*cited, *compiled["evidence"]])
+    return {"answer": (answer[1] if answer else full.strip().split("\n")[0]).strip(), "full": full, "context_tokens": compiled["tokens"], "evidence": [by_frame[f] for f in order][:10]}
 
 
 OPS: dict[str, Callable] = {
     "get_state": get_state, "get_changes": get_changes, "get_entity_history": get_entity_history, "get_events": get_events,
     "search_semantics": search_semantics, "get_evidence": get_evidence, "compile_context": compile_context, "reanalyze": reanalyze,
 }
-#: Parameters of each operation, and other names they answer to.
+#: Parameters of each operation, and other names they answer to.
 PARAMS: dict[str, tuple[str, ...]] = {
     "get_state": ("f",), "get_changes": ("f0", "f1"), "get_entity_history": ("entity_id",), "get_events": ("f0", "f1", "type"),
     "search_semantics": ("query", "limit"), "get_evidence": ("annotation_id",), "compile_context": ("query", "token_budget"), "reanalyze": ("f0", "f1", "region", "fidelity"),
 }
-ALIASES = {"q": "query", "id": "annotation_id", "entity": "entity_id", "frame": "f", "budget": "token_budget", "start": "f0", "end": "f1"}
+ALIASES = {"frame": "f", "start": "f0", "end": "f1", "q": "query", "id": "annotation_id", "entity": "entity_id", "budget": "token_budget", "filter": "type"}
+
+
+def document(op: str, out: DataFrame | dict, params: dict) -> dict:
+    """An operation's rows in the shape that a service answers with; rows come to the driver one partition at a time."""
+    if isinstance(out, dict):
+        return out
+    rows = [json.loads(r) for r in out.toJSON().toLocalIterator()]
+    opened = lambda x: json.loads(x) if isinstance(x, str) else x
+    match op:
+        case "get_state":
+            root: dict = {}
+            for r in rows:
+                node = root
+                for k in r["path"][:-1]:
+                    node = node.setdefault(k, {})
+                node[r["path"][-1]] = opened(r["v"])
+            return root
+        case "get_changes":
+            seen = sorted((r for r in rows if r["kind"] != "event"), key=lambda r: r["f"])
+            changes = [{"f": r["f"], "kind": "snapshot"} if r["kind"] == "snapshot" else {"f": r["f"], "delta": opened(r["delta"])} for r in seen]
+            return {"f0": int(params["f0"]), "f1": int(params["f1"]), "changes": changes, "events": [opened(r["event"]) for r in rows if r["kind"] == "event"]}
+        case "get_entity_history":
+            history: dict[str, list] = {}
+            for r in sorted((r for r in rows if r["kind"] == "value"), key=lambda r: r["f"]):
+                history.setdefault(r["attr"], []).append({k: opened(r.get(k)) if k in ("v", "bbox") else r.get(k) for k in ("f", "v", "conf", "source", "f_obs", "bbox", "crop")})
+            span = next((r for r in rows if r["kind"] == "span"), {})
+            return {"entity_id": params["entity_id"], "first_f": span.get("f"), "last_f": span.get("f_obs"), "history": history, "events": [opened(r["event"]) for r in rows if r["kind"] == "event"]}
+        case "get_events":
+            return {"count": len(rows), "events": [opened(r["line"]) for r in rows]}
+        case "search_semantics":
+            kinds = {"event": lambda r, x: {"f": r.get("f"), "id": r["item"], "event": x}, "field": lambda r, x: x | {"v": opened(x.get("v"))}, "summary": lambda r, x: {"window": x}}
+            return {"query": params["query"], "count": rows[0]["count"] if rows else 0, "hits": [{"score": r["score"], "kind": r["kind"], **kinds[r["kind"]](r, opened(r["detail"]))} for r in rows]}
+        case "get_evidence":
+            r = rows[0]
+            if "error" in r:
+                return {"id": r["id"], "error": r["error"]}
+            if "field" not in r:
+                return r
+            node = opened(r["field"])
+            return {"id": r["id"], "claim": r["claim"], "field": node | {k: opened(node.get(k)) for k in ("v", "bbox")}, "evidence": r.get("evidence")}
+        case "reanalyze":
+            field_of = lambda r: {"v": r["text"], "conf": r["conf"], "source": "observed", "f": r["f"], "bbox": r["bbox"], "crop": None}
+            seen = [{"f": r["f"], "text": field_of(r), "fidelity": r["fidelity"], "method": r["method"]} for r in sorted(rows, key=lambda r: r["f"])]
+            return {"f0": int(params["f0"]), "f1": int(params["f1"]), "region": params.get("region"), "fidelity": params.get("fidelity", "high"), "observations": seen}
+    return {"rows": rows}
 
 
 def call(s: Session, op: str, params: dict[str, str]) -> tuple[int, object]:
-    """As a service would answer: 404 for an unknown operation, 400 for a missing parameter, else 200 and rows or a document."""
+    """As a service would answer: 404 for an unknown operation, 400 for a missing parameter, else 200 and a document."""
     if op not in OPS:
         return 404, {"error": f"unknown op {op}"}
     named = {ALIASES.get(k, k): v for k, v in params.items()}
+    given = {k: named[k] for k in PARAMS[op] if k in named}
     try:
-        out = OPS[op](s, **{k: named[k] for k in PARAMS[op] if k in named})
+        out = OPS[op](s, **given)
     except TypeError as e:
         return 400, {"error": str(e)}
-    return 200, [json.loads(r) for r in out.toJSON().collect()] if isinstance(out, DataFrame) else out
+    return 200, document(op, out, given)

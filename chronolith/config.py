@@ -25,7 +25,10 @@ class Thresholds:
     decay_copy: float = 0.998
     decay_propagated: float = 0.995
     reinfer_below: float = 0.55
+    reread_confidence: float = 0.95
     warn_below: float = 0.3
+    warn_gap: int = 600
+    partial_area: float = 0.6
     hide_after: int = 4
     remove_after_s: float = 3.0
     confirm_hits: int = 10

@@ -59,24 +59,38 @@ def grid_filled(rows: DataFrame, value: Column) -> DataFrame:
     return span.join(seen, ["session", "f"], "left").select("session", "f", F.col("s").isNull().alias("filled"), F.last("s", True).over(w)["v"].alias("v"))
 
 
-def word_lines(words: DataFrame) -> DataFrame:
-    """words (page, x, y, w, h, text) -> lines (page, line, text): a word joins the line that it overlaps by half its height and follows within three heights, else opens one."""
+def word_lines(words: DataFrame, least: float = 40.0) -> DataFrame:
+    """words (page, x, y, w, h, text[, conf]) -> lines (page, line, text, x, y, w, h).
+
+    Words of a confidence below ``least``, blank ones and second readings of a word in the same 8-pixel cell are left
+    out. From top to bottom a word joins the first line whose height has its middle and whose end is less than three
+    heights (of the taller) before it, else opens one; a line's words are joined from left to right.
+    """
+    sure = F.col("conf") >= least if "conf" in words.columns else F.lit(True)
+    cell = [F.floor(F.col(c) / 8) for c in "xy"]
+    read = words.filter(sure & (F.trim("text") != "")).withColumn("text", F.trim("text"))
+    first = F.row_number().over(Window.partitionBy("page", "text", *cell).orderBy("y", "x", "w", "h"))
+    read = read.withColumn("__nth", first).filter("__nth = 1").select("page", "x", "y", "w", "h", "text")
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         lines: list[dict] = []
-        for r in p.sort_values(["y", "x"], kind="stable").itertuples():
-            for line in lines:
-                over = min(line["y1"], r.y + r.h) - max(line["y0"], r.y)
-                if over >= 0.5 * min(r.h, line["y1"] - line["y0"]) and -r.h < r.x - line["x1"] < 3 * r.h:
-                    line["words"].append((r.x, r.text))
-                    line.update(y0=min(line["y0"], r.y), y1=max(line["y1"], r.y + r.h), x1=max(line["x1"], r.x + r.w))
-                    break
-            else:
-                lines.append({"y0": r.y, "y1": r.y + r.h, "x1": r.x + r.w, "words": [(r.x, r.text)]})
-        return pd.DataFrame([(p["page"].iloc[0], i, " ".join(t for _, t in sorted(x["words"]))) for i, x in enumerate(lines)], columns=["page", "line", "text"])
+        for r in p.sort_values(["y", "x", "text"], kind="stable").itertuples():
+            middle = r.y + r.h / 2
+            takes = lambda n: n["top"] <= middle <= n["bottom"] and r.x - n["end"] < 3 * max(r.h, n["bottom"] - n["top"])  # noqa: B023, E731
+            home = next(filter(takes, lines), None)
+            if home is None:
+                lines.append(home := {"top": r.y, "bottom": r.y + r.h, "end": r.x + r.w, "words": []})
+            home["words"].append((r.x, r.text))
+            home.update(top=min(home["top"], r.y), bottom=max(home["bottom"], r.y + r.h), end=max(home["end"], r.x + r.w))
+        rows = []
+        for i, n in enumerate(lines):
+            n["words"].sort(key=lambda w: w[0])
+            start = n["words"][0][0]
+            rows.append((p["page"].iloc[0], i, " ".join(t for _, t in n["words"]), float(start), float(n["top"]), float(n["end"] - start), float(n["bottom"] - n["top"])))
+        return pd.DataFrame(rows, columns=["page", "line", "text", "x", "y", "w", "h"])
 
     kind = dict(words.dtypes)["page"]
-    return words.groupBy("page").applyInPandas(fn, f"page {kind}, line bigint, text string")
+    return read.groupBy("page").applyInPandas(fn, f"page {kind}, line bigint, text string, x double, y double, w double, h double")
 
 
 def agreed(readings: DataFrame, least: int = 2) -> DataFrame:

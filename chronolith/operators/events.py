@@ -82,6 +82,11 @@ def backdated(changes: DataFrame, flashes: DataFrame, after: int = 2) -> DataFra
     return out.withColumn("f_eff", F.coalesce("flash_f", "f")).withColumn("source", F.when(under, "inferred").otherwise("observed")).withColumn("conf", F.when(under, 0.75).otherwise(0.9)).drop("flash_f")
 
 
+def in_time(results: DataFrame, within: int) -> DataFrame:
+    """results (session, asked_f, done_f): kept if done within so many frames; one that comes later, or never, is dropped and counted."""
+    return results.withColumn("kept", F.coalesce(F.col("done_f") - F.col("asked_f") <= within, F.lit(False)))
+
+
 def once_by_checksum(rows: DataFrame, payload: Column, order: str) -> DataFrame:
     """One row for each distinct payload, the least by ``order``: what a costly reader is asked; results join back by checksum."""
     keyed = rows.withColumn("checksum", F.md5(payload))

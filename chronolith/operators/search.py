@@ -17,15 +17,20 @@ def words_of(query: str) -> list[str]:
     return [w for w in re.findall(r"[a-z0-9_]+", query.lower()) if len(w) > 1]
 
 
-def hits(corpus: DataFrame, kind: str, item: Column, f: Column, text: Column, query: str) -> DataFrame:
-    """(score, kind, item, f) of the rows that hold a word of the query."""
-    return corpus.select(score(text, words_of(query)).alias("score"), F.lit(kind).alias("kind"), item.cast("string").alias("item"), f.cast("bigint").alias("f")).filter("score > 0")
-
-
-def ranked(parts: list[DataFrame], limit: int = 50) -> DataFrame:
-    """The best hits of all corpora, by score, frame, then the order of the corpora: a top-k, not a sort of all hits."""
-    numbered = [p.withColumn("ord", F.lit(i)) for i, p in enumerate(parts)]
-    return reduce(DataFrame.unionByName, numbered).orderBy(F.desc("score"), F.coalesce("f", F.lit(0).cast("bigint")), "ord", "item").limit(limit).drop("ord")
+def hits(corpus: DataFrame, kind: str, item: Column, f: Column, text: Column, query: str, detail: Column | None = None) -> DataFrame:
+    """(score, kind, item, f[, detail]) of the rows that hold a word of the query."""
+    shown = [] if detail is None else [detail.alias("detail")]
+    return corpus.select(score(text, words_of(query)).alias("score"), F.lit(kind).alias("kind"), item.cast("string").alias("item"), f.cast("bigint").alias("f"), *shown).filter("score > 0")
+
+
+def ranked(parts: list[DataFrame], limit: int = 50, count: bool = False) -> DataFrame:
+    """The best hits of all corpora, by score, frame, then the order of the corpora: a top-k, not a sort of all hits. With count, how many hits there are beside each."""
+    numbered = reduce(DataFrame.unionByName, [p.withColumn("ord", F.lit(i)) for i, p in enumerate(parts)])
+    order = [F.desc("score"), F.coalesce("f", F.lit(0).cast("bigint")), "ord", "item"]
+    best = numbered.orderBy(*order).limit(limit)
+    if count:
+        best = best.join(F.broadcast(numbered.agg(F.count(F.lit(1)).alias("count")))).orderBy(*order)
+    return best.drop("ord")
 
 
 def evidence(rows: DataFrame, events: DataFrame, annotation: str) -> DataFrame:

@@ -11,6 +11,21 @@ def mode_histogram(rows: DataFrame, modes: str = "modes") -> DataFrame:
     return rows.select(F.explode(F.split(modes, "")).alias("mode")).filter("mode <> ''").groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
+def joint_histogram(pixels: DataFrame, *keys: str, levels: int = 4) -> DataFrame:
+    """pixels (keys, r, g, b of 0..255) -> (keys, hist): the shares of the levels ** 3 joint colour bins, counted before the shuffle."""
+    part = lambda c: F.floor(F.col(c) * levels / 256)
+    binned = pixels.select(*keys, ((part("r") * levels + part("g")) * levels + part("b")).cast("int").alias("bin"))
+    counts = [F.count_if(F.col("bin") == i) / F.count(F.lit(1)) for i in range(levels**3)]
+    return binned.groupBy(*keys).agg(F.array(*counts).alias("hist"))
+
+
+def region_residuals(pixels: DataFrame) -> DataFrame:
+    """pixels (session, f, region, pixel, r, g, b) -> (session, f, region, residual): the mean over a region of the summed colour change since the frame before."""
+    w = Window.partitionBy("session", "region", "pixel").orderBy("f")
+    change = sum((F.abs(F.col(c) - F.lag(c).over(w)) for c in "rgb"), F.lit(0))
+    return pixels.withColumn("change", change).filter("change IS NOT NULL").groupBy("session", "f", "region").agg(F.avg("change").alias("residual"))
+
+
 def skip_ratio(histogram: DataFrame, skipped: tuple[str, ...] = ("C", "P", "V")) -> DataFrame:
     kept = F.sum(F.when(F.col("mode").isin(*skipped), F.col("n")).otherwise(0))
     return histogram.agg(kept.cast("bigint").alias("skipped"), F.sum("n").cast("bigint").alias("total"), F.round(kept / F.sum("n"), 4).alias("ratio"))

@@ -7,13 +7,14 @@ folded in order by ``applyInPandas``. Parallelism is across sessions; a session
 from __future__ import annotations
 
 import math
-from collections import Counter, deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronolith.config import DEFAULT, Thresholds
+from chronolith.functions.signal import l1
 
 
 def _by(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -37,6 +38,22 @@ def dead_band(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
     return _by(rows.select("session", "path", "f", "v"), ["session", "path"], fn, rows.select("session", "path", "f", "v").schema.simpleString()[7:-1].replace(":", " "))
 
 
+def emitted_boxes(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
+    """(session, path, f, box array, source, anchor_f): rows to emit: the box has moved by ``move`` in some coordinate since the last emitted one, or is known otherwise."""
+    columns = ["session", "path", "f", "box", "source", "anchor_f"]
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        keep, last = [], None
+        for i, now in enumerate(zip(p["source"], p["anchor_f"], p["box"], strict=True)):
+            if last is None or last[:2] != now[:2] or max(abs(a - b) for a, b in zip(last[2], now[2], strict=True)) >= move:
+                keep.append(i)
+                last = now
+        return p.iloc[keep]
+
+    chosen = rows.select(*columns)
+    return _by(chosen, ["session", "path"], fn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema))
+
+
 def spaced(rows: DataFrame, gap: int = DEFAULT.bbox_sample_gap) -> DataFrame:
     """(session, path, f): rows at least ``gap`` frames after the last emitted one; also the cooldown of cuts."""
 
@@ -51,45 +68,100 @@ def spaced(rows: DataFrame, gap: int = DEFAULT.bbox_sample_gap) -> DataFrame:
     return _by(rows.select("session", "path", "f"), ["session", "path"], fn, rows.select("session", "path", "f").schema.simpleString()[7:-1].replace(":", " "))
 
 
+class _Ballot:
+    """Reads that vote on the next accepted value; it is empty while nothing contradicts the accepted one."""
+
+    def __init__(self, fps: float, t: Thresholds):
+        self.seats, self.needed, self.expire = t.vote_window, t.votes, t.vote_expire_s * fps
+        self.persist = max(2, int(t.vote_persist_s * fps))
+        self.accepted: float | None = None
+        self.votes: list[tuple[int, float]] = []
+
+    def plausible(self, v: float) -> bool:
+        return self.accepted is None or abs(v - self.accepted) <= max(1000, 10 * abs(self.accepted))
+
+    def winner(self) -> tuple[float, list[int]]:
+        """The value with most votes, the first voted for of equals, and the frames of its votes."""
+        frames: dict[float, list[int]] = {}
+        for f, v in self.votes:
+            frames.setdefault(v, []).append(f)
+        return max(frames.items(), key=lambda x: len(x[1]))
+
+    def read(self, f: int, v: float) -> tuple[int, float, float | None] | None:
+        """Takes a read; the change (first winning frame, value, value before) if that decides one."""
+        if not self.plausible(v) or (v == self.accepted and not self.votes):
+            return None
+        self.votes = [x for x in [*self.votes, (f, v)][-self.seats :] if f - x[0] <= self.expire]
+        value, frames = self.winner()
+        confirmed, lasting = value == self.accepted, frames[-1] - frames[0] >= self.persist
+        if len(frames) < self.needed or not (confirmed or lasting):
+            return None
+        before, self.votes, self.accepted = self.accepted, [], value
+        return None if confirmed else (frames[0], value, before)
+
+
 def voted_changes(reads: DataFrame, fps: float, t: Thresholds = DEFAULT) -> DataFrame:
-    """(session, path, f, v) reads -> accepted values (session, path, f0, v, prev), dated to the first winning read."""
+    """(session, path, f, v) reads -> accepted values (session, path, f0, v, prev), dated to the first winning read. Null reads are no evidence."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
-        out, old, pending = [], None, deque(maxlen=t.vote_window)
-        for f, v in zip(p["f"].tolist(), p["v"].tolist(), strict=True):
-            if v is None or (isinstance(v, float) and math.isnan(v)):
-                continue
-            if old is not None and v != old and abs(v - old) > max(1000, 10 * abs(old)):
-                continue
-            if old is not None and v == old and not pending:
-                continue
-            pending.append((f, v))
-            pending = deque((x for x in pending if f - x[0] <= t.vote_expire_s * fps), maxlen=t.vote_window)
-            top, n = Counter(x[1] for x in pending).most_common(1)[0]
-            if n < t.votes:
-                continue
-            if old is not None and top == old:
-                pending.clear()
-                continue
-            at = [x[0] for x in pending if x[1] == top]
-            if at[-1] - at[0] < max(2, int(t.vote_persist_s * fps)):
-                continue
-            out.append((p["session"].iloc[0], p["path"].iloc[0], at[0], float(top), old))
-            old = top
-            pending.clear()
-        return pd.DataFrame(out, columns=["session", "path", "f0", "v", "prev"])
+        ballot, known = _Ballot(fps, t), p.dropna(subset=["v"])
+        found = [x for f, v in zip(known["f"].tolist(), known["v"].tolist(), strict=True) if (x := ballot.read(f, v))]
+        return pd.DataFrame([(p["session"].iloc[0], p["path"].iloc[0], f, float(v), old) for f, v, old in found], columns=["session", "path", "f0", "v", "prev"])
 
     kinds = dict(reads.dtypes)
     return _by(reads.select("session", "path", "f", "v"), ["session", "path"], fn, f"session {kinds['session']}, path {kinds['path']}, f0 bigint, v double, prev double")
 
 
-def budgeted(rows: DataFrame, share: float = DEFAULT.budget_share, extra: int = DEFAULT.budget_extra) -> DataFrame:
-    """(session, f, wanted): grants while those so far are within share * rows seen + extra."""
+def confirmed_reads(reads: DataFrame) -> DataFrame:
+    """reads (session, path, f, v, second, third) -> accepted changes (session, path, f, v, prev).
+
+    A value that differs from the accepted one is taken if an independent second read gives it too. A second read that
+    is new itself becomes the candidate, once, and the third has to give it. The first value of all needs no second.
+    """
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        out, old = [], None
+        for f, *read in zip(p["f"].tolist(), *(p[c].astype(object).where(p[c].notna(), None).tolist() for c in ("v", "second", "third")), strict=True):
+            first, second, third = read
+            if first is None or first == old:
+                continue
+            value = first if old is None or second == first else second if second is not None and second != old and third == second else None
+            if value is not None:
+                out.append((p["session"].iloc[0], p["path"].iloc[0], f, float(value), old))
+                old = float(value)
+        return pd.DataFrame(out, columns=["session", "path", "f", "v", "prev"])
+
+    kinds = dict(reads.dtypes)
+    return _by(reads.select("session", "path", "f", "v", "second", "third"), ["session", "path"], fn, f"session {kinds['session']}, path {kinds['path']}, f {kinds['f']}, v double, prev double")
+
+
+def reads_wanted(crops: DataFrame, frames: int, least: float = 1.5, floor: int = 400, share: float = 0.15) -> DataFrame:
+    """crops (session, path, f, level, checksum): those to read: changed by more than ``least`` since the crop last looked at, of a
+    checksum not seen on the path, within max(floor, share of the frames) reads a session."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        keep, looked, seen, left = [], {}, set(), max(floor, int(share * frames))
+        for i, (path, level, checksum) in enumerate(zip(p["path"], p["level"], p["checksum"], strict=True)):
+            if path in looked and abs(level - looked[path]) <= least:
+                continue
+            looked[path] = level
+            if (path, checksum) not in seen and left > 0:
+                seen.add((path, checksum))
+                left -= 1
+                keep.append(i)
+        return p.iloc[keep]
+
+    chosen = crops.select("session", "path", "f", "level", "checksum")
+    return _by(chosen, ["session"], fn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema))
+
+
+def budgeted(rows: DataFrame, share: float = DEFAULT.budget_share, extra: int = DEFAULT.budget_extra, cap: int | None = None) -> DataFrame:
+    """(session, f, wanted): grants while those so far are within share * rows seen + extra, and below a cap."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         granted, out = 0, []
         for i, want in enumerate(p["wanted"].tolist()):
-            give = bool(want) and granted + 1 <= share * (i + 1) + extra
+            give = bool(want) and granted + 1 <= share * (i + 1) + extra and (cap is None or granted < cap)
             granted += give
             out.append(give)
         return p.assign(granted=out)
@@ -98,14 +170,20 @@ def budgeted(rows: DataFrame, share: float = DEFAULT.budget_share, extra: int =
     return _by(rows.select("session", "f", "wanted"), ["session"], fn, f"session {kinds['session']}, f {kinds['f']}, wanted boolean, granted boolean")
 
 
-def monotone_repaired(rows: DataFrame, jump: float) -> DataFrame:
-    """(session, f, v) of a counter that only rises: a value that falls, or leaps by more than ``jump``, while its neighbours agree is set between them."""
+def model_cap(frames: int, share: float = 0.05, most: int = 24) -> int:
+    """Frames of a session that may call the costly model."""
+    return min(int(share * frames) - 1, most)
+
+
+def monotone_repaired(rows: DataFrame, span: int = 8) -> DataFrame:
+    """(session, f, v) of a counter that does not fall: a value outside its neighbours, where these are in order and at most ``span`` apart, becomes the one before."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         v = p["v"].tolist()
         for i in range(1, len(v) - 1):
-            if (v[i] < v[i - 1] or v[i] - v[i - 1] > jump) and v[i - 1] <= v[i + 1] <= v[i - 1] + 2 * jump:
-                v[i] = (v[i - 1] + v[i + 1]) // 2
+            low, high = v[i - 1], v[i + 1]
+            if 0 <= high - low <= span and not low <= v[i] <= high:
+                v[i] = low
         return p.assign(v=v)
 
     return _by(rows.select("session", "f", "v"), ["session"], fn, rows.select("session", "f", "v").schema.simpleString()[7:-1].replace(":", " "))
@@ -153,7 +231,8 @@ def tracked(boxes: DataFrame, fps: float = 60.0, t: Thresholds = DEFAULT) -> Dat
 
     Greedy nearest neighbour on the predicted centre within max(.05, 1.5 diagonals); velocities are smoothed
     .6/.4; a track is confirmed after enough hits and displacement, hidden after four missed frames, removed
-    after three seconds. State is ``seen``, ``hidden`` or ``removed``.
+    after three seconds. State is ``seen``, ``partial`` (with ten sightings or more, an area below 0.6 of the 80th
+    percentile of the last 240), ``hidden`` or ``removed``.
     """
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
@@ -184,8 +263,10 @@ def tracked(boxes: DataFrame, fps: float = 60.0, t: Thresholds = DEFAULT) -> Dat
                 if not tr["id"] and tr["hits"] >= t.confirm_hits and math.hypot(cx - tr["cx0"], cy - tr["cy0"]) >= t.confirm_move:
                     number += 1
                     tr["id"] = number
+                tr["areas"] = [*tr["areas"], w * h][-240:]
+                partial = len(tr["areas"]) >= 10 and w * h < t.partial_area * float(np.percentile(tr["areas"], 80))
                 if tr["id"]:
-                    out.append((session, f, tr["id"], x, y, w, h, "seen"))
+                    out.append((session, f, tr["id"], x, y, w, h, "partial" if partial else "seen"))
             for tr in list(live):
                 if f - tr["f"] >= t.remove_after_s * fps:
                     live.remove(tr)
@@ -197,102 +278,146 @@ def tracked(boxes: DataFrame, fps: float = 60.0, t: Thresholds = DEFAULT) -> Dat
                         out.append((session, f, tr["id"], tr["x"], tr["y"], tr["w"], tr["h"], "hidden"))
             for j in sorted(free):
                 x, y, w, h = found[j]
-                live.append({"id": 0, "cx": x + w / 2, "cy": y + h / 2, "cx0": x + w / 2, "cy0": y + h / 2, "vx": 0.0, "vy": 0.0, "x": x, "y": y, "w": w, "h": h, "f": f, "hits": 1, "hidden": False})
+                live.append({"id": 0, "cx": x + w / 2, "cy": y + h / 2, "cx0": x + w / 2, "cy0": y + h / 2, "vx": 0.0, "vy": 0.0, "x": x, "y": y, "w": w, "h": h, "f": f, "hits": 1, "hidden": False, "areas": [w * h]})
         return pd.DataFrame(out, columns=["session", "f", "track", "x", "y", "w", "h", "state"])
 
     kind = dict(boxes.dtypes)["session"]
     return _by(boxes.select("session", "f", "x", "y", "w", "h"), ["session"], fn, f"session {kind}, f bigint, track bigint, x double, y double, w double, h double, state string")
 
 
-def flashes(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """(session, f, regions array) -> (session, f_start, f_end, conf) of flashes of one or two frames.
+def breaks(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """(session, f, regions array[, hist array]) -> (session, kind, f_start, f_end, conf): flashes of one or two frames, and cuts.
 
-    A frame jumps if enough regions, or the mean, are far from the reference, and it is a flash if the regions
-    are back at the reference one or two frames later. The reference is the last frame outside a flash, which
-    is why this is a kernel.
+    A frame jumps if enough regions, or the mean, are far from the reference. It is a flash if the next frame or the
+    one after is back at the reference. It is a cut if instead most regions of it and the next two are far, the last
+    cut is longer ago than the cooldown, and, where there are histograms, its own and that of the second next frame
+    are far from the reference's. The first frame counts as a cut for the cooldown but is none. The reference is the
+    last frame outside a flash, which is why this is a kernel.
     """
+    columns = ["session", "f", "regions", *(["hist"] if "hist" in frames.columns else [])]
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         f, levels = p["f"].tolist(), [np.asarray(r, float) for r in p["regions"]]
-        out, i, ref = [], 1, levels[0] if f else None
-        far = lambda k: (float((np.abs(levels[k] - ref) >= t.flash_residual).mean()), abs(float(levels[k].mean() - ref.mean())))
-        while i < len(f):
+        hists = [np.asarray(h, float) for h in p["hist"]] if "hist" in p else None
+        out, ref, last_cut, lit_until = [], 0, f[0] if f else 0, -1
+
+        def far(k: int) -> tuple[float, float]:
+            return float((np.abs(levels[k] - levels[ref]) > t.flash_residual).mean()), abs(float(levels[k].mean() - levels[ref].mean()))
+
+        def recoloured(k: int) -> bool:
+            return hists is None or 0.5 * float(np.abs(hists[k] - hists[ref]).sum()) >= t.cut_histogram
+
+        for i in range(1, len(f)):
+            if i <= lit_until:
+                continue
             share, shift = far(i)
-            back = 0
             if share >= t.flash_fraction or shift >= t.flash_shift:
-                near = (k for k in (1, 2) if i + k < len(f) and far(i + k)[0] < t.return_fraction and far(i + k)[1] < t.return_shift)
-                back = next(near, 0)
-            if back:
-                out.append((p["session"].iloc[0], f[i], f[i + back - 1], 0.9 if share >= t.flash_fraction else 0.7))
-                i += back
-            else:
-                ref = levels[i]
-            i += 1
-        return pd.DataFrame(out, columns=["session", "f_start", "f_end", "conf"])
+                ahead = [far(k) for k in range(i + 1, min(i + 3, len(f)))]
+                back = next((k for k, (s, m) in enumerate(ahead, 1) if s < t.return_fraction and m < t.return_shift), 0)
+                if back:
+                    lit_until = i + back - 1
+                    out.append((p["session"].iloc[0], "flash", f[i], f[lit_until], 0.9 if share >= t.flash_fraction else 0.7))
+                    continue
+                if len(ahead) == 2 and min(share, *(s for s, _ in ahead)) >= t.cut_fraction and f[i] - last_cut > t.cut_cooldown and recoloured(i) and recoloured(i + 2):
+                    last_cut = f[i]
+                    out.append((p["session"].iloc[0], "cut", f[i], f[i], 0.8))
+            ref = i
+        return pd.DataFrame(out, columns=["session", "kind", "f_start", "f_end", "conf"])
 
-    kind = dict(frames.dtypes)["session"]
-    return _by(frames.select("session", "f", "regions"), ["session"], fn, f"session {kind}, f_start bigint, f_end bigint, conf double")
+    return _by(frames.select(*columns), ["session"], fn, f"session {dict(frames.dtypes)['session']}, kind string, f_start bigint, f_end bigint, conf double")
 
 
-def scheduled(regions: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """(session, f, region, residual, explained, is_text, cut) -> mode and confidence of every region and frame.
+def flashes(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """(session, f, regions array) -> (session, f_start, f_end, conf) of flashes."""
+    return breaks(frames, t).filter("kind = 'flash'").drop("kind")
 
-    Quiet regions copy with confidence times ``decay_copy``, explained motion propagates with
-    ``decay_propagated``; a region that decays below ``reinfer_below``, or changes much without explanation,
-    asks to be read again: R within the budget of region-frames, else V; a warning where confidence is low.
+
+def scheduled(regions: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """(session, f, region, residual, explained, is_text, cut[, flash, fresh]) -> mode, confidence and warning of every region and frame.
+
+    A cut refreshes everything (F). In a flash changed regions are verified and others copied, at the confidence they
+    have. Else quiet regions copy, text cells are verified, new objects and large changes that no motion explains ask
+    to be read again, explained motion propagates, all other change is verified. Copying and propagating wear
+    confidence down, and a region below ``reinfer_below`` asks too. What asks is read (R) while reads of the frames
+    before are within a share of all region-frames, and else only verified; a warning follows where confidence then
+    is low, at most every ``warn_gap`` frames a region.
     """
+    inputs = ["residual", "explained", "is_text", "cut", "flash", "fresh"]
+    chosen = regions.select("session", "f", "region", *[F.col(c) if c in regions.columns else F.lit(False).alias(c) for c in inputs])
+
+    def choice(r: dict, conf: float) -> tuple[str, float, bool]:
+        """Mode, confidence and whether the region asks to be read again."""
+        quiet = r["residual"] < t.copy_residual
+        if r["flash"]:
+            return ("V" if r["residual"] > t.copy_residual else "C"), conf, False
+        if quiet:
+            return "C", conf * t.decay_copy, conf * t.decay_copy < t.reinfer_below
+        if r["is_text"]:
+            return "V", conf, False
+        if r["fresh"] or (r["residual"] > t.big_residual and not r["explained"]):
+            return "C", conf, True
+        if r["explained"]:
+            return "P", conf * t.decay_propagated, conf * t.decay_propagated < t.reinfer_below
+        return "V", max(conf, 0.8), False
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["f", "region"], kind="stable")
         conf: dict[int, float] = {}
-        granted, seen, out = 0, 0, []
-        for r in p.itertuples():
-            seen += 1
-            c = conf.get(r.region, 0.0)
-            again = False
-            if r.cut:
-                mode, c = "F", 0.9
-            elif r.is_text and r.residual >= t.copy_residual:
-                mode, c = "V", max(c, 0.8)
-            elif r.residual < t.copy_residual:
-                mode, c = "C", c * t.decay_copy
-                again = c < t.reinfer_below
-            elif r.explained:
-                mode, c = "P", c * t.decay_propagated
-            elif r.residual > t.big_residual:
-                mode, again = "V", True
-            else:
-                mode, c = "V", max(c, 0.8)
-            if again:
-                if granted + 1 <= t.budget_share * seen + t.budget_extra:
-                    granted, mode, c = granted + 1, "R", 0.9
-                else:
-                    mode, c = "V", c * t.decay_copy
-            conf[r.region] = c
-            out.append((r.session, r.f, r.region, mode, round(c, 6), c < t.warn_below))
+        warned: dict[int, int] = {}
+        out, read = [], 0
+        for n, (f, rows) in enumerate(p.groupby("f", sort=True), 1):
+            may_read, reads = read < t.budget_share * len(rows) * n + t.budget_extra, 0
+            whole = bool(rows["cut"].any())
+            for r in rows.sort_values("region").to_dict("records"):
+                k, warning = r["region"], False
+                mode, c, asks = ("F", 1.0, False) if whole else choice(r, conf.get(k, 1.0))
+                if asks and may_read:
+                    mode, c, reads = "R", t.reread_confidence, reads + 1
+                elif asks:
+                    mode, c = "V", c * t.decay_propagated
+                    if warning := c < t.warn_below and f - warned.get(k, -(10**9)) > t.warn_gap:
+                        warned[k] = f
+                conf[k] = c
+                out.append((r["session"], f, k, mode, round(c, 6), warning))
+            read += reads
         return pd.DataFrame(out, columns=["session", "f", "region", "mode", "conf", "warning"])
 
     kinds = dict(regions.dtypes)
-    return _by(regions.select("session", "f", "region", "residual", "explained", "is_text", "cut"), ["session"], fn, f"session {kinds['session']}, f {kinds['f']}, region {kinds['region']}, mode string, conf double, warning boolean")
+    return _by(chosen, ["session"], fn, f"session {kinds['session']}, f {kinds['f']}, region {kinds['region']}, mode string, conf double, warning boolean")
 
 
-def sample_points(duration: float, changes: list[float], every: float = 1.0, near: float = 0.5) -> list[tuple[float, str]]:
-    """Points to annotate: every second but the last instants, and scene changes farther than ``near`` from any point taken so far."""
-    points = [(i * every, "interval") for i in range(int((duration - 0.05) / every) + 1)] if duration > 0.05 else []
+def sample_points(duration: float, changes: list[float], every: float = 1.0, near: float = 0.5, step: float = 0.25) -> list[tuple[float, str]]:
+    """Points to annotate: every second but the last instants, and scene changes. A change within half a scan step of a
+    point relabels it; one nearer than ``near`` to any point taken so far is left out."""
+    points = {i * every: "interval" for i in range(int((duration - 0.05) / every + 1e-6) + 1)} if duration > 0.05 else {}
     for c in sorted(changes):
-        if all(abs(c - p) >= near for p, _ in points):
-            points.append((c, "scene_change"))
-    return sorted(points)
+        gap, at = min(((abs(c - p), p) for p in points), default=(math.inf, c))
+        if gap < step / 2:
+            points[at] = "scene_change"
+        elif gap >= near:
+            points[c] = "scene_change"
+    return sorted(points.items())
 
 
 def reidentified(lost: DataFrame, seen: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """lost and seen (session, id, color array, area, x, y) -> (session, seen_id, lost_id): of the lost tracks near in colour, area and place the best."""
-    from pyspark.sql import functions as F
-
-    from chronolith.functions.signal import l1
+    """lost and seen (session, id, color array, area, x, y) -> (session, seen_id, lost_id): of the lost tracks near in colour, area and place the best.
 
+    The seen ones choose in order of id, and a lost track that has been chosen is lost no more. Only pairs that are
+    near enough reach the kernel.
+    """
     a = lost.select("session", F.col("id").alias("lost_id"), F.col("color").alias("c0"), F.col("area").alias("a0"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     pairs = seen.withColumnRenamed("id", "seen_id").join(a, "session")
-    color, ratio, place = l1(F.col("color"), F.col("c0")), F.col("area") / F.col("a0"), F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
+    color, ratio, place = l1(F.col("color"), F.col("c0")), F.col("area") / F.greatest(F.col("a0"), F.lit(1e-6)), F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
     good = pairs.withColumn("color_gap", color).withColumn("place_gap", place).filter((F.col("color_gap") < t.reid_color) & (ratio > 0.5) & (ratio < 2) & (F.col("place_gap") < t.reid_distance))
-    return good.groupBy("session", "seen_id").agg(F.min_by("lost_id", F.struct(F.col("color_gap") / t.reid_color + F.col("place_gap"), "lost_id")).alias("lost_id"))
+    scored = good.select("session", F.col("seen_id").alias("f"), "lost_id", (F.col("color_gap") / t.reid_color + F.col("place_gap")).alias("gap"))
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for seen_id, rows in p.sort_values(["f", "gap", "lost_id"]).groupby("f", sort=True):
+            best = next((x for x in rows["lost_id"].tolist() if x not in taken), None)
+            if best is not None:
+                taken.add(best)
+                out.append((p["session"].iloc[0], seen_id, best))
+        return pd.DataFrame(out, columns=["session", "seen_id", "lost_id"])
+
+    kinds = dict(scored.dtypes)
+    return _by(scored, ["session"], fn, f"session {kinds['session']}, seen_id {kinds['f']}, lost_id {kinds['lost_id']}")

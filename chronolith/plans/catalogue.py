@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import geometry, signal, text
-from chronolith.operators import context, events, intervals, metrics, search, state, stream, summary, timeline, track
+from chronolith.operators import context, events, fields, intervals, metrics, search, state, stream, summary, timeline, track
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,10 +104,14 @@ def entity_history(spark, d):
     return timeline.entity_history(state.changed(rows), ev, 7, "click")
 
 
-@query("WITH $SV, a AS (SELECT session, path, min(f) AS f FROM sv GROUP BY ALL) SELECT session, f, sum(count(*)) OVER (PARTITION BY session ORDER BY f)::BIGINT AS visible FROM a GROUP BY session, f")
+PRESENT = "po AS (SELECT *, coalesce((f - lag(f) OVER (PARTITION BY session, path ORDER BY f) > 6)::INT, 1) AS o FROM sv), pk AS (SELECT *, sum(o) OVER (PARTITION BY session, path ORDER BY f) AS k FROM po), pi AS (SELECT session, path, min(f) AS f_start, max(f) AS f_end FROM pk GROUP BY session, path, k)"
+
+
+@query(f"""WITH $SV, {PRESENT}, n AS (SELECT sv.session, sv.f, count(pi.path) AS n FROM sv LEFT JOIN pi ON pi.session = sv.session AND sv.f BETWEEN pi.f_start AND pi.f_end GROUP BY sv.session, sv.f),
+c AS (SELECT *, lag(n) OVER (PARTITION BY session ORDER BY f) AS was FROM n) SELECT session, f, n AS visible FROM c WHERE was IS NULL OR n <> was""")
 def visible_count_timeline(spark, d):
-    came = sv(spark, d).groupBy("session", "path").agg(F.min("f").alias("f")).groupBy("session", "f").agg(F.count(F.lit(1)).alias("n"))
-    return came.select("session", "f", F.sum("n").over(Window.partitionBy("session").orderBy("f")).alias("visible"))
+    rows = sv(spark, d)
+    return fields.visible_counts(timeline.presence(rows, 6), rows).withColumnRenamed("n", "visible")
 
 
 @query("WITH $SV, s AS (SELECT *, coalesce((f - lag(f) OVER (PARTITION BY session, path ORDER BY f) > 6)::INT, 1) AS o FROM sv), k AS (SELECT *, sum(o) OVER (PARTITION BY session, path ORDER BY f) AS k FROM s) SELECT session, path, min(f) AS f_start, max(f) AS f_end, count(*) AS seen FROM k GROUP BY session, path, k")
@@ -432,19 +436,25 @@ def evidence_lookup(spark, d):
     return search.evidence(rows, ev, "click@30")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'health' WHEN event_id % 3 = 1 THEN 'ammo' ELSE 'score' END AS key, CASE WHEN event_id % 3 = 1 AND event_id % 7 = 0 THEN 0 ELSE floor(value)::BIGINT END AS val FROM events")
+@query("""WITH n AS (SELECT event_id, event_id % 4 AS k, floor(value)::BIGINT AS a, event_id % 13 AS b FROM events)
+SELECT event_id, CASE k WHEN 1 THEN 'ammo' WHEN 3 THEN 'lives' ELSE 'health' END AS key, CASE k WHEN 1 THEN b WHEN 3 THEN NULL ELSE a END AS val,
+ CASE k WHEN 0 THEN 'health=' || a WHEN 1 THEN 'score=' || (-a) || ',ammo=' || b WHEN 2 THEN 'ammo=' || b || ',health=' || a ELSE 'gold=0' END AS pairs FROM n""")
 def parse_hud_text(spark, d):
-    number = F.when((F.col("event_id") % 3 == 1) & (F.col("event_id") % 7 == 0), "o").otherwise(F.floor("value").cast("string"))
-    line = F.concat(F.when(F.col("event_id") % 3 == 0, "HP: ").when(F.col("event_id") % 3 == 1, "AMMO left ").otherwise("SCORE |"), number)
+    a, b, k = F.floor("value").cast("string"), (F.col("event_id") % 13).cast("string"), F.col("event_id") % 4
+    line = F.when(k == 0, F.concat(F.lit("HP: "), a)).when(k == 1, F.concat(F.lit("SCORE |-"), a, F.lit(" ammo "), b)).when(k == 2, F.concat(F.lit("ammo: "), b, F.lit(" hp: "), a)).otherwise(F.concat(F.lit("Lives of one "), a, F.lit(" gold o")))
     lines = t(spark, d, "events").select("event_id", line.alias("line"))
-    return lines.select("event_id", text.hud_key(F.col("line")).alias("key"), text.hud_value(F.col("line")).alias("val"))
+    # a score of -0 is 0
+    pairs = F.array_join(F.transform(text.hud_pairs(F.col("line")), lambda p: F.concat_ws("=", p["key"], p["value"].cast("string"))), ",")
+    return lines.select("event_id", text.hud_key(F.col("line")).alias("key"), text.hud_value(F.col("line")).alias("val"), pairs.alias("pairs"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 1 THEN NULL ELSE floor(value * 100)::BIGINT END AS amount FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN NULL ELSE floor(value * 100)::BIGINT END AS amount, CASE WHEN floor(value) >= 10 THEN floor(value)::BIGINT END AS number FROM events""")
 def parse_currency(spark, d):
-    # $1,234 counts; +$25 (a change, not a total) does not
-    money = F.concat(F.when(F.col("event_id") % 4 == 1, "+").otherwise("gold "), F.lit("$"), F.format_number(F.floor(F.col("value") * 100), 0))
-    return t(spark, d, "events").select("event_id", text.currency(money).alias("amount"))
+    # $1,234 and $ 1,234 count; +$25 (a change, not a total) does not; <95> is a number, $95 and 7 are none
+    sign = F.when(F.col("event_id") % 4 == 1, "+$").when(F.col("event_id") % 4 == 2, "gold $ ").otherwise("gold $")
+    money = F.concat(sign, F.format_number(F.floor(F.col("value") * 100), 0))
+    plain = F.concat(F.lit(" <"), F.floor("value").cast("string"), F.lit("> "))
+    return t(spark, d, "events").select("event_id", text.currency(money).alias("amount"), text.plain_number(plain).alias("number"))
 
 
 @query("SELECT event_id, event_type AS type, (event_id % 13)::VARCHAR AS n FROM events")
@@ -561,26 +571,56 @@ def exact_value_matches(spark, d):
 # --- sequential kernels (not expressible in SQL) -----------------------------------------------------------
 
 
-@query()
+#: The rows of each path, numbered, for recursive queries that walk from one to the next.
+WALK = "o AS (SELECT session, path, f, v, row_number() OVER (PARTITION BY session, path ORDER BY f) AS n FROM sv)"
+
+
+@query(f"""WITH RECURSIVE $SV, {WALK}, r AS (SELECT session, path, f, v, n, v AS last, TRUE AS emit FROM o WHERE n = 1 UNION ALL
+SELECT o.session, o.path, o.f, o.v, o.n, CASE WHEN abs(o.v - r.last) >= 120 THEN o.v ELSE r.last END, abs(o.v - r.last) >= 120 FROM r JOIN o ON o.session = r.session AND o.path = r.path AND o.n = r.n + 1)
+SELECT session, path, f, v FROM r WHERE emit""")
 def dead_band(spark, d):
     return track.dead_band(sv(spark, d), 120.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE $SV, {WALK}, r AS (SELECT session, path, f, n, f AS last, TRUE AS emit FROM o WHERE n = 1 UNION ALL
+SELECT o.session, o.path, o.f, o.n, CASE WHEN o.f - r.last >= 9 THEN o.f ELSE r.last END, o.f - r.last >= 9 FROM r JOIN o ON o.session = r.session AND o.path = r.path AND o.n = r.n + 1)
+SELECT session, path, f FROM r WHERE emit""")
 def spaced_samples(spark, d):
     return track.spaced(sv(spark, d), 9)
 
 
-@query()
-def voted_changes(spark, d):
-    return track.voted_changes(sv(spark, d).withColumn("v", F.floor(F.col("v") / 250) * 250.0), 60.0)
+@query(f"""WITH RECURSIVE $SV, {WALK}, m AS (SELECT *, f // 20 AS anchor, CASE WHEN f % 7 = 0 THEN 'observed' ELSE 'propagated' END AS source FROM o),
+r AS (SELECT session, path, f, n, v AS last, anchor, source, TRUE AS emit FROM m WHERE n = 1 UNION ALL
+SELECT m.session, m.path, m.f, m.n, CASE WHEN abs(m.v - r.last) >= 120 OR m.anchor <> r.anchor OR m.source <> r.source THEN m.v ELSE r.last END,
+ CASE WHEN abs(m.v - r.last) >= 120 OR m.anchor <> r.anchor OR m.source <> r.source THEN m.anchor ELSE r.anchor END, CASE WHEN abs(m.v - r.last) >= 120 OR m.anchor <> r.anchor OR m.source <> r.source THEN m.source ELSE r.source END,
+ abs(m.v - r.last) >= 120 OR m.anchor <> r.anchor OR m.source <> r.source FROM r JOIN m ON m.session = r.session AND m.path = r.path AND m.n = r.n + 1)
+SELECT session, path, f, source, anchor AS anchor_f FROM r WHERE emit""")
+def emitted_boxes(spark, d):
+    rows = sv(spark, d).select("session", "path", "f", F.array("v", F.lit(1.0)).alias("box"), F.when(F.col("f") % 7 == 0, "observed").otherwise("propagated").alias("source"), F.expr("f div 20").alias("anchor_f"))
+    return track.emitted_boxes(rows, 120.0).drop("box")
 
 
-@query()
+GRANTS = """WITH RECURSIVE $SV, o AS (SELECT session, f, v > 250 AS wanted, row_number() OVER (PARTITION BY session ORDER BY f) AS n FROM sv), r AS (
+SELECT session, f, n, wanted, wanted AND 1 <= 0.1::DOUBLE + 2 AND 0 < {cap} AS granted, (wanted AND 1 <= 0.1::DOUBLE + 2 AND 0 < {cap})::INT AS so_far FROM o WHERE n = 1 UNION ALL
+SELECT o.session, o.f, o.n, o.wanted, o.wanted AND r.so_far + 1 <= 0.1::DOUBLE * o.n + 2 AND r.so_far < {cap}, r.so_far + (o.wanted AND r.so_far + 1 <= 0.1::DOUBLE * o.n + 2 AND r.so_far < {cap})::INT
+FROM r JOIN o ON o.session = r.session AND o.n = r.n + 1) SELECT session, f, wanted, granted FROM r"""
+
+
+@query(GRANTS.format(cap=10**6))
 def budgeted_grants(spark, d):
     return track.budgeted(sv(spark, d).withColumn("wanted", F.col("v") > 250), 0.1, 2)
 
 
+@query(GRANTS.format(cap=3))
+def capped_grants(spark, d):
+    return track.budgeted(sv(spark, d).withColumn("wanted", F.col("v") > 250), 0.1, 2, track.model_cap(80))
+
+
+@query()
+def voted_changes(spark, d):
+    return track.voted_changes(sv(spark, d).withColumn("v", F.floor(F.col("v") / 250) * 250.0), 60.0)
+
+
 @query()
 def tracked_boxes(spark, d):
     rows = sv(spark, d).select("session", "f", (F.col("v") / 5000 + F.col("f") / 500).alias("x"), F.lit(0.4).alias("y"), F.lit(0.05).alias("w"), F.lit(0.05).alias("h"))
@@ -742,3 +782,134 @@ def text_lines(spark, d):
 
     e = t(spark, d, "events").select(F.col("user_id").alias("page"), (F.col("value") / 5).alias("x"), (F.col("event_id") % 7 * 3.0).alias("y"), F.lit(4.0).alias("w"), F.lit(2.0).alias("h"), F.col("event_type").alias("text"))
     return b.word_lines(e)
+
+
+# --- fields, patches, pixels and other rules ------------------------------------------------------------------
+
+
+@query("""WITH $SV, x AS (SELECT f.n, sv.session, sv.path, max(sv.f) AS f, arg_max(sv.v, sv.f) AS v FROM sv JOIN (VALUES (7), (10), (25), (33), (40)) f(n) ON sv.f <= f.n GROUP BY ALL),
+e AS (SELECT session, max(f) AS last FROM sv GROUP BY session) SELECT x.session, x.n::BIGINT AS n, path, v FROM x JOIN e ON e.session = x.session WHERE least(x.n, e.last) - x.f <= 6""")
+def state_with_removals(spark, d):
+    """Paths are gone seven frames after their last value: dense states are encoded with deletes and read back."""
+    rows = sv(spark, d)
+    w = Window.partitionBy("session", "path").orderBy("f")
+    until = F.least(F.coalesce(F.lead("f").over(w) - 1, F.col("end")), F.col("f") + 6, F.col("end"))
+    held = rows.withColumn("end", F.max("f").over(Window.partitionBy("session"))).withColumn("until", until)
+    there = held.select("session", "path", F.explode(F.sequence("f", "until")).alias("f"), "v")
+    return state.reconstruct_at(state.encode_dense(there, EVERY), [7, 10, 25, 33, 40], nested=False).select("session", "n", F.col("path")[0].alias("path"), "v")
+
+
+@query("""WITH $SV, l AS (SELECT session, max(CASE WHEN path = 'click' THEN f END) AS c, arg_max(v, f) FILTER (path = 'click') AS v, max(CASE WHEN path = 'view' THEN f END) AS w, arg_max(v, f) FILTER (path = 'view') AS x, max(CASE WHEN path = 'error' THEN f END) AS e FROM sv GROUP BY session)
+SELECT session, 'a/b/c/d/e/f/g/h' AS path, v FROM l WHERE c > coalesce(e, -1) UNION ALL SELECT session, 'a/b/x', x FROM l WHERE w > coalesce(e, -1)""")
+def nested_patch_state(spark, d):
+    """Merge patches eight levels deep; an error removes all below a/b."""
+    rows = sv(spark, d)
+    leaf = F.col("v").cast("string")
+    patch = (
+        F.when(F.col("path") == "click", F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":'), leaf, F.lit("}}}}}}}}")))
+        .when(F.col("path") == "view", F.concat(F.lit('{"a":{"b":{"x":'), leaf, F.lit("}}}"))).when(F.col("path") == "error", F.lit('{"a":{"b":null}}')).otherwise(F.lit("{}"))
+    )
+    ops = state.patch_ops(rows.select("session", F.lit(0).cast("bigint").alias("snap_f"), "f", patch.alias("json")), F.col("json"))
+    return state.fold(ops).select("session", F.array_join("path", "/").alias("path"), F.col("v").cast("double").alias("v"))
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS is_field FROM events")
+def field_shape(spark, d):
+    k = F.col("event_id") % 3
+    node = F.when(k == 0, '{"v": null, "source": "observed"}').when(k == 1, '{"v": 5, "conf": 1}').otherwise('{"source": "inferred", "v": [1, 2]}')
+    return t(spark, d, "events").select("event_id", text.is_field(F.parse_json(node)).alias("is_field"))
+
+
+@query("SELECT event_id, round_even(event_id / 8.0, 2)::DOUBLE AS x FROM events")
+def half_even_rounding(spark, d):
+    return t(spark, d, "events").select("event_id", text.half_even(F.col("event_id") / 8.0, 2).alias("x"))
+
+
+PIXELS = "px AS (SELECT event_id, user_id, floor(value / 2)::BIGINT AS r, (event_id * 37) % 256 AS g, (event_id * 91) % 256 AS b FROM events)"
+
+
+def pixels(spark, d):
+    return t(spark, d, "events").select("event_id", "user_id", F.floor(F.col("value") / 2).alias("r"), (F.col("event_id") * 37 % 256).alias("g"), (F.col("event_id") * 91 % 256).alias("b"))
+
+
+@query(f"""WITH {PIXELS}, b AS (SELECT user_id, (r // 64) * 16 + (g // 64) * 4 + b // 64 AS bin, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT user_id, bin, n / sum(n) OVER (PARTITION BY user_id) AS p FROM b),
+k AS (SELECT user_id, bin FROM s UNION SELECT user_id - 1, bin FROM s), q AS (SELECT k.user_id, 0.5 * sum(abs(coalesce(x.p, 0) - coalesce(y.p, 0))) AS distance FROM k LEFT JOIN s x ON x.user_id = k.user_id AND x.bin = k.bin LEFT JOIN s y ON y.user_id = k.user_id + 1 AND y.bin = k.bin GROUP BY k.user_id)
+SELECT user_id, round(distance, 6) AS distance FROM q WHERE user_id IN (SELECT user_id FROM px) AND user_id + 1 IN (SELECT user_id FROM px)""")
+def joint_histogram_distance(spark, d):
+    h = summary.joint_histogram(pixels(spark, d), "user_id")
+    nxt = h.select((F.col("user_id") - 1).alias("user_id"), F.col("hist").alias("other"))
+    return h.join(nxt, "user_id").select("user_id", F.round(signal.half_l1(F.col("hist"), F.col("other")), 6).alias("distance"))
+
+
+@query(f"""WITH {PIXELS}, p AS (SELECT event_id // 48 AS f, (event_id % 48) // 6 AS region, event_id % 48 AS pixel, r, g, b FROM px),
+c AS (SELECT f, region, abs(r - lag(r) OVER w) + abs(g - lag(g) OVER w) + abs(b - lag(b) OVER w) AS change FROM p WINDOW w AS (PARTITION BY region, pixel ORDER BY f))
+SELECT f, region, round(avg(change), 6) AS residual FROM c WHERE change IS NOT NULL GROUP BY f, region""")
+def region_residual(spark, d):
+    e = F.col("event_id")
+    p = pixels(spark, d).select(F.lit(0).alias("session"), F.expr("event_id div 48").alias("f"), F.expr("event_id % 48 div 6").alias("region"), (e % 48).alias("pixel"), "r", "g", "b")
+    return summary.region_residuals(p).select("f", "region", F.round("residual", 6).alias("residual"))
+
+
+@query("""WITH c AS (SELECT role, floor(length(text) / 3.5)::BIGINT + 1 AS n FROM conversations)
+SELECT role, count(*) AS contexts, max(n) AS max_tokens, round(avg(n), 4) AS mean_tokens, round(avg(n) / max(n), 4) AS ratio FROM c GROUP BY role""")
+def context_statistics(spark, d):
+    return context.statistics(t(spark, d, "conversations"), F.col("text"), "role")
+
+
+@query("""WITH l AS (SELECT p_partkey % 50 AS doc, p_partkey AS n, CASE WHEN p_partkey % 10 = 3 THEN '```' WHEN p_partkey % 2 = 0 THEN '## *' || p_brand || '* [of](x) ' || p_partkey % 3 ELSE p_name END AS line FROM part),
+i AS (SELECT *, line = '```' AS fence, sum((line = '```')::INT) OVER (PARTITION BY doc ORDER BY n) % 2 AS inside FROM l),
+h AS (SELECT doc, n, substr(line, 4) AS title, replace(lower(regexp_replace(replace(replace(substr(line, 4), '*', ''), '[of](x)', 'of'), '[^A-Za-z0-9 _-]', '', 'g')), ' ', '-') AS base FROM i WHERE NOT fence AND inside = 0 AND line LIKE '## %')
+SELECT doc, n, title, base || CASE WHEN row_number() OVER w > 1 THEN '-' || (row_number() OVER w - 1) ELSE '' END AS id FROM h WINDOW w AS (PARTITION BY doc, base ORDER BY n)""")
+def heading_ids(spark, d):
+    k = F.col("p_partkey")
+    line = F.when(k % 10 == 3, "```").when(k % 2 == 0, F.concat(F.lit("## *"), "p_brand", F.lit("* [of](x) "), (k % 3).cast("string"))).otherwise(F.col("p_name"))
+    return text.heading_ids(t(spark, d, "part").select((k % 50).alias("doc"), k.alias("n"), line.alias("line")))
+
+
+@query("SELECT event_id, event_type IN ('click', 'view') AS graded FROM events WHERE event_type <> 'signup'")
+def graded_choices(spark, d):
+    kind = F.col("event_type")
+    said = F.when(kind == "click", "Before the flash").when(kind == "view", "It was after that").when(kind == "purchase", "It was after, not before")
+    truth = F.when(kind == "view", "after").otherwise("before")
+    return t(spark, d, "events").filter("event_type <> 'signup'").select("event_id", text.graded_choice(said, ["after", "before"], truth).alias("graded"))
+
+
+@query("WITH $SV SELECT session, f FROM sv WHERE path = 'purchase' AND v > 400")
+def model_frames(spark, d):
+    """The frames that called the costly model."""
+    return sv(spark, d).withColumn("vlm", (F.col("path") == "purchase") & (F.col("v") > 400)).filter("vlm").select("session", "f")
+
+
+@query("WITH $SV, r AS (SELECT session, f, event_id % 50 AS age, v > 490 AS lost FROM sv) SELECT session, count(*) FILTER (NOT lost AND age <= 30) AS kept, count(*) FILTER (lost OR age > 30) AS late FROM r GROUP BY session")
+def late_results(spark, d):
+    rows = sv(spark, d, "event_id").select("session", F.col("f").alias("asked_f"), F.when(F.col("v") <= 490, F.col("f") + F.col("event_id") % 50).alias("done_f"))
+    return events.in_time(rows, 30).groupBy("session").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("late"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'player.life=' || floor(value)::BIGINT || ',player.rounds=' || event_id % 13 WHEN 'view' THEN 'car.speed=' || floor(value)::BIGINT ELSE '' END AS fields FROM events")
+def adapter_fields(spark, d):
+    from chronolith.functions.adapters import Adapter, adapted
+
+    games = (Adapter("click", {"player.life": r"HP (\d+)", "player.rounds": r"(\d+) rounds", "player.rank": r"rank (\d+)"}), Adapter("view", {"car.speed": r"(\d+) km/h"}))
+    shown = F.concat(F.lit("HP "), F.floor("value").cast("string"), F.lit(" | "), (F.col("event_id") % 13).cast("string"), F.lit(" rounds | "), F.floor("value").cast("string"), F.lit(" km/h"))
+    found = adapted(shown, F.col("event_type"), games)
+    return t(spark, d, "events").select("event_id", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["field"], x["value"])), ",").alias("fields"))
+
+
+@query()
+def confirmed_reads(spark, d):
+    level = lambda c: F.floor(F.col(c) / 125)
+    rows = sv(spark, d, "event_id").select("session", "path", "f", level("v").alias("v"), F.when(F.col("event_id") % 5 == 0, level("v") + 1).when(F.col("event_id") % 5 > 1, level("v")).alias("second"), (level("v") + F.col("event_id") % 2).alias("third"))
+    return track.confirmed_reads(rows)
+
+
+@query()
+def reads_wanted(spark, d):
+    rows = sv(spark, d).select("session", "path", "f", (F.col("v") / 10).alias("level"), F.md5(F.floor(F.col("v") / 50).cast("string")).alias("checksum"))
+    return track.reads_wanted(rows, 80, 5.0, 12)
+
+
+@query()
+def scene_cuts(spark, d):
+    rows = sv(spark, d).select("session", "f", F.array(F.col("v") / 4, F.col("v") / 4).alias("regions"), F.array((F.col("v") < 250).cast("double"), (F.col("v") >= 250).cast("double")).alias("hist"))
+    return track.breaks(rows)

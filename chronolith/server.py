@@ -17,6 +17,7 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
             data = json.dumps(body, default=str).encode()
             self.send_response(code)
             self.send_header("Content-Type", "application/json")
+            self.send_header("Access-Control-Allow-Origin", "*")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
@@ -24,8 +25,10 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
         def do_GET(self) -> None:
             url = urlsplit(self.path)
             op, params = url.path.strip("/"), dict(parse_qsl(url.query))
-            if op == "health":
-                return self.answer(200, {"ok": True})
+            if op in ("", "health"):
+                return self.answer(200, {"ok": True, "ops": [*api.PARAMS, "ask"]})
+            if op == "ask":
+                return self.asked({api.ALIASES.get(k, k): v for k, v in params.items()})
             if op not in api.OPS:
                 return self.answer(404, {"error": f"unknown op {op}"})
             if "session" not in params:
@@ -38,7 +41,14 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
         def do_POST(self) -> None:
             if self.path.strip("/") != "ask":
                 return self.answer(404, {"error": "unknown path"})
-            asked = json.loads(self.rfile.read(int(self.headers.get("Content-Length", "0"))) or b"{}")
+            self.asked(json.loads(self.rfile.read(int(self.headers.get("Content-Length", "0"))) or b"{}"))
+
+        def do_OPTIONS(self) -> None:
+            self.answer(204, {})
+
+        def asked(self, asked: dict) -> None:
+            if "query" in asked:
+                asked = {"question": asked["query"], **asked}
             if "session" not in asked or "question" not in asked:
                 return self.answer(400, {"error": "session and question are needed"})
             try:

@@ -42,9 +42,10 @@ def register(spark: SparkSession) -> None:
 
 
 def background(frames: DataFrame, n: int, step: int) -> DataFrame:
-    """Median of every region over about n sampled frames."""
+    """Median of every region over about n sampled frames; a session with fewer than three of these has none."""
     picked = frames.filter((F.col("f") % step == 0) & (F.col("f") < n * step))
-    return picked.select("session", F.posexplode("regions").alias("region", "v")).groupBy("session", "region").agg(F.median("v").alias("background"))
+    spread = picked.select("session", F.posexplode("regions").alias("region", "v")).groupBy("session", "region").agg(F.median("v").alias("background"), F.count(F.lit(1)).alias("n"))
+    return spread.filter("n >= 3").drop("n")
 
 
 def crop_path(f: Column, name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,7 +49,36 @@ def read_stream(spark: SparkSession, path: str, session: str) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str, session: str) -> DataFrame:
     lines = _lines(spark, path).filter("parsed IS NOT NULL")
-    return lines.select(F.from_json("line", EVENT_SCHEMA).alias("e")).select(F.lit(session).alias("session"), "e.*")
+    return lines.select(F.from_json("line", EVENT_SCHEMA).alias("e"), "line").select(F.lit(session).alias("session"), "e.*", "line")
+
+
+def _at(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def stamp(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
+    """(name, time, size) of those files and tables that are there: what a cache of them depends on."""
+    found = []
+    for name in names:
+        at, fs = _at(spark, f"{folder}/{name}")
+        if fs.exists(at):
+            found.append((name, fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()))
+    return tuple(found)
+
+
+def write_document(spark: SparkSession, body: dict, path: str) -> None:
+    """A document of one session as a JSON file, replacing what is there."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps(body, indent=1).encode()))
+    out.close()
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,9 +99,9 @@ def write_stream(frames: DataFrame, path: str) -> None:
     frames.repartition("session").sortWithinPartitions("session", "f").select("session", body.alias("value")).write.mode("overwrite").partitionBy("session").text(path)
 
 
-def write_tables(ops: DataFrame, path: str) -> None:
-    """Operations as Parquet by session, sorted by snapshot, so a state read prunes to one snapshot's row groups."""
-    ops.repartition("session").sortWithinPartitions("session", "snap_f", "f").write.mode("overwrite").partitionBy("session").parquet(path)
+def write_tables(rows: DataFrame, path: str, order: list[str] | tuple[str, ...] = ("snap_f", "f")) -> None:
+    """Rows as Parquet by session, sorted (operations by snapshot), so a state read prunes to one snapshot's row groups."""
+    rows.repartition("session").sortWithinPartitions("session", *order).write.mode("overwrite").partitionBy("session").parquet(path)
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -71,6 +71,19 @@ def guarded_labels(labels: DataFrame, scenes: DataFrame, at: str, within: str) -
     return l.join(s, (F.col("l.scene_id") == F.col("s.scene_id")) & near).select("l.*")
 
 
+def in_time(results: DataFrame, asked: str, done: str, within: str) -> DataFrame:
+    """Results of slow models that came within a time of being asked for; late ones are dropped and counted in the query's
+    progress as ``late``."""
+    age = F.col(done).cast("timestamp") - F.col(asked).cast("timestamp")
+    on_time = F.coalesce(age <= F.expr(f"interval {within}"), F.lit(False))
+    return results.withColumn("__kept", on_time).observe("results", F.count_if(~F.col("__kept")).alias("late"), F.count(F.lit(1)).alias("all")).filter("__kept").drop("__kept")
+
+
+def polled(spark: SparkSession, path: str, schema: str, fmt: str = "json", every: str = "2 seconds"):
+    """A growing folder read again every so often: (stream, the trigger to write it with)."""
+    return growing_files(spark, path, schema, fmt), {"processingTime": every}
+
+
 def to_tables(stream: DataFrame, path: str, checkpoint: str, at_once: bool = True):
     """Append a feed to Parquet, exactly once by its checkpoint."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

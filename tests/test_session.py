@@ -57,29 +57,156 @@ def test_get_state(clip):
 
 
 def test_changes_history_events(clip):
-    got = [(r["f"], r["kind"]) for r in api.get_changes(clip, 1, 6).orderBy("f").collect()]
+    got = [(r["f"], r["kind"]) for r in api.get_changes(clip, 1, 6).filter("kind <> 'event'").orderBy("f").collect()]
     assert got == [(2, "delta"), (5, "delta"), (6, "snapshot")]
-    assert {r["attr"] for r in api.get_entity_history(clip, "e1").collect()} >= {"label/v", "visible/v"}
+    doc = api.call(clip, "get_changes", {"f0": "1", "f1": "6"})[1]
+    assert [c["f"] for c in doc["changes"]] == [2, 5, 6] and [e["id"] for e in doc["events"]] == ["ev1", "ev2"]
+    assert doc["changes"][0]["delta"]["hud"]["health"]["v"] == 93 and doc["changes"][2] == {"f": 6, "kind": "snapshot"}
+    doc = api.call(clip, "get_entity_history", {"entity": "e1"})[1]
+    assert (doc["first_f"], doc["last_f"]) == (0, 4) and [e["id"] for e in doc["events"]] == ["ev2"]
+    assert doc["history"]["label"] == [{"f": 0, "v": "enemy", "conf": 0.9, "source": "observed", "f_obs": 0, "bbox": [0, 0, 1, 1], "crop": None}]
+    assert [(x["f"], x["v"]) for x in doc["history"]["present"]] == [(0, True), (5, False)]
     assert [r["id"] for r in api.get_events(clip, type="ui_value_changed").collect()] == ["ev1", "ev10"]
     assert [r["id"] for r in api.get_events(clip, 3, 6).collect()] == ["ev2"]
+    doc = api.call(clip, "get_events", {"filter": "entity_removed"})[1]
+    assert doc["count"] == 1 and doc["events"][0]["evidence"]["crop"] == "evidence/f5.jpg"
 
 
-def test_search_and_evidence(clip):
+def test_search_and_evidence(clip, folder):
     hits = api.search_semantics(clip, "health").collect()
-    assert {h["kind"] for h in hits} == {"event", "field"} and hits[0]["score"] >= hits[-1]["score"]
-    assert api.search_semantics(clip, "zebra").count() == 0
-    assert "93" in api.get_evidence(clip, "hud/health/v@4").first()["claim"]
-    assert api.get_evidence(clip, "ev2").first()["observed_f"] == 5
-    assert api.get_evidence(clip, "nothing").count() == 0
+    assert {h["kind"] for h in hits} == {"event", "field", "summary"} and hits[0]["score"] >= hits[-1]["score"]
+    assert {h["count"] for h in hits} == {len(hits)} and api.search_semantics(clip, "health", 2).collect()[0]["count"] == len(hits)
+    # events name it once; the path holds it once for each of three values; the window's end and its two highlights
+    assert sum(h["score"] for h in hits if h["kind"] == "field") == 3
+    assert api.search_semantics(clip, "zebra").count() == 0 and api.call(clip, "search_semantics", {"q": "zebra"})[1]["count"] == 0
+    doc = api.call(clip, "get_evidence", {"id": "hud/health@4"})[1]
+    assert doc["claim"] == "hud/health=93 at f4" and doc["field"]["v"] == 93 and doc["evidence"]["f"] == 2 and not doc["evidence"]["exists"]
+    doc = api.call(clip, "get_evidence", {"id": "ev2"})[1]
+    assert doc["evidence"]["f"] == 5 and doc["evidence"]["crop_abs"] == f"{folder}/evidence/f5.jpg" and doc["claim"].startswith("f5 t=0.08s entity_removed entity=e1 None->None [obs 0.85]")
+    assert not doc["evidence"]["exists"]
+    for missing in ("nothing", "hud/none@3", "entities/e1/label@6"):
+        assert api.call(clip, "get_evidence", {"id": missing})[1] == {"id": missing, "error": "not found"}
+
+
+def test_evidence_that_is_there(spark, folder):
+    from pathlib import Path
+
+    (Path(folder) / "evidence").mkdir()
+    (Path(folder) / "evidence" / "f2.jpg").write_bytes(b"jpeg")
+    assert api.call(api.load(spark, folder), "get_evidence", {"id": "ev1"})[1]["evidence"]["exists"]
 
 
 def test_context_and_ask(clip):
     c = api.compile_context(clip, "What was the health at frame 4?", 400)
-    assert c["frames"] == [4] and "hud/health" in c["context"] and c["tokens"] <= 400 and c["focus"]["hud"]
+    assert c["frames"] == [4] and c["tokens"] <= 400 and c["focus"] == {"hud": True, "flash": False} or c["focus"] == {"hud": True}
+    assert "[f4 t=0.07s] health=93(obs 0.90) visible_entities=1: e1@None(obs)" in c["context"]
+    assert "hud.health value timeline (value holds until next entry): f0=100 f2=93 f7=86" in c["context"]
+    assert 'e1 ("enemy"): first f0 last f4; visible intervals: f0-f4' in c["context"]
+    assert "visible entity count timeline (count holds until next entry): f0=1 f5=0" in c["context"]
+    assert "f2 t=0.03s ui_value_changed entity=hud.health 100->93 [obs 0.85] id=ev1" in c["context"]
+    assert [e["id"] for e in c["evidence"]] == ["ev1", "ev10"]
     assert api.ask(clip, "health?")["answer"] == "unknown"
     assert api.call(clip, "nope", {})[0] == 404 and api.call(clip, "get_state", {})[0] == 400
     assert api.call(clip, "get_events", {"start": "3", "end": "6"})[0] == 200
     assert api.reanalyze(clip, 0, 7).count() == 6
+    doc = api.call(clip, "reanalyze", {"f0": "0", "f1": "7", "region": "0.5,0.5,0.25,0.25"})[1]
+    assert doc["observations"][0]["text"]["bbox"] == [0.5, 0.5, 0.25, 0.25] and doc["observations"][0]["text"]["conf"] == 0.3
+
+
+def test_tables_answer_as_lines_do(spark, clip, folder, tmp_path):
+    made = api.ingest(spark, folder, str(tmp_path / "clip"))
+    assert made.fps == 60.0 and made.n_frames == 8 and not made.kept
+    for op, params in (
+        ("get_state", {"f": "4"}), ("get_changes", {"f0": "0", "f1": "9"}), ("get_entity_history", {"entity": "e1"}), ("get_events", {}),
+        ("search_semantics", {"q": "health enemy"}), ("get_evidence", {"id": "hud/health@7"}), ("compile_context", {"q": "all at frame 5"}),
+    ):
+        one, two = (json.loads(json.dumps(api.call(s, op, dict(params)), default=str).replace(str(tmp_path / "clip"), folder)) for s in (clip, made))
+        if op == "compile_context":
+            one, two = (x[1]["context"].split("\n", 2)[2] for x in (one, two))
+        assert one == two, op
+    plan = api.get_state(made, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(snap_f,7)" in plan
+    doc = json.loads((tmp_path / "clip" / "summary.json").read_text())
+    w = doc["windows"][0]
+    assert (w["f_start"], w["f_end"], w["hud_end"], w["entities_seen"], w["vlm_frames"]) == (0, 8 - 1, {"health": 86}, ["e1"], 1)
+    assert w["events"] == {"ui_value_changed": 2, "entity_removed": 1} and w["modes"] == {"C": 48 * 6}
+    assert w["highlights"] == ["f2 ui_value_changed hud.health 100→93", "f5 entity_removed", "f7 ui_value_changed hud.health 93→86"]
+    assert doc["session"]["frames"] == 6 and doc["session"]["entities_total"] == 1 and doc["session"]["skip_vlm_ratio"] == 1.0
+    assert json.loads((tmp_path / "clip" / "meta.json").read_text())["nb_frames"] == 8
+
+
+def made_states(rnd, frames):
+    """States of a made-up session: values that change, entities that come, hide, go and come back."""
+    hud, there, box = {"ammo": 30}, {"e1"}, {}
+    for f in range(frames):
+        if rnd.random() < 0.2:
+            hud[rnd.choice(["ammo", "health", "score"])] = rnd.randint(0, 5)
+        if rnd.random() < 0.1:
+            there ^= {rnd.choice(["e1", "e2", "e3"])}
+        for e in there:
+            box[e] = [round(rnd.random(), 2) for _ in range(4)] if rnd.random() < 0.3 or e not in box else box[e]
+        yield f, {
+            "scene": {"id": f"s{f // 50}", "label": field(f"level {f // 50}", f // 50 * 50)},
+            "hud": {k: field(v, f) for k, v in hud.items()}, "text": {"goal": field("Reach the gate" if f < 70 else "Defend", f // 70 * 70)},
+            "entities": {e: {"label": field("enemy", 0), "visible": field(rnd.random() < 0.8, f), "bbox": field(box[e], f)} for e in sorted(there)},
+        }
+
+
+def dense_timelines(states):
+    """Value changes by the definition: every state is looked at."""
+    out, present = {}, {}
+
+    def note(path, f, v, gap=None):
+        tl = out.setdefault(path, [])
+        if not tl or (f - tl[-1][0] >= gap if gap else tl[-1][1] != v):
+            tl.append((f, v))
+
+    for f, s in states:
+        for k, x in s["hud"].items():
+            note(f"hud/{k}", f, x["v"])
+        for k, x in s["text"].items():
+            note(f"text/{k}", f, x["v"])
+        note("scene/label", f, s["scene"]["label"]["v"])
+        for e, x in s["entities"].items():
+            note(f"entities/{e}/label", f, x["label"]["v"])
+            note(f"entities/{e}/visible", f, x["visible"]["v"])
+            note(f"entities/{e}/bbox", f, x["bbox"]["v"], 30)
+            present.setdefault(e, 0)
+        note("derived/visible_entity_count", f, sum(x["visible"]["v"] for x in s["entities"].values()))
+        for e in present:
+            note(f"entities/{e}/present", f, e in s["entities"])
+    return out
+
+
+def test_timelines_against_dense_replay(spark, tmp_path):
+    import random
+
+    from chronolith.operators import state
+
+    states = list(made_states(random.Random(21), 160))
+    df = spark.createDataFrame([("made", f, json.dumps(s)) for f, s in states], "session string, f bigint, json string")
+    d = tmp_path / "made.session"
+    d.mkdir()
+    rows = state.stream_of(df, 60).orderBy("f").collect()
+    (d / "stream.jsonl").write_text("\n".join(json.dumps({"f": r["f"], "t_ms": r["f"] * 50.0, "kind": r["kind"], "modes": "C" * 48, ("state" if r["kind"] == "snapshot" else "delta"): json.loads(r["json"]), "vlm": False}) for r in rows))
+    (d / "meta.json").write_text(json.dumps({"fps": 20.0}))
+    s = api.load(spark, str(d))
+    got = {}
+    for r in s.timelines.orderBy("path", "f").collect():
+        got.setdefault(r["path"], []).append((r["f"], json.loads(r["v"])))
+    assert got == dense_timelines(states)
+    for f in (0, 33, 59, 60, 119, 159):
+        assert api.call(s, "get_state", {"f": f})[1] == json.loads(json.dumps(dict(states)[f]), object_hook=lambda x: {k: v for k, v in x.items() if v is not None})
+    want = {e: [f for f, x in states if e in x["entities"]] for e in ("e1", "e2", "e3")}
+    for e, fs in want.items():
+        doc = api.call(s, "get_entity_history", {"entity": e})[1]
+        assert (doc["first_f"], doc["last_f"]) == (min(fs, default=None), max(fs, default=None))
+    ends = {r["window"]: (json.loads(r["hud_end"]), r["entities_seen"], json.loads(r["scene"])) for r in s.windows.collect()}
+    for w in range(1):
+        last = dict(states)[min(159, 200 * w + 199)]
+        assert ends[w] == ({k: x["v"] for k, x in last["hud"].items()}, sorted(e for e, fs in want.items() if fs), last["scene"]["label"]["v"])
+    text = api.compile_context(s, "everything at frame 100", 3000)
+    assert text["tokens"] <= 3000 and "derived" not in text["context"] and "[f100 t=5.00s]" in text["context"]
 
 
 def test_round_trip_of_stream(spark, clip, tmp_path):
@@ -97,7 +224,35 @@ def test_intents_times_and_budget():
     assert all(context.intents("xyz").values())
     assert context.frame_references("frames 10-20 and 1:05.5, 3.5 seconds, s5, frame #120", 60, 4580) == [10, 20, 120, 210, 3930]
     assert context.frame_references("frame 99999", 60, 100) == [99]
-    text = context.fill([(1, "B", ["x" * 5000]), (0, "A", ["short"])], 400)
+    text = context.laid_out([(1, "B", ["x" * 5000]), (0, "A", ["short"])], 400)
     assert text.startswith("## A\nshort\n## B\n") and context.TRIMMED in text and context.CUT in text
     assert context.estimate(text) <= 400
-    assert context.fmt([0.12345, "a", True]) == '[0.123,"a",True]'
+
+
+def test_layout_against_a_greedy_loop():
+    """Line by line: what fits is taken, what does not is cut where 200 characters remain, and ends its section."""
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        sections = [(rnd.randint(0, 3), "T" * rnd.randint(1, 30), ["y" * rnd.choice([3, 40, 400, 900]) for _ in range(rnd.randint(0, 6))]) for _ in range(5)]
+        budget = rnd.randint(20, 900)
+        room, want = context.limit_of(budget), []
+        for p in range(4):
+            for q, title, lines in sections:
+                if q != p or len(title) + 4 > room:
+                    continue
+                want.append("## " + title)
+                room -= len(title) + 4
+                for line in lines:
+                    if len(line) + 1 <= room:
+                        want.append(line)
+                        room -= len(line) + 1
+                    else:
+                        if room - 20 > 200:
+                            want.append(line[: room - 20] + context.TRIMMED)
+                            room -= room - 20 + 12
+                        want.append(context.CUT)
+                        room -= 40
+                        break
+        assert context.laid_out(sections, budget) == "\n".join(want)
