@@ -39,7 +39,7 @@ def shots() -> list[int]:
     return out
 
 
-def truth(spark: SparkSession) -> DataFrame:
+def truth(spark: SparkSession, frames: int = FRAMES) -> DataFrame:
     """(session, f, scene, objective, flash, health, ammo, score, enemies): one row a frame."""
     f = F.col("f")
     starts, fired = F.array(*[F.lit(s) for s, _ in FLASHES]), F.array(*[F.lit(g) for g in shots()])
@@ -47,7 +47,7 @@ def truth(spark: SparkSession) -> DataFrame:
     count = F.size(F.filter(fired, lambda g: g <= f))
     flash = F.exists(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(s + n).alias("e")) for s, n in FLASHES]), lambda x: (x["s"] <= f) & (f < x["e"]))
     alive = [((f >= a) & (F.lit(True) if b is None else f < b)).cast("int") for a, b in ENEMIES]
-    return spark.range(FRAMES).select(F.lit("game").alias("session"), F.col("id").alias("f")).select(
+    return spark.range(frames).select(F.lit("game").alias("session"), F.col("id").alias("f")).select(
         "session", "f",
         F.when(f >= 4200, "gameover").when((f >= 3000) & (f < 3060), "loading").when(f < 3000, "level1").otherwise("level2").alias("scene"),
         F.when(f < 2100, "Reach the gate").otherwise("Defend the core").alias("objective"),
@@ -69,3 +69,46 @@ def leaves(frames: DataFrame) -> DataFrame:
     """The head-up display and texts as (session, path, f, v) rows."""
     names = ("scene", "objective", "health", "ammo", "score", "enemies")
     return frames.select("session", "f", *[F.col(c).cast("string").alias(c) for c in names]).unpivot(["session", "f"], list(names), "path", "v")
+
+
+def states(frames: DataFrame) -> DataFrame:
+    """(session, f, json): whole states with fields, as a recording of the game would have them."""
+    number = lambda c: F.col(c).cast("string")
+    field = lambda v, f: F.concat(F.lit('{"v":'), v, F.lit(',"conf":0.9,"source":"observed","f":'), f.cast("string"), F.lit(',"bbox":[0.1,0.1,0.2,0.1],"crop":"evidence/f'), f.cast("string"), F.lit('.jpg"}'))
+    text = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    of = lambda name, v: F.concat(F.lit(f'"{name}":'), field(v, F.col("since")))
+    thing = lambda i: F.when(F.col("enemies") > i, F.concat(F.lit(f'"e{i}":{{'), of("label", F.lit('"enemy"')), F.lit(","), of("visible", F.lit("true")), F.lit("}")))
+    held = frames.withColumn("since", F.expr("f div 60 * 60"))
+    body = F.concat(
+        F.lit('{"scene":{"id":"s1",'), of("label", text("scene")), F.lit('},"hud":{'), F.concat_ws(",", *[of(c, number(c)) for c in ("health", "ammo", "score")]),
+        F.lit('},"text":{'), of("objective", text("objective")), F.lit('},"entities":{'), F.concat_ws(",", *[thing(i) for i in range(4)]), F.lit("}}"),
+    )
+    return held.select("session", "f", body.alias("json"))
+
+
+def events(frames: DataFrame) -> DataFrame:
+    """(line): the game's flashes as lines of an event file."""
+    flash = frames.filter("flash").select("f", (F.col("f") * 1000 / FPS).alias("t"))
+    return flash.select(F.to_json(F.struct(
+        F.concat(F.lit("ev"), F.col("f").cast("string")).alias("id"), F.lit("flash").alias("type"), F.col("f").alias("f_start"), F.col("f").alias("f_end"), F.round("t", 2).alias("t_ms"),
+        F.lit(0.9).alias("confidence"), F.lit("observed").alias("source"), F.struct(F.col("f"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"), F.lit(None).cast("string").alias("crop")).alias("evidence"),
+    )).alias("line"))
+
+
+def recording(spark: SparkSession, folder: str, frames: int) -> None:
+    """A session directory of the game: stream, events and meta files. The driver writes them, a line a frame."""
+    import json
+    import os
+
+    from chronolith.operators import state
+
+    os.makedirs(folder, exist_ok=True)
+    game = truth(spark, frames)
+    with open(f"{folder}/stream.jsonl", "w") as out:
+        for r in state.stream_of(states(game)).orderBy("f").toLocalIterator():
+            body = "state" if r["kind"] == "snapshot" else "delta"
+            out.write(f'{{"f":{r["f"]},"t_ms":{round(r["f"] * 1000 / FPS, 2)},"kind":"{r["kind"]}","modes":"{"C" * 48}","{body}":{r["json"]},"vlm":false}}\n')
+    with open(f"{folder}/events.jsonl", "w") as out:
+        out.writelines(r["line"] + "\n" for r in events(game).toLocalIterator())
+    with open(f"{folder}/meta.json", "w") as out:
+        json.dump({"fps": FPS, "nb_frames": frames, "width": 1280, "height": 752}, out)

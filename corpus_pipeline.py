@@ -5,6 +5,12 @@ near_dedup: of texts linked by a SimHash similarity of 0.8 or more on 5-word shi
 mixing: documents are repeated or left out to meet the sources' target weights, in training order. bpe: every
 row is encoded and decoded; the last stage returns doc_id, n_tokens, ids_sha256 and decoded_sha256, one row
 for each copy that the mix takes.
+
+Defined results: a null text is an empty one, never toxic by itself, equal to other empty ones, of size 0 and of no
+tokens; of equal texts the largest id stays (null ids lose), of near copies the smallest; rows that repeat an id and
+a text leave one row by the second stage; ties in the order of training fall to a digest of the row; other columns
+are carried to the end of the fourth stage, whatever their names; an empty table gives no rows. Without usable
+labels no document is toxic.
 """
 
 from __future__ import annotations

@@ -35,6 +35,19 @@ def test_geometry_and_signal(spark):
     assert abs(one(spark, signal.smoothed(F.array(L(1.0), L(2.0), L(4.0)), 0.5))[0] - 2.75) < 1e-12
 
 
+def test_pixel_boxes_are_clamped(spark):
+    boxes = [one(spark, geometry.pixel_box(*[F.lit(v) for v in b], 640, 480))[0] for b in ((0.0, 0.0, 1.0, 1.0), (0.5, 0.5, 0.25, 0.25), (0.9, 0.9, 0.5, 0.5), (-0.1, 0.0, 0.05, 0.5))]
+    assert [tuple(b) for b in boxes] == [(0, 0, 640, 480), (320, 240, 480, 360), (576, 432, 640, 480), (0, 0, 1, 240)]
+
+
+def test_grading_and_rules_of_headings(spark):
+    L = F.lit
+    assert one(spark, text.graded_choice(L("after, I think"), ["before", "after"], L("after")), text.graded_choice(L(None).cast("string"), ["a"], L("a"))) == (True, False)
+    assert one(spark, text.contains_all(L("From 'Reach the gate!' to Defend-the-core"), ["Reach the gate", "defend the core"])) == (True,)
+    assert one(spark, text.plain_number(L("$95")), text.plain_number(L("+95")), text.plain_number(L(" <95> ")), text.currency(L("$ 35"))) == (None, None, 95, 35)
+    assert one(spark, text.hud_value(L("ammo: 4 hp: 9")), text.hud_value(L("score 3 ammo 7")), text.hud_value(L("SCORE: -5"))) == (9, 7, -5)
+
+
 def rows(spark, values, schema="session string, path string, f bigint, v double"):
     return spark.createDataFrame([("s", "p", i, float(v)) for i, v in enumerate(values)], schema)
 

@@ -54,3 +54,27 @@ def test_sessions_and_latest_state(spark):
     rows = spark.createDataFrame([("s", "p", f, float(f), f"2024-01-01 00:{m:02d}:00") for f, m in enumerate((0, 1, 30, 31))], "session string, path string, f bigint, v double, at string").withColumn("ts", F.to_timestamp("at"))
     assert feeds.sessions(rows, "ts", "5 minutes", "1 minute", "session").count() == 2
     assert feeds.latest_state(rows).first()["v"] == 3.0
+
+
+def test_late_results_are_dropped_and_counted(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    made = [(0, 10), (0, 45), (5, 20), (5, None)]
+    (src / "a.json").write_text("\n".join(json.dumps({"asked": f"2024-01-01T00:00:{a:02d}Z", "done": None if b is None else f"2024-01-01T00:00:{b:02d}Z"}) for a, b in made))
+    stream, trigger = feeds.polled(spark, str(src), "asked timestamp, done timestamp", every="1 second")
+    assert trigger == {"processingTime": "1 second"}
+    query = feeds.to_tables(feeds.in_time(stream, "asked", "done", "30 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    drained(query)
+    seen = [p["observedMetrics"]["results"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p.get("observedMetrics")]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert sum(m["late"] for m in seen) == 2 and sum(m["all"] for m in seen) == 4
+
+
+def test_labels_of_a_scene_that_has_passed_are_dropped(spark, tmp_path):
+    for name, rows in (("scenes", [("s1", 0), ("s2", 20)]), ("labels", [("s1", 5), ("s2", 25), ("s1", 50), ("s9", 5)])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(json.dumps({"scene_id": s, "ts": f"2024-01-01T00:00:{t:02d}Z"}) for s, t in rows))
+    read = lambda name: feeds.growing_files(spark, str(tmp_path / name), "scene_id string, ts timestamp")
+    drained(feeds.to_tables(feeds.guarded_labels(read("labels"), read("scenes"), "ts", "10 seconds"), str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = sorted((r["scene_id"], r["ts"].second) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("s1", 5), ("s2", 25)]
