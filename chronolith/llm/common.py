@@ -108,29 +108,33 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of the value, worked out once however often it is used there."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def let(value: str, name: str, then: str) -> str:
+    """SQL of ``then`` in which ``name`` stands for the value, worked out once however often it is used there."""
+    return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def sums_before(values: Column, kind: str = "bigint", block: int = 64, levels: int = 3) -> Column:
-    """The sum of the elements before each one of an array. Blocks of ``block`` are summed first, and their sums treated alike,
-    so the work is in proportion to the length."""
-    zero = F.lit(0).cast(kind)
+def sums_before(values: str, block: int = 64, levels: int = 2) -> str:
+    """SQL of the sum of the elements before each one of an array of bigint. Blocks of ``block`` are summed first, and their
+    sums treated alike, so the work is in proportion to the length. As text, it is parsed at once, not built node by node."""
 
-    def plain(x: Column, begin: Column) -> Column:
-        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
-        return F.aggregate(x, F.struct(begin.alias("at"), F.array().cast(f"array<{kind}>").alias("all")), step, lambda acc: acc["all"])
+    def plain(x: str, begin: str) -> str:
+        return f"aggregate({x}, struct({begin} AS at, cast(array() AS array<bigint>) AS done), (acc, v) -> struct(acc.at + v AS at, concat(acc.done, array(acc.at)) AS done), acc -> acc.done)"
 
-    def blocked(x: Column, left: int) -> Column:
+    def blocked(x: str, left: int) -> str:
         if not left:
-            return plain(x, zero)
-        starts = F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.size(x) / block).cast("int")), lambda i: i * block < F.size(x)), lambda i: i * block + 1)
-        parts = F.transform(starts, lambda s: F.slice(x, s, F.lit(block)))
-        whole = lambda p: let(blocked(F.transform(p, lambda v: F.aggregate(v, zero, lambda a, y: a + y)), left - 1), lambda b: F.flatten(F.zip_with(p, b, plain)))
-        return F.when(F.size(x) <= block, plain(x, zero)).otherwise(let(parts, whole))
+            return plain(x, "0L")
+        p, b = f"parts{left}", f"begins{left}"
+        parts = f"transform(filter(sequence(0, size({x}) div {block}), i -> i * {block} < size({x})), i -> slice({x}, i * {block} + 1, {block}))"
+        sums = f"transform({p}, part -> aggregate(part, 0L, (acc, v) -> acc + v))"
+        begins = let(blocked(f"sums{left}", left - 1), b, f"flatten(zip_with({p}, {b}, (part, begin) -> {plain('part', 'begin')}))")
+        return f"CASE WHEN size({x}) <= {block} THEN {plain(x, '0L')} ELSE {let(parts, p, let(sums, f'sums{left}', begins))} END"
 
-    return let(values, lambda x: blocked(x, levels))
+    return let(values, "values_", blocked("values_", levels))
+
+
+def raw(pattern: str) -> str:
+    """A regular expression as an SQL literal."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
 def text_or_empty(text: Column) -> Column:

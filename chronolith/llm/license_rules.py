@@ -23,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import sums_before, table, text_or_empty
+from chronolith.llm.common import let, raw, sums_before, table, text_or_empty
 
 #: White space after a sentence, which is a cut like the line end that may follow it.
 STOP = r"(?<=[.!?])[^\S\n]++(?!\n)"
@@ -106,16 +106,14 @@ def license_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names, norms = list(sentences), [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in sentences.values()]
     n = len(names)
     patterns = [r"(?<=\n)" + x.replace(" ", r"[ \n]") + r"(?=\n)" for x in norms]
-    known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("norm"), F.lit(p).alias("pattern")) for i, (x, p) in enumerate(zip(norms, patterns, strict=True))])
+    known = ", ".join(f"struct({i} AS i, {len(x)}L AS long, '{x}' AS norm, {raw(p)} AS pattern)" for i, (x, p) in enumerate(zip(norms, patterns, strict=True)))
     #: Sentences that stand in longer ones: (number, number of the longer one, where in it).
     inner = [(i, j, m.start()) for i, x in enumerate(norms) for j, y in enumerate(norms) if len(x) < len(y) for m in re.finditer(rf"(?<![a-z0-9]){x}(?![a-z0-9])", y)]
 
-    def places(k: Column) -> Column:
-        """place * n + number of the sentence, for each of its places."""
-        between, long = F.split("cut", k["pattern"]), F.length(k["norm"]).cast("bigint")
-        before = sums_before(F.transform(between, lambda g: F.length(g) + long))
-        starts = F.zip_with(between, before, lambda g, at: (at + F.length(g)) * n + k["i"])
-        return F.slice(starts, F.lit(1), F.size(between) - 1)
+    # place * n + number of the sentence, for each of its places
+    before = sums_before("transform(gaps, g -> length(g) + k.long)")
+    places = let("split(cut, k.pattern)", "gaps", f"slice(zip_with(gaps, {before}, (g, at) -> (at + length(g)) * {n} + k.i), 1, size(gaps) - 1)")
+    all_codes = F.expr(f"flatten(transform(filter(array({known}), k -> contains(flat, k.norm)), k -> {places}))")
 
     # Generators keep Spark from working out the pieces anew for each sentence.
     text = text_or_empty(F.col(text_col))
@@ -123,8 +121,7 @@ def license_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.when(likely, pieces(text)).otherwise(""))).alias("cut"))
     flat = cut.select("doc_id", "cut", F.explode(F.array(F.translate("cut", "\n", " "))).alias("flat"))
     held = reduce(or_, [F.col("flat").contains(x) for x in norms])
-    hits = F.filter(known, lambda k: F.contains(F.col("flat"), k["norm"]))
-    codes = F.when(held, F.flatten(F.transform(hits, places))).otherwise(F.array().cast("array<bigint>"))
+    codes = F.when(held, all_codes).otherwise(F.array().cast("array<bigint>"))
     found = flat.select("doc_id", F.explode(F.array(codes)).alias("codes"))
     moved = lambda j, by: F.transform(F.filter("codes", lambda c: c % n == j), lambda c: c + by)
     covered = [moved(j, at * n + i - j) for i, j, at in inner]

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import let, look_up, materialise, sums_before, table, text_or_empty
+from chronolith.llm.common import let, look_up, materialise, raw, sums_before, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -59,23 +59,17 @@ RULES = (
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Spans of the rule's matches that are long enough; an empty array without any."""
-    pattern = F.lit(rule.pattern)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    steps = F.zip_with(
-        F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p).cast("bigint")),
-        F.zip_with(hits, group, lambda h, g: F.struct(F.length(h).cast("bigint").alias("len"), (F.length(g) >= rule.least).alias("kept"))),
-        lambda gap, h: F.struct(gap.alias("gap"), h["len"].alias("len"), h["kept"].alias("kept")),
-    )
-
-    def placed(x: Column) -> Column:
-        before = sums_before(F.transform(x, lambda s: s["gap"] + F.coalesce(s["len"], F.lit(0).cast("bigint"))))
-        spans = F.zip_with(x, before, lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["len"]).alias("end"), s["kept"].alias("kept")))
-        return F.transform(F.filter(spans, lambda s: F.coalesce(s["kept"], F.lit(False))), lambda s: F.struct(s["start"], s["end"])).cast(SPANS)
-
-    return F.when(text.rlike(rule.sign), let(steps, placed)).otherwise(F.array().cast(SPANS))
+def spans_of(text: str, rule: Rule) -> Column:
+    """Spans of the rule's matches in the column that are long enough; an empty array without any."""
+    p = raw(rule.pattern)
+    hits = f"regexp_extract_all({text}, {p}, 0)"
+    shown = f"regexp_extract_all({text}, {p}, {rule.group})" if rule.group else hits
+    lengths = f"zip_with({hits}, {shown}, (h, g) -> struct(cast(length(h) AS bigint) AS len, length(g) >= {rule.least} AS kept))"
+    steps = f"zip_with(transform(split({text}, {p}, -1), g -> cast(length(g) AS bigint)), {lengths}, (gap, h) -> struct(gap AS gap, h.len AS len, h.kept AS kept))"
+    before = sums_before("transform(steps, s -> s.gap + coalesce(s.len, 0L))")
+    placed = f"zip_with(steps, {before}, (s, at) -> struct(at + s.gap AS `start`, at + s.gap + s.len AS `end`, coalesce(s.kept, false) AS kept))"
+    kept = f"transform(filter({placed}, s -> s.kept), s -> struct(s.`start` AS `start`, s.`end` AS `end`))"
+    return F.expr(f"CASE WHEN {text} RLIKE {raw(rule.sign)} THEN {let(steps, 'steps', kept)} ELSE cast(array() AS {SPANS}) END")
 
 
 def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,7 +89,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     scanned = F.array(*[
         F.when(
             F.array_contains("todo", r.key),
-            F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("body"), r).alias("spans")),
+            F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of("body", r).alias("spans")),
         )
         for r in rules
     ])
