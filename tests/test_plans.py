@@ -35,7 +35,11 @@ def test_one_shuffle_for_windows_by_session(spark):
         assert plan(catalogue.QUERIES[name](spark, DATA)).count("Exchange") == 1, name
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+#: Rules whose next step depends on what they emitted before: kernels, which recursive SQL can check.
+KERNELS = {"dead_band", "spaced_samples", "emitted_boxes", "budgeted_grants", "capped_grants"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE_SQL) - KERNELS))
 def test_no_python_in_relational_queries(spark, name):
     p = plan(catalogue.QUERIES[name](spark, DATA))
     assert not re.search("Python|Pandas|Arrow", p) and "CartesianProduct" not in p
