@@ -253,7 +253,7 @@ def context_lines(s: Session, query: str, want: dict[str, bool], frames: list[in
     wide = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     rank = lambda kind: 1 if want[kind] else 3
     if frames:
-        section(0, "STATE AT REFERENCED FRAMES", compact_states(s, frames[:6]), wide("n"))
+        section(0, context.STATES, compact_states(s, frames[:6]), wide("n"))
     seen_at = F.when(F.col("f_obs") <= F.col("f"), F.col("f_obs")).otherwise(F.col("f")).cast("string")
     tag = F.concat(F.lit("["), source_tag(F.col("source"), F.col("conf")), F.lit("]"))
     unsure = F.when(F.col("source").eqNullSafe(F.lit("observed")), "").otherwise(F.concat(F.lit("("), source_tag(F.col("source"), F.col("conf")), F.lit(")")))
@@ -262,19 +262,19 @@ def context_lines(s: Session, query: str, want: dict[str, bool], frames: list[in
         own = s.timelines.filter(F.col("path").startswith("hud/")).withColumn("name", F.expr("substr(path, 5)"))
         named = own.groupBy("name").agg(in_order(F.concat(F.lit("f"), seen_at, F.lit("="), shown(F.col("v")), unsure)).alias("items")).withColumn("asked", F.lit((query or "").lower()).contains(F.lower("name")))
         chosen = named.join(F.broadcast(named.agg(F.coalesce(F.max("asked"), F.lit(False)).alias("some")))).filter("asked OR NOT some")
-        section(rank("hud"), "HUD VALUE TIMELINES (exact frames of change)", chosen.select("name", F.concat(F.lit("hud."), "name", F.lit(" value timeline (value holds until next entry): "), "items").alias("line")), "name")
+        section(rank("hud"), context.HUD, chosen.select("name", F.concat(F.lit("hud."), "name", F.lit(context.HUD_LINE), "items").alias("line")), "name")
     if want["text"] or frames:
         own = s.timelines.filter(F.col("path").rlike("^(text|scene)/"))
         lines = own.groupBy("path").agg(in_order(F.concat(F.lit("f"), seen_at, F.lit("="), shown(F.col("v")), tag)).alias("items"))
-        section(rank("text"), "TEXT / OCR TIMELINES", lines.select("path", F.concat(F.replace(F.col("path"), F.lit("/"), F.lit(".")), F.lit(": "), "items").alias("line")), "path")
+        section(rank("text"), context.TEXTS, lines.select("path", F.concat(F.replace(F.col("path"), F.lit("/"), F.lit(".")), F.lit(": "), "items").alias("line")), "path")
     if want["entities"] or frames:
-        section(rank("entities"), "ENTITIES (visible intervals, inclusive)", _entity_lines(s), wide("first_f"), "id")
+        section(rank("entities"), context.ENTITIES, _entity_lines(s), wide("first_f"), "id")
     e = event_lines(s)
     first = [t for kind in ("flash", "hud", "text", "entities") if want[kind] for t in context.TYPES[kind]]
     counts = e.groupBy("type").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "type", F.col("n").cast("string")))), ", ").alias("line"))
-    section(1, "EVENT COUNTS", counts.withColumn("f", F.lit(0)), "f")
-    section(1, f"EVENTS ({'/'.join(first)}) chronological", e.filter(F.col("type").isin(*first)), wide("f_start"), "id")
-    section(4, "OTHER EVENTS", e.filter(~F.col("type").isin(*first)), wide("f_start"), "id")
+    section(1, context.COUNTS, counts.withColumn("f", F.lit(0)), "f")
+    section(1, context.EVENTS.format(types="/".join(first)), e.filter(F.col("type").isin(*first)), wide("f_start"), "id")
+    section(4, context.OTHERS, e.filter(~F.col("type").isin(*first)), wide("f_start"), "id")
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
@@ -300,7 +300,7 @@ def _entity_lines(s: Session) -> DataFrame:
     line = F.concat("id", F.lit(" ("), shown(F.col("label")), F.lit("): first f"), F.col("first_f").cast("string"), F.lit(" last f"), F.col("last_f").cast("string"), F.lit("; visible intervals: "), shape,
                     F.when(F.size("prop") > 0, F.concat(F.lit("; visibility PROP/INFER at "), F.array_join("prop", " "))).otherwise(""))
     counts = s.timelines.filter("path = 'derived/visible_entity_count'").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: F.format_string("f%d=%s", x["f"], x["v"])), " ").alias("items"), F.count(F.lit(1)).alias("n"))
-    head = counts.filter(F.col("n") > 0).select(F.lit(-1).cast("bigint").alias("first_f"), F.lit("").alias("id"), F.concat(F.lit("visible entity count timeline (count holds until next entry): "), "items").alias("line"))
+    head = counts.filter(F.col("n") > 0).select(F.lit(-1).cast("bigint").alias("first_f"), F.lit("").alias("id"), F.concat(F.lit(context.COUNT_LINE), "items").alias("line"))
     some = all_of.limit(1).select(F.lit(1).alias("some"))
     return head.join(some).drop("some").unionByName(all_of.select("first_f", "id", line.alias("line")))
 
@@ -313,12 +313,9 @@ def compile_context(s: Session, query: str, token_budget: int = 4000) -> dict:
     by_section: dict[int, list[str]] = {}
     for r in context.usable(lines, context.limit_of(budget)).orderBy("section", "place").collect():
         by_section.setdefault(r["section"], []).append(r["line"])
-    head = [
-        f"SESSION {s.name}: frames 0..{s.n_frames - 1} at {s.fps:g} fps (frame f -> time f/{s.fps:g} s). Frame indices are source video frames.",
-        "Tags: obs=observed this frame by perception; PROP=propagated from earlier observation (not re-seen; conf decays); INFER=inferred. Number after tag = confidence.",
-    ]
-    always = "EVENT COUNTS"
-    sections = [(0, "HEADER", head), *[(p, title, by_section.get(i, [])) for i, (p, title) in enumerate(titles) if i in by_section or title == always or title.startswith("HUD")]]
+    head = [context.ABOUT.format(name=s.name, last=s.n_frames - 1, fps=s.fps), context.TAGS]
+    always = (context.HUD, context.COUNTS)
+    sections = [(0, "HEADER", head), *[(p, title, by_section.get(i, [])) for i, (p, title) in enumerate(titles) if i in by_section or title in always]]
     text = context.laid_out(sections, budget)
     return {
         "context": text, "tokens": context.estimate(text), "token_budget": budget, "evidence": [_bare(r) for r in _evidence_rows(s, want, bool(frames)).collect()],
