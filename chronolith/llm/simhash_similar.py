@@ -23,9 +23,13 @@ linked to, are matched without fingerprints: of two sets at 0.8 the n // 5 + 1 r
 these are posted and the sets compared inside the posting. No link is lost there.
 
 Copies (equal shingle sets) are one class before the index. A posting gives a spanning forest of its links only,
-at most one edge less than members, so dense groups cost about their size and no reachability is lost. A task
-holds one posting, which has 1/256 of the distinct fingerprints or, of a group of near copies, those that share
-the byte.
+at most one edge less than members, so dense groups cost about their size and no reachability is lost.
+
+A posting has 1/256 of the distinct fingerprints or, of a group of near copies, most of the group. One of more than
+PART members is posted once more under the second of the three places; what is still larger then is dealt out in
+parts of about PART members, and a task takes one part or the pair of two, of which only links across are given. So a
+task holds at most about two parts, however large a group is, and every pair of members still meets in one task. The
+postings of short texts are dealt out alike.
 
 Defined results: null and empty texts and texts of blanks have no shingle and are copies of each other, like
 nothing else; fewer than five words are one shingle; of a group the row of the smallest id stays (null ids
@@ -58,6 +62,10 @@ INDEXED, HALVES, TOGETHER, LEAST = 32, 2, 3, 5
 HALF = INDEXED // HALVES
 #: Positions that can come first of TOGETHER positions of their half.
 FIRSTS = tuple(h * HALF + i for h in range(HALVES) for i in range(HALF - TOGETHER + 1))
+#: Members of a posting that a task takes at a time, by fingerprints and by whole sets.
+PART, SET_PART = 1 << 17, 1 << 16
+#: A posting's number: place and byte, then second place and byte (0: none), then the two parts of BITS bits each.
+BITS = 17
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingles whose bits are spread out at a time, and rows that a byte can count.
 CHUNK, RUN = 1 << 15, 255
@@ -118,50 +126,66 @@ def linked(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least:
     return good
 
 
-def posting_forest(position: int, value: np.ndarray, fp: np.ndarray, size: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Edges (row, row) of a spanning forest of the links in the postings (position, value) of these rows."""
+def _places(position: int, second: int) -> Iterator[tuple[int, int]]:
+    """The two places that can follow the first one; the next is ``second`` unless that is 0."""
+    last = position - position % HALF + HALF
+    return ((q, r) for q, r in combinations(range(position + 1, last), TOGETHER - 1) if second in (0, q))
+
+
+def posting_forest(position: int, value: np.ndarray, fp: np.ndarray, size: np.ndarray, least: float = SIMILARITY, second: int = 0, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of the links in the postings (position, value) of these rows.
+
+    With ``side``, those that the forests of both sides, which other tasks give, are short of.
+    """
     data = fp.view(np.uint8).reshape(len(fp), -1)
     sets, edges = K.Sets(len(fp)), []
     group = value.astype(np.int64) << 16
 
-    def join(pairs: Iterator[tuple[int, int]]) -> None:
-        edges.extend((i, j) for i, j in pairs if sets.join(i, j))
-
-    last = position - position % HALF + HALF
-    for q, r in combinations(range(position + 1, last), TOGETHER - 1):
-        key = group | (data[:, q].astype(np.int64) << 8) | data[:, r]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(first, len(key)))
-        two = first[count == 2]
-        if len(two):
-            i, j = order[two], order[two + 1]
-            good = linked(fp[i], fp[j], size[i], size[j], least)
-            join(zip(i[good].tolist(), j[good].tolist(), strict=True))
-        for s, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-            rest = order[s : s + n]
-            roots = {sets.root(i) for i in rest.tolist()}
-            if len(roots) == 1:
-                continue
-            front: list[int] = []
-            while len(rest):
-                if not front:
-                    front, rest = [int(rest[0])], rest[1:]
+    def join(pairs: Iterator[tuple[int, int]], given: bool) -> None:
+        new = [(i, j) for i, j in pairs if sets.join(i, j)]
+        if given:
+            edges.extend(new)
+
+    def grow(rows: np.ndarray, given: bool) -> None:
+        for q, r in _places(position, second):
+            key = group[rows] | (data[rows, q].astype(np.int64) << 8) | data[rows, r]
+            order = np.argsort(key, kind="stable")
+            key, order = key[order], rows[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(first, len(key)))
+            two = first[count == 2]
+            if len(two):
+                i, j = order[two], order[two + 1]
+                good = linked(fp[i], fp[j], size[i], size[j], least)
+                join(zip(i[good].tolist(), j[good].tolist(), strict=True), given)
+            for s, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+                rest = order[s : s + n]
+                roots = {sets.root(i) for i in rest.tolist()}
+                if len(roots) == 1:
                     continue
-                x = front.pop()
-                hit = linked(fp[rest], fp[x], size[x], size[rest], least)
-                join((x, j) for j in rest[hit].tolist())
-                front += rest[hit].tolist()
-                rest = rest[~hit]
+                front: list[int] = []
+                while len(rest):
+                    if not front:
+                        front, rest = [int(rest[0])], rest[1:]
+                        continue
+                    x = front.pop()
+                    hit = linked(fp[rest], fp[x], size[x], size[rest], least)
+                    join(((x, j) for j in rest[hit].tolist()), given)
+                    front += rest[hit].tolist()
+                    rest = rest[~hit]
+
+    if side is not None:
+        grow(np.flatnonzero(~side), False)
+        grow(np.flatnonzero(side), False)
+    grow(np.arange(len(fp)), True)
     return edges
 
 
-def posting_pairs(position: int, value: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, least: float, best: bool = False) -> np.ndarray:
-    """All linked pairs (row, row) of different labels, each only in the first posting and places that it meets in; best: one for two labels."""
+def posting_pairs(position: int, value: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, least: float, best: bool = False, second: int = 0, side: np.ndarray | None = None) -> np.ndarray:
+    """All linked pairs (row, row) of different labels (and sides), each only in the first posting and places that it meets in; best: one for two labels."""
     data = fp.view(np.uint8).reshape(len(fp), -1)
     group, start, found = value.astype(np.int64) << 16, position - position % HALF, []
-    for q, r in combinations(range(position + 1, start + HALF), TOGETHER - 1):
+    for q, r in _places(position, second):
         key = group | (data[:, q].astype(np.int64) << 8) | data[:, r]
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -178,6 +202,8 @@ def posting_pairs(position: int, value: np.ndarray, fp: np.ndarray, size: np.nda
                 other = rest[~outside | (np.arange(n) > x)]
                 pairs.append(np.stack([np.full(len(other), rest[x]), other], 1))
         for part in pairs:
+            if side is not None:
+                part = part[side[part[:, 0]] != side[part[:, 1]]]
             i, j = part[label[part[:, 0]] != label[part[:, 1]]].T
             same = data[i, :INDEXED] == data[j, :INDEXED]
             between = [c for c in range(start, r) if c not in (position, q)]
@@ -205,19 +231,39 @@ def similar_sets(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return 5 * shared >= 4 * (a + b - shared)
 
 
-def set_forest(flat: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, row) of a spanning forest of the exact links of sets, row i holding flat[bounds[i]:bounds[i + 1]] of size[i] shingles."""
-    rest, front, edges = np.arange(len(size)), [], []
-    while len(rest):
-        if not front:
-            front, rest = [int(rest[0])], rest[1:]
-            continue
-        x = front.pop()
-        shared = np.add.reduceat(np.isin(flat, flat[bounds[x] : bounds[x + 1]]).astype(np.int64), bounds[:-1])[rest]
-        hit = similar_sets(shared, size[x], size[rest])
-        edges += [(x, j) for j in rest[hit].tolist()]
-        front += rest[hit].tolist()
-        rest = rest[~hit]
+def set_forest(flat: np.ndarray, bounds: np.ndarray, size: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of the exact links of sets, row i holding flat[bounds[i]:bounds[i + 1]] of size[i] shingles.
+
+    With ``side``, those that the forests of both sides, which other tasks give, are short of.
+    """
+    sets, edges = K.Sets(len(size)), []
+    distinct, names = np.unique(flat, return_inverse=True)
+    mark, length = np.zeros(len(distinct), bool), np.diff(bounds)
+
+    def grow(rest: np.ndarray, given: bool) -> None:
+        held, starts = K.gathered(names, bounds[rest], length[rest])
+        front: list[int] = []
+        while len(rest):
+            if front:
+                x = front.pop()
+                own = names[bounds[x] : bounds[x + 1]]
+                mark[own] = True
+                hit = similar_sets(np.add.reduceat(mark[held], starts[:-1], dtype=np.int64), size[x], size[rest])
+                mark[own] = False
+                new = [(x, j) for j in rest[hit].tolist() if sets.join(x, j)]
+                if given:
+                    edges.extend(new)
+                front += rest[hit].tolist()
+            else:
+                front, hit = [int(rest[0])], np.arange(len(rest)) == 0
+            if hit.any():
+                rest = rest[~hit]
+                held, starts = K.gathered(names, bounds[rest], length[rest])
+
+    if side is not None:
+        grow(np.flatnonzero(~side), False)
+        grow(np.flatnonzero(side), False)
+    grow(np.arange(len(size)), True)
     return edges
 
 
@@ -239,25 +285,30 @@ def _whole_postings(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> I
 
 
 def _edges(batches: Iterator[pa.RecordBatch], words: int = WORDS, least: float = SIMILARITY, best: bool = False) -> Iterator[pa.RecordBatch]:
-    """Sorted (posting, node, n, fp) rows -> edges (u, v) of nodes; with a fifth column, label, those of ``posting_pairs``."""
+    """Sorted (posting, node, n, fp, side) rows -> edges (u, v) of nodes; with a sixth column, label, those of ``posting_pairs``."""
     for t in _whole_postings(batches):
-        posting, node, n, *label = (t.column(i).to_numpy() for i in range(t.num_columns) if i != 3)
+        posting, node, n, side, *label = (t.column(i).to_numpy() for i in range(t.num_columns) if i != 3)
         packed = t.column(3).combine_chunks()
         first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
         fp = np.frombuffer(packed.buffers()[2], np.uint64, words * len(packed), int(first)).reshape(-1, words)
-        cut = np.flatnonzero(np.append(True, posting[1:] >> 8 != posting[:-1] >> 8))
+        place, value = posting >> 2 * BITS + 24, posting >> 2 * BITS + 16 & 255
+        # Postings that are not split are taken together by place.
+        together = np.where(posting & (1 << 2 * BITS + 16) - 1 == 0, place, posting)
+        cut = np.flatnonzero(np.append(True, together[1:] != together[:-1]))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(posting)], strict=True):
-            rows = int(posting[a] >> 8), posting[a:b] & 255, fp[a:b], n[a:b].astype(np.float64)
-            edges = posting_pairs(*rows, label[0][a:b], least, best) if label else posting_forest(*rows, least)
+            rows, key = (int(place[a]), value[a:b], fp[a:b], n[a:b].astype(np.float64)), int(posting[a])
+            across = key >> BITS & (1 << BITS) - 1 != key & (1 << BITS) - 1
+            more = {"second": key >> 2 * BITS + 8 & 255, "side": side[a:b] if across else None}
+            edges = posting_pairs(*rows, label[0][a:b], least, best, **more) if label else posting_forest(*rows, least, **more)
             edges = np.array(edges, np.int64).reshape(-1, 2) + a
             if len(edges):
                 yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], ["u", "v"])
 
 
 def _set_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (posting, node, n, shingles) rows -> edges (u, v) of nodes whose sets are linked."""
+    """Sorted (posting, node, n, shingles, side) rows -> edges (u, v) of nodes whose sets are linked; odd postings are pairs of parts."""
     for t in _whole_postings(batches):
-        posting, node, n = (t.column(i).to_numpy() for i in range(3))
+        posting, node, n, side = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
         held = t.column(3).combine_chunks()
         bounds = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
         flat = held.flatten().to_numpy()
@@ -265,7 +316,8 @@ def _set_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = []
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(posting)], strict=True):
             if b - a > 1:
-                edges += [(i + a, j + a) for i, j in set_forest(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n[a:b])]
+                across = side[a:b] if posting[a] & 1 else None
+                edges += [(i + a, j + a) for i, j in set_forest(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n[a:b], across)]
         if edges:
             u, v = np.array(edges).T
             yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
@@ -294,14 +346,39 @@ def fingerprint_rows(docs: DataFrame, text_col: str, rep: Column, words: int = W
     return frame.mapInArrow(run, f"rep {frame.schema[0].dataType.simpleString()}, fp binary, n bigint, digest bigint, shingles array<bigint>")
 
 
+def in_parts(posted: DataFrame, part: int) -> DataFrame:
+    """posted (posting, node, ...) with columns low, high, side: a row for each pair of parts that its own part is in.
+
+    The large postings are a table on disk, which Spark broadcasts where its size is below the threshold.
+    """
+    large = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > part)
+    large = materialise(large.select(F.col("posting").alias("of"), F.ceil(F.col("members") / part).cast("int").alias("parts")), "similar-large")
+    dealt = posted.join(large, F.col("posting") == F.col("of"), "left").withColumn("own", F.expr("int(pmod(xxhash64(node), coalesce(parts, 1)))"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    ends = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    return ends.withColumn("side", F.expr("own > other")).drop("of", "parts", "own", "other")
+
+
 def link_edges(prints: DataFrame, words: int, least: float, best: bool = False) -> DataFrame:
     """(node, n, fp) -> edges (u, v) whose components are those of all estimated links that the index reaches; with label, those of ``posting_pairs``."""
-    posting = lambda p: F.lit(p << 8) + F.conv(F.hex(F.substring("fp", p + 1, 1)), 16, 10).cast("int")
+    byte = lambda p: F.conv(F.hex(F.substring("fp", p + 1, 1)), 16, 10).cast("bigint")
+    posting = lambda p: F.shiftleft(F.lit(p << 8).cast("bigint").bitwiseOR(byte(p)), 16)
     columns = ["node", "n", "fp", *(c for c in prints.columns if c == "label")]
     posted = prints.filter(F.col("n") >= SHORT).select(F.explode(F.array(*[posting(p) for p in FIRSTS])).alias("posting"), *columns)
+    # At most len(FIRSTS) * 256 rows.
+    large = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > PART)
+    large = materialise(large.select(F.col("posting").alias("of")), "similar-large")
+    posted = posted.join(F.broadcast(large), F.col("posting") == F.col("of"), "left")
+    whole = posted.filter("of IS NULL").drop("of").withColumns({"low": F.lit(0), "high": F.lit(0), "side": F.lit(False)})
+    seconds = F.expr(f"int(posting >> 24) - int(posting >> 24) % {HALF} + {HALF - TOGETHER + 1}")
+    split = posted.filter("of IS NOT NULL").drop("of").withColumn("second", F.explode(F.sequence(F.expr("int(posting >> 24) + 1"), seconds)))
+    value = F.conv(F.hex(F.expr("substring(fp, second + 1, 1)")), 16, 10).cast("bigint")
+    split = split.withColumn("posting", F.col("posting").bitwiseOR(F.shiftleft(F.col("second").cast("bigint"), 8)).bitwiseOR(value)).drop("second")
+    dealt = whole.unionByName(in_parts(split, PART)).withColumn("posting", F.expr(f"(posting << {2 * BITS}) | (bigint(low) << {BITS}) | high")).drop("low", "high")
+    dealt = dealt.select("posting", "node", "n", "fp", "side", *columns[3:])
     small_arrow_batches(prints.sparkSession)
     # In order of the nodes the postings of a group agree on the ends of their edges.
-    return posted.repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(partial(_edges, words=words, least=least, best=best), "u bigint, v bigint")
+    return dealt.repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(partial(_edges, words=words, least=least, best=best), "u bigint, v bigint")
 
 
 def short_edges(classes: DataFrame) -> DataFrame:
@@ -313,15 +390,22 @@ def short_edges(classes: DataFrame) -> DataFrame:
     common = sets.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     held = sets.join(common, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("held"))
     held = held.select("node", "n", F.col("held")["h"].alias("held")).withColumn("prefix", F.expr("int(n div 5 + 1 - (n - size(held)))"))
-    posted = held.filter("prefix > 0").select(F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("posting"), "node", "n", "held")
+    held = materialise(held.filter("prefix > 0"), "similar-short")
+    posted = held.select(F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("posting"), "node", "n", "held")
+    # Postings that share a number are compared as one; odd numbers are for pairs of two parts.
+    number = F.expr("(xxhash64(posting, low, high) << 1) | int(low < high)")
+    dealt = in_parts(posted, SET_PART).withColumn("posting", number).select("posting", "node", "n", "held", "side")
     small_arrow_batches(classes.sparkSession)
-    return posted.repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(_set_edges, "u bigint, v bigint")
+    return dealt.repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(_set_edges, "u bigint, v bigint")
 
 
 def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (u, v) whose shingle sets, of (node, n, shingles), are linked."""
+    """The edges (u, v) whose shingle sets, of (node, n, shingles), are linked.
+
+    A node with very many edges is the smaller end as a rule: it is joined last, when rows are large enough for AQE to split.
+    """
     pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    for end in ("u", "v"):
+    for end in ("v", "u"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"of_{end}")), end)
     shared = F.size(F.array_intersect("of_u", "of_v"))
     return pairs.filter(similar_sets(shared, F.col("n_u"), F.col("n_v"))).select("u", "v")

@@ -295,6 +295,52 @@ def test_narrow_prints_start_wide_ones():
     assert (a == b[:, : simhash_similar.WORDS]).all() and (m == n).all()
 
 
+def test_large_postings_in_parts(spark, monkeypatch):
+    """However small the parts: the same classes of forests, and the very same pairs between labels."""
+    rnd = np.random.default_rng(8)
+    fp = np.repeat(rnd.integers(0, 1 << 63, (6, 8), dtype=np.uint64), 40, axis=0)
+    fp ^= np.packbits(rnd.random((len(fp), 512)) < 0.03, axis=1, bitorder="little").view(np.uint64)
+    rows = [(i, 300, bytearray(x.tobytes()), i % 7) for i, x in enumerate(fp)]
+    prints = spark.createDataFrame(rows, "node bigint, n bigint, fp binary, label bigint").cache()
+    sets = spark.createDataFrame([(i, 20, [i // 60 * 1000 + k for k in range(18)] + [-i, -i // 2]) for i in range(180)], "node bigint, n bigint, shingles array<bigint>").cache()
+
+    def results():
+        forests = []
+        for edges in (simhash_similar.link_edges(prints.drop("label"), 8, 0.8), simhash_similar.short_edges(sets)):
+            up = kernels.Sets(len(fp))
+            for u, v in edges.collect():
+                up.join(u, v)
+            forests.append([up.root(i) for i in range(len(fp))])
+        pairs = simhash_similar.link_edges(prints, 8, 0.8).collect()
+        return *forests, sorted(tuple(sorted(p)) for p in pairs)
+
+    whole = results()
+    assert whole[0] == [i // 40 * 40 for i in range(240)] and whole[1][:180] == [i // 60 * 60 for i in range(180)]
+    monkeypatch.setattr(simhash_similar, "PART", 16)
+    monkeypatch.setattr(simhash_similar, "SET_PART", 11)
+    assert results() == whole
+
+
+def test_similar_groups_in_parts(docs, listed, odd, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "PART", 9)
+    monkeypatch.setattr(simhash_similar, "SET_PART", 5)
+    for df, rows in ((docs, listed), (odd, [(i, t) for i, t, *_ in ROWS])):
+        least = {}
+        for (i, _), r in zip(rows, brute_similar([t for _, t in rows]), strict=True):
+            least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+        kept = simhash_similar.keep_one(df)
+        assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(map(str, least.values()))
+
+
+def test_parts_hold_no_whole_group(spark):
+    """A third of all rows in one posting: no block has much more than two parts, and any two rows of the posting share one."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 0L, id) AS posting", "id AS node")
+    blocks = simhash_similar.in_parts(rows, 100).filter("posting = 0").groupBy("low", "high").agg(F.count("node").alias("rows"), F.collect_list("node").alias("nodes")).collect()
+    assert max(b["rows"] for b in blocks) < 300
+    met = {(a, b) for r in blocks for a in r["nodes"] for b in r["nodes"] if a < b}
+    assert len(met) == 1000 * 999 // 2
+
+
 def test_postings_split_over_batches():
     rnd = np.random.default_rng(6)
     base = rnd.integers(0, 1 << 63, (30, 8), dtype=np.uint64)
@@ -303,9 +349,10 @@ def test_postings_split_over_batches():
     fp ^= np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
     node, n = np.arange(len(fp)), np.full(len(fp), 300)
     data = fp.view(np.uint8)
-    rows = sorted((p << 8 | int(data[i, p]), i) for p in simhash_similar.FIRSTS for i in node)
+    rows = sorted(((p << 8 | int(data[i, p])) << 16 + 2 * simhash_similar.BITS, i) for p in simhash_similar.FIRSTS for i in node)
     key, of = (np.array(x) for x in zip(*rows, strict=True))
-    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(n[of]), pa.array([fp[i].tobytes() for i in of], pa.binary())], ["posting", "node", "n", "fp"])
+    prints, side = pa.array([fp[i].tobytes() for i in of], pa.binary()), pa.array(np.zeros(len(of), bool))
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(n[of]), prints, side], ["posting", "node", "n", "fp", "side"])
     up = kernels.Sets(len(fp))
     for b in simhash_similar._edges(whole.slice(a, 7) for a in range(0, len(whole), 7)):
         for i, j in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
