@@ -136,6 +136,29 @@ def words(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+@functools.cache
+def all_but(points: str) -> np.ndarray:
+    """True for every code point that is not listed."""
+    out = np.ones(0x110000, bool)
+    out[[ord(c) for c in points]] = False
+    return out
+
+
+def spans(solid: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, of runs where ``solid`` is true."""
+    first = np.zeros(len(solid) + 1, bool)
+    first[bounds] = True
+    edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+    starts = np.flatnonzero((edge[:-1] == 1) | (solid & first[:-1]))
+    ends = np.flatnonzero((edge[1:] == -1) | (solid & first[1:])) + 1
+    return starts, ends, np.searchsorted(starts, bounds)
+
+
+def lower_ascii(cps: np.ndarray) -> np.ndarray:
+    """The code points with A-Z, and only these, lower-cased."""
+    return cps + (((cps >= 65) & (cps <= 90)).astype(np.uint32) << np.uint32(5))
+
+
 def _runs(kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """True where a run of one class starts; runs end with their text."""
     run = np.ones(len(kind), bool)

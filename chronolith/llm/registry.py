@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, language_id, lexicon_bpe, license_rules, mixing, rans_files, scaled_sketch, secrets_ledger, simhash, toxicity
+from chronolith.llm import collocations, exact_dedup, language_id, lexicon_bpe, license_rules, mixing, rans_files, scaled_sketch, secrets_ledger, simhash, toxicity
 
 QUERIES = {
     "op1_lexicon_bpe": lexicon_bpe.op1_lexicon_bpe,
@@ -15,10 +15,12 @@ QUERIES = {
     "op7_toxic_segments": toxicity.op7_toxic_segments,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_license_rules": license_rules.op9_license_rules,
+    "op11_collocation_tries": collocations.op11_collocation_tries,
 }
 ORACLE_SQL = {
     "op4_curriculum_mix": mixing.ORACLE,
     "op6_secret_ledger": secrets_ledger.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_license_rules": license_rules.ORACLE,
+    "op11_collocation_tries": collocations.ORACLE,
 }
