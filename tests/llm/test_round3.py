@@ -4,10 +4,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import collocations
+from chronolith.llm import bitsliced_search, collocations
 from tests.llm.conftest import ROWS
 
 
@@ -75,3 +76,78 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 987_654_321_987, 1_234_567_890_123, 2_345_678_901_234
     got = spark.range(1).select(F.lit(a).alias("a"), F.lit(left).alias("l"), F.lit(right).alias("r")).select(collocations.score("a", "l", "r").alias("s")).first()["s"]
     assert got == 1_000_000 * a * a // (left * right)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(rows, items, k):
+    bags = [(i, Counter(TERM.findall(fold(t)))) for i, t in rows]
+    full = [(i, b) for i, b in bags if b]
+    n_docs, total = len(full), sum(sum(b.values()) for _, b in full)
+    df = Counter(t for _, b in full for t in b)
+    out = []
+    terms = {}
+    for q, t in items:
+        terms.setdefault(q, set()).update(TERM.findall(fold(t)))
+    for q, of in terms.items():
+        scores = []
+        for i, b in full:
+            m = 50 + (50 * sum(b.values()) * n_docs) // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * b[t]) // (1000 * b[t] + 20 * m)) for t in of if t in b)
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(q, r, i, -s) for r, (s, _, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+QUERIES = [(1, "small test OF many words"), (2, None), (3, "--- ..."), (4, "straße日本語 missing id an"), (5, "delta " * 3000), (1, "hello"), (6, "the word a b license licensed under version"), (None, "gamma world")]
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1 << 15])
+def test_search_by_brute_force(spark, odd, segment):
+    items = spark.createDataFrame(QUERIES, "item_id bigint, text string").withColumn("doc_id", F.lit("clash"))
+    for k in (2, 50):
+        got = [tuple(r) for r in bitsliced_search.search(odd, items, k, segment=segment).collect()]
+        assert sorted(got, key=str) == ranked([(i, t) for i, t, *_ in ROWS], QUERIES, k)
+
+
+def test_search_of_nothing(spark, odd, none):
+    items = spark.createDataFrame(QUERIES, "item_id bigint, text string")
+    assert bitsliced_search.search(none, items).count() == 0
+    assert bitsliced_search.search(odd, items.limit(0)).count() == 0
+    assert bitsliced_search.search(odd, items).schema.simpleString() == "struct<item_id:bigint,rank:int,doc_id:bigint,score:bigint>"
+
+
+def test_search_in_blocks_of_queries(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1 + i % 19))) for i in range(300)]
+    items = [(i, f"w{i} w{i + 1} W{2 * i}") for i in range(30)]
+    want = ranked(rows, items, 7)
+    docs, asked = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(bitsliced_search, "BLOCK_TERMS", 9)
+    got = [tuple(r) for r in bitsliced_search.search(docs, asked, 7, segment=64).collect()]
+    assert sorted(got, key=str) == want
+
+
+def test_sums_and_best_of_slices():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        values = [rng.integers(0, 1 << int(rng.integers(1, 40)), 256) * (rng.random(256) < 0.4) for _ in range(int(rng.integers(1, 9)))]
+        total = []
+        for v in values:
+            bits = np.frombuffer(bitsliced_search.sliced(v), np.uint64).reshape(-1, 4)
+            if total:
+                bitsliced_search.add_slices(total, bits)
+            else:
+                total = list(bits)
+        want = sum(values)
+        assert (bitsliced_search.values_at(total, np.arange(256)) == want).all()
+        for k in (1, 5, 50, 256):
+            order = sorted(np.flatnonzero(want > 0).tolist(), key=lambda i: (-want[i], i))[:k]
+            assert bitsliced_search.best(total, k).tolist() == sorted(order)
+
+
+def test_long_queries_do_not_overflow():
+    n = np.array([10**8], np.int64)
+    got = bitsliced_search.impacts(np.array([3]), n, np.array([20_000]), 10**10, 10**12)
+    assert got.tolist() == [20_000 * ((3 * 10**9) // (3000 + 20 * (50 + (50 * 10**8 * 10**10) // 10**12)))]
