@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.llm import bitsliced_search, collocations, exact_dedup, language_id, lexicon_bpe, license_rules, mixing, rans_files, scaled_sketch, secrets_ledger, simhash, toxicity
+from chronolith.llm import bitsliced_search, collocations, exact_dedup, language_id, lexicon_bpe, license_rules, mincut_pages, mixing, rans_files, scaled_sketch, secrets_ledger, simhash, toxicity
 
 QUERIES = {
     "op1_lexicon_bpe": lexicon_bpe.op1_lexicon_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_license_rules": license_rules.op9_license_rules,
     "op11_collocation_tries": collocations.op11_collocation_tries,
+    "op12_mincut_pages": mincut_pages.op12_mincut_pages,
     "op13_bitsliced_search": bitsliced_search.op13_bitsliced_search,
 }
 ORACLE_SQL = {

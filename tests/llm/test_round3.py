@@ -1,14 +1,18 @@
 """Collocations, page extraction and ranked search: against brute force, on odd rows and with small parts."""
 
+import html
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import bitsliced_search, collocations
+from chronolith.llm import bitsliced_search, collocations, mincut_pages, registry
+from tests.conftest import DATA
 from tests.llm.conftest import ROWS
 
 
@@ -151,3 +155,71 @@ def test_long_queries_do_not_overflow():
     n = np.array([10**8], np.int64)
     got = bitsliced_search.impacts(np.array([3]), n, np.array([20_000]), 10**10, 10**12)
     assert got.tolist() == [20_000 * ((3 * 10**9) // (3000 + 20 * (50 + (50 * 10**8 * 10**10) // 10**12)))]
+
+
+PAGES = {
+    # plain blocks of a page without landmarks: shape and surroundings decide
+    '<html><body><div class="top"><a href=x>Home</a> <a href=y>News</a></div><div><div>A long headline about things that matter</div><div>First paragraph with many words that tell a story about something, and it ends here.</div>'
+    "<div>Second paragraph with many words that tell a story about something, and it ends here too.</div><div>Short.</div><div>Third paragraph with many words that tell a story about something, and it ends here.</div></div>"
+    "<div><a href=1>Terms</a> <a href=2>Privacy</a></div></body>": "A long headline about things that matter\nFirst paragraph with many words that tell a story about something, and it ends here.\n"
+    "Second paragraph with many words that tell a story about something, and it ends here too.\nShort.\nThird paragraph with many words that tell a story about something, and it ends here.",
+    # frames that call themselves sidebar or header hold the article; headers, asides, forms, footers, comments and notices do not
+    '<head><title>x</title></head><body class="has-sidebar"><div class="page no-sidebar header-fixed"><header class="site-header"><a href=x>Logo</a><h2>Site name</h2></header><main><article class="post"><header class="entry-header"><h1>Title &amp; more</h1></header>'
+    '<div class="entry-content"><p>One&nbsp;two <b>three</b>,\n <i>four</i>.<p>Five &lt;six&gt;<aside class="pull">quote</aside><ul><li>a<li>b</ul><form><label>Name</label><input></form><figure><img><figcaption>Cap</figcaption></figure></div>'
+    '<div class="post-share">Share this</div><footer>Posted by x</footer></article><section id="comments"><article class="comment"><p>This is a nice reader comment, with many words in it.</p></article></section></main>'
+    '<aside class="sidebar"><p>Side text of a good many words that looks like prose.</p></aside></div><div class="cookie-notice"><p>We use cookies to make this site work better for you.</p><button>OK</button></div><footer>&copy; 2024</footer></body>': "Title & more\nOne two three, four.\nFive <six>\na\nb\nCap",
+    "<body><form id=aspnet><div class=menu><a>m</a></div><div id=main-content><h1>The title of the page</h1><p>Hello there, this is the text of it.</p></div></form></body>": "The title of the page\nHello there, this is the text of it.",
+    '<body><article><h1>T</h1><p hidden>no<div style="display: none"><p>no</p></div><p>yes<script>if (a < b) document.write("<p>no</p>")</script> it<!-- no --> is</p><noscript><p>no</p></noscript><template><p>no</p></template><textarea><p>no</textarea></article>': "T\nyes it is",
+    '<article><p>a < b and 3 <4 &amp c &am<p>x<a href="unclosed>y</p><p>tail': "a < b and 3 <4 & c &am\nxy\ntail",
+    "<article><p>text here<br>and here<a hre": "text here and here",
+    '<article><p>Text one is here.</p><div class="ad"><p>Sign up for our letter now, it is free of any charge.</p></div><p>Text two is here.</p></article><script>var t = "</p>";': "Text one is here.\nText two is here.",
+    "<nav><a>x</a></nav>": "", "": "", "   ": "",
+}
+
+
+def test_pages(spark):
+    rows = [(i, f"u{i}", h, "clash") for i, h in enumerate([*PAGES, None, *list(PAGES)[:1]])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string").withColumns({c: F.lit("clash") for c in ("n_chars", "__html", "key", "x", "y")})
+    want = [*PAGES.values(), "", *list(PAGES.values())[:1]]
+    got = sorted(map(tuple, mincut_pages.extract(df, mincut_pages.fit(df)).collect()))
+    assert got == [(i, f"u{i}", t, len(t)) for i, t in enumerate(want)]
+    assert mincut_pages.extract(df.limit(0), mincut_pages.fit(df.limit(0))).count() == 0
+    assert (mincut_pages.fit(df.limit(0)) == mincut_pages.PRIOR).all()
+
+
+def test_pages_of_the_table(spark):
+    """The article's blocks, cut out of the source by pattern."""
+    got = {r["page_id"]: r for r in registry.QUERIES["op12_mincut_pages"](spark, DATA).collect()}
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(got) == len(pages) > 40
+    for page in pages:
+        body = re.search(r"<article>(.*?)(?:</article>|$)", page["html"], re.S).group(1)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|ul|li)\b[^>]*>", body.replace("<br>", " "))]
+        want = "\n".join(x for x in blocks if x)
+        assert (got[page["page_id"]]["text"], got[page["page_id"]]["n_chars"], got[page["page_id"]]["url"]) == (want, len(want), page["url"])
+
+
+def test_least_cut_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(150):
+        n = rng.randint(1, 9)
+        edges = [(rng.randrange(n), rng.randrange(n), rng.randint(0, 9)) for _ in range(rng.randint(0, 16))]
+        excess = [rng.randint(-12, 12) for _ in range(n)]
+
+        def price(side, edges=edges, excess=excess):
+            return sum(c for a, b, c in edges if side[a] != side[b]) + sum(abs(x) for s, x in zip(side, excess, strict=True) if s != (x > 0) and x)
+
+        side = mincut_pages.maximum_flow(n, *(list(x) for x in (zip(*edges, strict=True) if edges else [[], [], []])), excess)
+        assert price(side) == min(price([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+
+
+def test_long_and_hostile_pages_take_time_in_proportion():
+    def seconds(source):
+        began = time.perf_counter()
+        mincut_pages.main_text(source)
+        return time.perf_counter() - began
+
+    for part in ("<p>some words of text here, as usual.</p><div><a href=x>link</a></div>", "<div>", "<p>a</p><article>", '<a href="', "<!--", "</", "<script>", "&#", "<ul><li>x", "<textarea>x</textarea>İ"):
+        small, large = part * 2000, part * 16_000
+        seconds(small)
+        assert seconds(large) < 40 * max(seconds(small), 0.02)
