@@ -25,7 +25,13 @@ from chronolith.operators import context, fields, intervals, search, state
 from chronolith.operators.summary import evenly_sampled
 from chronolith.sources import session as files
 
-TABLES = ("frames", "ops", "timelines", "events", "windows")
+#: Tables of an ingested session. Schemas are stated, since a table without rows has no file to tell it.
+SCHEMAS = {
+    "frames": files.STREAM_SCHEMA, "snapshots": "session string, snap_f bigint, empty boolean", "ops": "session string, snap_f bigint, f bigint, path array<string>, op string, v string",
+    "timelines": fields.TIMELINE, "events": f"session string, {files.EVENT_SCHEMA}, line string",
+    "windows": "session string, window bigint, t_start_s bigint, f_start bigint, f_end bigint, scene string, entities_seen array<string>, events string, hud_end string, text_end string, modes string, vlm_frames bigint, highlights array<string>",
+}
+TABLES = tuple(SCHEMAS)
 
 
 @dataclass
@@ -37,6 +43,7 @@ class Session:
     events: DataFrame
     timelines: DataFrame
     windows: DataFrame
+    snapshots: DataFrame
     fps: float = 30.0
     first: int = 0
     last: int = -1
@@ -83,12 +90,13 @@ def _from_lines(spark: SparkSession, path: str, fps: float | None) -> Session:
     facts = _facts(spark, path, frames, fps)
     ops = state.patch_ops(frames, F.col("json")).cache()
     values, events = fields.timelines(ops, frames).cache(), files.read_events(spark, f"{path}/events.jsonl", name)
-    return Session(name, path, frames, ops, events, values, fields.windows(frames, values, ops, events, facts["fps"]), **facts, kept=[frames, ops, values])
+    windows, directory = fields.windows(frames, values, ops, events, facts["fps"]), state.snapshots(frames).cache()
+    return Session(name, path, frames, ops, events, values, windows, directory, **facts, kept=[frames, ops, values, directory])
 
 
 def _from_tables(spark: SparkSession, path: str, fps: float | None) -> Session:
-    frames, ops, values, events, windows = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
-    return Session(path.split("/")[-1], path, frames, ops, events, values, windows, **_facts(spark, path, frames, fps))
+    frames, directory, ops, values, events, windows = (spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES)
+    return Session(path.split("/")[-1], path, frames, ops, events, values, windows, directory, **_facts(spark, path, frames, fps))
 
 
 def ingest(spark: SparkSession, source: str, out: str, fps: float | None = None) -> Session:
@@ -133,7 +141,7 @@ def clamped(s: Session, f: int) -> int:
 
 def get_state(s: Session, f: int) -> DataFrame:
     """(session, path array, v) at the frame, held within the session."""
-    return state.reconstruct(s.ops, clamped(s, f))
+    return state.reconstruct(s.ops, clamped(s, f), directory=s.snapshots)
 
 
 def get_changes(s: Session, f0: int, f1: int) -> DataFrame:
@@ -181,7 +189,7 @@ def get_evidence(s: Session, annotation_id: str) -> DataFrame:
     found = event.take(1)
     path, _, f = annotation_id.rpartition("@")
     if not found and path and f.isdigit():
-        at = state.reconstruct(_around(s.ops, path.split("/")), clamped(s, int(f)))
+        at = state.reconstruct(_around(s.ops, path.split("/")), clamped(s, int(f)), directory=s.snapshots)
         one = fields.fields_at(at, "session").filter(F.array_join("field", "/") == path)
         claim = F.concat(F.lit(f"{path}="), F.from_json(F.concat(F.lit("["), "v", F.lit("]")), "array<string>")[0], F.lit(f" at f{f}"))
         whole = F.to_json(F.struct("v", "conf", "source", F.col("f_obs").alias("f"), "bbox", "crop"))
@@ -222,7 +230,7 @@ def event_lines(s: Session) -> DataFrame:
 def compact_states(s: Session, frames: list[int]) -> DataFrame:
     """(n, line): display, texts and visible entities of the state at each frame, with tags of where they come from."""
     at = [clamped(s, f) for f in frames] or [s.first]
-    rows = fields.fields_at(state.reconstruct_at(s.ops, at), "n")
+    rows = fields.fields_at(state.reconstruct_at(s.ops, at, directory=s.snapshots), "n")
     group, key, tag = F.col("field")[0], F.col("field")[1], source_tag(F.col("source"), F.col("conf"))
     said = F.concat(F.when(group == "text", "text.").otherwise(""), key, F.lit("="), shown(F.col("v")), F.lit("("), tag, F.lit(")"))
     listed = lambda g: F.array_sort(F.collect_list(F.when((group == g) & (F.size("field") == 2), F.struct(key.alias("k"), said.alias("said")))))

@@ -77,31 +77,70 @@ def _ops(rows: DataFrame, every: int) -> DataFrame:
     return rows.select("session", (F.floor(F.col("f") / every) * every).alias("snap_f"), "f", "path", "op", "v")
 
 
-def reconstruct_at(ops: DataFrame, frames: list[int], nested: bool = True) -> DataFrame:
-    """(session, n, path, v) at each of some frames, in one pass. Operations before a frame's snapshot take no part.
+def snapshots(frames: DataFrame) -> DataFrame:
+    """The directory of a stream, from frames (session, f, kind[, json]): (session, snap_f, empty), a row for every snapshot.
 
-    With ``nested`` false no path is another's ancestor and the check for cut ancestors is left out.
+    A stream that begins with a change has an empty state there. Reads look the nearest snapshot up here, so one
+    without members, which leaves no operation, is found like any other.
     """
-    seen = ops.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in frames]))).filter("f <= n AND snap_f <= n")
-    return fold(seen, "session", "n", nested=nested)
+    body = F.coalesce("json", F.lit("{}")) if "json" in frames.columns else F.lit(None).cast("string")
+    first = F.row_number().over(Window.partitionBy("session").orderBy("f")) == 1
+    marked = frames.withColumn("__first", first).filter(F.col("__first") | (F.col("kind") == "snapshot"))
+    empty = (F.col("kind") != "snapshot") | (F.trim(body) == "{}")
+    return marked.select("session", F.col("f").cast("bigint").alias("snap_f"), empty.alias("empty"))
 
 
-def reconstruct(ops: DataFrame, n: int, nested: bool = True) -> DataFrame:
-    """(session, path, v) at frame n; the bound on ``snap_f`` and ``f`` is a literal that reaches the scan."""
-    return reconstruct_at(ops.filter((F.col("snap_f") <= n) & (F.col("f") <= n)), [n], nested).drop("n")
+def nearest_snapshots(directory: DataFrame, frames: list[int]) -> DataFrame:
+    """(session, n, snap_f): of every session the last snapshot at or before each frame asked for."""
+    asked = directory.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in frames])))
+    return asked.filter("snap_f <= n").groupBy("session", "n").agg(F.max("snap_f").alias("snap_f"))
 
 
-def fold(ops: DataFrame, *keys: str, nested: bool = True) -> DataFrame:
+def reconstruct_at(ops: DataFrame, frames: list[int], nested: bool = True, directory: DataFrame | None = None) -> DataFrame:
+    """(session, n, path, v) at each of some frames, in one pass. Operations before a frame's snapshot take no part.
+
+    With a directory (``snapshots``) the snapshots are found first: their least and greatest number bound the scan of
+    the operations from both sides as literals, and an equi-join leaves each session those of its own snapshot. Without
+    one, the newest snapshot is the newest that has an operation, and all operations before the frame are read.
+    With ``nested`` false no path is another's ancestor and the check for cut ancestors is left out.
+    """
+    if directory is None:
+        seen = ops.withColumn("n", F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in frames]))).filter("f <= n AND snap_f <= n")
+        return fold(seen, "session", "n", nested=nested)
+    wanted = nearest_snapshots(directory, frames)
+    low, high, sessions = wanted.agg(F.min("snap_f"), F.max("snap_f"), F.count_distinct("session")).first()
+    if low is None:
+        return ops.limit(0).select("session", F.lit(0).cast("bigint").alias("n"), "path", "v")
+    near = ops.filter(F.col("snap_f").between(low, high) & (F.col("f") <= max(map(int, frames))) & (F.col("f") >= low))
+    if sessions == 1 and low == high:
+        seen = near.join(F.broadcast(wanted.select("session", "n")), "session").filter("f <= n")
+    else:
+        seen = near.join(wanted, ["session", "snap_f"]).filter("f <= n")
+    return fold(seen, "session", "n", nested=nested, one_snapshot=True)
+
+
+def reconstruct(ops: DataFrame, n: int, nested: bool = True, directory: DataFrame | None = None) -> DataFrame:
+    """(session, path, v) at frame n; the bounds on ``snap_f`` and ``f`` are literals that reach the scan."""
+    return reconstruct_at(ops.filter((F.col("snap_f") <= n) & (F.col("f") <= n)), [n], nested, directory).drop("n")
+
+
+def fold(ops: DataFrame, *keys: str, nested: bool = True, one_snapshot: bool = False) -> DataFrame:
     """Latest operation of each path since the newest snapshot, without paths under an ancestor that was set or deleted at or after it.
 
     One aggregate by path holds the latest operation and the latest cut; what is older than the newest snapshot
-    falls out by a window over what that leaves.
+    falls out by a window over what that leaves, unless all operations are known to follow one snapshot. With a column
+    ``version`` a later version goes before all earlier ones, whatever their frames, and each has a newest snapshot of its own.
     """
     keys = keys or ("session",)
-    at = F.struct("snap_f", "f")
-    latest = ops.groupBy(*keys, "path").agg(
+    versions = ["version"] if "version" in ops.columns else []
+    at = F.struct(*versions, "snap_f", "f")
+    latest = ops.groupBy(*keys, "path", *versions).agg(
         F.max_by(F.struct("op", "v"), at).alias("r"), F.max(at).alias("at"), F.max(F.when(F.col("op").isin("set", "del"), at)).alias("cut")
-    ).withColumn("newest", F.max("at.snap_f").over(Window.partitionBy(*keys))).filter("at.snap_f = newest")
+    )
+    if not one_snapshot:
+        latest = latest.withColumn("newest", F.max("at.snap_f").over(Window.partitionBy(*keys, *versions))).filter("at.snap_f = newest").drop("newest")
+    if versions:
+        latest = latest.groupBy(*keys, "path").agg(F.max_by("r", "at").alias("r"), F.max("at").alias("at"), F.max("cut").alias("cut"))
     kept = latest.filter("r.op = 'set'").select(*keys, "path", "at", F.col("r.v").alias("v"))
     if not nested:
         return kept.drop("at")
@@ -111,6 +150,16 @@ def fold(ops: DataFrame, *keys: str, nested: bool = True) -> DataFrame:
     return kept.join(dead, [*keys, "path"], "left_anti").select(*keys, "path", "v")
 
 
+def known_at(ops: DataFrame, n: int, version: int, nested: bool = True) -> DataFrame:
+    """(session, path, v) at frame n as it was known when ``version`` was the last: operations (session, version, snap_f, f, path, op, v).
+
+    Version 0 is what was recorded; a correction is an operation of a later version, which holds from its frame on
+    against all earlier versions, sets or removes a path (with all below it), and takes part in reads from then on.
+    """
+    seen = ops.filter((F.col("version") <= version) & (F.col("snap_f") <= n) & (F.col("f") <= n))
+    return fold(seen, nested=nested)
+
+
 def changes_between(rows: DataFrame, f0: int, f1: int) -> DataFrame:
     """Changed rows with f in the closed range; the filter stays above the window since lag looks before f0."""
     return changed(rows).filter(F.col("f").between(f0, f1))

@@ -813,6 +813,39 @@ def nested_patch_state(spark, d):
     return state.fold(ops).select("session", F.array_join("path", "/").alias("path"), F.col("v").cast("double").alias("v"))
 
 
+IRREGULAR = "fr AS (SELECT *, path = 'signup' OR f = 0 AS snap, path = 'signup' AND v < 250 AS empty FROM sv)"
+
+
+@query(f"""WITH $SV, {IRREGULAR}, a AS (SELECT f.n, fr.session, max(fr.f) AS s FROM fr JOIN (VALUES (7), (25), (40), (60)) f(n) ON fr.f <= f.n WHERE fr.snap GROUP BY ALL)
+SELECT a.session, a.n::BIGINT AS n, path, arg_max(v, f) AS v FROM a JOIN fr ON fr.session = a.session AND fr.f BETWEEN a.s AND a.n WHERE NOT fr.empty GROUP BY ALL""")
+def irregular_snapshots(spark, d):
+    """Snapshots wherever a signup is, some of them empty: the nearest is looked up in the directory of each session."""
+    rows = sv(spark, d)
+    member = F.concat(F.lit('{"'), "path", F.lit('":'), F.col("v").cast("string"), F.lit("}"))
+    snap = (F.col("path") == "signup") | (F.col("f") == 0)
+    frames = rows.select("session", "f", F.when(snap, "snapshot").otherwise("delta").alias("kind"), F.when((F.col("path") == "signup") & (F.col("v") < 250), "{}").otherwise(member).alias("json"))
+    last = F.last(F.when(F.col("kind") == "snapshot", F.col("f")), True).over(Window.partitionBy("session").orderBy("f"))
+    ops = state.patch_ops(frames.withColumn("snap_f", last), F.col("json"))
+    got = state.reconstruct_at(ops, [7, 25, 40, 60], nested=False, directory=state.snapshots(frames))
+    return got.select("session", "n", F.col("path")[0].alias("path"), F.col("v").cast("double").alias("v"))
+
+
+VERSIONS = """ops AS (SELECT session, 0 AS version, f, path, 'set' AS op, v FROM sv UNION ALL
+SELECT session, 1, f, path, CASE WHEN v < 60 THEN 'del' ELSE 'set' END, -v FROM sv WHERE event_id % 11 = 0 UNION ALL SELECT session, 2, f, path, 'set', v + 1000 FROM sv WHERE event_id % 29 = 0)"""
+
+
+@query(f"""WITH $SV, {VERSIONS}, r AS (SELECT k.version AS known, ops.session, ops.path, arg_max(struct_pack(op := op, v := v), struct_pack(a := ops.version, b := f)) AS r FROM ops JOIN (VALUES (0), (1), (2)) k(version) ON ops.version <= k.version WHERE f <= 40 GROUP BY ALL)
+SELECT known, session, path, r.v AS v FROM r WHERE r.op = 'set'""")
+def corrected_state(spark, d):
+    """States at frame 40 as they were known after none, one and two rounds of corrections, some of which remove a path."""
+    rows = sv(spark, d, "event_id")
+    ops = lambda version, op, v, where: rows.filter(where).select("session", F.lit(version).alias("version"), (F.floor(F.col("f") / 1000) * 1000).alias("snap_f"), "f", F.array("path").alias("path"), op.alias("op"), v.alias("v"))
+    one = F.when(F.col("v") < 60, "del").otherwise("set")
+    both = ops(0, F.lit("set"), F.col("v"), "true").union(ops(1, one, -F.col("v"), "event_id % 11 = 0")).union(ops(2, F.lit("set"), F.col("v") + 1000, "event_id % 29 = 0"))
+    parts = [state.known_at(both, 40, k).select(F.lit(k).alias("known"), "session", F.col("path")[0].alias("path"), "v") for k in range(3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("SELECT event_id, event_id % 3 <> 1 AS is_field FROM events")
 def field_shape(spark, d):
     k = F.col("event_id") % 3

@@ -13,6 +13,8 @@ EVENT_SCHEMA = (
     "duration_frames int, color array<int>, region int, confidence double, source string, "
     "evidence struct<f:bigint,bbox:array<double>,crop:string>"
 )
+#: Rows of a Parquet page: pages are what a read by snapshot skips.
+PAGE_ROWS = 1000
 STREAM_SCHEMA = "session string, f bigint, t_ms double, kind string, snap_f bigint, modes string, vlm boolean, json string"
 
 
@@ -43,7 +45,8 @@ def read_stream(spark: SparkSession, path: str, session: str) -> DataFrame:
         _get("vlm", "boolean").alias("vlm"), F.to_json(F.coalesce(_get("state", "variant"), _get("delta", "variant"))).alias("json"),
     )
     one = picked.groupBy("f").agg(F.max_by(F.struct("t_ms", "kind", "modes", "vlm", "json"), "at").alias("r")).select(F.lit(session).alias("session"), "f", "r.*")
-    snap = F.last(F.when(F.col("kind") == "snapshot", F.col("f")), True).over(Window.partitionBy("session").orderBy("f"))
+    w = Window.partitionBy("session").orderBy("f")
+    snap = F.coalesce(F.last(F.when(F.col("kind") == "snapshot", F.col("f")), True).over(w), F.first("f").over(w))
     return one.withColumn("snap_f", snap).select("session", "f", "t_ms", "kind", "snap_f", "modes", "vlm", "json")
 
 
@@ -100,8 +103,9 @@ def write_stream(frames: DataFrame, path: str) -> None:
 
 
 def write_tables(rows: DataFrame, path: str, order: list[str] | tuple[str, ...] = ("snap_f", "f")) -> None:
-    """Rows as Parquet by session, sorted (operations by snapshot), so a state read prunes to one snapshot's row groups."""
-    rows.repartition("session").sortWithinPartitions("session", *order).write.mode("overwrite").partitionBy("session").parquet(path)
+    """Rows as Parquet by session, sorted (operations by snapshot), so a state read prunes to the pages of one snapshot."""
+    sorted_ = rows.repartition("session").sortWithinPartitions("session", *order)
+    sorted_.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("session").parquet(path)
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -256,3 +256,22 @@ def test_layout_against_a_greedy_loop():
                         room -= 40
                         break
         assert context.laid_out(sections, budget) == "\n".join(want)
+
+
+def test_an_empty_snapshot_is_a_state(spark, tmp_path):
+    d = tmp_path / "gaps.session"
+    d.mkdir()
+    lines = [
+        {"f": 3, "t_ms": 0.0, "kind": "delta", "modes": "", "delta": {"hud": {"early": field(1, 3)}}, "vlm": False},
+        {"f": 4, "t_ms": 0.0, "kind": "snapshot", "modes": "", "state": {"hud": {"health": field(100, 4)}}, "vlm": False},
+        {"f": 300, "t_ms": 0.0, "kind": "snapshot", "modes": "", "state": {}, "vlm": False},
+        {"f": 310, "t_ms": 0.0, "kind": "delta", "modes": "", "delta": {"hud": {"ammo": field(3, 310)}}, "vlm": False},
+    ]
+    (d / "stream.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (d / "events.jsonl").write_text("")
+    for s in (api.load(spark, str(d)), api.ingest(spark, str(d), str(tmp_path / "tables"))):
+        assert leaf(api.get_state(s, 3))["hud/early/v"] == "1"
+        assert leaf(api.get_state(s, 299))["hud/health/v"] == "100" and "hud/early/v" not in leaf(api.get_state(s, 299))
+        assert leaf(api.get_state(s, 305)) == {}
+        assert set(leaf(api.get_state(s, 310))) == {f"hud/ammo/{k}" for k in ("v", "conf", "source", "f", "bbox")} and api.call(s, "get_evidence", {"id": "hud/health@310"})[1]["error"]
+        assert [(r["snap_f"], r["empty"]) for r in s.snapshots.orderBy("snap_f").collect()] == [(3, True), (4, False), (300, True)]
