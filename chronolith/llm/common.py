@@ -76,26 +76,40 @@ def share_file(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
     return name
 
 
+def chosen_by_hash(share: float | Column, *columns: str) -> Column:
+    """Whether a row belongs to the share of rows with the least hashes of these columns; as true of a share of 1e-15 as of one half."""
+    part = F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1)).cast("double") / F.lit(2.0**63)
+    return part <= (share if isinstance(share, Column) else F.lit(float(share)))
+
+
 #: A key is hot that has more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: A hot key's values of more bytes than this as JSON are not broadcast; its rows are dealt out over ``SPREAD`` copies of them.
+WIDE_BYTES, SPREAD = 1 << 16, 64
 
 
 def look_up(rows: DataFrame, found: DataFrame, key: str, weight: str) -> DataFrame:
     """rows left-joined with found (one row a key; ``weight`` is the number of rows of the key), safe from skew.
 
-    Hot keys, ``HOT_SHARE`` of them at most, are broadcast; rows that have met theirs there get a key of their own
-    that finds nothing, so the shuffled join deals them out evenly.
+    Hot keys, ``HOT_SHARE`` of them at most, are broadcast, with their values where these are small (``WIDE_BYTES``); rows
+    that have met theirs there get a key of their own that finds nothing, so the shuffled join deals them out evenly. A hot
+    key of large values is met in that join, where ``SPREAD`` copies of it each take a part of its rows.
     """
     values = [c for c in found.columns if c != key]
     total = found.agg(F.sum(weight)).first()[0] or 0
-    hot = found.filter(F.col(weight) > total / HOT_SHARE).select(F.col(key).alias("__key"), F.struct(*values).alias("__hot"))
-    cold = found.filter(F.col(weight) <= total / HOT_SHARE).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    value, is_hot = F.struct(*values), F.col(weight) > total / HOT_SHARE
+    wide = F.octet_length(F.to_json(value)) > WIDE_BYTES
+    hot = found.filter(is_hot).select(F.col(key).alias("__key"), F.when(~wide, value).alias("__hot"), wide.alias("__wide"))
+    zero = F.array(F.lit(0).cast("bigint"))
+    copies = F.when(~is_hot, zero).when(wide, F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).otherwise(F.slice(zero, 1, 0))
+    cold = found.select(F.col(key).alias("__key"), value.alias("__cold"), F.explode(copies).alias("__zero"))
     kind = rows.schema[key].dataType
     met = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").drop("__key")
-    # rows that still look for a key have 0 beside it, all others a null and a number that spreads them
-    spread = F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    # rows that still look for a key have the number of a copy beside it, all others a null and a number that spreads them
+    number = F.monotonically_increasing_id()
+    spread = F.when(F.col("__wide"), F.pmod(number, F.lit(SPREAD))).when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(number + 1)
     met = met.withColumn("__spread", spread).withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.lit(None).cast(kind)))
-    joined = met.join(cold.withColumn("__zero", F.lit(0).cast("bigint")), (F.col("__at") == F.col("__key")) & (F.col("__spread") == F.col("__zero")), "left")
+    joined = met.join(cold, (F.col("__at") == F.col("__key")) & (F.col("__spread") == F.col("__zero")), "left")
     value = F.coalesce("__hot", "__cold")
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[value[v].alias(v) for v in values])
 

@@ -23,14 +23,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from chronolith.llm.common import fold_ascii, look_up, materialise, table, text_or_empty
+from chronolith.llm.common import fold_ascii, fresh, look_up, materialise, table, text_or_empty
 
 SALTS = 16
 
 
+def _ordered(kind: DataType) -> bool:
+    """Whether values of the type can be compared."""
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _ordered(kind.elementType)
+    return not isinstance(kind, MapType | VariantType)
+
+
 def _digest(body: Column) -> Column:
     return F.unhex(F.sha2(body, 256))
 
@@ -73,8 +83,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     Whole rows are the carried value, so no join brings them back and repeated ids leave one row.
     """
     order = [id_col] + [c for c in docs.columns if c != id_col]
-    groups = text_groups(docs, F.struct(*[F.col(f"`{c}`") for c in order]), fold_ascii(text_or_empty(F.col(text_col))), salts)
-    return groups.select(*[F.col("winner").getField(c).alias(c) for c in docs.columns])
+    # rows with a column that has no order (a map, a variant) are told apart by a digest, and a join brings the winners back
+    if all(_ordered(f.dataType) for f in docs.schema):
+        groups = text_groups(docs, F.struct(*[F.col(f"`{c}`") for c in order]), fold_ascii(text_or_empty(F.col(text_col))), salts)
+        return groups.select(*[F.col("winner").getField(c).alias(c) for c in docs.columns])
+    key = fresh("__row_key", docs.columns)
+    marked = docs.withColumn(key, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in order])), 256))
+    groups = text_groups(marked, F.struct(F.col(f"`{id_col}`").alias("id"), F.col(key).alias("key")), fold_ascii(text_or_empty(F.col(text_col))), salts)
+    best = groups.select(F.col("winner.key").alias(key))
+    place = fresh("__place", [*docs.columns, key])
+    kept = marked.join(best, key, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(place) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

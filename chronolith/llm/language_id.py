@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import small_arrow_batches, table
+from chronolith.llm.common import chosen_by_hash, small_arrow_batches, table
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 SAMPLE, EPOCHS = 3000, 3
@@ -105,14 +105,19 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def sampled(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], pd.DataFrame]:
-    """Languages in order, and (lang, bucket bytes, count bytes) of about size / languages rows of each, in an order that only these decide."""
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    """Languages in order, and (lang, bucket bytes, count bytes) of about size / languages rows of each, in an order that only these decide.
+
+    The rows with the least hashes of id and text are taken, of equal rows one, and of each language the least of all.
+    """
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc_id", "text")).alias("least")).collect()
+    counts, least = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["least"] for r in found}
     languages = sorted(counts)
     shares = {k: min(1.0, size / len(counts) / n) for k, n in counts.items()}
     if not languages:
         return [], pd.DataFrame(columns=["lang", "b", "c"])
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(shares[k] * (1 << 20))))])
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", "text")
+    of = lambda values: F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(values[k]))])[F.col("lang")]
+    keyed = docs.withColumn("hash", F.xxhash64("doc_id", "text")).filter(chosen_by_hash(of(shares), "doc_id", "text") | (F.col("hash") == of(least)))
+    chosen = keyed.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -103,6 +103,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         queued.withColumn("middle", middle)
         .withColumn("due", F.filter(due, lambda x: x <= F.col("target")))
+        .withColumn("due", F.when(F.col("size") == 0, F.slice("due", 1, 1)).otherwise(F.col("due")))
         .withColumn("copies", F.size("due").cast("long"))
         .withColumn("positions", F.transform("due", lambda x: F.when(F.col("target") > 0, inverted(x / F.col("target"))).otherwise(F.lit(0.0))))
         .select(
@@ -145,7 +146,7 @@ t AS (SELECT *, least(cap, max(lv) OVER () * weight) AS target FROM l),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.w0, t.w1,
              sum(d.size) OVER (PARTITION BY d.skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size / 2 AS middle
       FROM d JOIN t USING (skey)),
-k AS (SELECT *, (middle <= target)::BIGINT + (middle + source_size <= target)::BIGINT + (middle + 2 * source_size <= target)::BIGINT AS copies,
+k AS (SELECT *, (middle <= target)::BIGINT + (size > 0 AND middle + source_size <= target)::BIGINT + (size > 0 AND middle + 2 * source_size <= target)::BIGINT AS copies,
              CASE WHEN target > 0 THEN middle / target ELSE 0 END * (w0 + w1) / 2 AS need FROM q)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
        CASE WHEN copies > 0 THEN round(2 * need / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * need)), 6) END AS position

@@ -280,7 +280,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_i
 
     small_arrow_batches(docs.sparkSession)
     text = text_or_empty(F.col(text_col))
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     ordered.mapInArrow(run, "part int, seq int, n_tokens bigint, file binary").write.parquet(path)
 
 

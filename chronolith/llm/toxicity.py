@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronolith.llm import kernels as K
-from chronolith.llm.common import discard, materialise, share_file, small_arrow_batches, table
+from chronolith.llm.common import chosen_by_hash, discard, materialise, share_file, small_arrow_batches, table
 
 SAMPLE = 24_000
 PRIOR, EVEN, MARGIN, FLOOR, DRIFT = 500.0, 0.5, 2.0, 1.0, 0.25
@@ -166,8 +167,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, size: int
     """(text, y) of about ``size`` labelled rows at most. Only the chosen ids are broadcast."""
     known = labels.filter(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     count = known.count()
-    share = min(1.0, size / max(1, count))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = known.filter(chosen_by_hash(min(1.0, size / max(1, count)), "doc_id"))
     return docs.join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
     """The kept columns and score, n_passages, passages (array of start, end, score; code points of the lower-cased text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[: len(keep)]]
+    made = StructType.fromDDL("__score double, __n_passages bigint, __passages array<struct<start:bigint,end:bigint,score:double>>")
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array([len(r[3]) for r in rows], pa.int64()), passages], [*keep, "__score", "__n_passages", "__passages"])
 
     small_arrow_batches(docs.sparkSession)
-    return frame.mapInArrow(run, ", ".join([*kinds, "__score double, __n_passages bigint, __passages array<struct<start:bigint,end:bigint,score:double>>"]))
+    return frame.mapInArrow(run, StructType([*frame.schema.fields[: len(keep)], *made.fields]))
 
 
 def training_rows(id_col: str = "doc_id") -> Column:

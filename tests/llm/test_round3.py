@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import bitsliced_search, collocations, mincut_pages, registry
+from chronolith.llm import bitsliced_search, collocations, common, exact_dedup, language_id, mincut_pages, mixing, registry, toxicity
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS
 
@@ -223,3 +223,50 @@ def test_long_and_hostile_pages_take_time_in_proportion():
         small, large = part * 2000, part * 16_000
         seconds(small)
         assert seconds(large) < 40 * max(seconds(small), 0.02)
+
+
+def test_a_sample_of_any_table_size_has_rows(spark):
+    """The share is compared in 63 bits: at 1e12 rows a class about as many are chosen as are wanted."""
+    keys = spark.range(200_000).select("id")
+    for share in (0.5, 1e-3, 2e-5):
+        n = keys.filter(common.chosen_by_hash(share, "id")).count()
+        assert abs(n - share * 200_000) <= 6 * (share * 200_000) ** 0.5 + 1
+    least = spark.range(1).select(F.lit(0.0).alias("s"))
+    assert keys.filter(common.chosen_by_hash(1.0, "id")).count() == 200_000 and least.count() == 1
+    # what a share of 3,000 in 1e12 rows would choose, seen on the hashes alone
+    part = F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1)).cast("double") / F.lit(2.0**63)
+    smallest = keys.agg(F.min(part)).first()[0]
+    assert keys.filter(common.chosen_by_hash(smallest, "id")).count() == 1 and smallest * 2**20 < 8
+
+
+def test_every_language_is_learned_from(spark):
+    rows = [(i, f"the words of row {i} are these", "en") for i in range(3000)] + [(5, "le même texte", "fr")] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    languages, sample = language_id.sampled(df, 100)
+    n = sample.groupby("lang").size().to_dict()
+    assert languages == ["en", "fr"] and n["fr"] == 1 and 25 <= n["en"] <= 80
+
+
+def test_wide_values_of_hot_keys_are_not_broadcast(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "wide").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"))
+    found = common.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("body", F.when(F.col("key") == "wide", F.repeat(F.lit("x"), 100_000)).otherwise(F.col("key"))), "test-wide")
+    out = common.look_up(rows, found, "key", "n")
+    got = {r["id"]: (r["key"], r["n"], r["size"]) for r in out.select("id", "key", "n", F.length("body").alias("size")).collect()}
+    assert len(got) == 20_000 and all(v[2] == (100_000 if v[0] == "wide" else len(v[0])) and v[1] == (6667 if v[0] in ("hot", "wide") else 1) for v in got.values())
+    spread = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("key") == "wide").alias("n")).agg(F.max("n")).first()[0]
+    assert spread < 6667 * 0.6
+
+
+def test_columns_of_odd_types(spark):
+    rows = [(i, "Same" if i % 2 else "same ", {"a": i}, (i, "x")) for i in range(6)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>, s struct<`a b`:int,c:string>")
+    kept = exact_dedup.keep_one(df)
+    assert kept.schema == df.schema and sorted((r["doc_id"], r["m"]["a"]) for r in kept.collect()) == [(4, 4), (5, 5)]
+    model = toxicity.fit(df, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, toxic int"), F.lit(True))
+    assert toxicity.drop_toxic(df, model).schema.simpleString() == df.schema.simpleString()
+
+
+def test_empty_texts_are_not_multiplied_by_the_mix(spark):
+    df = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "some words here", "b"), (4, " ", "b")], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["copies"] for r in mixing.curriculum(df).collect()}
+    assert got[1] == got[2] == 1 and got[4] <= 1
