@@ -1,7 +1,8 @@
 """Sequential kernels: rules whose next step depends on what they emitted or accepted before.
 
 ``lag`` compares with the last row, these compare with the last emitted one, so each session (or group) is
-folded in order by ``applyInPandas``. Parallelism is across sessions; a session streams through one task.
+folded in order: the longer rules by machines (``machines``), which also run on streams, the shorter ones by
+``applyInPandas``. Parallelism is across sessions; a session streams through one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chronolith.config import DEFAULT, Thresholds
 from chronolith.functions.signal import l1
+from chronolith.operators.machines import BREAKS, CONFIRM, SCHEDULE, TRACK, Breaks, Confirm, Schedule, Track, folded, schema_of
 
 
 def _by(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -119,20 +121,8 @@ def confirmed_reads(reads: DataFrame) -> DataFrame:
     is new itself becomes the candidate, once, and the third has to give it. The first value of all needs no second.
     """
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        out, old = [], None
-        for f, *read in zip(p["f"].tolist(), *(p[c].astype(object).where(p[c].notna(), None).tolist() for c in ("v", "second", "third")), strict=True):
-            first, second, third = read
-            if first is None or first == old:
-                continue
-            value = first if old is None or second == first else second if second is not None and second != old and third == second else None
-            if value is not None:
-                out.append((p["session"].iloc[0], p["path"].iloc[0], f, float(value), old))
-                old = float(value)
-        return pd.DataFrame(out, columns=["session", "path", "f", "v", "prev"])
-
-    kinds = dict(reads.dtypes)
-    return _by(reads.select("session", "path", "f", "v", "second", "third"), ["session", "path"], fn, f"session {kinds['session']}, path {kinds['path']}, f {kinds['f']}, v double, prev double")
+    chosen = reads.select("session", "path", "f", *[F.col(c).cast("double").alias(c) for c in ("v", "second", "third")])
+    return folded(chosen, ["session", "path"], Confirm, schema_of(chosen, ["session", "path"], CONFIRM))
 
 
 def reads_wanted(crops: DataFrame, frames: int, least: float = 1.5, floor: int = 400, share: float = 0.15) -> DataFrame:
@@ -235,54 +225,8 @@ def tracked(boxes: DataFrame, fps: float = 60.0, t: Thresholds = DEFAULT) -> Dat
     percentile of the last 240), ``hidden`` or ``removed``.
     """
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        live, out, number, session = [], [], 0, p["session"].iloc[0]
-        for f, rows in p.groupby("f", sort=True):
-            found = rows[["x", "y", "w", "h"]].to_numpy(float)
-            free = set(range(len(found)))
-            pairs = []
-            for k, tr in enumerate(live):
-                steps = f - tr["f"]
-                px, py = tr["cx"] + tr["vx"] * steps, tr["cy"] + tr["vy"] * steps
-                gate = max(0.05, 1.5 * math.hypot(tr["w"], tr["h"]))
-                for j, (x, y, w, h) in enumerate(found):
-                    d = math.hypot(x + w / 2 - px, y + h / 2 - py)
-                    if d <= gate:
-                        pairs.append((d, k, j))
-            taken = set()
-            for _, k, j in sorted(pairs):
-                if k in taken or j not in free:
-                    continue
-                taken.add(k)
-                free.discard(j)
-                tr, (x, y, w, h) = live[k], found[j]
-                cx, cy, steps = x + w / 2, y + h / 2, max(1, f - live[k]["f"])
-                tr["vx"] = 0.6 * tr["vx"] + 0.4 * (cx - tr["cx"]) / steps
-                tr["vy"] = 0.6 * tr["vy"] + 0.4 * (cy - tr["cy"]) / steps
-                tr.update(cx=cx, cy=cy, x=x, y=y, w=w, h=h, f=f, hits=tr["hits"] + 1, hidden=False)
-                if not tr["id"] and tr["hits"] >= t.confirm_hits and math.hypot(cx - tr["cx0"], cy - tr["cy0"]) >= t.confirm_move:
-                    number += 1
-                    tr["id"] = number
-                tr["areas"] = [*tr["areas"], w * h][-240:]
-                partial = len(tr["areas"]) >= 10 and w * h < t.partial_area * float(np.percentile(tr["areas"], 80))
-                if tr["id"]:
-                    out.append((session, f, tr["id"], x, y, w, h, "partial" if partial else "seen"))
-            for tr in list(live):
-                if f - tr["f"] >= t.remove_after_s * fps:
-                    live.remove(tr)
-                    if tr["id"]:
-                        out.append((session, f, tr["id"], tr["x"], tr["y"], tr["w"], tr["h"], "removed"))
-                elif f - tr["f"] >= t.hide_after and not tr["hidden"]:
-                    tr["hidden"] = True
-                    if tr["id"]:
-                        out.append((session, f, tr["id"], tr["x"], tr["y"], tr["w"], tr["h"], "hidden"))
-            for j in sorted(free):
-                x, y, w, h = found[j]
-                live.append({"id": 0, "cx": x + w / 2, "cy": y + h / 2, "cx0": x + w / 2, "cy0": y + h / 2, "vx": 0.0, "vy": 0.0, "x": x, "y": y, "w": w, "h": h, "f": f, "hits": 1, "hidden": False, "areas": [w * h]})
-        return pd.DataFrame(out, columns=["session", "f", "track", "x", "y", "w", "h", "state"])
-
-    kind = dict(boxes.dtypes)["session"]
-    return _by(boxes.select("session", "f", "x", "y", "w", "h"), ["session"], fn, f"session {kind}, f bigint, track bigint, x double, y double, w double, h double, state string")
+    chosen = boxes.select("session", "f", "x", "y", "w", "h")
+    return folded(chosen, ["session"], lambda: Track(fps, t), schema_of(chosen, ["session"], TRACK))
 
 
 def breaks(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -294,37 +238,8 @@ def breaks(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     are far from the reference's. The first frame counts as a cut for the cooldown but is none. The reference is the
     last frame outside a flash, which is why this is a kernel.
     """
-    columns = ["session", "f", "regions", *(["hist"] if "hist" in frames.columns else [])]
-
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        f, levels = p["f"].tolist(), [np.asarray(r, float) for r in p["regions"]]
-        hists = [np.asarray(h, float) for h in p["hist"]] if "hist" in p else None
-        out, ref, last_cut, lit_until = [], 0, f[0] if f else 0, -1
-
-        def far(k: int) -> tuple[float, float]:
-            return float((np.abs(levels[k] - levels[ref]) > t.flash_residual).mean()), abs(float(levels[k].mean() - levels[ref].mean()))
-
-        def recoloured(k: int) -> bool:
-            return hists is None or 0.5 * float(np.abs(hists[k] - hists[ref]).sum()) >= t.cut_histogram
-
-        for i in range(1, len(f)):
-            if i <= lit_until:
-                continue
-            share, shift = far(i)
-            if share >= t.flash_fraction or shift >= t.flash_shift:
-                ahead = [far(k) for k in range(i + 1, min(i + 3, len(f)))]
-                back = next((k for k, (s, m) in enumerate(ahead, 1) if s < t.return_fraction and m < t.return_shift), 0)
-                if back:
-                    lit_until = i + back - 1
-                    out.append((p["session"].iloc[0], "flash", f[i], f[lit_until], 0.9 if share >= t.flash_fraction else 0.7))
-                    continue
-                if len(ahead) == 2 and min(share, *(s for s, _ in ahead)) >= t.cut_fraction and f[i] - last_cut > t.cut_cooldown and recoloured(i) and recoloured(i + 2):
-                    last_cut = f[i]
-                    out.append((p["session"].iloc[0], "cut", f[i], f[i], 0.8))
-            ref = i
-        return pd.DataFrame(out, columns=["session", "kind", "f_start", "f_end", "conf"])
-
-    return _by(frames.select(*columns), ["session"], fn, f"session {dict(frames.dtypes)['session']}, kind string, f_start bigint, f_end bigint, conf double")
+    chosen = frames.select("session", "f", "regions", *(["hist"] if "hist" in frames.columns else []))
+    return folded(chosen, ["session"], lambda: Breaks(t), schema_of(chosen, ["session"], BREAKS))
 
 
 def flashes(frames: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -343,46 +258,9 @@ def scheduled(regions: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     is low, at most every ``warn_gap`` frames a region.
     """
     inputs = ["residual", "explained", "is_text", "cut", "flash", "fresh"]
-    chosen = regions.select("session", "f", "region", *[F.col(c) if c in regions.columns else F.lit(False).alias(c) for c in inputs])
-
-    def choice(r: dict, conf: float) -> tuple[str, float, bool]:
-        """Mode, confidence and whether the region asks to be read again."""
-        quiet = r["residual"] < t.copy_residual
-        if r["flash"]:
-            return ("V" if r["residual"] > t.copy_residual else "C"), conf, False
-        if quiet:
-            return "C", conf * t.decay_copy, conf * t.decay_copy < t.reinfer_below
-        if r["is_text"]:
-            return "V", conf, False
-        if r["fresh"] or (r["residual"] > t.big_residual and not r["explained"]):
-            return "C", conf, True
-        if r["explained"]:
-            return "P", conf * t.decay_propagated, conf * t.decay_propagated < t.reinfer_below
-        return "V", max(conf, 0.8), False
+    chosen = regions.select("session", "f", F.col("region").cast("int").alias("region"), *[F.col(c) if c in regions.columns else F.lit(False).alias(c) for c in inputs])
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        conf: dict[int, float] = {}
-        warned: dict[int, int] = {}
-        out, read = [], 0
-        for n, (f, rows) in enumerate(p.groupby("f", sort=True), 1):
-            may_read, reads = read < t.budget_share * len(rows) * n + t.budget_extra, 0
-            whole = bool(rows["cut"].any())
-            for r in rows.sort_values("region").to_dict("records"):
-                k, warning = r["region"], False
-                mode, c, asks = ("F", 1.0, False) if whole else choice(r, conf.get(k, 1.0))
-                if asks and may_read:
-                    mode, c, reads = "R", t.reread_confidence, reads + 1
-                elif asks:
-                    mode, c = "V", c * t.decay_propagated
-                    if warning := c < t.warn_below and f - warned.get(k, -(10**9)) > t.warn_gap:
-                        warned[k] = f
-                conf[k] = c
-                out.append((r["session"], f, k, mode, round(c, 6), warning))
-            read += reads
-        return pd.DataFrame(out, columns=["session", "f", "region", "mode", "conf", "warning"])
-
-    kinds = dict(regions.dtypes)
-    return _by(chosen, ["session"], fn, f"session {kinds['session']}, f {kinds['f']}, region {kinds['region']}, mode string, conf double, warning boolean")
+    return folded(chosen, ["session"], lambda: Schedule(t), schema_of(chosen, ["session"], SCHEDULE))
 
 
 def sample_points(duration: float, changes: list[float], every: float = 1.0, near: float = 0.5, step: float = 0.25) -> list[tuple[float, str]]:

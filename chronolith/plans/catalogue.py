@@ -929,6 +929,17 @@ def adapter_fields(spark, d):
     return t(spark, d, "events").select("event_id", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["field"], x["value"])), ",").alias("fields"))
 
 
+@query()
+def waiting_budget(spark, d):
+    """Purchases ask a model that answers after a while, some never; three seconds of waiting a session."""
+    from chronolith.operators import machines
+
+    asks = (F.col("path") == "purchase") & (F.col("v") > 100)
+    ready = F.when(F.col("event_id") % 7 != 0, F.col("f") / 2 + F.col("v") / 40)
+    rows = sv(spark, d, "event_id").select("session", "f", F.when(asks, F.col("event_id")).alias("id"), F.when(asks, ready).alias("ready_s"))
+    return machines.waited(rows, 2.0, 6, 2.0, 3.0)
+
+
 @query()
 def confirmed_reads(spark, d):
     level = lambda c: F.floor(F.col(c) / 125)

@@ -277,3 +277,28 @@ def test_partly_hidden_tracks(spark):
     rows = [("s", f, 0.1 + 0.01 * f, 0.5, 0.05, 0.05 if f < 15 else 0.02) for f in range(18)]
     got = track.tracked(spark.createDataFrame(rows, "session string, f bigint, x double, y double, w double, h double"), 60.0).collect()
     assert {r["f"]: r["state"] for r in got} == {f: "seen" if f < 15 else "partial" for f in range(9, 18)}
+
+
+def test_waiting_budget(spark, stream):
+    want = Counter()
+    for (s,), rows in grouped(stream, 0).items():
+        open_, waited, left = {}, 0.0, 3.0
+        for _, p, f, v, k in rows:
+            for asked_id in list(open_):
+                asked, ready = open_[asked_id]
+                clock = f / 2.0 + waited
+                done = ready is not None and ready <= clock
+                if not done and f - asked > 6 and left > 0:
+                    need = float("inf") if ready is None else ready - clock
+                    spent = min(2.0, left, need)
+                    waited += spent
+                    left -= spent
+                    done = ready is not None and need <= spent
+                if done:
+                    want[s, asked_id, asked, f, True, round(waited, 6)] += 1
+                    del open_[asked_id]
+            if p == "purchase" and v > 100:
+                open_[str(k)] = (f, f / 2 + v / 40 if k % 7 else None)
+        for asked_id, (asked, _) in open_.items():
+            want[s, asked_id, asked, None, False, round(waited, 6)] += 1
+    assert {k[4] for k in want} == {True, False} and result(spark, "waiting_budget", "session", "id", "asked_f", "f", "kept", "waited_s") == want
