@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import geometry, signal, text
-from chronolith.operators import context, events, fields, intervals, metrics, search, state, stream, summary, timeline, track
+from chronolith.operators import context, events, fields, intervals, metrics, pixels as px, search, state, stream, summary, timeline, track
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -883,6 +883,68 @@ def region_residual(spark, d):
     return summary.region_residuals(p).select("f", "region", F.round("residual", 6).alias("residual"))
 
 
+TILE_BITS = " | ".join(f"(((x >> {i}) & 1) << {2 * i}) | (((y >> {i}) & 1) << {2 * i + 1})" for i in range(4))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT user_id % 3 AS session, (event_id * 37 // 5) % 16 AS x, (event_id * 91 // 7) % 16 AS y, CASE WHEN (event_id * 37 // 5) % 16 < 8 THEN floor(value / 100) ELSE floor(value) END AS v FROM events),
+leaf AS (SELECT session, {TILE_BITS} AS code, v FROM p),
+st AS (SELECT session, level, code >> (2 * (4 - level)) AS tile, count(*) AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q FROM leaf, (SELECT unnest(range(5)) AS level) GROUP BY ALL),
+d AS (SELECT *, q / n - (s / n) * (s / n) AS detail FROM st),
+r AS (SELECT * FROM d WHERE level = 0 UNION ALL SELECT d.* FROM r JOIN d ON d.session = r.session AND d.level = r.level + 1 AND d.tile >> 2 = r.tile WHERE r.detail > 9000)
+SELECT session, level::INT AS level, tile::BIGINT AS tile, n, round(s / n, 6) AS mean, round(detail, 4) AS detail FROM r WHERE detail <= 9000 OR level = 4""")
+def adaptive_tiles(spark, d):
+    """Pictures of 16 by 16 places, smooth on the left: tiles split while their variance is above a limit."""
+    e = F.col("event_id")
+    x, y = F.expr("event_id * 37 div 5 % 16"), F.expr("event_id * 91 div 7 % 16")
+    pictures = t(spark, d, "events").select((F.col("user_id") % 3).alias("session"), x.alias("x"), y.alias("y"), F.when(x < 8, F.floor(F.col("value") / 100)).otherwise(F.floor("value")).cast("double").alias("v"), e)
+    out = px.quadtree(pictures, 4, 9000.0, "session")
+    return out.select("session", "level", "tile", "n", F.round("mean", 6).alias("mean"), F.round("detail", 4).alias("detail"))
+
+
+PLACES = "fr AS (SELECT event_id // 256 % 2 AS session, event_id % 16 AS x, event_id // 16 % 16 AS y, CASE WHEN event_id % 16 < 8 THEN (event_id % 2) * 90 ELSE floor(value) END::DOUBLE AS v FROM events)"
+
+
+@query(f"""WITH {PLACES}, m AS (SELECT session, x, y, quantile_cont(v, 0.5) AS m, list(v) AS vs FROM fr GROUP BY ALL),
+s AS (SELECT session, x, y, m, len(list_filter(vs, lambda v: abs(v - m) < 12)) / len(vs) >= 0.75 AS stable FROM m),
+e AS (SELECT *, abs(m - coalesce(lag(m) OVER (PARTITION BY session, y ORDER BY x), m)) + abs(m - coalesce(lag(m) OVER (PARTITION BY session, x ORDER BY y), m)) > 40 AS edge FROM s),
+z AS (SELECT w, h FROM (VALUES (3, 2), (5, 3)) z(w, h)), b AS (SELECT a.session, a.x, a.y, w, h, c.stable, c.stable AND c.edge AS e2 FROM (SELECT DISTINCT session, x, y FROM e) a, z JOIN e c ON true WHERE c.session = a.session AND c.x BETWEEN a.x AND a.x + w - 1 AND c.y BETWEEN a.y AND a.y + h - 1)
+SELECT session, x, y, w, h, sum(stable::INT)::BIGINT AS still, sum(e2::INT)::BIGINT AS edges FROM b GROUP BY ALL HAVING x + w <= 16 AND y + h <= 16""")
+def steady_box_sums(spark, d):
+    """How many steady places, and steady edges, lie in every box of two sizes."""
+    e = F.col("event_id")
+    x, y = e % 16, F.expr("event_id div 16 % 16")
+    frames = t(spark, d, "events").select(F.expr("event_id div 256 % 2").alias("session"), F.expr("event_id div 512").alias("f"), x.alias("x"), y.alias("y"), F.when(x < 8, x % 2 * 90).otherwise(F.floor("value")).cast("double").alias("v"))
+    places, sizes = px.steady_edges(frames), [(3, 2), (5, 3)]
+    still = px.box_sums(px.integral(places, F.col("stable").cast("int")), sizes).withColumnRenamed("total", "still")
+    edges = px.box_sums(px.integral(places, (F.col("stable") & F.col("edge")).cast("int")), sizes).withColumnRenamed("total", "edges")
+    return still.join(edges, ["session", "x", "y", "w", "h"])
+
+
+@query("""WITH d AS (SELECT session, x.f, x.path, last_value(s.v IGNORE NULLS) OVER (PARTITION BY x.session, x.path ORDER BY x.f) AS v, s.v IS NOT NULL AS own FROM
+ (SELECT a.session, a.f, p.path FROM sv a JOIN (SELECT session, path, min(f) AS first FROM sv GROUP BY ALL) p USING (session) WHERE a.f >= first) x LEFT JOIN sv s USING (session, f, path))
+SELECT session, sum(octet_length(encode(session::VARCHAR)) + octet_length(encode(f::VARCHAR)) + octet_length(encode(path)) + octet_length(encode((v * 100)::BIGINT::VARCHAR)) + 4)::BIGINT AS dense_bytes,
+ sum(CASE WHEN own THEN octet_length(encode(session::VARCHAR)) + octet_length(encode(f::VARCHAR)) + octet_length(encode(path)) + octet_length(encode((v * 100)::BIGINT::VARCHAR)) + 4 ELSE 0 END)::BIGINT AS stored_bytes FROM d GROUP BY session""".replace("WITH d", "WITH $SV, d"))
+def compression_bytes(spark, d):
+    """Bytes of lines ``session,f,path,cents`` of the dense states against those of the rows alone."""
+    rows = sv(spark, d)
+    size = F.octet_length(F.concat(F.concat_ws(",", "session", "f", "path", F.round(F.col("v") * 100).cast("bigint").cast("string")), F.lit("\n")))
+    dense = state.dense(rows).withColumn("v", F.col("v")).groupBy("session").agg(F.sum(size).alias("dense_bytes"))
+    return dense.join(rows.groupBy("session").agg(F.sum(size).alias("stored_bytes")), "session")
+
+
+@query("SELECT event_id, props FROM events WHERE trim(coalesce(CASE WHEN event_id % 3 = 0 THEN ' ' ELSE props END, '')) <> '' AND event_id % 4 > 0")
+def non_empty_rows(spark, d):
+    e = t(spark, d, "events").withColumn("text", F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("props"))).withColumn("items", F.filter(F.array(F.col("event_id") % 4), lambda k: k > 0))
+    return px.not_empty(e, "text", "items").select("event_id", "props")
+
+
+@query("SELECT event_id, user_id AS area FROM events WHERE user_id >= 6 AND (event_id % 60) * (event_id % 37) < 0.5 * 50 * 40")
+def blob_filters(spark, d):
+    e = F.col("event_id")
+    rows = t(spark, d, "events").select(e, F.col("user_id").alias("area"), (e % 60).alias("w"), (e % 37).alias("h"))
+    return px.blob_boxes(rows, 50, 40).select("event_id", "area")
+
+
 @query("""WITH c AS (SELECT role, floor(length(text) / 3.5)::BIGINT + 1 AS n FROM conversations)
 SELECT role, count(*) AS contexts, max(n) AS max_tokens, round(avg(n), 4) AS mean_tokens, round(avg(n) / max(n), 4) AS ratio FROM c GROUP BY role""")
 def context_statistics(spark, d):
