@@ -173,7 +173,7 @@ def search_semantics(s: Session, query: str, limit: int = 50) -> DataFrame:
     parts = [
         search.hits(s.events, "event", F.col("id"), F.col("f_start"), F.col("line"), query, F.col("line")),
         search.hits(s.timelines, "field", F.col("path"), F.col("f"), F.concat_ws(" ", "path", "v"), query, F.to_json(F.struct("path", "f", "v", "conf", "source", "crop"))),
-        search.hits(s.windows, "summary", F.col("window"), F.lit(None), F.to_json(F.struct("*")), query, F.to_json(F.struct("*"))),
+        search.hits(s.windows, "summary", F.col("window"), F.lit(None), fields.window_document(), query, fields.window_document()),
     ]
     return search.ranked(parts, int(limit), count=True)
 
@@ -374,8 +374,10 @@ OPS: dict[str, Callable] = {
 #: Parameters of each operation, and other names they answer to.
 PARAMS: dict[str, tuple[str, ...]] = {
     "get_state": ("f",), "get_changes": ("f0", "f1"), "get_entity_history": ("entity_id",), "get_events": ("f0", "f1", "type"),
-    "search_semantics": ("query", "limit"), "get_evidence": ("annotation_id",), "compile_context": ("query", "token_budget"), "reanalyze": ("f0", "f1", "region", "fidelity"),
+    "search_semantics": ("query",), "get_evidence": ("annotation_id",), "compile_context": ("query", "token_budget"), "reanalyze": ("f0", "f1", "region", "fidelity"),
 }
+#: Parameters that were added to those.
+ADDED = {"search_semantics": ("limit",)}
 ALIASES = {"frame": "f", "start": "f0", "end": "f1", "q": "query", "id": "annotation_id", "entity": "entity_id", "budget": "token_budget", "filter": "type"}
 
 
@@ -429,7 +431,7 @@ def call(s: Session, op: str, params: dict[str, str]) -> tuple[int, object]:
     if op not in OPS:
         return 404, {"error": f"unknown op {op}"}
     named = {ALIASES.get(k, k): v for k, v in params.items()}
-    given = {k: named[k] for k in PARAMS[op] if k in named}
+    given = {k: named[k] for k in PARAMS[op] + ADDED.get(op, ()) if k in named}
     try:
         out = OPS[op](s, **given)
     except TypeError as e:

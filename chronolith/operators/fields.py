@@ -141,6 +141,17 @@ def windows(frames: DataFrame, values: DataFrame, ops: DataFrame, events: DataFr
     )
 
 
+#: Members of a summary window's document, in order; the second kind are JSON already.
+WINDOW_MEMBERS = ("window", "t_start_s", "f_start", "f_end", "scene", "entities_seen", "events", "hud_end", "text_end", "modes", "vlm_frames", "highlights")
+JSON_MEMBERS = {"scene", "events", "hud_end", "text_end", "modes"}
+
+
+def window_document() -> Column:
+    """A summary window as the document has it: all its members by name, nulls too, and nothing of where it is stored."""
+    value = lambda c: F.col(c) if c in JSON_MEMBERS else F.to_json(c) if c in ("entities_seen", "highlights") else F.col(c).cast("string")
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(value(c), F.lit("null"))) for c in WINDOW_MEMBERS]), F.lit("}"))
+
+
 def _object(key: str, value: str, where: Column | None = None) -> Column:
     """A JSON object of a group's keys and values, keys in order; values are JSON already."""
     pair = F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), F.col(value).cast("string"))
