@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +53,7 @@ class Session:
     width: int = 0
     height: int = 0
     kept: list[DataFrame] = field(default_factory=list, repr=False)
+    held: dict = field(default_factory=dict, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -135,13 +139,39 @@ def _plain(row: str) -> dict:
     return {k: json.loads(v) if k in ("events", "hud_end", "text_end", "modes", "scene") and isinstance(v, str) else v for k, v in found.items() if k != "session"} | ({} if "scene" in found else {"scene": None})
 
 
+#: A session's snapshots are held on the driver where they are no more than this.
+HELD_SNAPSHOTS = 100_000
+#: So are the lines of contexts, where these are few and short; and as many lines of states as are asked for most lately.
+READY_LINES, READY_CHARS, HELD_STATES = 5_000, 20_000, 256
+
+
+def state_rows(s: Session, ops: DataFrame, frames: list[int], latest: bool = False) -> DataFrame:
+    """(session, n, path, v) at the frames, which lie within the session. The snapshots they build on are looked up without a job where they are held.
+
+    With ``latest``, of one frame: (path, op, v, at, cut), the last operation of each path, its frame, and that of the last set or delete.
+    """
+    if "snapshots" not in s.held:
+        found = s.snapshots.select("snap_f").limit(HELD_SNAPSHOTS + 1).collect()
+        s.held["snapshots"] = sorted(r["snap_f"] for r in found) if len(found) <= HELD_SNAPSHOTS else None
+    known = s.held["snapshots"]
+    if latest:
+        n = frames[0]
+        snap = known[max(0, bisect_right(known, n) - 1)] if known else s.snapshots.filter(F.col("snap_f") <= n).agg(F.max("snap_f")).first()[0]
+        near = ops.filter((F.col("snap_f") == (0 if snap is None else snap)) & (F.col("f") <= n))
+        last = F.max_by(F.struct("op", "v"), "f")
+        return near.groupBy("path").agg(last.alias("r"), F.max("f").alias("at"), F.max(F.when(F.col("op").isin("set", "del"), F.col("f"))).alias("cut")).select("path", "r.op", "r.v", "at", "cut")
+    if not known:
+        return state.reconstruct_at(ops, frames, directory=s.snapshots)
+    return state.reconstruct_known(ops, [(n, known[max(0, bisect_right(known, n) - 1)]) for n in frames])
+
+
 def clamped(s: Session, f: int) -> int:
     return max(s.first, min(int(f), s.last))
 
 
 def get_state(s: Session, f: int) -> DataFrame:
     """(session, path array, v) at the frame, held within the session."""
-    return state.reconstruct(s.ops, clamped(s, f), directory=s.snapshots)
+    return state_rows(s, s.ops, [clamped(s, f)]).drop("n")
 
 
 def get_changes(s: Session, f0: int, f1: int) -> DataFrame:
@@ -181,35 +211,41 @@ def search_semantics(s: Session, query: str, limit: int = 50) -> DataFrame:
 def get_evidence(s: Session, annotation_id: str) -> DataFrame:
     """One row (id, claim, field, evidence, source, confidence, error): an event's id, or ``<path>@<f>``; error where neither is found."""
     shape = "struct<f:bigint,bbox:array<double>,crop:string,crop_abs:string,exists:boolean>"
-    columns = ["id", "claim", "field", "evidence", "source", "confidence", "error"]
     event = event_lines(s).filter(F.col("id") == annotation_id).select(
         "id", F.col("line").alias("claim"), F.lit(None).cast("string").alias("field"), _evidence(s, F.col("crop_f"), F.col("bbox"), F.col("crop")).cast(shape).alias("evidence"),
         "source", F.col("confidence").cast("double").alias("confidence"),
     )
-    found = event.take(1)
+    known = ready(s)
+    found = [] if known and all(id != annotation_id for *_, id in known["events"]) else event.take(1)
     path, _, f = annotation_id.rpartition("@")
-    if not found and path and f.isdigit():
-        at = state.reconstruct(_around(s.ops, path.split("/")), clamped(s, int(f)), directory=s.snapshots)
-        one = fields.fields_at(at, "session").filter(F.array_join("field", "/") == path)
-        claim = F.concat(F.lit(f"{path}="), F.from_json(F.concat(F.lit("["), "v", F.lit("]")), "array<string>")[0], F.lit(f" at f{f}"))
-        whole = F.to_json(F.struct("v", "conf", "source", F.col("f_obs").alias("f"), "bbox", "crop"))
-        found = one.select(
-            F.lit(annotation_id).alias("id"), claim.alias("claim"), whole.alias("field"),
-            _evidence(s, F.col("f_obs"), F.from_json("bbox", "array<double>"), F.col("crop")).cast(shape).alias("evidence"), "source", F.col("conf").alias("confidence"),
-        ).take(1)
-    kinds = f"id string, claim string, field string, evidence {shape}, source string, confidence double, error string"
-    if not found:
-        return s.spark.createDataFrame([(annotation_id, None, None, None, None, None, "not found")], kinds)
-    row = found[0].asDict(recursive=True)
-    if (row["evidence"] or {}).get("crop"):
+    row = found[0].asDict(recursive=True) if found else None
+    if row is None and path and f.isdigit() and (node := _field_at(s, path.split("/"), clamped(s, int(f)))):
+        v = node["v"]
+        place = {"f": node["f"], "bbox": json.loads(node["bbox"] or "null"), "crop": node["crop"], "crop_abs": f"{s.path}/{node['crop']}" if node["crop"] else None, "exists": False}
+        claim = f"{path}={json.loads(v) if v.startswith('\"') else v} at f{f}"
+        row = {"id": annotation_id, "claim": claim, "field": json.dumps(node, separators=(",", ":"), ensure_ascii=False), "evidence": place, "source": node["source"], "confidence": node["conf"]}
+    if row is None:
+        row = {"id": annotation_id, "error": "not found"}
+    if (row.get("evidence") or {}).get("crop"):
         row["evidence"]["exists"] = files.exists(s.spark, row["evidence"]["crop_abs"])
-    return s.spark.createDataFrame([tuple({**row, "error": None}[c] for c in columns)], kinds)
+    kinds = f"id string, claim string, field string, evidence {shape}, source string, confidence double, error string"
+    return s.spark.range(0, 1, 1, 1).select(F.from_json(F.lit(json.dumps(row)), kinds).alias("r")).select("r.*")
 
 
-def _around(ops: DataFrame, path: list[str]) -> DataFrame:
-    """The operations on a path, on what is under it and on what it is under."""
-    p = F.array(*[F.lit(x) for x in path])
-    return ops.filter((F.slice("path", 1, len(path)) == p) | ((F.size("path") < len(path)) & (F.col("path") == F.slice(p, F.lit(1), F.size("path")))))
+def _field_at(s: Session, path: list[str], n: int) -> dict | None:
+    """The members of one field in the state at a frame (v and bbox as JSON texts), or None: one aggregate over the operations on
+    its members and on what they are under, a dozen paths at most."""
+    members = [[*path, m] for m in fields.MEMBERS]
+    above = [path[:k] for k in range(1, len(path) + 1)]
+    same = reduce(lambda a, b: a | b, [F.col("path") == F.array(*[F.lit(x) for x in p]) for p in [*members, *above]])
+    latest = state_rows(s, s.ops.filter(same), [n], latest=True)
+    seen = {tuple(r["path"]): r for r in latest.collect()}
+    cut = max((r["cut"] for k in above if (r := seen.get(tuple(k))) and r["cut"] is not None), default=-1)
+    value = {m: r["v"] for m, p in zip(fields.MEMBERS, members, strict=True) if (r := seen.get(tuple(p))) and r["op"] == "set" and r["at"] > cut}
+    if value.get("v") is None:
+        return None
+    opened = {m: json.loads(value[m]) if value.get(m) is not None else None for m in ("conf", "source", "f", "crop")}
+    return {"v": value["v"], "conf": opened["conf"], "source": opened["source"], "f": opened["f"], "bbox": value.get("bbox"), "crop": opened["crop"]}
 
 
 def _evidence(s: Session, f: Column, bbox: Column, crop: Column) -> Column:
@@ -230,7 +266,7 @@ def event_lines(s: Session) -> DataFrame:
 def compact_states(s: Session, frames: list[int]) -> DataFrame:
     """(n, line): display, texts and visible entities of the state at each frame, with tags of where they come from."""
     at = [clamped(s, f) for f in frames] or [s.first]
-    rows = fields.fields_at(state.reconstruct_at(s.ops, at, directory=s.snapshots), "n")
+    rows = fields.fields_at(state_rows(s, s.ops, at), "n")
     group, key, tag = F.col("field")[0], F.col("field")[1], source_tag(F.col("source"), F.col("conf"))
     said = F.concat(F.when(group == "text", "text.").otherwise(""), key, F.lit("="), shown(F.col("v")), F.lit("("), tag, F.lit(")"))
     listed = lambda g: F.array_sort(F.collect_list(F.when((group == g) & (F.size("field") == 2), F.struct(key.alias("k"), said.alias("said")))))
@@ -258,37 +294,57 @@ def context_lines(s: Session, query: str, want: dict[str, bool], frames: list[in
         parts.append(rows.select(F.lit(len(titles)).alias("section"), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]).cast("string").alias("place"), "line"))
         titles.append((priority, title))
 
-    wide = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     rank = lambda kind: 1 if want[kind] else 3
     if frames:
-        section(0, context.STATES, compact_states(s, frames[:6]), wide("n"))
-    seen_at = F.when(F.col("f_obs") <= F.col("f"), F.col("f_obs")).otherwise(F.col("f")).cast("string")
-    tag = F.concat(F.lit("["), source_tag(F.col("source"), F.col("conf")), F.lit("]"))
-    unsure = F.when(F.col("source").eqNullSafe(F.lit("observed")), "").otherwise(F.concat(F.lit("("), source_tag(F.col("source"), F.col("conf")), F.lit(")")))
-    in_order = lambda item: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", item.alias("item")))), lambda x: x["item"]), " ")
+        section(0, context.STATES, compact_states(s, frames[:6]), _wide("n"))
     if want["hud"] or frames:
-        own = s.timelines.filter(F.col("path").startswith("hud/")).withColumn("name", F.expr("substr(path, 5)"))
-        named = own.groupBy("name").agg(in_order(F.concat(F.lit("f"), seen_at, F.lit("="), shown(F.col("v")), unsure)).alias("items")).withColumn("asked", F.lit((query or "").lower()).contains(F.lower("name")))
+        named = _hud_lines(s).withColumn("asked", F.lit((query or "").lower()).contains(F.lower("name")))
         chosen = named.join(F.broadcast(named.agg(F.coalesce(F.max("asked"), F.lit(False)).alias("some")))).filter("asked OR NOT some")
-        section(rank("hud"), context.HUD, chosen.select("name", F.concat(F.lit("hud."), "name", F.lit(context.HUD_LINE), "items").alias("line")), "name")
+        section(rank("hud"), context.HUD, chosen, "name")
     if want["text"] or frames:
-        own = s.timelines.filter(F.col("path").rlike("^(text|scene)/"))
-        lines = own.groupBy("path").agg(in_order(F.concat(F.lit("f"), seen_at, F.lit("="), shown(F.col("v")), tag)).alias("items"))
-        section(rank("text"), context.TEXTS, lines.select("path", F.concat(F.replace(F.col("path"), F.lit("/"), F.lit(".")), F.lit(": "), "items").alias("line")), "path")
+        section(rank("text"), context.TEXTS, _text_lines(s), "path")
     if want["entities"] or frames:
-        section(rank("entities"), context.ENTITIES, _entity_lines(s), wide("first_f"), "id")
+        section(rank("entities"), context.ENTITIES, _entity_lines(s), _wide("first_f"), "id")
     e = event_lines(s)
     first = [t for kind in ("flash", "hud", "text", "entities") if want[kind] for t in context.TYPES[kind]]
     counts = e.groupBy("type").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "type", F.col("n").cast("string")))), ", ").alias("line"))
     section(1, context.COUNTS, counts.withColumn("f", F.lit(0)), "f")
-    section(1, context.EVENTS.format(types="/".join(first)), e.filter(F.col("type").isin(*first)), wide("f_start"), "id")
-    section(4, context.OTHERS, e.filter(~F.col("type").isin(*first)), wide("f_start"), "id")
+    section(1, context.EVENTS.format(types="/".join(first)), e.filter(F.col("type").isin(*first)), _wide("f_start"), "id")
+    section(4, context.OTHERS, e.filter(~F.col("type").isin(*first)), _wide("f_start"), "id")
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
     return titles, lines
 
 
+def _wide(c: str) -> Column:
+    return F.lpad(F.col(c).cast("string"), 12, "0")
+
+
+def _seen_at() -> Column:
+    return F.when(F.col("f_obs") <= F.col("f"), F.col("f_obs")).otherwise(F.col("f")).cast("string")
+
+
+def _in_order(item: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", item.alias("item")))), lambda x: x["item"]), " ")
+
+
+def _hud_lines(s: Session) -> DataFrame:
+    """(name, line) of every value of the display."""
+    own = s.timelines.filter(F.col("path").startswith("hud/")).withColumn("name", F.expr("substr(path, 5)"))
+    unsure = F.when(F.col("source").eqNullSafe(F.lit("observed")), "").otherwise(F.concat(F.lit("("), source_tag(F.col("source"), F.col("conf")), F.lit(")")))
+    named = own.groupBy("name").agg(_in_order(F.concat(F.lit("f"), _seen_at(), F.lit("="), shown(F.col("v")), unsure)).alias("items"))
+    return named.select("name", F.concat(F.lit("hud."), "name", F.lit(context.HUD_LINE), "items").alias("line"))
+
+
+def _text_lines(s: Session) -> DataFrame:
+    """(path, line) of every text and of the scene."""
+    own = s.timelines.filter(F.col("path").rlike("^(text|scene)/"))
+    tag = F.concat(F.lit("["), source_tag(F.col("source"), F.col("conf")), F.lit("]"))
+    lines = own.groupBy("path").agg(_in_order(F.concat(F.lit("f"), _seen_at(), F.lit("="), shown(F.col("v")), tag)).alias("items"))
+    return lines.select("path", F.concat(F.replace(F.col("path"), F.lit("/"), F.lit(".")), F.lit(": "), "items").alias("line"))
+
+
 def _entity_lines(s: Session) -> DataFrame:
     """(first_f, id, line): every entity with its intervals, after a first line of how many are visible when."""
     part = F.split("path", "/")
@@ -313,36 +369,116 @@ def _entity_lines(s: Session) -> DataFrame:
     return head.join(some).drop("some").unionByName(all_of.select("first_f", "id", line.alias("line")))
 
 
+def ready(s: Session) -> dict[str, list] | None:
+    """All that contexts of a session may say whatever is asked, made by one query on first use, where it is little: lists of
+    (key, line) of the display, texts, entities and (type, line, id) of events, in order, and the crops behind them. None where
+    it is more than ``READY_LINES`` lines or has one of more than ``READY_CHARS`` characters; contexts are then cut in Spark."""
+    if "ready" not in s.held:
+        none = F.lit(None).cast("string")
+        part = lambda kind, rows, key, place, line="line", id=none: rows.select(F.lit(kind).alias("kind"), key.alias("key"), F.concat_ws("/", *place).alias("place"), F.substring(line, 1, READY_CHARS + 1).alias("line"), id.alias("id"))
+        crops = _crops(s).withColumn("line", F.to_json(F.struct("f", "crop", "id")))
+        parts = [
+            part("hud", _hud_lines(s), F.col("name"), [F.col("name")]), part("text", _text_lines(s), F.col("path"), [F.col("path")]), part("entities", _entity_lines(s), F.col("id"), [_wide("first_f"), F.col("id")]),
+            part("events", event_lines(s), F.col("type"), [_wide("f_start"), F.col("id")], id=F.col("id")), part("crops", crops, F.col("type"), [F.col("ord")]),
+        ]
+        rows = reduce(DataFrame.unionByName, parts).limit(READY_LINES + 1).collect()
+        found: dict[str, list] = {k: [] for k in ("hud", "text", "entities", "events", "crops")}
+        for r in sorted(rows, key=lambda r: r["place"]):
+            found[r["kind"]].append((r["key"], r["line"], r["id"]))
+        s.held["ready"] = found if len(rows) <= READY_LINES and all(len(r["line"]) <= READY_CHARS for r in rows) else None
+    return s.held["ready"]
+
+
+def _states_said(s: Session, frames: list[int]) -> list[str]:
+    """The lines of ``compact_states``, of which those asked for lately are held."""
+    said = s.held.setdefault("states", {})
+    at = sorted({clamped(s, f) for f in frames})
+    if missing := [n for n in at if n not in said]:
+        said |= {r["n"]: r["line"] for r in compact_states(s, missing).collect()}
+    for n in at:
+        said[n] = said.pop(n)  # the latest come last
+    lines = [said[n] for n in at]
+    while len(said) > HELD_STATES:
+        said.pop(next(iter(said)))
+    return lines
+
+
+def _sections(s: Session, known: dict[str, list], query: str, want: dict[str, bool], frames: list[int]) -> list[tuple[int, str, list[str]]]:
+    """What ``context_lines`` gives, from lines that are held."""
+    out = [(0, context.STATES, _states_said(s, frames[:6]))] if frames else []
+    lines = lambda kind: [line for _, line, _ in known[kind]]
+    rank = lambda kind: 1 if want[kind] else 3
+    if want["hud"] or frames:
+        asked = [line for name, line, _ in known["hud"] if name.lower() in (query or "").lower()]
+        out.append((rank("hud"), context.HUD, asked or lines("hud")))
+    if want["text"] or frames:
+        out.append((rank("text"), context.TEXTS, lines("text")))
+    if want["entities"] or frames:
+        out.append((rank("entities"), context.ENTITIES, lines("entities")))
+    first = [t for kind in ("flash", "hud", "text", "entities") if want[kind] for t in context.TYPES[kind]]
+    counts = Counter(kind for kind, *_ in known["events"])
+    out.append((1, context.COUNTS, [", ".join(sorted(f"{k}={n}" for k, n in counts.items()))]))
+    out.append((1, context.EVENTS.format(types="/".join(first)), [line for kind, line, _ in known["events"] if kind in first]))
+    out.append((4, context.OTHERS, [line for kind, line, _ in known["events"] if kind not in first]))
+    return [x for x in out if x[2] or x[1] in (context.HUD, context.COUNTS)]
+
+
 def compile_context(s: Session, query: str, token_budget: int = 4000) -> dict:
-    """What the query needs to know of the session, as text within a budget of estimated tokens. Only lines that the budget can hold reach the driver."""
+    """What the query needs to know of the session, as text within a budget of estimated tokens.
+
+    The lines of a session with little to say are held on the driver (``ready``); of any other only lines that the budget can hold get there.
+    """
     budget = int(token_budget)
     want, frames = context.intents(query), context.frame_references(query, s.fps, s.n_frames)
-    titles, lines = context_lines(s, query, want, frames)
-    by_section: dict[int, list[str]] = {}
-    for r in context.usable(lines, context.limit_of(budget)).orderBy("section", "place").collect():
-        by_section.setdefault(r["section"], []).append(r["line"])
+    if known := ready(s):
+        sections, evidence = _sections(s, known, query, want, frames), _held_evidence(known, want, bool(frames))
+    else:
+        titles, lines = context_lines(s, query, want, frames)
+        by_section: dict[int, list[str]] = {}
+        for r in context.usable(lines, context.limit_of(budget)).orderBy("section", "place").collect():
+            by_section.setdefault(r["section"], []).append(r["line"])
+        sections = [(p, title, by_section.get(i, [])) for i, (p, title) in enumerate(titles) if i in by_section or title in (context.HUD, context.COUNTS)]
+        evidence = [_bare(r.asDict()) for r in _evidence_rows(s, want, bool(frames)).collect()]
     head = [context.ABOUT.format(name=s.name, last=s.n_frames - 1, fps=s.fps), context.TAGS]
-    always = (context.HUD, context.COUNTS)
-    sections = [(0, "HEADER", head), *[(p, title, by_section.get(i, [])) for i, (p, title) in enumerate(titles) if i in by_section or title in always]]
-    text = context.laid_out(sections, budget)
+    text = context.laid_out([(0, "HEADER", head), *sections], budget)
     return {
-        "context": text, "tokens": context.estimate(text), "token_budget": budget, "evidence": [_bare(r) for r in _evidence_rows(s, want, bool(frames)).collect()],
+        "context": text, "tokens": context.estimate(text), "token_budget": budget, "evidence": evidence,
         "focus": {k: v for k, v in want.items() if v}, "frames": frames,
     }
 
 
-def _bare(row) -> dict:
-    return {k: v for k, v in row.asDict().items() if v is not None or k != "id"}
+def _bare(row: dict) -> dict:
+    return {k: v for k, v in row.items() if v is not None or k != "id"}
 
 
-def _evidence_rows(s: Session, want: dict[str, bool], frames: bool, most: int = 20) -> DataFrame:
-    """(f, crop, id): crops behind texts, then behind wanted events; the first of each frame and crop."""
-    texts = s.timelines.filter(F.col("path").rlike("^(text|scene)/") & F.col("crop").isNotNull() & F.lit(want["text"] or frames))
-    first = [t for kind, types in context.TYPES.items() if want[kind] for t in types]
-    seen = event_lines(s).filter(F.col("type").isin(*first) & F.col("crop").isNotNull())
+#: Crops that a context names as evidence.
+MOST_EVIDENCE = 20
+
+
+def _crops(s: Session) -> DataFrame:
+    """(f, crop, id, type, ord): crops behind texts (without a type), then behind events."""
+    none = F.lit(None).cast("string")
+    texts = s.timelines.filter(F.col("path").rlike("^(text|scene)/") & F.col("crop").isNotNull())
     order = F.concat_ws("/", F.lit("0"), "path", F.lpad(F.col("f").cast("string"), 12, "0")), F.concat_ws("/", F.lit("1"), F.lpad(F.col("f_start").cast("string"), 12, "0"), "id")
-    both = texts.select("f", "crop", F.lit(None).cast("string").alias("id"), order[0].alias("ord")).union(seen.select(F.col("crop_f"), "crop", "id", order[1]))
-    return context.first_of_each(both, ("f", "crop"), "ord", most).drop("ord")
+    seen = event_lines(s).filter(F.col("crop").isNotNull())
+    return texts.select("f", "crop", none.alias("id"), none.alias("type"), order[0].alias("ord")).union(seen.select(F.col("crop_f"), "crop", "id", "type", order[1]))
+
+
+def _evidence_rows(s: Session, want: dict[str, bool], frames: bool) -> DataFrame:
+    """(f, crop, id): crops behind texts, if wanted, then behind wanted events; the first of each frame and crop."""
+    first = [t for kind, types in context.TYPES.items() if want[kind] for t in types]
+    chosen = _crops(s).filter((F.col("type").isNull() & F.lit(want["text"] or frames)) | F.col("type").isin(*first))
+    return context.first_of_each(chosen, ("f", "crop"), "ord", MOST_EVIDENCE).select("f", "crop", "id")
+
+
+def _held_evidence(known: dict[str, list], want: dict[str, bool], frames: bool) -> list[dict]:
+    first = {t for kind, types in context.TYPES.items() if want[kind] for t in types}
+    out: dict[tuple, dict] = {}
+    for kind, line, _ in known["crops"]:
+        if (want["text"] or frames) if kind is None else kind in first:
+            row = json.loads(line)
+            out.setdefault((row["f"], row["crop"]), _bare({"f": row["f"], "crop": row["crop"], "id": row.get("id")}))
+    return list(out.values())[:MOST_EVIDENCE]
 
 
 def reanalyze(s: Session, f0: int, f1: int, region: str | None = None, fidelity: str = "high") -> DataFrame:

@@ -124,6 +124,14 @@ def reconstruct(ops: DataFrame, n: int, nested: bool = True, directory: DataFram
     return reconstruct_at(ops.filter((F.col("snap_f") <= n) & (F.col("f") <= n)), [n], nested, directory).drop("n")
 
 
+def reconstruct_known(ops: DataFrame, at: list[tuple[int, int]], nested: bool = True) -> DataFrame:
+    """(session, n, path, v) of one session at frames whose snapshots are known: (frame, snapshot) pairs, all of them literals of the scan."""
+    pairs = F.array(*[F.struct(F.lit(int(n)).cast("bigint").alias("n"), F.lit(int(s)).cast("bigint").alias("s")) for n, s in at])
+    near = ops.filter(F.col("snap_f").isin(*{int(s) for _, s in at}) & F.col("f").between(min(s for _, s in at), max(n for n, _ in at)))
+    own = F.transform(F.filter(pairs, lambda p: (p["s"] == F.col("snap_f")) & (F.col("f") <= p["n"])), lambda p: p["n"])
+    return fold(near.withColumn("n", F.explode(own)), "session", "n", nested=nested, one_snapshot=True)
+
+
 def fold(ops: DataFrame, *keys: str, nested: bool = True, one_snapshot: bool = False) -> DataFrame:
     """Latest operation of each path since the newest snapshot, without paths under an ancestor that was set or deleted at or after it.
 

@@ -125,7 +125,7 @@ def test_tables_answer_as_lines_do(spark, clip, folder, tmp_path):
             one, two = (x[1]["context"].split("\n", 2)[2] for x in (one, two))
         assert one == two, op
     plan = api.get_state(made, 7)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(snap_f,7)" in plan
+    assert "EqualTo(snap_f,6)" in plan
     doc = json.loads((tmp_path / "clip" / "summary.json").read_text())
     w = doc["windows"][0]
     assert (w["f_start"], w["f_end"], w["hud_end"], w["entities_seen"], w["vlm_frames"]) == (0, 8 - 1, {"health": 86}, ["e1"], 1)
@@ -275,3 +275,20 @@ def test_an_empty_snapshot_is_a_state(spark, tmp_path):
         assert leaf(api.get_state(s, 305)) == {}
         assert set(leaf(api.get_state(s, 310))) == {f"hud/ammo/{k}" for k in ("v", "conf", "source", "f", "bbox")} and api.call(s, "get_evidence", {"id": "hud/health@310"})[1]["error"]
         assert [(r["snap_f"], r["empty"]) for r in s.snapshots.orderBy("snap_f").collect()] == [(3, True), (4, False), (300, True)]
+
+
+@pytest.mark.parametrize("query", ["What was the health at frame 4?", "which texts were shown?", "anything", "how many enemies were visible from 0.05s on", "ammo"])
+def test_contexts_of_held_lines_and_of_spark_are_the_same(clip, query, monkeypatch):
+    for budget in (150, 400, 4000):
+        held = api.compile_context(clip, query, budget)
+        assert clip.held["ready"]
+        monkeypatch.setattr(api, "ready", lambda s: None)
+        assert api.compile_context(clip, query, budget) == held
+        monkeypatch.undo()
+
+
+def test_long_lines_are_not_held(clip, monkeypatch):
+    was = clip.held.pop("ready", None)
+    monkeypatch.setattr(api, "READY_CHARS", 10)
+    assert api.ready(clip) is None and "health" in api.compile_context(clip, "health")["context"]
+    clip.held["ready"] = was
