@@ -4,14 +4,18 @@ A ``Session`` is a few DataFrames: frames, operations (session, snap_f, f, path,
 values, events and summary windows. Operations return DataFrames; ``compile_context`` and ``ask`` end in a string
 made from what a token budget can hold. ``call`` and ``document`` shape results as a service answers them.
 
-A session directory holds JSON lines, or the Parquet tables that ``ingest`` writes from them; with the tables point
-reads prune to a snapshot's row groups.
+A session directory holds JSON lines, or the Parquet tables that ``ingest`` writes from them; lines are turned into such
+tables in the scratch folder when they are loaded. Point reads prune to the pages of one snapshot.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
+import shutil
+import tempfile
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
@@ -52,7 +56,6 @@ class Session:
     last: int = -1
     width: int = 0
     height: int = 0
-    kept: list[DataFrame] = field(default_factory=list, repr=False)
     held: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -73,9 +76,6 @@ def load(spark: SparkSession, path: str, fps: float | None = None) -> Session:
     stamp = files.stamp(spark, path, ("stream.jsonl", "events.jsonl", "meta.json", *TABLES))
     if path in _SESSIONS and _SESSIONS[path][0] == (stamp, fps):
         return _SESSIONS[path][1]
-    if path in _SESSIONS:
-        for df in _SESSIONS.pop(path)[1].kept:
-            df.unpersist()
     made = (_from_tables if files.exists(spark, f"{path}/ops") else _from_lines)(spark, path, fps)
     _SESSIONS[path] = (stamp, fps), made
     return made
@@ -88,29 +88,63 @@ def _facts(spark: SparkSession, path: str, frames: DataFrame, fps: float | None)
     return {"fps": fps or known.get("fps") or 30.0, "width": known.get("width") or 0, "height": known.get("height") or 0, "first": ends[0] or 0, "last": -1 if ends[1] is None else ends[1]}
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under ``spark.checkpoint.dir``; only in local mode, where that is unset, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/session-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="chronolith-session-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder}/tables"
+
+
+def _write_tables(spark: SparkSession, source: str, out: str, fps: float | None) -> None:
+    """JSON lines of a session -> its tables. Each is read back before the next is made from it, so no plan holds the work of another."""
+    name = source.split("/")[-1]
+
+    def stored(table: str, rows: DataFrame) -> DataFrame:
+        files.write_tables(rows, f"{out}/{table}", [c for c in ("snap_f", "f", "f_start", "window") if c in rows.columns][:2])
+        return _table(spark, out, table)
+
+    frames = stored("frames", files.read_stream(spark, f"{source}/stream.jsonl", name))
+    stored("snapshots", state.snapshots(frames))
+    ops = stored("ops", state.patch_ops(frames, F.col("json")))
+    parts: list[DataFrame] = []
+    values = stored("timelines", fields.timelines(ops, frames, parts))
+    for df in parts:
+        df.unpersist()
+    events = stored("events", files.read_events(spark, f"{source}/events.jsonl", name))
+    stored("windows", fields.windows(frames, values, ops, events, _facts(spark, source, frames, fps)["fps"]))
+
+
+def _table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}")
+
+
 def _from_lines(spark: SparkSession, path: str, fps: float | None) -> Session:
-    name = path.split("/")[-1]
-    frames = files.read_stream(spark, f"{path}/stream.jsonl", name).cache()
-    facts = _facts(spark, path, frames, fps)
-    ops = state.patch_ops(frames, F.col("json")).cache()
-    values, events = fields.timelines(ops, frames).cache(), files.read_events(spark, f"{path}/events.jsonl", name)
-    windows, directory = fields.windows(frames, values, ops, events, facts["fps"]), state.snapshots(frames).cache()
-    return Session(name, path, frames, ops, events, values, windows, directory, **facts, kept=[frames, ops, values, directory])
+    """A session of JSON lines is read from tables in the scratch folder, written once."""
+    out = _scratch(spark)
+    _write_tables(spark, path, out, fps)
+    return _from_tables(spark, out, fps, path)
 
 
-def _from_tables(spark: SparkSession, path: str, fps: float | None) -> Session:
-    frames, directory, ops, values, events, windows = (spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES)
+def _from_tables(spark: SparkSession, tables: str, fps: float | None, path: str | None = None) -> Session:
+    path = path or tables
+    frames, directory, ops, values, events, windows = (_table(spark, tables, t) for t in TABLES)
     return Session(path.split("/")[-1], path, frames, ops, events, values, windows, directory, **_facts(spark, path, frames, fps))
 
 
 def ingest(spark: SparkSession, source: str, out: str, fps: float | None = None) -> Session:
     """JSON lines of a session -> Parquet tables, ``summary.json`` and ``meta.json`` in ``out``, replacing what is there."""
-    s = _from_lines(spark, source.rstrip("/"), fps)
-    for name in TABLES:
-        files.write_tables(getattr(s, name), f"{out}/{name}", [c for c in ("snap_f", "f", "f_start", "window") if c in getattr(s, name).columns][:2])
+    source = source.rstrip("/")
+    _write_tables(spark, source, out, fps)
+    s = _from_tables(spark, out, fps, source)
     files.write_document(spark, summary(s), f"{out}/summary.json")
     stored = sum(size for *_, size in files.stamp(spark, out, TABLES))
-    files.write_document(spark, {"fps": s.fps, "nb_frames": s.n_frames, "frames": s.frames.count(), "width": s.width, "height": s.height, "snapshot_every": state.DEFAULT.snapshot_every, "stored_bytes": stored}, f"{out}/meta.json")
+    meta = {"fps": s.fps, "nb_frames": s.n_frames, "frames": s.frames.count(), "width": s.width, "height": s.height, "snapshot_every": state.DEFAULT.snapshot_every, "stored_bytes": stored}
+    files.write_document(spark, meta, f"{out}/meta.json")
     return load(spark, out, fps)
 
 
@@ -348,7 +382,7 @@ def _text_lines(s: Session) -> DataFrame:
 def _entity_lines(s: Session) -> DataFrame:
     """(first_f, id, line): every entity with its intervals, after a first line of how many are visible when."""
     part = F.split("path", "/")
-    own = s.timelines.filter(F.col("path").startswith("entities/")).withColumn("id", part[1]).withColumn("attr", part[2])
+    own = s.timelines.filter(F.col("path").startswith("entities/")).withColumn("id", F.get(part, 1)).withColumn("attr", F.get(part, 2))
     present = own.filter("attr = 'present'").select("session", "id", "f", (F.col("v") == "true").alias("v"))
     bounds = fields.spans(present, s.frames).groupBy("id").agg(F.min("first_f").alias("first_f"), F.max("last_f").alias("last_f"))
     visible = fields.visible_spans(s.timelines, present, s.frames)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Names that a head-up display line may carry, in order of detection.
 HUD_KEYS = ("health", "hp", "ammo", "score", "lives", "life", "time", "level", "gold", "coins", "kills", "shield", "armor")
+#: An amount of money, and a text that is a number and nothing else.
+CURRENCY = r"(?<![+\-\d])[$]\s?(\d[\d,]*)"
+NUMBER_ONLY = r"[^\w$+\-]*(\d[\d,]*)[^\w$]*"
 SOURCE_TAGS = {"observed": "obs", "propagated": "PROP", "inferred": "INFER"}
 
 
@@ -62,12 +65,12 @@ def hud_value(line: Column, key: Column | None = None) -> Column:
 
 def currency(text: Column) -> Column:
     """$N,NNN, a blank after the sign allowed, without a plus, minus or digit before it."""
-    return _digits(F.regexp_extract(text, r"(?<![+\-\d])\$\s?(\d[\d,]*)", 1))
+    return _digits(F.regexp_extract(text, CURRENCY, 1))
 
 
 def plain_number(text: Column) -> Column:
     """The only number of a text without letters, dollars and signs, if it has two digits or more."""
-    hit = F.regexp_extract(F.trim(text), r"^(?U:[^\w$+\-]*)(\d[\d,]*)(?U:[^\w$]*)$", 1)
+    hit = F.regexp_extract(F.trim(text), f"(?U)^{NUMBER_ONLY}$", 1)
     return F.when(F.length(F.replace(hit, F.lit(","), F.lit(""))) >= 2, _digits(hit))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,25 +73,28 @@ def word_lines(words: DataFrame, least: float = 40.0) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("page", "text", *cell).orderBy("y", "x", "w", "h"))
     read = read.withColumn("__nth", first).filter("__nth = 1").select("page", "x", "y", "w", "h", "text")
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-        for r in p.sort_values(["y", "x", "text"], kind="stable").itertuples():
-            middle = r.y + r.h / 2
-            takes = lambda n: n["top"] <= middle <= n["bottom"] and r.x - n["end"] < 3 * max(r.h, n["bottom"] - n["top"])  # noqa: B023, E731
-            home = next(filter(takes, lines), None)
-            if home is None:
-                lines.append(home := {"top": r.y, "bottom": r.y + r.h, "end": r.x + r.w, "words": []})
-            home["words"].append((r.x, r.text))
-            home.update(top=min(home["top"], r.y), bottom=max(home["bottom"], r.y + r.h), end=max(home["end"], r.x + r.w))
-        rows = []
-        for i, n in enumerate(lines):
-            n["words"].sort(key=lambda w: w[0])
-            start = n["words"][0][0]
-            rows.append((p["page"].iloc[0], i, " ".join(t for _, t in n["words"]), float(start), float(n["top"]), float(n["end"] - start), float(n["bottom"] - n["top"])))
-        return pd.DataFrame(rows, columns=["page", "line", "text", "x", "y", "w", "h"])
-
-    kind = dict(words.dtypes)["page"]
-    return read.groupBy("page").applyInPandas(fn, f"page {kind}, line bigint, text string, x double, y double, w double, h double")
+    read = read.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "text")).cast("bigint"))
+
+    def placed(p: pd.DataFrame) -> pd.DataFrame:
+        """The line of each word; the lines so far are three arrays, asked all at once whether they take a word."""
+        p = p.sort_values("place", kind="stable")
+        x, y, w, h = (p[c].to_numpy(float) for c in "xywh")
+        n, lines, number = len(p), 0, np.zeros(len(p), np.int64)
+        top, bottom, end = np.full(n, np.inf), np.full(n, -np.inf), np.full(n, -np.inf)
+        for i in range(n):
+            at = slice(0, lines)
+            level = np.abs(y[i] + h[i] / 2 - (top[at] + bottom[at]) / 2) <= (bottom[at] - top[at]) / 2
+            takes = level & (x[i] - end[at] < 3 * np.maximum(h[i], bottom[at] - top[at]))
+            number[i] = k = int(takes.argmax()) if takes.any() else lines
+            lines = max(lines, k + 1)
+            top[k], bottom[k], end[k] = min(top[k], y[i]), max(bottom[k], y[i] + h[i]), max(end[k], x[i] + w[i])
+        return p.assign(line=number)
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in read.schema]
+    words_in = read.groupBy("page").applyInPandas(placed, ", ".join([*kinds, "line bigint"]))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "place", "text"))), lambda v: v["text"]), " ")
+    low = words_in.groupBy("page", "line").agg(said.alias("text"), *[F.min(c).cast("double").alias(c) for c in "xy"], F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    return low.select("page", "line", "text", "x", "y", (F.col("x1") - F.col("x")).cast("double").alias("w"), (F.col("y1") - F.col("y")).cast("double").alias("h"))
 
 
 def agreed(readings: DataFrame, least: int = 2) -> DataFrame:

@@ -45,10 +45,14 @@ def presence(ops: DataFrame, frames: DataFrame) -> DataFrame:
     under = ops.filter((F.get("path", F.lit(0)) == "entities") & (F.size("path") > 1))
     gone = (F.size("path") == 2) & (F.col("op") != "obj")
     touched = under.groupBy("session", F.col("path")[1].alias("id"), "f").agg((~F.min(gone)).alias("v"))
-    ids = touched.select("session", "id").distinct()
     cuts = ops.filter((F.size("path") == 1) & (F.get("path", F.lit(0)) == "entities") & F.col("op").isin("set", "del")).select("session", "f")
-    resets = frames.filter("kind = 'snapshot'").select("session", "f").union(cuts).distinct().join(ids, "session").withColumn("reset", F.lit(False))
-    seen = touched.join(resets, ["session", "id", "f"], "full").select("session", "id", "f", F.coalesce("v", "reset").alias("v"))
+    resets = frames.filter("kind = 'snapshot'").select("session", "f").union(cuts).distinct().select("session", F.lit(None).cast("string").alias("id"), "f", F.lit(None).cast("boolean").alias("v"))
+    # only the first reset after a touch can end an entity: seen from the back, the last reset before it, those of its own frame left out
+    back = Window.partitionBy("session").orderBy(F.desc("f"), F.col("id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = touched.select("session", "id", "f", "v").union(resets).withColumn("reset", F.last(F.when(F.col("id").isNull(), F.col("f")), True).over(back)).filter("id IS NOT NULL")
+    both = both.withColumn("next", F.lead("f").over(Window.partitionBy("session", "id").orderBy("f")))
+    ended = F.when(F.col("reset").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("reset"))), F.struct(F.col("reset").alias("f"), F.lit(False).alias("v")))
+    seen = both.select("session", "id", F.explode(F.array_compact(F.array(F.struct("f", "v"), ended))).alias("x")).select("session", "id", "x.f", "x.v")
     before = F.coalesce(F.lag("v").over(Window.partitionBy("session", "id").orderBy("f")), F.lit(False))
     return seen.withColumn("was", before).filter("v <> was").drop("was")
 
@@ -82,17 +86,21 @@ def visible_counts(visible: DataFrame, frames: DataFrame) -> DataFrame:
     return counted.filter("was IS NULL OR n <> was").select("session", "f", "n")
 
 
-def timelines(ops: DataFrame, frames: DataFrame) -> DataFrame:
-    """Value changes of all fields under ``group/key[/attribute]``, with ``present`` and a sampled ``bbox`` of every entity and the count of visible ones."""
+def timelines(ops: DataFrame, frames: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
+    """Value changes of all fields under ``group/key[/attribute]``, with ``present`` and a sampled ``bbox`` of every entity and the count of visible ones.
+
+    Two tables are used several times: where the caller gives a list, they are cached and put there, for the caller to release.
+    """
+    hold = lambda df: df if kept is None else (kept.append(df.cache()) or df)
     path = F.array_join("field", "/")
     group, size = F.col("field")[0], F.size("field")
     shape = ((group.isin("hud", "text") & (size == 2)) | (path == "scene/label")) | ((group == "entities") & (size == 3))
-    rows = field_rows(ops).filter(shape).cache()
+    rows = hold(field_rows(ops).filter(shape))
     w = Window.partitionBy("session", "field").orderBy("f")
     plain = rows.filter((group != "entities") | (F.element_at("field", -1) != "bbox")).withColumn("was", F.lag("v").over(w)).filter("was IS NULL OR v <> was")
     columns = [c.split()[0] for c in TIMELINE.split(", ")]
     values = plain.withColumn("path", path).select(*columns)
-    there = presence(ops, frames).cache()
+    there = hold(presence(ops, frames))
     own = lambda name, v, f, conf, source: [name.alias("path"), f.alias("f"), v.alias("v"), F.lit(conf).cast("double").alias("conf"), F.lit(source).alias("source"), f.alias("f_obs"), F.lit(None).cast("string").alias("bbox"), F.lit(None).cast("string").alias("crop")]
     present = there.select("session", *own(F.concat(F.lit("entities/"), "id", F.lit("/present")), F.col("v").cast("string"), F.col("f"), 1.0, "observed"))
     counts = visible_counts(visible_spans(values, there, frames), frames)
@@ -100,7 +108,11 @@ def timelines(ops: DataFrame, frames: DataFrame) -> DataFrame:
     # a box at the first frame that has one, then at every frame that is a sampling gap after the last one listed
     boxes = rows.filter((group == "entities") & (F.element_at("field", -1) == "bbox")).withColumn("path", path)
     held = boxes.select("session", F.col("field")[1].alias("id"), "path", "f").join(spans(there, frames), ["session", "id"]).filter("f BETWEEN first_f AND last_f")
-    frames_of = held.groupBy("session", "path", "id", "last_f").agg(F.min("f").alias("a")).join(frames.select("session", "f"), "session").filter("f BETWEEN a AND last_f").select("session", "path", "f")
+    shown = held.groupBy("session", "path", "id", "last_f").agg(F.min("f").alias("a"))
+    # frames meet the spans whose stretches of ten gaps they lie in, not all spans of their session
+    stretch = lambda c: F.floor(F.col(c) / (10 * DEFAULT.bbox_sample_gap))
+    spread = shown.withColumn("__b", F.explode(F.sequence(stretch("a"), stretch("last_f"))))
+    frames_of = spread.join(frames.select("session", "f", stretch("f").alias("__b")), ["session", "__b"]).filter("f BETWEEN a AND last_f").select("session", "path", "f")
     sampled = track.spaced(frames_of, DEFAULT.bbox_sample_gap)
     value = F.struct("v", "conf", "source", "f_obs", "crop")
     listed = timeline.as_of_join(sampled, boxes.select("session", "path", "f", value.alias("x")), "x", "session", "path")
@@ -127,7 +139,8 @@ def windows(frames: DataFrame, values: DataFrame, ops: DataFrame, events: DataFr
     )
     there = spans(presence(ops, frames), frames)
     seen = there.withColumn("window", F.explode(F.sequence(number(F.col("first_f")), number(F.col("last_f"))))).groupBy("session", "window").agg(F.array_sort(F.collect_set("id")).alias("entities_seen"))
-    found = events.join(base.select("session", "window", "f_start", "f_end").withColumnsRenamed({"f_start": "a", "f_end": "b"}), "session").filter("f_start BETWEEN a AND b").withColumn("k", F.col("type"))
+    bounds = base.select("session", "window", F.col("f_start").alias("a"), F.col("f_end").alias("b"))
+    found = events.withColumn("window", number(F.col("f_start"))).join(bounds, ["session", "window"]).filter("f_start BETWEEN a AND b").withColumn("k", F.col("type"))
     change = F.concat(F.lit(" "), F.coalesce("entity", F.lit("")), F.lit(" "), F.coalesce(F.to_json("from"), F.lit("")), F.lit("→"), F.coalesce(F.to_json("to"), F.lit("")))
     said = F.concat(F.format_string("f%d %s", "f_start", "type"), F.when(F.col("type").isin("ui_value_changed", "text_changed"), change).otherwise(""))
     first = F.row_number().over(Window.partitionBy("session", "window").orderBy("f_start", "id"))

@@ -110,12 +110,14 @@ def test_monotone_repair_and_budget(spark):
 
 
 def test_synthetic_frames_and_logs(spark, tmp_path):
-    from chronolith.sources import frames, logs
+    from chronolith.sources import frames as rules
+    from chronolith.sources import logs
+    from tests import synthetic_frames as frames
 
     frames.register(spark)
     df = spark.read.format("synthetic_frames").option("frames", 400).load()
     assert df.count() == 400
-    assert frames.background(df, 25, 7).filter("background > 2").count() == 0
+    assert rules.background(df, 25, 7).filter("background > 2").count() == 0
     (tmp_path / "app.log").write_text("2024-05-01T10:00:00Z start a=1 b=two words\nSTAGE store bytes=42 f=3\n")
     r = logs.read_log(spark, str(tmp_path / "app.log")).first()
     assert r["event"] == "start" and r["fields"] == {"a": "1", "b": "two"}

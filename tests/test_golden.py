@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.signal import decayed
 from chronolith.operators import metrics, state, summary, timeline, track
-from chronolith.sources import testgame
+from tests import testgame
 
 
 @pytest.fixture(scope="module")

@@ -19,7 +19,7 @@ def test_flash_kernel(spark):
 
 def test_flashes_of_the_synthetic_source_and_the_sampling_control(spark):
     from chronolith.operators import summary
-    from chronolith.sources import frames
+    from tests import synthetic_frames as frames
 
     frames.register(spark)
     found = track.flashes(spark.read.format("synthetic_frames").option("frames", 1000).load())

@@ -115,7 +115,7 @@ def test_context_and_ask(clip):
 
 def test_tables_answer_as_lines_do(spark, clip, folder, tmp_path):
     made = api.ingest(spark, folder, str(tmp_path / "clip"))
-    assert made.fps == 60.0 and made.n_frames == 8 and not made.kept
+    assert made.fps == 60.0 and made.n_frames == 8
     for op, params in (
         ("get_state", {"f": "4"}), ("get_changes", {"f0": "0", "f1": "9"}), ("get_entity_history", {"entity": "e1"}), ("get_events", {}),
         ("search_semantics", {"q": "health enemy"}), ("get_evidence", {"id": "hud/health@7"}), ("compile_context", {"q": "all at frame 5"}),
@@ -277,9 +277,9 @@ def test_an_empty_snapshot_is_a_state(spark, tmp_path):
         assert [(r["snap_f"], r["empty"]) for r in s.snapshots.orderBy("snap_f").collect()] == [(3, True), (4, False), (300, True)]
 
 
-@pytest.mark.parametrize("query", ["What was the health at frame 4?", "which texts were shown?", "anything", "how many enemies were visible from 0.05s on", "ammo"])
-def test_contexts_of_held_lines_and_of_spark_are_the_same(clip, query, monkeypatch):
-    for budget in (150, 400, 4000):
+@pytest.mark.parametrize(("query", "budgets"), [("which health, enemies and texts were there at frame 4?", (150, 4000)), ("ammo", (400,))])
+def test_contexts_of_held_lines_and_of_spark_are_the_same(clip, query, budgets, monkeypatch):
+    for budget in budgets:
         held = api.compile_context(clip, query, budget)
         assert clip.held["ready"]
         monkeypatch.setattr(api, "ready", lambda s: None)
