@@ -37,8 +37,8 @@ from chronolith.llm.common import UPPER, materialise, small_arrow_batches, table
 BLANKS, BREAKS = " \t", ".,;:!?\n\x0b\x0c\r"
 DEPTH, BITS = 3, 21
 MASK = (1 << BITS) - 1
-SHARD_WORDS, SHARD_VOCABULARY = 2_000_000, 700_000
-CHUNK, RANGE_NODES, MERGE_NODES, RANGES, CUT_BYTES = 1 << 16, 1_500_000, 4_000_000, 1 << 16, 64
+SHARD_WORDS, SHARD_VOCABULARY = 1_200_000, 500_000
+CHUNK, RANGE_NODES, MERGE_NODES, RANGES, CUT_BYTES = 1 << 16, 750_000, 2_000_000, 1 << 16, 64
 MIN_COUNT, DOMINATED, TOP = 10, 50, 2000
 UNKNOWN = "und"
 RUN = "lang string, nodes bigint, head array<binary>, run binary"
