@@ -39,6 +39,8 @@ DEPTH, BITS = 3, 21
 MASK = (1 << BITS) - 1
 SHARD_WORDS, SHARD_VOCABULARY = 1_200_000, 500_000
 CHUNK, RANGE_NODES, MERGE_NODES, RANGES, CUT_BYTES = 1 << 16, 750_000, 2_000_000, 1 << 16, 64
+#: Code points of texts that are taken apart at once.
+BATCH_CHARS = 1 << 19
 MIN_COUNT, DOMINATED, TOP = 10, 50, 2000
 UNKNOWN = "und"
 RUN = "lang string, nodes bigint, head array<binary>, run binary"
@@ -215,7 +217,7 @@ def shard_runs(batches: Iterator[pa.RecordBatch], shard_words: int = SHARD_WORDS
             if text:
                 by_lang.setdefault(lang, []).append(text)
         for lang, texts in by_lang.items():
-            for a, b in K.batches(texts):
+            for a, b in K.batches(texts, BATCH_CHARS):
                 cps, bounds = K.code_points(texts[a:b])
                 cps = K.lower_ascii(cps)
                 starts, ends, by_text = K.spans(solid[cps], bounds)
@@ -259,7 +261,7 @@ def frequent_nodes(
 ) -> DataFrame:
     """(lang, depth, phrase, suffix, f, l1, l2): nodes of the whole trie with f >= min_count, and rows of depth 0 with counts of words."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(spark, 250, "8m")
     chosen = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     runs = materialise(chosen.mapInArrow(lambda batches: shard_runs(batches, shard_words, chunk), RUN), "collocation-runs")
     cuts = range_cuts(runs, range_nodes)
