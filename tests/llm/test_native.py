@@ -6,6 +6,7 @@ import re
 import textwrap
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,8 +232,17 @@ def test_wrapped_sentences_keep_their_bounds(spark):
 
 def brute_sequence(text):
     """Sentences of a text, apart from the operator's own cut: runs of whole pieces whose words are a sentence's."""
-    pieces = [re.findall("[a-z0-9]+", p) for line in (text or "").lower().split("\n") for p in re.split(r"(?<=[.!?])\s+", line)]
-    known = {tuple(re.findall("[a-z0-9]+", s.lower())): sid for sid, s in license_rules.SENTENCES.items()}
+    pieces = []
+    for line in (text or "").lower().split("\n"):
+        parts = [p for marked in re.split("</?[a-z][^<>]*>", line) for p in re.split(r"(?<=[.!?])\s+", marked)]
+        said = [re.findall("[a-z0-9]+", p) for p in parts]
+        for words in [w for w in said if w] or [[]]:
+            starts = [0, *(k for k in range(1, len(words)) if words[k] in license_rules.LEADS), len(words)]
+            pieces += [words[i:j] for i, j in zip(starts, starts[1:], strict=False)] if words else [words]
+    known = {}
+    for sid, said in license_rules.KNOWN.items():
+        for s in (said,) if isinstance(said, str) else said:
+            known.setdefault(tuple(re.findall("[a-z0-9]+", s.lower())), sid)
     found = []
     for i in range(len(pieces)):
         run = []
@@ -249,7 +259,46 @@ def brute_sequence(text):
 
 def brute_licenses(ids):
     says = lambda rule: any(tuple(ids[i : i + len(rule)]) == rule for i in range(len(ids)))
-    return ",".join(sorted({name for name, rule in license_rules.RULES if says(rule)}))
+    return ",".join(sorted({name for name, rule in license_rules.ALL_RULES if says(rule)}))
+
+
+NOTICES = [
+    ("The Software is released under the MIT License.", "MIT"),
+    ("<b>Licensed under the MIT License.</b>", "MIT"),
+    ("<p>This <i>program</i> is free software: you can redistribute it and/or modify it under the terms of the <a href='x'>GNU Lesser General\nPublic</a> License", ""),
+    ("code\n# SPDX-License-Identifier: Apache-2.0\ncode", "Apache-2.0"),
+    ("It is dual licensed: it is available\nunder the Mozilla\nPublic License 2.0.", "MPL-2.0"),
+    ("w\no\nr\nreleased\nunder\nthe\nMIT\nLicense\n", "MIT"),
+    ("released under the\n\nMIT License", ""),
+    ("released under the MIT Licensee", ""),
+    ("All of it, published under the GNU LGPLv3!\r\nReleased under the GPLv3", "GPL-3.0,LGPL-3.0"),
+    ("<div>\n<p>Licensed under\n<b>CC BY 4.0</b></p></div>", "CC-BY-4.0"),
+    ("\n".join(license_rules.SENTENCES[x] for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-neither", "bsd-warranty")), "BSD,BSD-3-Clause"),
+    ("\n".join(license_rules.SENTENCES[x] for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")), "BSD,BSD-2-Clause"),
+    ("Licensed under the MIT License. " * 3000, "MIT"),
+    ("<" * 5000 + "a" * 5000 + "<b" * 5000 + " <p>" * 20000, ""),
+    (None, ""), ("", ""), ("\x01\n \x01", ""), ("İstanbul ſ released under the ISC License", "ISC"),
+]
+
+
+def test_notices_as_they_are_written(spark, tmp_path):
+    """Lead-ins, markup, file lines, any wrapping: by brute force, and by the SQL, whose notion of a sentence is the same."""
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, license_rules.op9_license_rules(spark, str(tmp_path)).collect()))
+    assert [x[3] for x in got] == [w for _, w in NOTICES]
+    assert got == [(i, len(s := brute_sequence(t)), ",".join(s), brute_licenses(s)) for i, t in rows]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(license_rules.ORACLE).fetchall()) == got
+
+
+def test_look_up_in_a_constant_table(spark):
+    """Every key finds its own value and no other one does, at one key a table and at thousands."""
+    for n in (1, 5000):
+        find = license_rules.hashed({f"key {i}": i for i in range(n)}, "int")
+        got = spark.range(n + 50).selectExpr("concat('key ', id) AS k", "id").selectExpr("id", f"{find('k')} AS v").collect()
+        assert all(r["v"] == (r["id"] if r["id"] < n else None) for r in got)
 
 
 def test_licences_against_brute_force(spark, listed):
