@@ -42,6 +42,11 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
 def materialise(df: DataFrame, label: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, computes once.
 

@@ -1,21 +1,25 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every text is addressed by the SHA-256 of its content. The ledger holds one row for each (blob, rule,
-rule version) ever scanned, with the spans found. A scan of a table of versions
+Every text is addressed by the SHA-256 of its content. The ledger, a table that lasts, holds one row for each (blob,
+rule, rule version) ever scanned, with the spans found. A scan of a table of versions
 
 1. addresses all rows;
-2. anti-joins the distinct blobs with the ledger, so that each unseen (blob, rule-version) pair is scanned
-   once, however many paths or copies show the blob;
+2. joins the distinct blobs with the ledger, so that each unseen (blob, rule-version) pair is scanned
+   once, however many paths or copies show the blob, and appends what it found (``update``);
 3. joins all findings, old and new, back to every path by address.
 
+The query takes the table as a history in order of ids: its older half is scanned first, then what came later, and what
+the ledger has seen by then is not scanned again.
+
 Spans are code-point offsets, end exclusive, of leftmost non-overlapping matches. Spark gives the matches
 (``regexp_extract_all``) and the text between them (``split``) but no offsets; running sums of both
 lengths are the offsets, in time that grows with their number. A blob that very many paths show is met by them
 where it is broadcast (a thousand such blobs at most), so no task gets all of its paths.
 
 Defined results: null text counts as empty; no findings give counts of 0, an empty span string and the
-digest of the empty string; repeated rows each get the findings of their blob; a text may be of any
-length; an empty table gives no rows; only the id and text columns are read.
+digest of the empty string; repeated rows each get the findings of their blob; rows without an id are the latest of
+the history and keep their null; a text may be of any length; an empty table gives no rows; a pair that two scans
+at a time appended counts once; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import let, look_up, materialise, raw, sums_before, table, text_or_empty
+from chronolith.llm.common import exists, let, look_up, materialise, raw, scratch_path, sums_before, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,7 @@ RULES = (
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{10}", base=False),
 )
 SPANS = "array<struct<start:bigint,end:bigint>>"
+LEDGER = f"blob binary, rule string, version int, spans {SPANS}"
 
 
 def spans_of(text: str, rule: Rule) -> Column:
@@ -100,6 +105,26 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     )
 
 
+def update(path: str, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at the path has not seen, append it there and return the ledger; a path that is not there is an empty one.
+
+    Run again after a failure it scans what had not been committed, so nothing is lost and nothing stands there twice.
+    """
+    spark = versions.sparkSession
+    before = spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
+    scan_unseen(versions, before, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def history(versions: DataFrame, steps: int = 2) -> list[DataFrame]:
+    """The versions in that many parts of about equal size by path, the older ones first; each row is in one of them."""
+    at = F.col("path").cast("double")
+    cuts = sorted(set(versions.select(at.alias("at")).stat.approxQuantile("at", [i / steps for i in range(1, steps)], 0.01)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < at)) if cuts else F.lit(0)
+    place = F.when(at.isNull(), len(cuts)).otherwise(place)
+    return [versions.filter(place == i) for i in range(len(cuts) + 1)]
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per path and version: path, hits = array of (start, k, kind, end, base) in order of start, then of the rules."""
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))])
@@ -110,7 +135,7 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
         .filter(F.col("k").isNotNull())
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("k").alias("k"), F.col("rule").alias("kind"), s["end"].alias("end"), base[F.col("rule")].alias("base"))).alias("of"))
         .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("of"))).alias("hits"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("hits"))
     )
     shown = versions.groupBy("blob").agg(F.count(F.lit(1)).alias("paths"))
     found = materialise(hits.join(shown, "blob"), "secret-hits")
@@ -119,11 +144,14 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = addressed(table(spark, sf_dir, "documents"), "doc_id", "text")
-    ledger = materialise(scan_unseen(versions), "secret-ledger")
+    path = scratch_path(spark, "secret-ledger")
+    for part in history(versions):
+        ledger = update(path, part)
+    shown = materialise(versions.select("path", "blob"), "secret-paths")
     hits = F.coalesce("hits", F.array().cast("array<struct<start:bigint,k:int,kind:string,end:bigint,base:boolean>>"))
     joined = lambda of: F.array_join(F.transform(of, lambda h: F.concat_ws(":", h["kind"], h["start"].cast("string"), h["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("hits", lambda h: h["kind"] == kind)).cast("long")
-    return findings_by_path(versions, ledger).withColumn("hits", hits).select(
+    return findings_by_path(shown, ledger).withColumn("hits", hits).select(
         F.col("path").alias("doc_id"),
         count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(joined(F.filter("hits", lambda h: h["base"])), 256).alias("base_sha256"),

@@ -188,6 +188,32 @@ def test_many_findings_in_one_text(spark):
     assert [("assign", s["start"], s["end"]) for s in spans] == [x for x in base_spans(text) if x[0] == "assign"]
 
 
+def test_ledger_lasts_over_a_history(spark, tmp_path):
+    """Parts of a history go through one ledger on disk; each (blob, rule version) is scanned in the first part that shows it."""
+    rules, path = secrets_ledger.RULES, str(tmp_path / "ledger")
+    rows = [(i, f"token = abcdefgh{i % 40}") for i in range(60)] + [(None, "password=hunter22x"), (None, None), (7, "token = abcdefgh7")]
+    versions = secrets_ledger.addressed(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    parts = secrets_ledger.history(versions)
+    assert len(parts) == 2 and Counter(tuple(r) for p in parts for r in p.select("path", "body").collect()) == Counter((i, t or "") for i, t in rows)
+    seen, sizes = set(), []
+    for part in [*parts, *parts, versions]:
+        shown = {r["body"] for r in part.collect()}
+        ledger = secrets_ledger.update(path, part)
+        sizes.append(ledger.count())
+        assert sizes[-1] == len(rules) * len(seen | shown)
+        seen |= shown
+    assert sizes[0] < sizes[1] == sizes[-1]  # what was seen is not scanned again
+    newer = (*rules[1:], secrets_ledger.Rule("assign", 2, rules[0].pattern, rules[0].sign, group=2, least=8))
+    after = secrets_ledger.update(path, versions, newer)
+    assert after.count() == sizes[-1] + len(seen) and {r["version"] for r in after.filter("rule = 'assign'").collect()} == {1, 2}
+    twice = after.unionByName(after)  # two scans at a time
+    found = {(r["path"], len(r["hits"] or [])) for r in secrets_ledger.findings_by_path(versions, twice, newer).collect()}
+    assert found == {(i, int(t is not None)) for i, t in rows}
+    for odd in ([], [(None, "a")] * 3, [(5, "token=abcdefgh")] * 4):
+        held = secrets_ledger.addressed(spark.createDataFrame(odd, "doc_id bigint, text string"), "doc_id", "text")
+        assert sum(p.count() for p in secrets_ledger.history(held)) == len(odd)
+
+
 def test_findings_of_a_hot_blob(spark):
     """A third of all paths show one blob: it is met by broadcast."""
     df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "password=hunter22x").otherwise(F.concat(F.lit("nothing "), "id")).alias("text"))
