@@ -8,12 +8,14 @@ hashes in order, big-endian, 8 base64 characters each. The sum tells texts apart
 
 Each document is compared with the one that follows in descending id (after the last comes the first). The
 rows are dealt into ranges of ids whose bounds come from quantiles; each range also receives the first row
-of the next one, so a neighbour is always the next row of the same sorted range. One shuffle of the texts,
-no join of texts, no global window.
+of the next one, so a neighbour is always the next row of the same sorted range. An id that many rows share, or the
+null of rows without one, is cut into ranges of its own by a hash of the text. One shuffle of the texts, no join of
+texts, no global window.
 
 Defined results: null text counts as empty; a text of fewer than five words is one shingle, of no words
 none; likeness is 1 for equal texts, and where the first sketch is empty 1 or 0 by whether number and sum
-are equal; null ids come last in the order; equal ids follow in order of a hash of the text; a single row
+are equal; null ids come last in the order; equal ids follow in order of a hash of the text (rows of one id and one
+text are alike, and share a range however many they are); a single row
 is its own neighbour; an empty table gives no rows; columns besides the id and text are not read.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,18 +128,40 @@ def ranges(docs: DataFrame, id_col: str, parts: int) -> Column:
     return F.coalesce(F.greatest(F.lit(0), parts - 1 - F.floor(share * parts)).cast("int"), F.lit(parts - 1))
 
 
+def by_text(placed: DataFrame, parts: int) -> tuple[Column, Column]:
+    """What orders rows within a range number (zone, slice): an id of more than two ranges' rows is a zone, cut into slices.
+
+    At most half as many ids as there are ranges can be such, and their slices together are at most as many as the ranges.
+    """
+    total = placed.count()
+    counts = placed.groupBy("id").count().filter((F.col("count") > 1) & (F.col("count") > 2 * total / parts))
+    heavy = {r["id"]: math.ceil(r["count"] * parts / total) for r in counts.collect()}
+    if not heavy:
+        return F.lit(0), F.lit(0)
+    of = F.array(*[F.struct(F.lit(x).cast("bigint").alias("id"), F.lit(k).alias("slices")) for x, k in heavy.items()])
+    above = F.when(F.col("id").isNull(), len(heavy)).otherwise(F.size(F.filter(of, lambda h: h["id"] > F.col("id"))))
+    slices = F.get(F.filter(of, lambda h: h["id"].eqNullSafe(F.col("id"))), F.lit(0))["slices"]
+    share = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
+    cut = F.least(F.floor(share * slices), slices - 1)
+    return 2 * above + slices.isNotNull().cast("int"), F.coalesce(cut, F.lit(0))
+
+
 def with_neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(part, guest, id, text), sorted: the rows of each range, then as guest the first of the range that follows."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.select(ranges(docs, id_col, parts).alias("part"), F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    plain = docs.select(ranges(docs, id_col, parts).cast("bigint").alias("range"), F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    zone, cut = by_text(plain, parts)
+    # range, then zone, then slice, as one number; there are fewer than parts + 2 zones and parts + 1 slices
+    part = (F.col("range") * (parts + 2) + zone) * (parts + 1) + cut
+    placed = plain.select(part.alias("part"), "id", "text", F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("down"), F.xxhash64("text").alias("hash")).alias("place"))
     ring = Window.partitionBy(F.lit(0)).orderBy("part")
-    heads = placed.groupBy("part").agg(F.max("id").alias("head"))
+    heads = placed.groupBy("part").agg(F.min("place").alias("head"))
     heads = heads.select("part", "head", F.coalesce(F.lag("part").over(ring), F.max("part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("host"))
-    on = (placed["part"] == heads["part"]) & placed["id"].eqNullSafe(heads["head"])
+    on = (placed["part"] == heads["part"]) & placed["place"].eqNullSafe(heads["head"])
     home = F.struct(placed["part"].alias("part"), F.lit(False).alias("guest"))
     visit = F.struct(heads["host"].alias("part"), F.lit(True).alias("guest"))
-    # one row a range: at most ``parts`` rows are broadcast
+    # one row a range, zone and slice: at most four times ``parts`` rows are broadcast
     spread = placed.join(F.broadcast(heads), on, "left").select("id", "text", F.explode(F.when(heads["host"].isNotNull(), F.array(home, visit)).otherwise(F.array(home))).alias("p"))
     rows = spread.select("p.part", "p.guest", "id", "text")
     return rows.repartition("part").sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), F.xxhash64("text"))

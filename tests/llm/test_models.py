@@ -47,6 +47,22 @@ def test_edits_and_fingerprints(request, listed, which):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_neighbours_under_heavy_ids(spark):
+    """A third of the rows without an id, a third with one: no range takes much more than its part, and each row meets its next one."""
+    rows = [(None if i % 3 == 0 else 500 if i % 3 == 1 else i, f"text {i} of {i * i} words") for i in range(6000)] + [(None, None), (-(2**63), "least"), (2**63 - 1, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    held = scaled_sketch.with_neighbours(df, "doc_id", "text")
+    sizes = [r["count"] for r in held.filter("NOT guest").groupBy("part").count().collect()]
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == len(rows) and max(sizes) <= 3 * len(rows) / parts
+    assert held.filter("guest").count() == len(sizes)  # one visitor a range
+    text = F.coalesce("text", F.lit(""))
+    order = [(r["doc_id"], r["t"]) for r in df.select("doc_id", text.alias("t")).orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("t")).collect()]
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    got = [(r["doc_id"], r["edited_sha256"]) for r in scaled_sketch.fingerprint_pairs(df).select("doc_id", "edited_sha256").collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_sketch_keeps_every_hash_below_the_threshold(none):
     text = " ".join(str(x) for x in random.Random(1).choices(range(10**6), k=4000))
     s = scaled_sketch.Sketches([text, text + " and more words that follow it", "", "one two"], fraction=1)
