@@ -276,6 +276,27 @@ class Wait(Machine):
         return out
 
 
+class Grid(Machine):
+    """Slots of a capture grid: what is due up to a tick is filled with the newest picture, ``burst`` slots a tick at most.
+    Where more than ``backlog`` are due, all but the last are left out, so a slot's number stays its time."""
+
+    def __init__(self, rate: float, backlog: int, burst: int):
+        self.rate, self.backlog, self.burst = rate, backlog, burst
+        self.began: float | None = None
+        self.slot = 0
+
+    def push(self, f: int, rows: list[dict]) -> list[tuple]:
+        t = max((r["t"] for r in rows if r["t"] is not None), default=None)
+        if t is None:
+            return []
+        self.began = t if self.began is None else self.began
+        missing = math.floor((t - self.began) * self.rate) + 1 - self.slot
+        left_out = missing - 1 if missing > self.backlog else 0
+        n = min(max(missing - left_out, 0), self.burst)
+        first, self.slot = self.slot + left_out, self.slot + left_out + n
+        return [(f, first, n, left_out)]
+
+
 def schema_of(rows: DataFrame, keys: list[str], rest: str) -> str:
     kinds = dict(rows.dtypes)
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), rest])
@@ -286,6 +307,7 @@ BREAKS = "kind string, f_start bigint, f_end bigint, conf double"
 SCHEDULE = "f bigint, region int, mode string, conf double, warning boolean"
 TRACK = "f bigint, track bigint, x double, y double, w double, h double, state string"
 CONFIRM = "f bigint, v double, prev double"
+GRID = "f bigint, first bigint, n bigint, left_out bigint"
 WAIT = "id string, asked_f bigint, f bigint, kept boolean, waited_s double"
 
 
@@ -293,3 +315,9 @@ def waited(rows: DataFrame, fps: float = 60.0, patience: int = 30, one: float =
     """rows (session, f, id, ready_s), one or more a frame -> (session, id, asked_f, f, kept, waited_s), as ``Wait`` has it."""
     chosen = rows.select("session", "f", F.col("id").cast("string").alias("id"), F.col("ready_s").cast("double").alias("ready_s"))
     return folded(chosen, ["session"], lambda: Wait(fps, patience, one, total), schema_of(chosen, ["session"], WAIT))
+
+
+def gridded(ticks: DataFrame, rate: float = 60.0, backlog: int = 12, burst: int = 8) -> DataFrame:
+    """ticks (session, f, t in seconds) -> (session, f, first, n, left_out): slots first to first + n - 1 show what is newest at the tick."""
+    chosen = ticks.select("session", F.col("f").cast("bigint").alias("f"), F.col("t").cast("double").alias("t"))
+    return folded(chosen, ["session"], lambda: Grid(rate, backlog, burst), schema_of(chosen, ["session"], GRID))

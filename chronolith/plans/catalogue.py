@@ -1019,3 +1019,19 @@ def reads_wanted(spark, d):
 def scene_cuts(spark, d):
     rows = sv(spark, d).select("session", "f", F.array(F.col("v") / 4, F.col("v") / 4).alias("regions"), F.array((F.col("v") < 250).cast("double"), (F.col("v") >= 250).cast("double")).alias("hist"))
     return track.breaks(rows)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, epoch_us(ts) / 1e6 AS t FROM events),
+d AS (SELECT session, f, floor((t - min(t) OVER (PARTITION BY session)) * 0.00025::DOUBLE)::BIGINT + 1 AS due FROM e),
+g AS (SELECT session, f, 0::BIGINT AS first, 1::BIGINT AS n, 0::BIGINT AS left_out FROM d WHERE f = 1
+UNION ALL SELECT d.session, d.f, CASE WHEN due - g.first - g.n > 12 THEN due - 1 ELSE g.first + g.n END,
+CASE WHEN due - g.first - g.n > 12 THEN 1 ELSE least(greatest(due - g.first - g.n, 0), 8) END,
+CASE WHEN due - g.first - g.n > 12 THEN due - 1 - g.first - g.n ELSE 0 END FROM g JOIN d ON d.session = g.session AND d.f = g.f + 1)
+SELECT session, f, first, n, left_out FROM g""")
+def capture_grid(spark, d):
+    """Events of a user as ticks, slots of 4,000 seconds."""
+    from chronolith.operators import machines
+
+    f = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    since = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6
+    return machines.gridded(t(spark, d, "events").select(F.col("user_id").alias("session"), f.alias("f"), since.alias("t")), 0.00025)

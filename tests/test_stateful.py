@@ -148,3 +148,18 @@ def test_an_idle_session_is_let_go_by_a_timer(spark, tmp_path):
         time.sleep(0.5)
     query.stop()
     assert [r["f"] for r in spark.table("let_go").orderBy("f").collect()] == list(range(5))
+
+
+def test_a_capture_grid_keeps_time():
+    """Steady ticks write one slot each; a stall of over twelve is left out, a smaller one is caught up by eight a tick."""
+    grid, at = machines.Grid(60.0, 12, 8), 0
+    ticks = [k / 60 for k in range(5)] + [None, 14.5 / 60, 15.2 / 60, 15.3 / 60, 40.5 / 60, 41.5 / 60]
+    got = []
+    for f, t in enumerate(ticks):
+        grid = machines.taken_up(grid.laid_down())  # laid down between any two ticks
+        got += grid.push(f, [{"t": t}])
+    assert [x[1:] for x in got] == [(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, 0), (5, 8, 0), (13, 3, 0), (16, 0, 0), (40, 1, 24), (41, 1, 0)]
+    for _, first, n, left_out in got:  # no slot twice, none unaccounted for
+        assert first == at + left_out
+        at = first + n
+    assert grid.end() == [] and machines.Grid(60.0, 12, 8).push(0, [{"t": None}]) == []
