@@ -12,11 +12,13 @@ def mode_histogram(rows: DataFrame, modes: str = "modes") -> DataFrame:
 
 
 def joint_histogram(pixels: DataFrame, *keys: str, levels: int = 4) -> DataFrame:
-    """pixels (keys, r, g, b of 0..255) -> (keys, hist): the shares of the levels ** 3 joint colour bins, counted before the shuffle."""
-    part = lambda c: F.floor(F.col(c) * levels / 256)
-    binned = pixels.select(*keys, ((part("r") * levels + part("g")) * levels + part("b")).cast("int").alias("bin"))
-    counts = [F.count_if(F.col("bin") == i) / F.count(F.lit(1)) for i in range(levels**3)]
-    return binned.groupBy(*keys).agg(F.array(*counts).alias("hist"))
+    """pixels (keys, r, g, b) -> (keys, n, hist): the counts of the joint colour bins, levels ** 3 of them for 0..255, as a map of those
+    that occur. Values beyond 255 have bins of their own, and nulls count in n alone. Bins are counted before the shuffle."""
+    part = lambda c: F.expr(f"floor({c}) * {levels} div 256")
+    binned = pixels.select(*keys, ((part("r") * levels + part("g")) * levels + part("b")).alias("bin"))
+    counted = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "k"))
+    return counted.groupBy(*keys).agg(F.sum("k").alias("n"), F.map_from_entries(F.collect_list(entry)).alias("hist"))
 
 
 def region_residuals(pixels: DataFrame) -> DataFrame:
