@@ -1,17 +1,19 @@
 """Sequential kernels: rules whose next step depends on what they emitted or accepted before.
 
 ``lag`` compares with the last row, these compare with the last emitted one, so each session (or group) is
-folded in order: the longer rules by machines (``machines``), which also run on streams, the shorter ones by
-``applyInPandas``. Parallelism is across sessions; a session streams through one task.
+folded in order: the longer rules by machines (``machines``), which also run on streams, the shorter ones by steps
+through which sorted rows stream (``_walked``). Parallelism is across sessions; a session streams through one task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.config import DEFAULT, Thresholds
@@ -26,6 +28,38 @@ def _by(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Types of what a step may add to a row.
+ADDED = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _walked(rows: DataFrame, keys: list[str], reads: list[str], rule: Callable[[], Callable], kept: list[str], added: str = "", order: tuple[str, ...] = ("f",)) -> DataFrame:
+    """The rows of every group, in order, go through a step that ``rule`` makes for the group. It gets the columns ``reads``;
+    where it returns a tuple, the row's columns ``kept`` and the tuple, named and typed by ``added``, are a row of the result.
+
+    Groups stream through a task by the batch, however many or long: one call a group costs far more than its rows.
+    """
+    kinds, new = dict(rows.dtypes), [x.split() for x in added.split(", ") if x]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ordered = rows.withColumn("__place", place).sortWithinPartitions(*keys, *order)
+    names, types = [*kept, *(n for n, _ in new)], [ADDED[k] for _, k in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = None
+        for batch in batches:
+            at, found = [], []
+            for i, (place, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in ["__place", *reads]), strict=True)):
+                if place == 1:
+                    step = rule()
+                if (got := step(*values)) is not None:
+                    at.append(i)
+                    found.append(got)
+            if at:
+                told = [pa.array(x, k) for x, k in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in kept), *told], names=names)
+
+    return ordered.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{n}` {k}" for n, k in new)]))
+
+
 def dead_band(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
     """(session, path, f, v): rows whose value is at least ``move`` from the last emitted one."""
 
@@ -105,13 +139,11 @@ class _Ballot:
 def voted_changes(reads: DataFrame, fps: float, t: Thresholds = DEFAULT) -> DataFrame:
     """(session, path, f, v) reads -> accepted values (session, path, f0, v, prev), dated to the first winning read. Null reads are no evidence."""
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        ballot, known = _Ballot(fps, t), p.dropna(subset=["v"])
-        found = [x for f, v in zip(known["f"].tolist(), known["v"].tolist(), strict=True) if (x := ballot.read(f, v))]
-        return pd.DataFrame([(p["session"].iloc[0], p["path"].iloc[0], f, float(v), old) for f, v, old in found], columns=["session", "path", "f0", "v", "prev"])
+    def rule() -> Callable:
+        ballot = _Ballot(fps, t)
+        return lambda f, v: None if v is None or math.isnan(v) else ballot.read(f, v)
 
-    kinds = dict(reads.dtypes)
-    return _by(reads.select("session", "path", "f", "v"), ["session", "path"], fn, f"session {kinds['session']}, path {kinds['path']}, f0 bigint, v double, prev double")
+    return _walked(reads.select("session", "path", "f", "v"), ["session", "path"], ["f", "v"], rule, ["session", "path"], "f0 bigint, v double, prev double")
 
 
 def confirmed_reads(reads: DataFrame) -> DataFrame:
