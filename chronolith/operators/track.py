@@ -60,6 +60,11 @@ def _walked(rows: DataFrame, keys: list[str], reads: list[str], rule: Callable[[
     return ordered.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{n}` {k}" for n, k in new)]))
 
 
+def _apart(a: float | None, b: float | None, least: float) -> bool:
+    """Whether two values differ by ``least``, as SQL has it: null never does, and NaN from everything."""
+    return a is not None and b is not None and not abs(a - b) < least
+
+
 def dead_band(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
     """(session, path, f, v): rows whose value is at least ``move`` from the last emitted one."""
 
@@ -76,18 +81,21 @@ def dead_band(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
 
 def emitted_boxes(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
     """(session, path, f, box array, source, anchor_f): rows to emit: the box has moved by ``move`` in some coordinate since the last emitted one, or is known otherwise."""
-    columns = ["session", "path", "f", "box", "source", "anchor_f"]
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for i, now in enumerate(zip(p["source"], p["anchor_f"], p["box"], strict=True)):
-            if last is None or last[:2] != now[:2] or max(abs(a - b) for a, b in zip(last[2], now[2], strict=True)) >= move:
-                keep.append(i)
-                last = now
-        return p.iloc[keep]
+    def rule() -> Callable:
+        last = None
+
+        def step(*now) -> tuple | None:
+            nonlocal last
+            if last is not None and last[:2] == now[:2] and not any(_apart(a, b, move) for a, b in zip(last[2], now[2], strict=True)):
+                return None
+            last = now
+            return ()
 
-    chosen = rows.select(*columns)
-    return _by(chosen, ["session", "path"], fn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema))
+        return step
+
+    columns = ["session", "path", "f", "box", "source", "anchor_f"]
+    return _walked(rows.select(*columns), ["session", "path"], ["source", "anchor_f", "box"], rule, columns)
 
 
 def spaced(rows: DataFrame, gap: int = DEFAULT.bbox_sample_gap) -> DataFrame:
