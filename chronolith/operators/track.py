@@ -68,15 +68,20 @@ def _apart(a: float | None, b: float | None, least: float) -> bool:
 def dead_band(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
     """(session, path, f, v): rows whose value is at least ``move`` from the last emitted one."""
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for i, v in enumerate(p["v"].tolist()):
-            if last is None or abs(v - last) >= move:
-                keep.append(i)
-                last = v
-        return p.iloc[keep]
+    def rule() -> Callable:
+        last, begun = None, False
+
+        def step(v) -> tuple | None:
+            nonlocal last, begun
+            if begun and not _apart(v, last, move):
+                return None
+            last, begun = v, True
+            return ()
+
+        return step
 
-    return _by(rows.select("session", "path", "f", "v"), ["session", "path"], fn, rows.select("session", "path", "f", "v").schema.simpleString()[7:-1].replace(":", " "))
+    columns = ["session", "path", "f", "v"]
+    return _walked(rows.select(*columns), ["session", "path"], ["v"], rule, columns)
 
 
 def emitted_boxes(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame:
