@@ -106,15 +106,20 @@ def emitted_boxes(rows: DataFrame, move: float = DEFAULT.emit_move) -> DataFrame
 def spaced(rows: DataFrame, gap: int = DEFAULT.bbox_sample_gap) -> DataFrame:
     """(session, path, f): rows at least ``gap`` frames after the last emitted one; also the cooldown of cuts."""
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for i, f in enumerate(p["f"].tolist()):
-            if last is None or f - last >= gap:
-                keep.append(i)
-                last = f
-        return p.iloc[keep]
+    def rule() -> Callable:
+        last = None
+
+        def step(f) -> tuple | None:
+            nonlocal last
+            if last is not None and f - last < gap:
+                return None
+            last = f
+            return ()
+
+        return step
 
-    return _by(rows.select("session", "path", "f"), ["session", "path"], fn, rows.select("session", "path", "f").schema.simpleString()[7:-1].replace(":", " "))
+    columns = ["session", "path", "f"]
+    return _walked(rows.select(*columns), ["session", "path"], ["f"], rule, columns)
 
 
 class _Ballot:
