@@ -192,6 +192,16 @@ class Schedule(Machine):
         return out
 
 
+def percentile(values: list[float], q: float) -> float:
+    """Linear between neighbours, to the bit as ``np.percentile`` gives it, which takes a hundred microseconds for a short list."""
+    if any(math.isnan(v) for v in values):
+        return math.nan
+    at = (len(values) - 1) * q
+    low, ordered = math.floor(at), sorted(values)
+    a, b, part = ordered[low], ordered[min(low + 1, len(values) - 1)], at - low
+    return b - (b - a) * (1 - part) if part >= 0.5 else a + (b - a) * part
+
+
 class Track(Machine):
     """Rows (x, y, w, h) -> (f, track, x, y, w, h, state)."""
 
@@ -223,8 +233,11 @@ class Track(Machine):
             if not tr["id"] and tr["hits"] >= t.confirm_hits and math.hypot(cx - tr["cx0"], cy - tr["cy0"]) >= t.confirm_move:
                 self.number += 1
                 tr["id"] = self.number
-            tr["areas"] = [*tr["areas"], w * h][-240:]
-            partial = len(tr["areas"]) >= 10 and w * h < t.partial_area * float(np.percentile(tr["areas"], 80))
+            areas = tr["areas"]
+            areas.append(w * h)
+            del areas[:-240]
+            # the percentile is no greater than the greatest, which is cheaper to find
+            partial = len(areas) >= 10 and w * h < t.partial_area * max(areas) and w * h < t.partial_area * percentile(areas, 0.8)
             if tr["id"]:
                 out.append((f, tr["id"], x, y, w, h, "partial" if partial else "seen"))
         for tr in list(self.live):
