@@ -179,35 +179,44 @@ def reads_wanted(crops: DataFrame, frames: int, least: float = 1.5, floor: int =
     """crops (session, path, f, level, checksum): those to read: changed by more than ``least`` since the crop last looked at, of a
     checksum not seen on the path, within max(floor, share of the frames) reads a session."""
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        keep, looked, seen, left = [], {}, set(), max(floor, int(share * frames))
-        for i, (path, level, checksum) in enumerate(zip(p["path"], p["level"], p["checksum"], strict=True)):
+    def rule() -> Callable:
+        looked, seen, left = {}, set(), max(floor, int(share * frames))
+
+        def step(path, level, checksum) -> tuple | None:
+            nonlocal left
+            level = math.nan if level is None else level
             if path in looked and abs(level - looked[path]) <= least:
-                continue
+                return None
             looked[path] = level
-            if (path, checksum) not in seen and left > 0:
-                seen.add((path, checksum))
-                left -= 1
-                keep.append(i)
-        return p.iloc[keep]
+            if (path, checksum) in seen or left <= 0:
+                return None
+            seen.add((path, checksum))
+            left -= 1
+            return ()
+
+        return step
 
-    chosen = crops.select("session", "path", "f", "level", "checksum")
-    return _by(chosen, ["session"], fn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema))
+    columns = ["session", "path", "f", "level", "checksum"]
+    return _walked(crops.select(*columns), ["session"], ["path", "level", "checksum"], rule, columns)
 
 
 def budgeted(rows: DataFrame, share: float = DEFAULT.budget_share, extra: int = DEFAULT.budget_extra, cap: int | None = None) -> DataFrame:
     """(session, f, wanted): grants while those so far are within share * rows seen + extra, and below a cap."""
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        granted, out = 0, []
-        for i, want in enumerate(p["wanted"].tolist()):
-            give = bool(want) and granted + 1 <= share * (i + 1) + extra and (cap is None or granted < cap)
+    def rule() -> Callable:
+        granted = seen = 0
+
+        def step(want) -> tuple:
+            nonlocal granted, seen
+            seen += 1
+            give = bool(want) and granted + 1 <= share * seen + extra and (cap is None or granted < cap)
             granted += give
-            out.append(give)
-        return p.assign(granted=out)
+            return (give,)
 
-    kinds = dict(rows.dtypes)
-    return _by(rows.select("session", "f", "wanted"), ["session"], fn, f"session {kinds['session']}, f {kinds['f']}, wanted boolean, granted boolean")
+        return step
+
+    asked = rows.select("session", "f", F.col("wanted").cast("boolean").alias("wanted"))
+    return _walked(asked, ["session"], ["wanted"], rule, ["session", "f", "wanted"], "granted boolean")
 
 
 def model_cap(frames: int, share: float = 0.05, most: int = 24) -> int:
